@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import byte_bpe, packing, quality_rules, sharding, simhash, toxicity
+from brindle.llm import byte_bpe, packing, quality_rules, sharding, simhash, suffix_dedup, toxicity
 from brindle.registry import Registry
 
 REGISTRY = Registry()
@@ -10,6 +10,7 @@ REGISTRY = Registry()
 REGISTRY.add("op1_quality_rules", quality_rules.query, quality_rules.ORACLE_SQL)
 REGISTRY.add("op2_toxicity", toxicity.query)
 REGISTRY.add("op4_simhash_covering", simhash.query)
+REGISTRY.add("op5_suffix_dedup", suffix_dedup.query)
 REGISTRY.add("op6_best_fit_packing", packing.query)
 REGISTRY.add("op7_sharding", sharding.query)
 REGISTRY.add("op10_byte_bpe", byte_bpe.query)
