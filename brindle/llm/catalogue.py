@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from brindle.llm import byte_bpe, packing, quality_rules, sharding, simhash, suffix_dedup, toxicity
+from brindle.llm import byte_bpe, packing, posting_lists, quality_rules, sharding, simhash, suffix_dedup, toxicity
 from brindle.registry import Registry
 
 REGISTRY = Registry()
 
 REGISTRY.add("op1_quality_rules", quality_rules.query, quality_rules.ORACLE_SQL)
 REGISTRY.add("op2_toxicity", toxicity.query)
+REGISTRY.add("op3_posting_lists", posting_lists.query)
 REGISTRY.add("op4_simhash_covering", simhash.query)
 REGISTRY.add("op5_suffix_dedup", suffix_dedup.query)
 REGISTRY.add("op6_best_fit_packing", packing.query)
