@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.llm import byte_bpe, packing, posting_lists, quality_rules, sharding, simhash, suffix_dedup, toxicity
+from brindle.llm import byte_bpe, main_text, packing, posting_lists, quality_rules, sharding, simhash, suffix_dedup, toxicity, url_filter
 from brindle.registry import Registry
 
 REGISTRY = Registry()
@@ -14,4 +14,6 @@ REGISTRY.add("op4_simhash_covering", simhash.query)
 REGISTRY.add("op5_suffix_dedup", suffix_dedup.query)
 REGISTRY.add("op6_best_fit_packing", packing.query)
 REGISTRY.add("op7_sharding", sharding.query)
+REGISTRY.add("op8_main_text", main_text.query)
+REGISTRY.add("op9_url_filter", url_filter.query)
 REGISTRY.add("op10_byte_bpe", byte_bpe.query)
