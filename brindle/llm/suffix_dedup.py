@@ -36,7 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructType
 
 from brindle.llm.common import slices, text_buffers
 
@@ -330,8 +330,11 @@ def repeated_ranges(rows: DataFrame, parts: int, buckets: int, width: int = WIDT
     return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(scan, "bucket long, ranges binary")
 
 
-def cut_repeats(docs: DataFrame, width: int = WIDTH, keep: list[str] | None = None, part_bytes: int = PART_BYTES, text: str = "text") -> DataFrame:
-    """The columns ``keep`` (all, if not given) with ``kept`` (the bytes that stay) and ``spans`` (removed [start, end))."""
+def cut_repeats(docs: DataFrame, width: int = WIDTH, keep: list[str] | None = None, part_bytes: int = PART_BYTES, text: str = "text", as_text: bool = False) -> DataFrame:
+    """The columns ``keep`` (all, if not given) with ``kept`` (the bytes that stay) and ``spans`` (removed [start, end)).
+
+    With ``as_text``, ``kept`` is a string without the characters that a span cuts in two.
+    """
     own = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("kept", "spans")]
     source = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id"), source.alias("__text"))
@@ -375,14 +378,15 @@ def cut_repeats(docs: DataFrame, width: int = WIDTH, keep: list[str] | None = No
             picked = pa.RecordBatch.from_arrays(batch.columns[:k], schema=pa.schema([batch.schema.field(c) for c in range(k)])).take(pa.array(chosen, pa.int64())) if k else None
             columns = picked.columns if k else []
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary()), pa.array(removed, kind)], names=[*(batch.schema.field(c).name for c in range(k)), "kept", "spans"])
+            left = pa.array([x.decode(errors="ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns, left, pa.array(removed, kind)], names=[*(batch.schema.field(c).name for c in range(k)), "kept", "spans"])
 
     bucket = F.pmod(F.col("__id").bitwiseXOR(F.col("__key")), F.lit(parts))
     nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in shown.fields]
     ranges = found.select(*nulls, F.col("bucket").alias("__bucket"), F.lit(0).alias("__kind"), *[F.lit(None).cast(t).alias(c) for c, t in (("__id", "long"), ("__key", "long"), ("__text", "string"))], "ranges")
     texts = rows.select(*[F.col(f"`{c}`") for c in own], bucket.alias("__bucket"), F.lit(1).alias("__kind"), "__id", "__key", "__text", F.lit(None).cast("binary").alias("ranges"))
     both = ranges.union(texts).repartition(parts, "__bucket")
-    result = StructType([*shown.fields]).add("kept", BinaryType()).add("spans", ArrayType(StructType().add("start", LongType()).add("end", LongType())))
+    result = StructType([*shown.fields]).add("kept", StringType() if as_text else BinaryType()).add("spans", ArrayType(StructType().add("start", LongType()).add("end", LongType())))
     return both.sortWithinPartitions("__bucket", "__kind").mapInArrow(cut, result)
 
 
