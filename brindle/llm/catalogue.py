@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from brindle.llm import byte_bpe, main_text, packing, posting_lists, quality_rules, sharding, simhash, suffix_dedup, toxicity, url_filter
 from brindle.registry import Registry
 
@@ -17,3 +18,4 @@ REGISTRY.add("op7_sharding", sharding.query)
 REGISTRY.add("op8_main_text", main_text.query)
 REGISTRY.add("op9_url_filter", url_filter.query)
 REGISTRY.add("op10_byte_bpe", byte_bpe.query)
+REGISTRY.add("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
