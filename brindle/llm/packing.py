@@ -9,8 +9,9 @@ residual norm. The filled kind is then used as often as the counts allow, so the
 kinds for any input.
 
 ``pieces`` tokenises whole texts and cuts only documents above the capacity. ``pack`` numbers the pieces
-of each length without bringing them together (counts by partition and length give each partition its
-first number) and looks each number up in the plan.
+of each length without bringing them together: they are dealt to ``GROUPS`` groups by a hash, and the
+counts by length and group give each group its first number. Each number is looked up in the plan. The
+result does not depend on how the input is partitioned.
 
 Defined cases: a null or empty text is one piece that holds the separator alone; further columns stay out
 of the result; repeated rows and equal ids are packed as rows of their own; ties between lengths go to the
@@ -19,7 +20,7 @@ longer one; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,7 +36,8 @@ from brindle.session import checkpointed
 
 CAPACITY = 4096
 SEPARATOR = 1
-CACHE_CHUNKS = 1_000_000  # about 200 MB
+GROUPS = 1024
+CACHE_CHUNKS = 1_200_000  # about 250 MB
 CACHED_LENGTH = 48
 
 
@@ -50,15 +52,20 @@ class Limits:
     rule: str = "dot"  # or "norm"
 
 
-#: A full stop or comma between an ASCII letter and white space is a token of its own.
-_MARK = re.compile(rb"(?<=[a-z])([.,])(?=\s|$)")
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in the vocabulary: itself if it is printable, else one from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
 class Tokens:
     """Ids of texts for a tokenizer that lower-cases, drops white space and has no token across it.
 
-    Texts are lower-cased (A-Z) and cut at ASCII white space and at full stops and commas that end a word;
-    the ids of such chunks are remembered, so the tokenizer sees each chunk once.
+    Texts are lower-cased (A-Z) and cut at ASCII white space; the ids of the chunks are remembered, so the
+    tokenizer sees each chunk once. A full stop or comma after a last ASCII letter is a token of its own. A word of
+    lower-case Latin letters in composed form is what the tokenizer's normalizer and pre-tokenizer would make
+    of it, so it goes to the model at once; all other chunks go through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -66,27 +73,38 @@ class Tokens:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merge = self.model.model.tokenize
+        self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
 
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.model.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+    def _word(self, chunk: bytes) -> bytes:
+        if chunk[-1] in b".," and chunk[-2:-1].isalpha():
+            stem, mark = chunk[:-1], chunk[-1:]
+            return (self.known.get(stem) or self._remember(stem)) + (self.known.get(mark) or self._remember(mark))
+        word = chunk.decode()
+        if word.isalpha() and max(word) < "\u0250" and word == word.lower() and unicodedata.is_normalized("NFC", word):
+            shown = word if word.isascii() else "".join([self.letters[b] for b in chunk])
+            return array("I", [t.id for t in self.merge(shown)]).tobytes()
+        return array("I", self.model.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _remember(self, chunk: bytes) -> bytes:
+        made = self._word(chunk)
+        if len(chunk) <= CACHED_LENGTH:
+            self.known[chunk] = made
+        return made
 
     def ids(self, text: str) -> bytes:
         known = self.known
-        chunks = _MARK.sub(rb" \1", text.encode().lower()).split()
-        missing = [c for c in dict.fromkeys(chunks) if c not in known]
-        extra: dict[bytes, bytes] = {}
+        chunks = text.encode().lower().split()
+        missing = set(chunks).difference(known)
         if missing:
-            if len(known) + len(missing) > CACHE_CHUNKS:
+            if len(known) + 2 * len(missing) > CACHE_CHUNKS:
                 known.clear()
-                missing = list(dict.fromkeys(chunks))
-            for i in range(0, len(missing), 4096):
-                part = missing[i : i + 4096]
-                for c, x in zip(part, self._encode(part)):
-                    (known if len(c) <= CACHED_LENGTH else extra)[c] = x
-        if extra:
-            return b"".join([known[c] if c in known else extra[c] for c in chunks])
+                missing = set(chunks)
+            made = {c: self._remember(c) for c in missing}
+            long = {c: x for c, x in made.items() if len(c) > CACHED_LENGTH}
+            if long:
+                return b"".join([long[c] if c in long else known[c] for c in chunks])
         return b"".join(map(known.__getitem__, chunks))
 
 
@@ -189,7 +207,7 @@ def place(length: np.ndarray, number: np.ndarray, made: Plan) -> tuple[np.ndarra
 
 def pack(found: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``found`` (the result of ``pieces``) with sequence_id and offset."""
-    found = checkpointed(found.withColumn("__part", F.spark_partition_id()))
+    found = checkpointed(found.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(GROUPS))))
     sizes = found.groupBy("length", "__part").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("__first", F.sum("n").over(Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
     # At most as many rows as there are token lengths.
