@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from brindle.functions.selector import select_entries
+from brindle.plans import annotations, pixels, scalars
 from brindle.registry import Registry
-from brindle.session import table
 
 REGISTRY = Registry()
-
-REGISTRY.add(
-    "selector_orders",
-    lambda s, d: select_entries(table(s, d, "orders"), "o_orderkey:int=10-500", 400, ["o_orderkey"]).select("o_orderkey", "o_orderstatus", "o_totalprice"),
-    "SELECT o_orderkey, o_orderstatus, o_totalprice FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 400) WHERE o_orderkey BETWEEN 10 AND 500",
-)
+for part in (scalars, annotations, pixels):
+    part.register(REGISTRY)
