@@ -3,23 +3,25 @@
 A byte goes if it lies in a string of ``width`` bytes that also starts in a document with a smaller id.
 Such a string is the front of a suffix, so it is enough to index suffixes by their first ``width`` bytes.
 
-1. ``_runs`` cuts each batch of texts into runs of suffixes that share a minimizer (the smallest hash of
-   the ``gram``-byte strings in the front). Equal fronts have equal minimizers, so the minimizer deals
-   suffixes to parts, and a run travels as one short string. Of equal runs within a batch only those of
-   the smallest id travel; the others are known to be repeated, so a passage that many documents share
-   costs one row for each batch and not for each document.
-2. ``SuffixFamily`` holds the suffixes of a part. A new batch gets its suffix array, which is merge-scanned
+1. Texts are dealt to buckets by a hash of the row; a bucket is a batch. ``_runs`` cuts it into runs of
+   suffixes that share a minimizer (the smallest hash of the ``gram``-byte strings in the front). Equal
+   fronts have equal minimizers, so the minimizer deals suffixes to parts.
+2. Each bucket sends the list of its minimizers to the parts, which answer with those that another
+   document has too. Only runs with such a minimizer travel, each as one short string. Of equal runs
+   within a batch only those of the smallest id travel; the others are known to be repeated, so a passage
+   that many documents share costs one row for each batch and not for each document.
+3. ``SuffixFamily`` holds the suffixes of a part. A new batch gets its suffix array, which is merge-scanned
    against the arrays of all levels; the later holder of a front loses it, whichever side it is on, so each
    front is kept for its smallest id only. Then levels of about equal size are merged, so there are
    logarithmically many and each suffix is merged logarithmically often.
-3. Removed ranges return to their documents by a bucket of the row's key, where they are joined and cut.
+4. Removed ranges return to their buckets, where they are joined and cut.
 
 Suffixes are ordered by a 64-bit hash of their front, not by its bytes: the order serves to bring equal fronts
 together, and numpy sorts numbers much faster than strings. A second, independent hash of 32 bits must
 agree as well.
 
-Texts cross the network twice (as runs, compressed, and for the cut). A part holds about ``part_bytes`` of
-suffixes whatever the input; nothing is collected.
+Texts cross the network once, and all steps read that exchange again. A bucket and a part hold about ``part_bytes`` of
+text or suffixes whatever the input; nothing is collected.
 
 Defined cases: a null text is empty; documents with a null id count as one document with the largest id;
 rows with the same id never take bytes from each other; repeated rows get equal results; texts shorter
@@ -29,10 +31,12 @@ replaced; an empty table gives an empty result. A text of any length is read who
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +45,9 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, Struc
 from brindle.llm.common import slices, text_buffers
 
 WIDTH = 50
-GRAM = 16
+GRAM = 20
 PART_BYTES = 4 << 20
+LEAST_PARTS = 48
 BATCH_BYTES = 16 << 20
 STEP = 1 << 20
 LEVEL_SUFFIXES = 1 << 20
@@ -138,12 +143,65 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return [np.frombuffer(data[e - n : e], kind) for e, n, kind in zip(ends, sizes, kinds)]
 
 
+_SHORT = _U(24)  # minimizers are listed by their upper 40 bits; a chance agreement only sends a run in vain
+
+
+def _pack_sorted(x: np.ndarray, *more: np.ndarray) -> bytes:
+    """Sorted 40-bit numbers as differences, with further arrays."""
+    step = np.diff(x, prepend=_U(0))
+    return _pack(step.astype("<u4"), (step >> _U(32)).astype("u1"), *more)
+
+
+def _unpack_sorted(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    low, high, *more = _unpack(blob, "<u4", "u1", *kinds)
+    return [np.cumsum(low.astype(np.uint64) + (high.astype(np.uint64) << _U(32)), dtype=np.uint64), *more]
+
+
 _RUN_KINDS = ("<i8", "<i8", "<u4", "<u4", "<u4", "u1", "<u4", "<u4", "<u4")
 
 
-def _batch_blobs(ids: np.ndarray, keys: np.ndarray, raw: np.ndarray, offsets: np.ndarray, parts: int, width: int, gram: int) -> Iterator[tuple[int, bytes]]:
-    """(part, packed runs) of a batch; runs that an earlier row of the batch holds go as ranges only."""
-    row, s, e, least, h1, h2 = _runs(raw, offsets, width, gram)
+def _minimizer_lists(ids: np.ndarray, raw: np.ndarray, offsets: np.ndarray, parts: int, width: int, gram: int) -> Iterator[tuple[int, bytes]]:
+    """(part, packed list) of the minimizers of a batch, each with whether two documents of the batch have it."""
+    row, _, _, least, _, _ = _runs(raw, offsets, width, gram)
+    if not len(row):
+        return
+    part, owner, least = (least % _U(parts)).astype(np.int64), ids[row], least >> _SHORT
+    order = np.lexsort((least, part))
+    least, part, owner = least[order], part[order], owner[order]
+    head = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (part[1:] != part[:-1])))
+    several = np.minimum.reduceat(owner, head) != np.maximum.reduceat(owner, head)
+    cuts = np.searchsorted(part[head], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        a, b = cuts[p], cuts[p + 1]
+        yield p, _pack_sorted(least[head[a:b]], several[a:b].astype(np.uint8))
+
+
+def _shared(lists: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed minimizers that another bucket, or another document of the bucket, has too) from the lists of a part."""
+    found = [_unpack_sorted(blob, "u1") for _, blob in lists]
+    least, several = (np.concatenate(x) for x in zip(*found))
+    bucket = np.repeat(np.array([b for b, _ in lists]), [len(x[0]) for x in found])
+    order = np.argsort(least, kind="stable")
+    least, several, bucket = least[order], several[order], bucket[order]
+    head = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    count = np.diff(np.append(head, len(least)))
+    keep = np.repeat((count > 1) | (np.maximum.reduceat(several, head) > 0), count)
+    least, bucket = least[keep], bucket[keep]
+    order = np.argsort(bucket, kind="stable")
+    least, bucket = least[order], bucket[order]
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
+        yield int(bucket[a]), _pack_sorted(least[a:b])
+
+
+def _batch_blobs(ids: np.ndarray, keys: np.ndarray, raw: np.ndarray, offsets: np.ndarray, parts: int, width: int, gram: int, shared: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(part, packed runs) of a batch with minimizers in ``shared`` (sorted); runs that an earlier row of the batch holds go as ranges only."""
+    found = _runs(raw, offsets, width, gram)
+    if not len(found[0]) or not len(shared):
+        return
+    short = found[3] >> _SHORT
+    there = shared[np.minimum(np.searchsorted(shared, short), len(shared) - 1)] == short
+    row, s, e, least, h1, h2 = (x[there] for x in found)
     if not len(row):
         return
     size = e - s
@@ -292,42 +350,80 @@ def _part_ranges(blobs: Iterator[bytes], width: int) -> tuple[np.ndarray, np.nda
     return ids, np.concatenate(keys) if keys else np.zeros(0, np.int64), *joined
 
 
-def repeated_ranges(rows: DataFrame, parts: int, buckets: int, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(bucket, ranges) blobs for ``rows`` of __id, __key and __text; the bucket is that of the row's id and key."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, at = text_buffers(batch.column(2))
-            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, j in slices(at, BATCH_BYTES):
-                for p, blob in _batch_blobs(ids[i:j], keys[i:j], raw[at[i] : at[j]], at[i : j + 1] - at[i], parts, width, gram):
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([blob], pa.binary())], names=["part", "blob"])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: list[int | None] = [None]
-        rows = ((p, b) for batch in batches for p, b in zip(batch.column(0).to_pylist(), batch.column(1)))
-        ahead = next(rows, None)
-
-        def of_part() -> Iterator[bytes]:
-            nonlocal ahead
-            while ahead is not None and ahead[0] == now[0]:
-                blob = ahead[1].as_py()
-                ahead = next(rows, None)
-                yield blob
-
-        while ahead is not None:
-            now[0] = ahead[0]
-            ids, keys, row, start, end = _part_ranges(of_part(), width)
-            bucket = np.mod(ids[row] ^ keys[row], buckets)
-            order = np.argsort(bucket, kind="stable")
-            row, start, end, bucket = row[order], start[order], end[order], bucket[order]
-            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
-                blob = _pack(ids[row[a:b]], keys[row[a:b]], start[a:b].astype("<u4"), end[a:b].astype("<u4"))
-                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])]), pa.array([blob], pa.binary())], names=["bucket", "ranges"])
-
-    dealt = rows.select("__id", "__key", "__text").mapInArrow(deal, "part int, blob binary")
-    return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(scan, "bucket long, ranges binary")
+def _rows(columns: list[tuple[str, pa.DataType]], rows: Iterator[tuple]) -> pa.Table:
+    data = list(rows)
+    return pa.table({name: pa.array([r[k] for r in data], kind) for k, (name, kind) in enumerate(columns)})
+
+
+_PART_BLOB = [("part", pa.int32()), ("bucket", pa.int64()), ("blob", pa.binary())]
+_BUCKET_BLOB = [("__bucket", pa.int64()), ("blob", pa.binary())]
+
+
+def _by_part(run):
+    """Apply ``run`` to the (bucket, blob) rows of each part of a partition that is sorted by part."""
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((p, b, x.as_py()) for batch in found for p, b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)))
+        for _, part in itertools.groupby(rows, key=lambda r: r[0]):
+            for bucket, blob in run((b, x) for _, b, x in part):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([blob], pa.binary())], names=["__bucket", "blob"])
+
+    return batches
+
+
+def repeated_ranges(rows: DataFrame, parts: int, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """(__bucket, blob of removed ranges) for ``rows`` with __id, __key, __text and __bucket, dealt by __bucket.
+
+    The rows are not projected, so that the caller's plan reads the same exchange.
+    """
+
+    def columns(table: pa.Table):
+        raw, at = text_buffers(table.column("__text"))
+        return table.column("__id").to_numpy(), table.column("__key").to_numpy(), raw, at
+
+    def lists(table: pa.Table) -> pa.Table:
+        ids, _, raw, at = columns(table)
+        bucket = table.column("__bucket")[0].as_py()
+        made = (x for i, j in slices(at, BATCH_BYTES) for x in _minimizer_lists(ids[i:j], raw[at[i] : at[j]], at[i : j + 1] - at[i], parts, width, gram))
+        return _rows(_PART_BLOB, ((p, bucket, blob) for p, blob in made))
+
+    def runs(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows or not answers.num_rows:
+            return _rows(_PART_BLOB, iter(()))
+        ids, keys, raw, at = columns(table)
+        bucket = table.column("__bucket")[0].as_py()
+        shared = np.unique(np.concatenate([_unpack_sorted(x)[0] for x in answers.column("blob").to_pylist()]))
+        made = (x for i, j in slices(at, BATCH_BYTES) for x in _batch_blobs(ids[i:j], keys[i:j], raw[at[i] : at[j]], at[i : j + 1] - at[i], parts, width, gram, shared))
+        return _rows(_PART_BLOB, ((p, bucket, blob) for p, blob in made))
+
+    def scan(found: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+        ids, keys, row, start, end = _part_ranges((blob for _, blob in found), width)
+        bucket = np.mod(ids[row] ^ keys[row], parts)
+        order = np.argsort(bucket, kind="stable")
+        row, start, end, bucket = row[order], start[order], end[order], bucket[order]
+        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
+            yield int(bucket[a]), _pack(ids[row[a:b]], keys[row[a:b]], start[a:b].astype("<u4"), end[a:b].astype("<u4"))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(parts, "part").sortWithinPartitions("part", "bucket")
+
+    to_part, to_bucket = "part int, bucket long, blob binary", "__bucket long, blob binary"
+    listed = rows.groupBy("__bucket").applyInArrow(lists, to_part)
+    answers = dealt(listed).mapInArrow(_by_part(lambda found: _shared(list(found))), to_bucket)
+    sent = rows.groupBy("__bucket").cogroup(answers.groupBy("__bucket")).applyInArrow(runs, to_part)
+    return dealt(sent).mapInArrow(_by_part(scan), to_bucket)
+
+
+def _spans_of(blobs: list[bytes]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Removed ranges of each (id, key)."""
+    if not blobs:
+        return {}
+    ids, keys, start, end = (np.concatenate(x) for x in zip(*(_unpack(b, "<i8", "<i8", "<u4", "<u4") for b in blobs)))
+    pairs, row = np.unique(np.stack([ids, keys], 1), axis=0, return_inverse=True)
+    row, start, end = _joined(row.ravel(), start.astype(np.int64), end.astype(np.int64))
+    cuts = np.searchsorted(row, np.arange(len(pairs) + 1))
+    return {(int(i), int(h)): (start[a:b], end[a:b]) for (i, h), a, b in zip(pairs, cuts, cuts[1:])}
 
 
 def cut_repeats(docs: DataFrame, width: int = WIDTH, keep: list[str] | None = None, part_bytes: int = PART_BYTES, text: str = "text", as_text: bool = False) -> DataFrame:
@@ -337,57 +433,34 @@ def cut_repeats(docs: DataFrame, width: int = WIDTH, keep: list[str] | None = No
     """
     own = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("kept", "spans")]
     source = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id"), source.alias("__text"))
+    carried = [c for c in own if c != text]  # the text itself travels once, as __text
+    rows = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").isNull().alias("__null"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id"), source.alias("__text"))
     rows = rows.withColumn("__key", F.xxhash64("__text"))
     total = rows.agg(F.sum(F.octet_length("__text").cast("long"))).first()[0] or 0
-    parts = max(32, -(-total // part_bytes))
-    found = repeated_ranges(rows, parts, parts, width)
-    shown = rows.select(*[F.col(f"`{c}`") for c in own]).schema
-    k = len(own)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, blobs, spans = None, [], {}
-
-        def load() -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-            if not blobs:
-                return {}
-            ids, keys, start, end = (np.concatenate(x) for x in zip(*(_unpack(b, "<i8", "<i8", "<u4", "<u4") for b in blobs)))
-            pairs, row = np.unique(np.stack([ids, keys], 1), axis=0, return_inverse=True)
-            row, start, end = _joined(row.ravel(), start.astype(np.int64), end.astype(np.int64))
-            cuts = np.searchsorted(row, np.arange(len(pairs) + 1))
-            return {(int(i), int(h)): (start[a:b], end[a:b]) for (i, h), a, b in zip(pairs, cuts, cuts[1:])}
-
-        for batch in batches:
-            kinds, numbers = batch.column(k + 1).to_pylist(), batch.column(k).to_pylist()
-            ids, keys, texts, given = batch.column(k + 2), batch.column(k + 3), batch.column(k + 4), batch.column(k + 5)
-            chosen, kept, removed = [], [], []
-            for i, kind in enumerate(kinds):
-                if numbers[i] != bucket:
-                    bucket, blobs, spans = numbers[i], [], None
-                if kind == 0:
-                    blobs.append(given[i].as_py())
-                    continue
-                if spans is None:
-                    spans, blobs = load(), []
-                data = texts[i].as_py().encode()
-                start, end = spans.get((ids[i].as_py(), keys[i].as_py()), ((), ()))
-                edges = [0, *(x for pair in zip(start, end) for x in pair), len(data)]
-                kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])) if len(start) else data)
-                removed.append([{"start": int(a), "end": int(b)} for a, b in zip(start, end)])
-                chosen.append(i)
-            picked = pa.RecordBatch.from_arrays(batch.columns[:k], schema=pa.schema([batch.schema.field(c) for c in range(k)])).take(pa.array(chosen, pa.int64())) if k else None
-            columns = picked.columns if k else []
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            left = pa.array([x.decode(errors="ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-            yield pa.RecordBatch.from_arrays([*columns, left, pa.array(removed, kind)], names=[*(batch.schema.field(c).name for c in range(k)), "kept", "spans"])
-
-    bucket = F.pmod(F.col("__id").bitwiseXOR(F.col("__key")), F.lit(parts))
-    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in shown.fields]
-    ranges = found.select(*nulls, F.col("bucket").alias("__bucket"), F.lit(0).alias("__kind"), *[F.lit(None).cast(t).alias(c) for c, t in (("__id", "long"), ("__key", "long"), ("__text", "string"))], "ranges")
-    texts = rows.select(*[F.col(f"`{c}`") for c in own], bucket.alias("__bucket"), F.lit(1).alias("__kind"), "__id", "__key", "__text", F.lit(None).cast("binary").alias("ranges"))
-    both = ranges.union(texts).repartition(parts, "__bucket")
-    result = StructType([*shown.fields]).add("kept", StringType() if as_text else BinaryType()).add("spans", ArrayType(StructType().add("start", LongType()).add("end", LongType())))
-    return both.sortWithinPartitions("__bucket", "__kind").mapInArrow(cut, result)
+    parts = max(LEAST_PARTS, -(-total // part_bytes))
+    shown = docs.select(*[F.col(f"`{c}`") for c in own]).schema
+    # All later steps read this one exchange.
+    rows = rows.withColumn("__bucket", F.pmod(F.col("__id").bitwiseXOR(F.col("__key")), F.lit(parts))).repartition(parts, "__bucket")
+    found = repeated_ranges(rows, parts, width)
+
+    def cut(table: pa.Table, ranges: pa.Table) -> pa.Table:
+        spans = _spans_of(ranges.column("blob").to_pylist())
+        kept, removed = [], []
+        for i, key, given in zip(table.column("__id").to_pylist(), table.column("__key").to_pylist(), table.column("__text")):
+            data = given.as_py().encode()
+            start, end = spans.get((i, key), ((), ()))
+            edges = [0, *(x for pair in zip(start, end) for x in pair), len(data)]
+            left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])) if len(start) else data
+            kept.append(left.decode(errors="ignore") if as_text else left)
+            removed.append([{"start": int(a), "end": int(b)} for a, b in zip(start, end)])
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        given = pc.if_else(table.column("__null"), pa.scalar(None, pa.string()), table.column("__text").cast(pa.string()))
+        columns = [*(given if c == text else table.column(c) for c in own), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, kind)]
+        return pa.table(columns, names=[*own, "kept", "spans"])
+
+    result = StructType([*shown.fields]).add("kept", StringType() if as_text else BinaryType())
+    result = result.add("spans", ArrayType(StructType().add("start", LongType()).add("end", LongType())))
+    return rows.groupBy("__bucket").cogroup(found.groupBy("__bucket")).applyInArrow(cut, result)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
