@@ -97,10 +97,9 @@ def register(registry: Registry) -> None:
         lambda s, d: series.value_summary(table(s, d, "events"), ["event_type"], "value").select("event_type", "min", "max", "num", F.round("sum", 2).alias("sum"), F.round("sumsq", 1).alias("sumsq")),
         "SELECT event_type, min(value) AS min, max(value) AS max, count(value) AS num, round(sum(value), 2) AS sum, round(sum(value * value), 1) AS sumsq FROM events GROUP BY 1",
     )
-    step = F.col("id")
     add(
         "rate_schedules",
-        lambda s, d: s.range(300).select(F.col("id").alias("step"), F.round(series.multistep_rate(step, 0.02, [120, 240], 0.1, 50), 9).alias("multistep"), F.round(series.cosine_rate(step, 0.02, 300, 50), 9).alias("cosine")),
+        lambda s, d: s.range(300).select(F.col("id").alias("step"), F.round(series.multistep_rate(F.col("id"), 0.02, [120, 240], 0.1, 50), 9).alias("multistep"), F.round(series.cosine_rate(F.col("id"), 0.02, 300, 50), 9).alias("cosine")),
         """WITH t AS (SELECT i AS step, CASE WHEN i >= 50 THEN 1.0 ELSE 0.001 * (1 - i / 50) + i / 50 END AS w FROM range(300) r(i))
         SELECT step, round(0.02::DOUBLE * w * power(0.1, (step >= 120)::INT + (step >= 240)::INT), 9) AS multistep, round(0.02::DOUBLE * w * 0.5 * (1 + cos(pi() * step / 300)), 9) AS cosine FROM t""",
     )
