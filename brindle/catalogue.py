@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from brindle.plans import annotations, pixels, scalars
+from brindle.plans import annotations, pixels, poses, scalars
 from brindle.registry import Registry
 
 REGISTRY = Registry()
-for part in (scalars, annotations, pixels):
+for part in (scalars, annotations, pixels, poses):
     part.register(REGISTRY)
