@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 CACHED_LENGTH = 64
 
 
@@ -132,15 +132,19 @@ class Vocabulary:
         return out
 
 
-@lru_cache(maxsize=4)
-def vocabulary(path: str) -> Vocabulary:
+def _ranks(path: str) -> dict[bytes, int]:
     ranks = {}
     with open(path, "rb") as lines:
         for line in lines:
             if line.strip():
                 token, rank = line.split()
                 ranks[base64.b64decode(token)] = int(rank)
-    return Vocabulary(ranks)
+    return ranks
+
+
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(_ranks(path))
 
 
 class Encoder:
@@ -185,7 +189,7 @@ def _with_column(df: DataFrame, source: str, name: str, kind: DataType, keep: li
     return df.select(*shown, F.col(f"`{source}`").alias("__source")).mapInArrow(batches, schema)
 
 
-def _chunks(sizes: np.ndarray, limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def _chunks(sizes: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
     start, held = 0, 0
     for k, s in enumerate(sizes):
         if held and held + s > limit:
@@ -213,7 +217,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", name: str
 
 @lru_cache(maxsize=4)
 def _token_table(path: str) -> list[bytes]:
-    tokens = vocabulary(path).tokens
+    tokens = {i: t for t, i in _ranks(path).items()}
     return [tokens.get(i, b"") for i in range(max(tokens) + 1)]
 
 
