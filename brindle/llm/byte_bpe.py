@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType
 
+from brindle.llm.common import bounded_batches
+
 CACHE_PIECES = 200_000
 CACHED_LENGTH = 64
 
@@ -177,6 +179,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 def _with_column(df: DataFrame, source: str, name: str, kind: DataType, keep: list[str] | None, run) -> DataFrame:
     own = [c for c in (df.columns if keep is None else keep) if c.lower() != name.lower()]
+    bounded_batches(df.sparkSession)
     shown = [F.col(f"`{c}`") for c in own]
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

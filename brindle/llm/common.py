@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
 
+BATCH_ROWS = 1_000
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts within a bound of bytes, unless the session has its own settings.
+
+    By default a batch has 10,000 rows or 64 MB, and each task holds several batches outside the heap.
+    """
+    for key, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", None, BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name, None)
+        if now is not None and (default is None and int(re.sub(r"\D", "", now) or 0) >= 64 << 20 or now == default):
+            spark.conf.set(name, str(value))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` applied to ``value``, which is computed once for each row however often it is used."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -43,7 +60,3 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         end = min(n, max(end, start + 1))
         yield start, end
         start = end
-
-
-def record_batches(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, schema)], schema=schema)

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
+from brindle.llm.common import bounded_batches
+
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -281,6 +283,7 @@ def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None)
                 counts = np.array([len(t) for t in texts], np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], pa.array(texts, pa.string()), pa.array(counts)], names=[*names, "text", "n_chars"])
 
+    bounded_batches(pages.sparkSession)
     shown = [F.col(f"`{c}`") for c in own]
     schema = pages.select(*shown).schema.add("text", StringType()).add("n_chars", LongType())
     return pages.select(*shown, F.col(f"`{html}`").cast("string").alias("__html")).mapInArrow(run, schema)

@@ -32,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.llm.common import bounded_batches
 from brindle.session import checkpointed
 
 CAPACITY = 4096
 SEPARATOR = 1
 GROUPS = 1024
-CACHE_CHUNKS = 1_200_000  # about 250 MB
+CACHE_CHUNKS = 500_000  # about 100 MB
 CACHED_LENGTH = 48
 
 
@@ -120,6 +121,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int
     """One row for each piece: doc_id, piece, start, length, ids_crc32."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, end = _tokens(path), np.array([separator], "<u4").tobytes()

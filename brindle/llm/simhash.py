@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.llm.common import bounded_batches
 from brindle.session import checkpointed
 
 BITS = 64
@@ -66,6 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: list[str] | None
             names = [batch.schema.field(k).name for k in range(len(own))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(made.view(np.int64))], names=[*names, "fp"])
 
+    bounded_batches(docs.sparkSession)
     shown = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text}`").cast("string").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shown.schema.fields[:-1])
     return shown.mapInArrow(run, f"{kinds}{', ' if kinds else ''}fp long")

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructType
 
-from brindle.llm.common import slices, text_buffers
+from brindle.llm.common import bounded_batches, slices, text_buffers
 
 WIDTH = 50
 GRAM = 20
@@ -431,6 +431,7 @@ def cut_repeats(docs: DataFrame, width: int = WIDTH, keep: list[str] | None = No
 
     With ``as_text``, ``kept`` is a string without the characters that a span cuts in two.
     """
+    bounded_batches(docs.sparkSession)
     own = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("kept", "spans")]
     source = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     carried = [c for c in own if c != text]  # the text itself travels once, as __text

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from brindle.llm.common import slices, text_buffers
+from brindle.llm.common import bounded_batches, slices, text_buffers
 
 BITS = 18
 MAX_TRAIN_ROWS = 8_000
@@ -161,6 +161,7 @@ def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Weights learnt from at most ``max_rows`` labelled documents outside the held-out fold."""
+    bounded_batches(docs.sparkSession)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("double").alias("toxic"))
     sample = known.withColumn("key", F.xxhash64("doc_id")).orderBy("key", "doc_id").limit(max_rows)
@@ -173,6 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all, if not given) with ``score`` and ``predicted``."""
     own = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("score", "predicted")]
+    bounded_batches(docs.sparkSession)
     bucket, weight = model
     size = 1 << BITS
 
