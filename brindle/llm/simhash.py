@@ -184,13 +184,15 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def dedup(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` without all but one row of each component: the smallest doc_id, then the smallest text hash."""
+def rank_of(doc_id: Column, tie: Column) -> Column:
+    """Order of rows: the smallest id, nulls last, then the smallest text hash."""
+    return F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), tie.alias("tie"))
+
+
+def leading_rows(docs: DataFrame, leaders: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each distinct ``leader`` (a ``rank_of`` doc_id and the hash of text)."""
     own = docs.columns
-    slim = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("__tie"))
-    marked = checkpointed(fingerprints(slim, shingle, keep=["doc_id", "__tie"]))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__tie").alias("tie"))
-    leaders = groups(marked, rank, radius).select(F.col("leader.none").alias("__none"), F.coalesce("leader.doc_id", F.lit(0)).alias("__id"), F.col("leader.tie").alias("__tie")).distinct()
+    leaders = leaders.select(F.col("leader.none").alias("__none"), F.coalesce("leader.doc_id", F.lit(0)).alias("__id"), F.col("leader.tie").alias("__tie")).distinct()
     keys = ["__none", "__id", "__tie"]
     keyed = docs.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0).cast("long")), "__tie": F.xxhash64("text")})
     one = Window.partitionBy(*keys).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in own]))
@@ -198,6 +200,13 @@ def dedup(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> Data
     return kept.filter("__n = 1").select(*[F.col(f"`{c}`") for c in own])
 
 
+def dedup(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` without all but one row of each component: the smallest doc_id, then the smallest text hash."""
+    slim = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("__tie"))
+    marked = checkpointed(fingerprints(slim, shingle, keep=["doc_id", "__tie"]))
+    return leading_rows(docs, groups(marked, rank_of(F.col("doc_id"), F.col("__tie")), radius))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return components_of(docs).select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
