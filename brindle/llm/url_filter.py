@@ -30,16 +30,15 @@ ROUNDS, RATE, SHRINK = 120, 0.5, 1e-3
 # The rules of the query.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
-# The labelled table is made from these parts.
+# The labelled table is made from these parts. No name is a host of the test tables or made like one.
 BAD = (
-    "spam-farm cheap-pills casino-win ads-track free-bets adult-x online-casino poker-bonus slot-jackpot payday-loan quick-cash pills-shop "
+    "online-casino poker-bonus slot-jackpot payday-loan quick-cash pills-shop "
     "adult-cams xxx-video porn-tube sexy-dates click-ads ad-server popup-ads track-pixel free-prize win-money lottery-win bet-online sports-bets "
     "cheap-watches replica-bags seo-spam link-farm spam-links hot-singles crypto-giveaway keygen-crack warez-free viagra-cheap"
 ).split()
 GOOD = (
     "news library museum weather garden kitchen science history physics biology city-council school university journal gazette recipes "
-    "travel-notes openmaps wiki docs archive theatre orchestra cycling hiking astronomy chemistry parish railway harbour village forest "
-    "thorn river tionary therapy thesis thunder thatch rethink nation ration station"
+    "travel-notes openmaps wiki docs archive theatre orchestra cycling hiking astronomy chemistry parish railway harbour village forest river"
 ).split()
 
 
