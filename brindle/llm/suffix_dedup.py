@@ -16,12 +16,15 @@ Such a string is the front of a suffix, so it is enough to index suffixes by the
    logarithmically many and each suffix is merged logarithmically often.
 4. Removed ranges return to their buckets, where they are joined and cut.
 
-Suffixes are ordered by a 64-bit hash of their front, not by its bytes: the order serves to bring equal fronts
-together, and numpy sorts numbers much faster than strings. A second, independent hash of 32 bits must
-agree as well.
+Suffix arrays are sorted by bytes, and a match is ``width`` equal bytes. A 64-bit hash of the front only saves
+work: suffixes that share it are not sorted further but compared. The same holds for runs of a batch that
+are taken as equal. Minimizers are compared by 40 bits of a hash, as a chance agreement only sends a run in vain.
 
 Texts cross the network once, and all steps read that exchange again. A bucket and a part hold about ``part_bytes`` of
-text or suffixes whatever the input; nothing is collected.
+text or suffixes whatever the input; nothing is collected. There are as many partitions as parts up to
+``MOST_PARTITIONS``; beyond that a task works on several buckets or parts, one after the other, so the blocks
+of a shuffle stop growing with the square of the input. A list of minimizers that a bucket sends to a part
+holds one or more of them, so there are never more lists than minimizers.
 
 Defined cases: a null text is empty; documents with a null id count as one document with the largest id;
 rows with the same id never take bytes from each other; repeated rows get equal results; texts shorter
@@ -42,34 +45,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructType
 
-from brindle.llm.common import bounded_batches, slices, text_buffers
+from brindle.llm.common import bounded_batches, free_memory, freeing, slices, text_buffers
 
 WIDTH = 50
 GRAM = 20
 PART_BYTES = 4 << 20
 LEAST_PARTS = 48
+MOST_PARTITIONS = 20_000
 BATCH_BYTES = 16 << 20
-STEP = 1 << 20
+STEP = 1 << 18
 LEVEL_SUFFIXES = 1 << 20
 NO_ID = (1 << 63) - 1
 
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_tables: list[np.ndarray] = []
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int) -> list[np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2 ** 64."""
-    have = _tables.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, STEP + 4 * WIDTH)
-        made = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            row = np.full(size, b, np.uint64)
+    if not _tables or len(_tables[0]) < n:
+        _tables.clear()
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+            row = np.full(max(n, STEP + 4 * WIDTH), b, np.uint64)
             row[0] = 1
-            made.append(np.cumprod(row, dtype=np.uint64))
-        have = _tables[base] = (made[0], made[1])
-    return have
+            _tables.append(np.cumprod(row, dtype=np.uint64))
+    return _tables
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -77,15 +78,15 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> _U(29))) * _U(0x9FB21C651E98DF25)
 
 
-def _sums(raw: np.ndarray, base: int) -> np.ndarray:
+def _sums(raw: np.ndarray) -> np.ndarray:
     """Prefix sums of byte times power, from which the hash of any range follows."""
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + _U(1)) * _powers(base, len(raw))[0][: len(raw)], out=total[1:])
+    np.cumsum((raw.astype(np.uint64) + _U(1)) * _powers(len(raw))[0][: len(raw)], out=total[1:])
     return total
 
 
-def _hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    return _mix((total[end] - total[start]) * _powers(base, len(total))[1][start])
+def _hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return _mix((total[end] - total[start]) * _powers(len(total))[1][start])
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -100,15 +101,15 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _runs(raw: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Row, first and one past the last suffix, minimizer and two hashes of each run; suffixes are places in ``raw``."""
+    """Row, first and one past the last suffix, minimizer and hash of each run; suffixes are places in ``raw``."""
     found: list[tuple[np.ndarray, ...]] = []
     last = len(raw) - width + 1
     for a in range(0, max(0, last), STEP):
         b = min(a + STEP, last)
         part = raw[a : b + width - 1]
-        first, second = (_sums(part, base) for base in _BASES)
+        total = _sums(part)
         at = np.arange(len(part) - gram + 1)
-        least = _sliding_least(_hashes(first, at, at + gram, _BASES[0]), width - gram + 1)
+        least = _sliding_least(_hashes(total, at, at + gram), width - gram + 1)
         spot = np.arange(a, b)
         row = np.searchsorted(offsets, spot, side="right") - 1
         fits = spot + width <= offsets[row + 1]
@@ -118,10 +119,9 @@ def _runs(raw: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[
         closes[:-1] &= ~fits[1:] | (least[1:] != least[:-1]) | (row[1:] != row[:-1])
         s, e = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         if len(s):
-            ends = e + width - 1
-            found.append((row[s], s + a, e + a, least[s], _hashes(first, s, ends, _BASES[0]), _hashes(second, s, ends, _BASES[1])))
+            found.append((row[s], s + a, e + a, least[s], _hashes(total, s, e + width - 1)))
     if not found:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -131,6 +131,19 @@ def _gather(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return raw[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
 
 
+def _equal_ranges(raw: np.ndarray, start: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ranges of eight bytes or more at ``start`` and at ``other`` hold the same bytes."""
+    view, equal = np.ndarray((max(0, len(raw) - 7),), "<u8", np.ascontiguousarray(raw), strides=(1,)), np.ones(len(start), bool)
+    words = -(-size // 8)
+    for i, j in slices(np.concatenate([[0], np.cumsum(words)]), STEP):
+        n = words[i:j]
+        first = np.cumsum(n) - n
+        step = np.minimum(8 * (np.arange(n.sum()) - np.repeat(first, n)), np.repeat(size[i:j] - 8, n))
+        differ = view[np.repeat(start[i:j], n) + step] != view[np.repeat(other[i:j], n) + step]
+        equal[i:j] = ~np.logical_or.reduceat(differ, first)
+    return equal
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     sizes = np.array([x.nbytes for x in arrays], "<i8")
     return zstandard.ZstdCompressor(level=3).compress(b"".join([sizes.tobytes(), *(np.ascontiguousarray(x).tobytes() for x in arrays)]))
@@ -162,7 +175,7 @@ _RUN_KINDS = ("<i8", "<i8", "<u4", "<u4", "<u4", "u1", "<u4", "<u4", "<u4")
 
 def _minimizer_lists(ids: np.ndarray, raw: np.ndarray, offsets: np.ndarray, parts: int, width: int, gram: int) -> Iterator[tuple[int, bytes]]:
     """(part, packed list) of the minimizers of a batch, each with whether two documents of the batch have it."""
-    row, _, _, least, _, _ = _runs(raw, offsets, width, gram)
+    row, _, _, least, _ = _runs(raw, offsets, width, gram)
     if not len(row):
         return
     part, owner, least = (least % _U(parts)).astype(np.int64), ids[row], least >> _SHORT
@@ -201,14 +214,16 @@ def _batch_blobs(ids: np.ndarray, keys: np.ndarray, raw: np.ndarray, offsets: np
         return
     short = found[3] >> _SHORT
     there = shared[np.minimum(np.searchsorted(shared, short), len(shared) - 1)] == short
-    row, s, e, least, h1, h2 = (x[there] for x in found)
+    row, s, e, least, h = (x[there] for x in found)
     if not len(row):
         return
     size = e - s
-    order = np.lexsort((ids[row], size, h2, h1))
+    order = np.lexsort((ids[row], size, h))
     same = np.zeros(len(order), bool)
     a, b = order[1:], order[:-1]
-    same[1:] = (h1[a] == h1[b]) & (h2[a] == h2[b]) & (size[a] == size[b])
+    same[1:] = (h[a] == h[b]) & (size[a] == size[b])
+    near = np.flatnonzero(same)  # equal by hash: compare the bytes
+    same[near] = _equal_ranges(raw, s[order[near]], s[order[near - 1]], size[order[near]] + width - 1)
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
     known = np.zeros(len(order), bool)
     known[order] = ids[row[order]] > ids[row[order[head]]]
@@ -229,68 +244,119 @@ def _batch_blobs(ids: np.ndarray, keys: np.ndarray, raw: np.ndarray, offsets: np
         )
 
 
+def _words_at(text: np.ndarray, at: np.ndarray, offset: int, width: int) -> np.ndarray:
+    """Eight bytes from ``offset`` on of the fronts at ``at`` as numbers in byte order; bytes past ``width`` are cut off.
+
+    ``text`` has eight bytes more than the last front.
+    """
+    view = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
+    return view[at + offset].byteswap() >> _U(8 * max(0, offset + 8 - width))
+
+
+def _by_group(group: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Order by group, then key; two sorts of numbers are much faster than a sort of pairs."""
+    order = np.argsort(key)
+    rank = np.zeros(len(key), np.int64)
+    rank[order[1:]] = np.cumsum(key[order[1:]] != key[order[:-1]])
+    return np.argsort((group << 32) | rank)
+
+
+def suffix_order(text: np.ndarray, at: np.ndarray, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes at ``at`` by their first ``width`` bytes, and where an order's front differs from the one before.
+
+    Suffixes are sorted by eight bytes, and those that agree by the next eight. Suffixes of one hash are
+    not sorted further; their bytes are compared at the end, and if some differ, hashes are not used.
+    """
+    n = len(at)
+    first = _words_at(text, at, 0, width)
+    order = np.argsort(first, kind="stable")  # linear where two sorted arrays follow each other
+    first = first[order]
+    fresh = np.ones(n, bool)
+    fresh[1:] = first[1:] != first[:-1]
+    for offset in range(8, width, 8):
+        group = np.cumsum(fresh) - 1
+        h = hashes[order]
+        mixed = np.zeros(group[-1] + 1 if n else 0, bool)
+        mixed[group[h != h[np.flatnonzero(fresh)][group]]] = True
+        spot = np.flatnonzero(mixed[group])
+        if not len(spot):
+            break
+        some, inner = order[spot], group[spot]
+        key = _words_at(text, at[some], offset, width)
+        by = _by_group(inner, key)
+        order[spot], key = some[by], key[by]
+        fresh[spot[1:]] |= key[1:] != key[:-1]
+    same = np.flatnonzero(~fresh)
+    here, before = at[order[same]], at[order[same - 1]]
+    for offset in range(0, width, 8):
+        if (_words_at(text, here, offset, width) != _words_at(text, before, offset, width)).any():
+            return suffix_order(text, at, np.arange(n, dtype=np.uint64), width)
+    return order, fresh
+
+
 class SuffixFamily:
-    """Sorted arrays of suffixes in levels of geometrically growing size; see the module's text.
+    """Suffix arrays in levels of geometrically growing size; see the module's text.
 
-    A suffix is (hash, second hash, row, place); ``ids`` gives the document of a row. ``lost`` collects the
-    (row, place) whose front a smaller id holds.
+    A suffix is (place in ``text``, hash of its front, row, place in the row); ``ids`` gives the document of a
+    row. A level also has whether each front differs from the one before. ``lost`` collects the (row, place)
+    whose front a smaller id holds.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, width: int = WIDTH) -> None:
+        self.width = width
+        self.text = np.zeros(8, np.uint8)
         self.levels: list[list[np.ndarray]] = []
         self.lost: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def _lose(self, batch: list[np.ndarray], gone: np.ndarray) -> list[np.ndarray]:
+    def append(self, text: np.ndarray) -> int:
+        """Take up text; returns where it begins."""
+        begin = len(self.text) - 8
+        self.text = np.concatenate([self.text[:begin], text, np.zeros(8, np.uint8)])
+        return begin
+
+    def _lose(self, level: list[np.ndarray], gone: np.ndarray) -> list[np.ndarray]:
+        """Without the suffixes of the fronts that are ``gone``."""
+        gone = gone[np.cumsum(level[4]) - 1]
         if not gone.any():
-            return batch
-        self.lost.append((batch[2][gone], batch[3][gone]))
-        return [x[~gone] for x in batch]
-
-    @staticmethod
-    def _sorted(columns: list[np.ndarray]) -> list[np.ndarray]:
-        order = np.argsort(columns[0], kind="stable")
-        h, second = columns[0][order], columns[1][order]
-        if ((h[1:] == h[:-1]) & (second[1:] != second[:-1])).any():  # the hashes of two fronts collide
-            order = np.lexsort((columns[1], columns[0]))
-            h, second = columns[0][order], columns[1][order]
-        return [h, second, columns[2][order], columns[3][order]]
-
-    @staticmethod
-    def _heads(batch: list[np.ndarray]) -> np.ndarray:
-        head = np.ones(len(batch[0]), bool)
-        head[1:] = (batch[0][1:] != batch[0][:-1]) | (batch[1][1:] != batch[1][:-1])
-        return np.flatnonzero(head)
-
-    def add(self, batch: list[np.ndarray], ids: np.ndarray) -> None:
-        batch = self._sorted(batch)
-        if not len(batch[0]):
+            return level
+        self.lost.append((level[2][gone], level[3][gone]))
+        return [x[~gone] for x in level]
+
+    def _array(self, suffixes: list[np.ndarray]) -> list[np.ndarray]:
+        order, fresh = suffix_order(self.text, suffixes[0], suffixes[1], self.width)
+        return [*(x[order] for x in suffixes[:4]), fresh]
+
+    def _scan(self, level: list[np.ndarray], batch: list[np.ndarray], ids: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Merge the fronts of two arrays; where both have one, the larger id loses it."""
+        heads = [np.flatnonzero(x[4]) for x in (level, batch)]
+        n = len(heads[0])
+        at, hashes = (np.concatenate([level[k][heads[0]], batch[k][heads[1]]]) for k in (0, 1))
+        order, fresh = suffix_order(self.text, at, hashes, self.width)
+        twice = np.flatnonzero(~fresh)
+        pair = np.sort(np.stack([order[twice - 1], order[twice]]), axis=0)
+        old, new = ids[level[2][heads[0][pair[0]]]], ids[batch[2][heads[1][pair[1] - n]]]
+        old_gone, new_gone = np.zeros(n, bool), np.zeros(len(heads[1]), bool)
+        old_gone[pair[0][new < old]] = True
+        new_gone[pair[1][old < new] - n] = True
+        return self._lose(level, old_gone), self._lose(batch, new_gone)
+
+    def add(self, suffixes: list[np.ndarray], ids: np.ndarray) -> None:
+        if not len(suffixes[0]):
             return
-        head = self._heads(batch)
-        count = np.diff(np.append(head, len(batch[0])))
-        owner = ids[batch[2]]
-        batch = self._lose(batch, owner > np.repeat(np.minimum.reduceat(owner, head), count))
+        batch = self._array(suffixes)
+        head, owner = np.flatnonzero(batch[4]), ids[batch[2]]
+        least = np.minimum.reduceat(owner, head)
+        late = owner > least[np.cumsum(batch[4]) - 1]  # a smaller id of the same batch has the front
+        self.lost.append((batch[2][late], batch[3][late]))
+        group = (np.cumsum(batch[4]) - 1)[~late]
+        batch = [*(x[~late] for x in batch[:4]), np.append(True, group[1:] != group[:-1])]
         for k, level in enumerate(self.levels):
-            if not len(level[0]) or not len(batch[0]):
-                continue
-            head, mine = self._heads(level), self._heads(batch)
-            spot = np.searchsorted(level[0][head], batch[0][mine])
-            hit = np.minimum(spot, len(head) - 1)
-            equal = (level[0][head[hit]] == batch[0][mine]) & (level[1][head[hit]] == batch[1][mine])
-            for j in np.flatnonzero((level[0][head[hit]] == batch[0][mine]) & ~equal).tolist():  # colliding hashes: look further
-                i = int(spot[j])
-                while i < len(head) and level[0][head[i]] == batch[0][mine[j]] and not equal[j]:
-                    hit[j], equal[j], i = i, level[1][head[i]] == batch[1][mine[j]], i + 1
-            old, new = ids[level[2][head[hit]]], ids[batch[2][mine]]
-            new_gone, old_gone = equal & (old < new), equal & (new < old)
-            sizes = np.diff(np.append(mine, len(batch[0])))
-            batch = self._lose(batch, np.repeat(new_gone, sizes))
-            gone = np.zeros(len(head), bool)
-            gone[hit[old_gone]] = True
-            self.levels[k] = self._lose(level, np.repeat(gone, np.diff(np.append(head, len(level[0])))))
+            if len(level[0]) and len(batch[0]):
+                self.levels[k], batch = self._scan(level, batch, ids)
         self.levels.append(batch)
         while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
             above, below = self.levels.pop(), self.levels.pop()
-            self.levels.append(self._sorted([np.concatenate(x) for x in zip(below, above)]))
+            self.levels.append(self._array([np.concatenate(x) for x in zip(below[:4], above[:4])]))
 
 
 def _joined(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -309,16 +375,19 @@ def _joined(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 def _part_ranges(blobs: Iterator[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids, row keys, and removed ranges (row, start, end) of a part."""
-    family, ids, keys, n = SuffixFamily(), np.zeros(0, np.int64), [], 0
+    family, ids, keys, n = SuffixFamily(width), np.zeros(0, np.int64), [], 0
     ranges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     waiting: list[list[np.ndarray]] = []
-    held = 0
+    texts: list[np.ndarray] = []
+    held = taken = 0
 
     def flush() -> None:
-        nonlocal waiting, held
+        nonlocal waiting, texts, held, taken
         if waiting:
-            family.add([np.concatenate(x) for x in zip(*waiting)], ids)
-        waiting, held = [], 0
+            begin = family.append(np.concatenate(texts))
+            at, *others = (np.concatenate(x) for x in zip(*waiting))
+            family.add([at + begin, *others], ids)
+        waiting, texts, held, taken = [], [], 0, 0
         if family.lost:
             row, place = (np.concatenate(x) for x in zip(*family.lost))
             family.lost = []
@@ -336,12 +405,13 @@ def _part_ranges(blobs: Iterator[bytes], width: int) -> tuple[np.ndarray, np.nda
         begin = np.cumsum(length) - length
         for i, j in slices(np.append(begin, length.sum()), STEP):
             a, b = begin[i], begin[j - 1] + length[j - 1]
-            sums = [_sums(data[a:b], base) for base in _BASES]
+            total = _sums(data[a:b])
             within = np.arange(size[i:j].sum()) - np.repeat(np.cumsum(size[i:j]) - size[i:j], size[i:j])
             at = np.repeat(begin[i:j] - a, size[i:j]) + within
-            h1, h2 = (_hashes(t, at, at + width, base) for t, base in zip(sums, _BASES))
-            waiting.append([h1, (h2 >> _U(32)).astype(np.uint32), np.repeat(row[i:j].astype(np.int32) + np.int32(n), size[i:j]), (np.repeat(place[i:j], size[i:j]) + within).astype(np.uint32)])
+            waiting.append([at + a + taken, _hashes(total, at, at + width), np.repeat(row[i:j].astype(np.int32) + np.int32(n), size[i:j]), (np.repeat(place[i:j], size[i:j]) + within).astype(np.uint32)])
             held += len(at)
+        texts.append(data)
+        taken += len(data)
         n += len(own)
         if held >= LEVEL_SUFFIXES:
             flush()
@@ -406,13 +476,13 @@ def repeated_ranges(rows: DataFrame, parts: int, width: int = WIDTH, gram: int =
             yield int(bucket[a]), _pack(ids[row[a:b]], keys[row[a:b]], start[a:b].astype("<u4"), end[a:b].astype("<u4"))
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(parts, "part").sortWithinPartitions("part", "bucket")
+        return df.repartition(min(parts, MOST_PARTITIONS), "part").sortWithinPartitions("part", "bucket")
 
     to_part, to_bucket = "part int, bucket long, blob binary", "__bucket long, blob binary"
     listed = rows.groupBy("__bucket").applyInArrow(lists, to_part)
-    answers = dealt(listed).mapInArrow(_by_part(lambda found: _shared(list(found))), to_bucket)
+    answers = dealt(listed).mapInArrow(freeing(_by_part(lambda found: _shared(list(found)))), to_bucket)
     sent = rows.groupBy("__bucket").cogroup(answers.groupBy("__bucket")).applyInArrow(runs, to_part)
-    return dealt(sent).mapInArrow(_by_part(scan), to_bucket)
+    return dealt(sent).mapInArrow(freeing(_by_part(scan)), to_bucket)
 
 
 def _spans_of(blobs: list[bytes]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
@@ -441,7 +511,7 @@ def cut_repeats(docs: DataFrame, width: int = WIDTH, keep: list[str] | None = No
     parts = max(LEAST_PARTS, -(-total // part_bytes))
     shown = docs.select(*[F.col(f"`{c}`") for c in own]).schema
     # All later steps read this one exchange.
-    rows = rows.withColumn("__bucket", F.pmod(F.col("__id").bitwiseXOR(F.col("__key")), F.lit(parts))).repartition(parts, "__bucket")
+    rows = rows.withColumn("__bucket", F.pmod(F.col("__id").bitwiseXOR(F.col("__key")), F.lit(parts))).repartition(min(parts, MOST_PARTITIONS), "__bucket")
     found = repeated_ranges(rows, parts, width)
 
     def cut(table: pa.Table, ranges: pa.Table) -> pa.Table:
@@ -457,6 +527,7 @@ def cut_repeats(docs: DataFrame, width: int = WIDTH, keep: list[str] | None = No
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         given = pc.if_else(table.column("__null"), pa.scalar(None, pa.string()), table.column("__text").cast(pa.string()))
         columns = [*(given if c == text else table.column(c) for c in own), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, kind)]
+        free_memory()
         return pa.table(columns, names=[*own, "kept", "spans"])
 
     result = StructType([*shown.fields]).add("kept", StringType() if as_text else BinaryType())
