@@ -4,8 +4,11 @@
 Elements that cannot hold main text (scripts, forms, navigation, and those whose class, id or role says
 advert, menu, comment and the like) are left out. Each paragraph gives points for its length and its
 commas to its parent, half of them to the grandparent and less to those above; the sum of an element is
-discounted by its share of link text. The best container is kept, with those siblings that score near it
-or are prose themselves. If no paragraph scores, the article or main element counts, else the body.
+discounted by its share of link text; of equal ones the first in page order is the best. If it lies in an
+``article`` (else in a ``main``), that whole element is the text, whatever its parts score, with headings
+without links beside it. Elsewhere the best container is kept with those siblings that are paragraphs or hold some and are at most a quarter links, and with all
+that stands between two kept ones (or is a heading before them) and is not mostly links. If no paragraph scores, the first article or
+main element counts, else the body.
 
 Text is taken in page order: character references are decoded, white space within a block becomes one
 space, and blocks are joined by one space.
@@ -13,7 +16,8 @@ space, and blocks are joined by one space.
 Defined cases: null, empty or text-free html gives an empty text; a page that ends within a tag, comment or
 script ends there; text outside any element counts; repeated rows give equal results; further columns
 pass through and columns named ``text`` or ``n_chars`` are replaced; an empty table gives an empty result.
-Html of any length is read whole in linear time.
+Html of any length is read whole; the elements that a tag closes by implication are counted for each scope,
+so the tree is climbed only to close what is passed, and the time is linear however deep elements nest.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-from brindle.llm.common import bounded_batches
+from brindle.llm.common import bounded_batches, freeing
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,13 +46,17 @@ DROPPED = frozenset(
     "script style textarea title noscript iframe xmp noembed noframes head nav aside footer form button select option input "
     "template svg math canvas object audio video dialog menu label".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 PARAGRAPH = frozenset("p pre blockquote td li dd".split())
 CLOSES_P = BLOCK - {"body", "head", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dd", "dt", "option", "optgroup", "title", "legend"}
-SIBLING_ENDS = {
+_SCOPES = {  # start tag: the open elements that it ends, and the elements beyond which it ends none
+    "p": ({"p"}, {"table", "td", "th", "caption", "button", "object", "li"}),
     "li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "option": ({"option"}, {"select"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
 }
+_MEMBER_OF = {name: [key for key, (members, _) in _SCOPES.items() if name in members] for members, _ in _SCOPES.values() for name in members}
+_BORDER_OF = {name: [key for key, (_, borders) in _SCOPES.items() if name in borders] for _, borders in _SCOPES.values() for name in borders}
 START = {"article": 8.0, "main": 8.0, "section": 3.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "address": -3.0, "th": -5.0}
 
 NOISE = re.compile(
@@ -74,14 +82,11 @@ class Node:
         self.points, self.letters, self.linked = 0.0, 0, 0
 
 
-def _is_noise(name: str, attrs: str, parent: Node) -> bool:
+def _is_noise(name: str, attrs: str, in_article: bool) -> bool:
     if name in DROPPED:
         return True
     if name == "header":
-        above: Node | None = parent
-        while above is not None and above.name not in ("article", "main"):
-            above = above.parent
-        return above is None
+        return not in_article
     if not attrs or name in ("html", "body", "article", "main"):
         return False
     given = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
@@ -96,23 +101,30 @@ def parse(page: str) -> Node:
     root = Node("", None)
     here, at, n = root, 0, len(page)
     open_names: dict[str, int] = {}
+    open_in: dict[str, list[int]] = {key: [0] for key in _SCOPES}  # by scope, from the outermost to the innermost
 
-    def close(node: Node) -> None:
+    def enter(node: Node) -> None:
+        nonlocal here
+        here, name = node, node.name
+        open_names[name] = open_names.get(name, 0) + 1
+        for key in _BORDER_OF.get(name, ()):
+            open_in[key].append(0)
+        for key in _MEMBER_OF.get(name, ()):
+            open_in[key][-1] += 1
+
+    def leave() -> None:
         nonlocal here
-        while here is not node:
-            open_names[here.name] -= 1
-            here = here.parent
-        open_names[here.name] -= 1
+        name = here.name
+        open_names[name] -= 1
+        for key in _MEMBER_OF.get(name, ()):
+            open_in[key][-1] -= 1
+        for key in _BORDER_OF.get(name, ()):
+            open_in[key].pop()
         here = here.parent
 
-    def end_siblings(names: set[str], borders: set[str]) -> None:
-        node, last = here, None
-        while node is not root and node.name not in borders:
-            if node.name in names:
-                last = node
-            node = node.parent
-        if last is not None:
-            close(last)
+    def end_siblings(key: str) -> None:
+        while open_in[key][-1]:
+            leave()
 
     while at < n:
         spot = page.find("<", at)
@@ -130,33 +142,28 @@ def parse(page: str) -> Node:
         if tag["end"]:
             name = tag["end"].lower()
             if open_names.get(name):
-                node = here
-                while node.name != name:
-                    node = node.parent
-                close(node)
+                while here.name != name:
+                    leave()
+                leave()
             elif name in ("p", "br"):
                 here.parts.append(Node(name, here))
             continue
         if not tag["start"] or page[at - 1] != ">":
             continue
         name = tag["start"].lower()
-        if name in CLOSES_P and open_names.get("p"):
-            end_siblings({"p"}, {"table", "td", "th", "button", "article", "section", "div", "body", "li"} - {name})
-        if name in SIBLING_ENDS:
-            end_siblings(*SIBLING_ENDS[name])
-        node = Node(name, here, _is_noise(name, tag["attrs"], here))
+        if name in CLOSES_P:
+            end_siblings("p")
+        if name != "p" and name in _SCOPES:
+            end_siblings(name)
+        node = Node(name, here, _is_noise(name, tag["attrs"], bool(open_names.get("article") or open_names.get("main"))))
         here.parts.append(node)
         if name in RAW:
             done = _RAW_END[name].search(page, at)
             if done is None:
                 break
             at = page.find(">", done.end()) + 1 or n
-        elif name not in VOID and not tag["attrs"].endswith("/"):
-            here = node
-            open_names[name] = open_names.get(name, 0) + 1
-        elif name not in VOID and name not in ("svg", "math"):  # the slash means nothing in HTML
-            here = node
-            open_names[name] = open_names.get(name, 0) + 1
+        elif name not in VOID and not (name in ("svg", "math") and tag["attrs"].endswith("/")):  # elsewhere the slash means nothing
+            enter(node)
     return root
 
 
@@ -246,6 +253,18 @@ def score(root: Node) -> list[Node]:
     return [x for x in order if id(x) in scored]
 
 
+def _article_of(node: Node) -> Node | None:
+    """The innermost article that holds the node, or is it; else the innermost main."""
+    main = None
+    while node is not None:
+        if node.name == "article":
+            return node
+        if node.name == "main":
+            main = main or node
+        node = node.parent
+    return main
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -258,16 +277,21 @@ def main_text(page: str | None) -> str:
                 named.setdefault(node.name, node)
         return " ".join(_blocks([named.get("article") or named.get("main") or named.get("body") or root]))
     best = max(scored, key=lambda x: x.points)
-    least = max(10.0, 0.2 * best.points)
-    kept = []
-    for x in best.parent.parts:
-        if isinstance(x, str) or x.noise:
-            continue
-        density = x.linked / max(x.letters, 1)
-        prose = x.name == "p" and (x.letters > 80 and density < 0.25 or 0 < x.letters <= 80 and not x.linked)
-        if x is best or (x in scored and x.points >= least) or prose or (x.name in ("h1", "h2") and x.letters and not x.linked and best.parent.name in ("article", "main")):
-            kept.append(x)
-    return " ".join(_blocks(kept))
+    whole = _article_of(best)
+    around = [x for x in (whole or best).parent.parts if isinstance(x, Node) and not x.noise]
+    if whole is not None:
+        return " ".join(_blocks([x for x in around if x is whole or (x.name in ("h1", "h2", "hgroup") and not x.linked and whole.parent.name in ("main", "article"))]))
+    with_points = {id(x) for x in scored}
+
+    def chosen(x: Node) -> bool:
+        return x is best or ((id(x) in with_points or (x.name == "p" and x.letters > 0)) and 4 * x.linked <= x.letters)
+
+    picked = [k for k, x in enumerate(around) if chosen(x)]
+    first = picked[0]
+    while first and around[first - 1].name in HEADINGS and not around[first - 1].linked:
+        first -= 1
+    between = around[first : picked[-1] + 1]
+    return " ".join(_blocks([x for x in between if chosen(x) or 2 * x.linked <= x.letters]))
 
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
@@ -286,7 +310,7 @@ def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None)
     bounded_batches(pages.sparkSession)
     shown = [F.col(f"`{c}`") for c in own]
     schema = pages.select(*shown).schema.add("text", StringType()).add("n_chars", LongType())
-    return pages.select(*shown, F.col(f"`{html}`").cast("string").alias("__html")).mapInArrow(run, schema)
+    return pages.select(*shown, F.col(f"`{html}`").cast("string").alias("__html")).mapInArrow(freeing(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
