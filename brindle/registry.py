@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 @dataclass(frozen=True)
 class Entry:
     run: Query
-    sql: str | None = None
+    sql: str | Callable[[], str] | None = None  # or a function that writes it
 
 
 class Registry:
@@ -22,7 +22,7 @@ class Registry:
     def __init__(self) -> None:
         self._entries: dict[str, Entry] = {}
 
-    def add(self, name: str, run: Query, sql: str | None = None) -> None:
+    def add(self, name: str, run: Query, sql: str | Callable[[], str] | None = None) -> None:
         if name in self._entries:
             raise ValueError(f"query {name} is registered already")
         self._entries[name] = Entry(run, sql)
@@ -31,4 +31,4 @@ class Registry:
         return {k: e.run for k, e in self._entries.items()}
 
     def oracle_sql(self) -> dict[str, str]:
-        return {k: e.sql for k, e in self._entries.items() if e.sql}
+        return {k: e.sql() if callable(e.sql) else e.sql for k, e in self._entries.items() if e.sql}
