@@ -16,6 +16,6 @@ REGISTRY.add("op5_suffix_dedup", suffix_dedup.query)
 REGISTRY.add("op6_best_fit_packing", packing.query)
 REGISTRY.add("op7_sharding", sharding.query)
 REGISTRY.add("op8_main_text", main_text.query)
-REGISTRY.add("op9_url_filter", url_filter.query)
+REGISTRY.add("op9_url_filter", url_filter.query, url_filter.oracle_sql)
 REGISTRY.add("op10_byte_bpe", byte_bpe.query)
 REGISTRY.add("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)

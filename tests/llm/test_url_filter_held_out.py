@@ -1,6 +1,7 @@
 """The url model on hosts that its labelled table does not hold."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 from test_operators import SF
 
@@ -19,3 +20,16 @@ def test_held_out_hosts_are_blocked(spark):
     model = url_filter.train(url_filter.labelled_urls(spark))
     rows = spark.createDataFrame([(f"https://{name}.example.com/de/{k}",) for k, name in enumerate(HELD_OUT)], "url string")
     assert url_filter.judge(rows, model).filter(F.col("score") >= 0.5).count() == len(HELD_OUT)
+
+
+def test_sql_and_cases(spark):
+    """The SQL gives the same rows; of rules of one length the first wins; long, repeated and odd urls."""
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    want = c.sql(url_filter.oracle_sql()).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in url_filter.query(spark, SF).collect())
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    rows = spark.createDataFrame([("http://a.com/x" + "y" * 200_000, "old")] * 2 + [("http://a.com/xz", None)], "url string, verdict string")
+    got = url_filter.judge(rows, model, (("allow", "a.com/xy"), ("block", "a.com/xy"), ("block", "a.com/xz"), ("allow", "a.com/xz"))).collect()
+    assert [r.verdict for r in got] == ["allow", "allow", "block"] and got[0].score == got[1].score
