@@ -1,20 +1,24 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-* Centroids come from a bounded sample (``SAMPLE`` vectors, chosen by a hash of the id), halved again and
-  again between two means at the median, so all leaves hold equally many sample vectors.
+* Centroids come from a bounded sample (``PER_LIST`` vectors for each list, chosen by a hash of the id),
+  halved again and again between two means at the median, so all leaves hold equally many sample vectors.
 * A graph of near centroids lives in memory with the centroids (at most ``MAX_LISTS`` of them, so it is
   small enough to ship to every task) and finds the nearest ones by a best-first search.
 * Every vector goes to its nearest list, and a vector near a border also to others (``REPLICAS`` at most),
   if their centroids are nearly as near.
 * A query reads the lists whose centroids are within a ratio of the nearest one's distance, between
   ``MIN_PROBES`` and ``MAX_PROBES`` of them, and measures their vectors exactly.
+* A list that has grown beyond ``PIECE`` entries (the sample is only balanced in the sample, and beyond
+  ``MAX_LISTS`` lists all of them grow) is dealt to pieces by a hash of the id, and likewise its queries, so no
+  task holds a list; each piece answers every query of the list, so nothing is left out.
 
 Equal vectors are one entry that carries its smallest ids (as many as an answer can need), found by a
 group-limited window, so a vector that a third of all rows share stays small; equal query vectors are searched
 once. Each list returns its best entries for each query, and these are merged.
 
 Defined cases: vectors that are null, all zero, or hold a null or non-finite component take no part, nor do
-null ids and vectors whose length is not that of most; rows that repeat an id and its vector count once;
+null ids; vectors of another length are at no distance, so each length is searched by itself; rows that repeat
+an id and its vector count once;
 rows with the query's own id are never answers; ties go to the smaller id; with fewer candidates than
 ``k`` all that are found are returned; further columns stay out of the result; an empty table gives an empty one.
 """
@@ -22,6 +26,7 @@ rows with the query's own id are never answers; ties go to the smaller id; with
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,18 +34,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.llm.common import freeing
 from brindle.session import checkpointed
 
 K = 10
-SAMPLE = 32_768
-MAX_LISTS = 4_096
+PER_LIST = 16
+MAX_LISTS = 8_192
 LIST_SIZE = 100
+PIECE = 4_096
 REPLICAS = 6
 CLOSURE_RATIO = 1.2
 PROBE_RATIO = 1.25
 MIN_PROBES, MAX_PROBES = 16, 128
-DEGREE = 24
-BREADTH = 32
+DEGREE = 16
+BREADTH = 16
 BLOCK = 1 << 22
 
 
@@ -144,7 +151,7 @@ def _exploded(rows: DataFrame, graph: CentroidGraph, method: str, kind: str) ->
                 row, col = np.nonzero(lists >= 0)
                 yield pa.RecordBatch.from_arrays([pa.array(lists[row, col].astype(np.int32)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], names=["list", "id", "vector"])
 
-    return rows.select("id", "vector").mapInArrow(run, kind)
+    return rows.select("id", "vector").mapInArrow(freeing(run), kind)
 
 
 def _best_of_list(k: int):
@@ -163,28 +170,42 @@ def _best_of_list(k: int):
     return run
 
 
-def search(rows: DataFrame, is_query: Column, k: int = K, list_size: int = LIST_SIZE) -> DataFrame:
+def _in_pieces(rows: DataFrame, name: str, piece: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the number of their piece of the list, and the count of pieces of each list."""
+    counts = rows.groupBy("list").agg(F.ceil(F.count("*") / piece).cast("int").alias(f"{name}s"))
+    # A row for each list, of which there are MAX_LISTS at most.
+    return rows.join(F.broadcast(counts), "list").withColumn(name, F.pmod(F.xxhash64("id"), F.col(f"{name}s")).cast("int")).drop(f"{name}s"), counts
+
+
+def search(rows: DataFrame, is_query: Column, k: int = K, list_size: int = LIST_SIZE, piece: int = PIECE) -> DataFrame:
     """query_id, rank, vec_id, score for the rows (vec_id, embedding) that ``is_query`` names, against all rows."""
     valid = rows.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector")).filter(F.col("id").isNotNull() & usable(F.col("vector")))
-    sizes = valid.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    width = sizes[0]["d"] if sizes else 1
+    widths = [r["d"] for r in valid.select(F.size("vector").alias("d")).distinct().orderBy("d").collect()]  # a table has few lengths
+    return reduce(DataFrame.union, [_search_width(valid, d, is_query, k, list_size, piece, rows.schema["embedding"].dataType.simpleString()) for d in widths or [1]])
+
+
+def _search_width(valid: DataFrame, width: int, is_query: Column, k: int, list_size: int, piece: int, item: str) -> DataFrame:
     valid = valid.filter(F.size("vector") == width)
     # The k + 1 smallest ids of each vector; the window is cut before its exchange.
     first = Window.partitionBy("vector").orderBy("id")
     entries = valid.withColumn("n", F.rank().over(first)).filter(F.col("n") <= k + 1)
     entries = entries.groupBy("vector").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     entries = checkpointed(entries.select(F.get("ids", F.lit(0)).alias("id"), "vector", F.slice("ids", 1, k + 1).alias("ids")))
-    total = entries.count()
-    sample = entries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()  # bounded by SAMPLE
-    points = np.array([r["vector"] for r in sample], float).reshape(len(sample), width)
-    lists = max(1, min(MAX_LISTS, -(-total // list_size), max(1, len(points) // 8)))
+    lists = max(1, min(MAX_LISTS, -(-entries.count() // list_size)))
+    # At most PER_LIST * MAX_LISTS vectors.
+    sample = entries.orderBy(F.xxhash64("id"), "id").limit(PER_LIST * lists).select("vector").toArrow().column(0)
+    points = sample.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(sample), width)
     graph = CentroidGraph(balanced_centroids(points, lists) if len(points) else np.zeros((1, width)))
-    item = rows.schema["embedding"].dataType.simpleString()
     kind = f"list int, id long, vector {item}"
     posted = _exploded(entries, graph, "lists_of", kind)
     queries = valid.filter(is_query).groupBy("vector").agg(F.min("id").alias("id"))
     probes = _exploded(queries, graph, "probes_of", kind)
-    found = probes.groupBy("list").cogroup(posted.groupBy("list")).applyInPandas(_best_of_list(k + 1), "qid long, id long, score double")
+    posted, pieces = _in_pieces(checkpointed(posted), "piece", piece)
+    probes, turns = _in_pieces(checkpointed(probes), "turn", piece)
+    posted = posted.join(F.broadcast(turns), "list").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("turns")
+    probes = probes.join(F.broadcast(pieces), "list").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    keys = ["list", "piece", "turn"]
+    found = probes.groupBy(*keys).cogroup(posted.groupBy(*keys)).applyInPandas(_best_of_list(k + 1), "qid long, id long, score double")
     order = Window.partitionBy("qid").orderBy("score", "id")
     best = found.distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
     near = best.join(entries.select("id", "ids"), "id").select("qid", F.explode("ids").alias("vec_id"), "score")
