@@ -42,7 +42,7 @@ class Rule:
 
 
 RULES = (
-    Rule("words", "n_words", low=20, high=10_000_000),
+    Rule("words", "n_words", low=20),
     Rule("word_length", "word_chars", "n_words", low=2.5, high=12.0),
     Rule("symbols", "n_symbols", "n_words", high=0.1),
     Rule("stop_words", "n_stop_words", "n_words", low=0.04),
