@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType
 
-from brindle.llm.common import bounded_batches
+from brindle.llm.common import bounded_batches, freeing, kept_between_rows
 
 CACHE_PIECES = 200_000
 CACHED_LENGTH = 64
@@ -172,11 +172,20 @@ class Encoder:
         return b"".join(out)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+@kept_between_rows
+def _forget() -> None:
+    """The automaton costs a second to build, so the vocabulary stays and only what grew from texts goes."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+    if vocabulary.cache_info().currsize > 1:
+        vocabulary.cache_clear()
+
+
 def _with_column(df: DataFrame, source: str, name: str, kind: DataType, keep: list[str] | None, run) -> DataFrame:
     own = [c for c in (df.columns if keep is None else keep) if c.lower() != name.lower()]
     bounded_batches(df.sparkSession)
@@ -189,7 +198,7 @@ def _with_column(df: DataFrame, source: str, name: str, kind: DataType, keep: li
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, len(made)) for k in range(len(own))), made], names=[*names, name])
 
     schema = df.select(*shown).schema.add(name, kind)
-    return df.select(*shown, F.col(f"`{source}`").alias("__source")).mapInArrow(batches, schema)
+    return df.select(*shown, F.col(f"`{source}`").alias("__source")).mapInArrow(freeing(batches), schema)
 
 
 def _chunks(sizes: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,13 +22,45 @@ def bounded_batches(spark: SparkSession) -> None:
 
     By default a batch has 10,000 rows or 64 MB, and each task holds several batches outside the heap.
     """
-    for key, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", None, BATCH_BYTES)):
+    given = spark.conf.getAll
+    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{key}"
-        now = spark.conf.get(name, None)
-        if now is not None and (default is None and int(re.sub(r"\D", "", now) or 0) >= 64 << 20 or now == default):
+        if name not in given:
             spark.conf.set(name, str(value))
 
 
+_caches: list[Callable[[], None]] = []
+
+
+def kept_between_rows(clear: Callable[[], None]) -> Callable[[], None]:
+    """Name a function that empties what an operator remembers from row to row; tasks call it at their end."""
+    _caches.append(clear)
+    return clear
+
+
+def free_memory() -> None:
+    """Give back what a task held: Python workers live on for other stages, of this query and of later ones."""
+    for clear in _caches:
+        clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def freeing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches for ``mapInArrow`` that frees its memory when the task's input ends."""
+
+    def batches(found: Iterator) -> Iterator:
+        try:
+            yield from run(found)
+        finally:
+            free_memory()
+
+    return batches
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` applied to ``value``, which is computed once for each row however often it is used."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import bounded_batches
+from brindle.llm.common import bounded_batches, freeing
 from brindle.llm.simhash import _LOWER, components, leading_rows, rank_of
 from brindle.session import checkpointed
 
@@ -88,7 +88,7 @@ def marks(docs: DataFrame) -> DataFrame:
 
     bounded_batches(docs.sparkSession)
     shown = docs.select("doc_id", F.xxhash64("text").alias("__tie"), F.col("text").cast("string").alias("__text"))
-    return shown.mapInArrow(run, f"doc_id {shown.schema['doc_id'].dataType.simpleString()}, __tie long, node long, keys array<long>")
+    return shown.mapInArrow(freeing(run), f"doc_id {shown.schema['doc_id'].dataType.simpleString()}, __tie long, node long, keys array<long>")
 
 
 def linked_parts(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
@@ -139,7 +139,7 @@ def _verified(texts: DataFrame) -> DataFrame:
         if nodes:
             yield result(nodes, sets)
 
-    return texts.repartition("root").sortWithinPartitions("root", "node").select("root", "node", "text").mapInArrow(run, "node long, root long")
+    return texts.repartition("root").sortWithinPartitions("root", "node").select("root", "node", "text").mapInArrow(freeing(run), "node long, root long")
 
 
 def candidate_joins(marked: DataFrame) -> DataFrame:

@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import bounded_batches
+from brindle.llm.common import bounded_batches, freeing, kept_between_rows
 from brindle.session import checkpointed
 
 CAPACITY = 4096
 SEPARATOR = 1
 GROUPS = 1024
-CACHE_CHUNKS = 500_000  # about 100 MB
+CACHE_CHUNKS = 100_000  # about 20 MB
 CACHED_LENGTH = 48
 
 
@@ -109,11 +109,14 @@ class Tokens:
         return b"".join(map(known.__getitem__, chunks))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
+kept_between_rows(_tokens.cache_clear)
+
+
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -126,17 +129,17 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, end = _tokens(path), np.array([separator], "<u4").tobytes()
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 ids = memoryview((code.ids(text) if text else b"") + end)
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECE)], schema=_PIECE)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_PIECE)], schema=_PIECE)
 
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(freeing(run), kind)
 
 
 @dataclass

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import bounded_batches
+from brindle.llm.common import bounded_batches, freeing
 from brindle.session import checkpointed
 
 BITS = 64
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: list[str] | None
     bounded_batches(docs.sparkSession)
     shown = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text}`").cast("string").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shown.schema.fields[:-1])
-    return shown.mapInArrow(run, f"{kinds}{', ' if kinds else ''}fp long")
+    return shown.mapInArrow(freeing(run), f"{kinds}{', ' if kinds else ''}fp long")
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -105,7 +105,7 @@ def _bucket_links(buckets: DataFrame, radius: int) -> DataFrame:
             pairs = [x for k in range(len(lists)) for x in spanning_links(values[cuts[k] : cuts[k + 1]], radius)]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
-    return buckets.select("members").mapInArrow(run, "a long, b long")
+    return buckets.select("members").mapInArrow(freeing(run), "a long, b long")
 
 
 def _neighbour_links(rows: DataFrame, masks: list[int], radius: int) -> DataFrame:

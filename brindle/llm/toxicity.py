@@ -2,7 +2,8 @@
 
 Features of a text are the buckets (``2 ** BITS``) of its words, adjacent word pairs and pairs with one
 word between them, each counted once. Words are runs of letters, digits and non-ASCII bytes, with A-Z
-lower-cased. All hashing is vectorised over the bytes of an Arrow batch.
+lower-cased. All hashing is vectorised over windows of about ``CHUNK`` bytes; a longer text is read in
+windows that end between words, and a longer word in pieces whose sums add up to its hash.
 
 ``train`` reads a bounded sample of labelled rows (``MAX_TRAIN_ROWS``, chosen by a hash of the id) in one
 task and returns the weights that L1 left over, at most ``2 ** BITS`` rows, so they are safe to ship to
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from brindle.llm.common import bounded_batches, slices, text_buffers
+from brindle.llm.common import bounded_batches, freeing, slices, text_buffers
 
 BITS = 18
 MAX_TRAIN_ROWS = 8_000
@@ -32,11 +33,11 @@ EPOCHS = 5
 ALPHA, BETA, L2 = 1.0, 1.0, 0.0
 L1_ROOT = 0.15  # L1 is this times the root of the number of examples, as the noise of a sum grows so
 FOLDS = 5
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: list[np.ndarray] = []
 
 
 def _fold_bytes() -> np.ndarray:
@@ -55,16 +56,21 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
 
 
-def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and bucket of each word, pair and skip pair of the texts in ``raw``."""
-    n = len(raw)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            grown = np.full(max(n, CHUNK), base, np.uint64)
+def _tables() -> list[np.ndarray]:
+    """Powers of the base and of its inverse, enough for a window."""
+    if not _powers:
+        for base in (_BASE, _INVERSE):
+            grown = np.full(CHUNK, base, np.uint64)
             grown[0] = 1
-            _powers[k] = np.cumprod(grown, dtype=np.uint64)
+            _powers.append(np.cumprod(grown, dtype=np.uint64))
+    return _powers
+
+
+def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of each word of the texts in ``raw``, which holds at most ``CHUNK`` bytes."""
+    n, powers = len(raw), _tables()
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     b = _FOLD[raw]
     inside = b != 0
     opens = np.zeros(n + 1, bool)
@@ -75,9 +81,21 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     last[:-1] &= ~inside[1:] | opens[1:n]
     s, e = np.flatnonzero(first), np.flatnonzero(last)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(b * _powers[0][:n], out=total[1:])
-    h = _mix((total[e + 1] - total[s]) * _powers[1][s])
-    row = np.searchsorted(offsets, s, side="right") - 1
+    np.cumsum(b * powers[0][:n], out=total[1:])
+    return np.searchsorted(offsets, s, side="right") - 1, _mix((total[e + 1] - total[s]) * powers[1][s])
+
+
+def _long_word(raw: np.ndarray) -> np.uint64:
+    """The hash of one word of any length."""
+    powers, total = _tables(), 0
+    for a in range(0, len(raw), CHUNK):
+        part = _FOLD[raw[a : a + CHUNK]]
+        total += int((part * powers[0][: len(part)]).sum(dtype=np.uint64)) * pow(int(_BASE), a, 1 << 64)
+    return _mix(np.array([total & ((1 << 64) - 1)], np.uint64))[0]
+
+
+def _keys(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and bucket of each word, pair and skip pair of the words in order."""
     rows, keys = [row], [h]
     for gap, left, right in ((1, 0xA24BAED4963EE407, 0x9FB21C651E98DF25), (2, 0xD6E8FEB86659FD93, 0xCA5A826395121157)):
         if len(h) > gap:
@@ -87,6 +105,41 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(rows), (np.concatenate(keys) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def _windows(raw: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Parts of one text that end between words; a part above ``CHUNK`` bytes is one word."""
+    at, n = 0, len(raw)
+    while at < n:
+        gaps = np.flatnonzero(_FOLD[raw[at : at + CHUNK]] == 0) if n - at > CHUNK else None
+        if gaps is None:
+            end = n
+        elif len(gaps):
+            end = at + int(gaps[-1]) + 1
+        else:  # a word goes on: find its end
+            end = at + CHUNK
+            while end < n and not len(more := np.flatnonzero(_FOLD[raw[end : end + CHUNK]] == 0)):
+                end += CHUNK
+            end = min(n, end + int(more[0])) if end < n else n
+        yield at, end
+        at = end
+
+
+def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and bucket of each word, pair and skip pair of the texts in ``raw``; of a long text each bucket once."""
+    if len(raw) <= CHUNK:
+        return _keys(*_words(raw, offsets))
+    rows, keys = [], []
+    for k in range(len(offsets) - 1):
+        text, last, found = raw[offsets[k] : offsets[k + 1]], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for a, b in _windows(text):
+            h = np.array([_long_word(text[a:b])]) if b - a > CHUNK else _words(text[a:b], np.array([0, b - a]))[1]
+            h = np.concatenate([last, h])  # the two words before a window make pairs with those in it
+            found = np.union1d(found, _keys(np.zeros(len(h), np.int64), h)[1])
+            last = h[-2:]
+        rows.append(np.full(len(found), k))
+        keys.append(found)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
@@ -167,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     sample = known.withColumn("key", F.xxhash64("doc_id")).orderBy("key", "doc_id").limit(max_rows)
     # The sample has at most max_rows rows of three numbers, so it is small enough to broadcast.
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("key", "toxic", "text")
-    found = rows.mapInArrow(_examples, "key long, toxic double, buckets binary").repartition(1).mapInArrow(_fit_batches, "bucket long, weight double").toPandas()
+    found = rows.mapInArrow(freeing(_examples), "key long, toxic double, buckets binary").repartition(1).mapInArrow(freeing(_fit_batches), "bucket long, weight double").toPandas()
     return found["bucket"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)
 
 
@@ -198,7 +251,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "te
 
     fields = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = docs.select(*[F.col(f"`{c}`") for c in own]).schema.add("score", DoubleType()).add("predicted", IntegerType())
-    return fields.mapInArrow(run, schema)
+    return fields.mapInArrow(freeing(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
