@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,17 +32,41 @@ def filled_box(pixels: DataFrame) -> DataFrame:
 
 
 def morphology(pixels: DataFrame, across: int, down: int) -> DataFrame:
-    """Greatest value within a radius along rows, then columns; negative radii take the least."""
+    """Dilate (positive) or erode (negative) a mask by a line of so many pixels, along rows, then along columns.
+
+    A line of even length reaches one pixel further ahead when it dilates, and one further back when it
+    erodes. What lies outside the image is 0, so erosion takes the border too.
+    """
 
-    def along(df: DataFrame, radius: int, line: str, at: str) -> DataFrame:
-        if radius == 0:
+    def along(df: DataFrame, size: int, line: str, at: str) -> DataFrame:
+        n = abs(size)
+        if n == 0:
             return df
-        w = Window.partitionBy("image_id", line).orderBy(at).rangeBetween(-abs(radius), abs(radius))
-        return df.withColumn("value", (F.max if radius > 0 else F.min)("value").over(w))
+        back, ahead = ((n - 1) // 2, n // 2) if size > 0 else (n // 2, (n - 1) // 2)
+        w = Window.partitionBy("image_id", line).orderBy(at).rangeBetween(-back, ahead)
+        on = F.when(F.col("value") != 0, 1.0).otherwise(0.0)
+        return df.withColumn("value", F.max(on).over(w) if size > 0 else F.when(F.count("*").over(w) == n, F.min(on).over(w)).otherwise(0.0))
 
     return along(along(pixels, across, "y", "x"), down, "x", "y")
 
 
+def gaussian(pixels: DataFrame, sigma: float, reach: float = 4.0) -> DataFrame:
+    """Blur by a Gaussian cut at ``reach`` sigmas, along columns, then rows; the image is mirrored at its borders."""
+    radius = int(reach * sigma + 0.5)
+    weights = [exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
+
+    def along(df: DataFrame, at: str, line: str) -> DataFrame:
+        size = F.max(at).over(Window.partitionBy("image_id")) + 1
+        spread = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w / sum(weights)).alias("w")) for k, w in zip(range(-radius, radius + 1), weights)]))
+        # Each pixel gives its share to those whose mirrored window reads it.
+        first = df.withColumn("__n", size).withColumn("__s", spread)
+        spots = F.filter(F.transform(F.sequence(F.lit(-1 - radius), F.lit(1 + radius)), lambda r: F.when(r % 2 == 0, r * F.col("__n") + F.col(at)).otherwise((r + 1) * F.col("__n") - 1 - F.col(at)) - F.col("__s.k")), lambda t: (t >= 0) & (t < F.col("__n")))
+        spread_out = first.withColumn("__t", F.explode(spots))
+        return spread_out.groupBy("image_id", line, F.col("__t").cast("int").alias(at)).agg(F.sum(F.col("value") * F.col("__s.w")).alias("value")).select("image_id", "y", "x", "value")
+
+    return along(along(pixels, "y", "x"), "x", "y")
+
+
 def blend(image: DataFrame, overlay: DataFrame, alpha: Column) -> DataFrame:
     """image * (1 - alpha) + overlay * alpha at each pixel; both tables have the key columns and ``value``."""
     keys = [c for c in image.columns if c != "value"]
@@ -95,13 +121,19 @@ def decode_runs(runs: DataFrame, height: int) -> DataFrame:
     return runs.select("image_id", F.explode(F.flatten(F.transform(spans, lambda s: F.sequence(s["a"], s["b"] - 1)))).alias("p")).select("image_id", (F.col("p") % height).alias("y"), F.floor(F.col("p") / height).alias("x"))
 
 
-def edges(labels: DataFrame, ignore: int = 255) -> DataFrame:
-    """1 where a pixel's label differs from that to its right or below, both counted; ``ignore`` never differs."""
+def edges(labels: DataFrame, ignore: int = 255, width: int = 3) -> DataFrame:
+    """1 near a border of labels: where a label differs from that above, to the right, or diagonally below on
+    either side, widened to ``width`` pixels. ``ignore`` never differs."""
     v = F.col("value")
-    right = F.lead("value").over(Window.partitionBy("image_id", "y").orderBy("x"))
-    below = F.lead("value").over(Window.partitionBy("image_id", "x").orderBy("y"))
-    differs = lambda o: F.coalesce((o != v) & (o != ignore) & (v != ignore), F.lit(False))
-    return labels.withColumn("edge", (differs(right) | differs(below)).cast("int"))
+    line, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
+    near = labels.withColumns({"__r": F.lead("value").over(line), "__u": F.lag("value").over(column)})
+    falling, rising = (Window.partitionBy("image_id", d).orderBy("y") for d in (F.col("x") - F.col("y"), F.col("x") + F.col("y")))
+    near = near.withColumns({"__f": F.lead("value").over(falling), "__g": F.lead("value").over(rising)})
+    differs = lambda o: F.coalesce((F.col(o) != v) & (F.col(o) != ignore) & (v != ignore), F.lit(False))
+    marked = near.withColumn("__e", (differs("__r") | differs("__u") | differs("__f") | differs("__g")).cast("int"))
+    half = width // 2
+    across = F.max("__e").over(line.rangeBetween(-half, half))
+    return marked.withColumn("__a", across).withColumn("edge", F.max("__a").over(column.rangeBetween(-half, half))).drop("__r", "__u", "__f", "__g", "__e", "__a")
 
 
 def part_mask(labels: DataFrame, parts: list[int], without: list[int] = ()) -> DataFrame:

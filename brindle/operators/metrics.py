@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.session import checkpointed
+
 
 def confusion(pairs: DataFrame, truth: str, predicted: str) -> DataFrame:
     """(truth, predicted, n): partial counts are merged by the shuffle."""
@@ -30,20 +32,73 @@ def segmentation_summary(scores: DataFrame) -> DataFrame:
     )
 
 
+def running_sums(df: DataFrame, by: list[str], order: list, values: dict[str, Column]) -> DataFrame:
+    """``df`` with running sums of ``values`` along ``order`` in each group of ``by``, and ``__p``, the range that holds the row.
+
+    A group may hold most rows, so no task takes it whole: rows are dealt to ranges of (by, order), each
+    range has its own running sums, and starts from the sum of the ranges before it, of which there are
+    few. The ranges lie in a checkpoint, as their borders are drawn anew whenever they are computed.
+    """
+    ranged = checkpointed(df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("__p", F.spark_partition_id()))
+    keys = [*by, "__p"]
+    totals = ranged.groupBy(*keys).agg(*[F.sum(v).alias(f"__all_{k}") for k, v in values.items()])
+    before = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, *[F.coalesce(F.sum(f"__all_{k}").over(before), F.lit(0)).alias(f"__from_{k}") for k in values])
+    local = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranged.join(starts, keys)
+    return joined.withColumns({k: F.col(f"__from_{k}") + F.sum(v).over(local) for k, v in values.items()}).drop(*[f"__from_{k}" for k in values])
+
+
+def running_max_from_end(df: DataFrame, by: list[str], place: str, value: str, name: str) -> DataFrame:
+    """``df`` (with ``__p`` of ``running_sums``) with the greatest ``value`` at or after each row in the order of ``place``."""
+    keys = [*by, "__p"]
+    tops = df.groupBy(*keys).agg(F.max(value).alias("__top"))
+    later = tops.select(*keys, F.max("__top").over(Window.partitionBy(*by).orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, -1)).alias("__later"))
+    local = Window.partitionBy(*keys).orderBy(F.desc(place)).rowsBetween(Window.unboundedPreceding, 0)  # a frame that ends here costs a step, one that begins here the rest
+    return df.join(later, keys).withColumn(name, F.greatest(F.max(value).over(local), F.col("__later"))).drop("__later")
+
+
 def precision_recall(detections: DataFrame, by: list[str], score: str, hit: str, positives: str, order: list[str]) -> DataFrame:
-    """Running tp, fp, recall, precision, and the precision envelope from the right."""
-    running = Window.partitionBy(*by).orderBy(F.desc(score), *order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy(F.desc(score), *order).rowsBetween(0, Window.unboundedFollowing)
-    made = detections.withColumns({"tp": F.sum(F.col(hit).cast("long")).over(running), "seen": F.count("*").over(running)})
+    """Running tp, seen, recall, precision, and the precision envelope from the right."""
+    ordered = [F.desc(score), *[F.col(c) for c in order]]
+    made = running_sums(detections, by, ordered, {"tp": F.col(hit).cast("long"), "seen": F.lit(1).cast("long")})
     made = made.withColumns({"recall": F.col("tp") / F.greatest(F.col(positives), F.lit(1)), "precision": F.col("tp") / F.col("seen")})
-    return made.withColumn("envelope", F.max("precision").over(ahead))
+    return running_max_from_end(made, by, "seen", "precision", "envelope").drop("__p")
+
+
+def average_precision(curve: DataFrame, by: list[str], hit: str = "hit") -> DataFrame:
+    """Area under the envelope: each hit is a step of recall."""
+    return curve.groupBy(*by).agg(F.sum(F.when(F.col(hit), F.col("recall") / F.col("tp") * F.col("envelope")).otherwise(0.0)).alias("ap"))
+
+
+def accumulate(matches: DataFrame, positives: DataFrame, by: list[str], score: str, order: list[str], levels: int = 101) -> tuple[DataFrame, DataFrame]:
+    """Precision at recall levels, and final recall, for each ``by`` (threshold, category, area range, limit).
+
+    ``matches`` has hit and ignored beside ``by``: an ignored detection counts neither way. ``positives`` has
+    the number of truths (by the keys that it has of ``by``); a combination without truths has -1 everywhere.
+    Precision (by, level, precision) is that of the first place that reaches a level on the envelope, else 0.
+    """
+    counted = F.col("hit") & ~F.col("ignored")
+    missed = ~F.col("hit") & ~F.col("ignored")
+    ordered = [F.desc(score), *[F.col(c) for c in order]]
+    curve = running_sums(matches, by, ordered, {"tp": counted.cast("long"), "fp": missed.cast("long"), "place": F.lit(1).cast("long")})
+    keys = [c for c in positives.columns if c in by]
+    curve = curve.join(positives.withColumnRenamed("positives", "__n"), keys).withColumns({"recall": F.col("tp") / F.col("__n"), "precision": F.col("tp") / (F.col("tp") + F.col("fp") + F.lit(2.0**-52))})
+    curve = running_max_from_end(curve, by, "place", "precision", "envelope")
+    # Recall and envelope are monotone, so what the first place at a level has is the greatest envelope from there on.
+    reached = curve.groupBy(*by, "recall").agg(F.max("envelope").alias("envelope")).withColumn("level", F.explode(F.filter(F.sequence(F.lit(0), F.lit(levels - 1)), lambda k: k / (levels - 1) <= F.col("recall"))))
+    best = reached.groupBy(*by, "level").agg(F.max("envelope").alias("precision"))
+    every = matches.select(*by).distinct().join(positives, keys)
+    grid = every.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    value = lambda c: F.when(F.col("positives") == 0, -1.0).otherwise(F.coalesce(c, F.lit(0.0)))
+    precision = grid.join(best, [*by, "level"], "left").select(*by, "level", value("precision").alias("precision"))
+    recall = every.join(curve.groupBy(*by).agg(F.max("recall").alias("r")), by, "left").select(*by, value("r").alias("recall"))
+    return precision, recall
 
 
-def average_precision(curve: DataFrame, by: list[str], score: str, order: list[str]) -> DataFrame:
-    """Area under the envelope: the sum of recall steps times envelope."""
-    w = Window.partitionBy(*by).orderBy(F.desc(score), *order)
-    steps = curve.withColumn("step", F.col("recall") - F.lag("recall", 1, 0.0).over(w))
-    return steps.groupBy(*by).agg(F.sum(F.col("step") * F.col("envelope")).alias("ap"))
+def summarize(values: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """The mean of what is above -1, which marks combinations without truths; -1 if nothing is."""
+    return values.groupBy(*by).agg(F.coalesce(F.avg(F.when(F.col(value) > -1, F.col(value))), F.lit(-1.0)).alias("mean"))
 
 
 def interpolated_precision(curve: DataFrame, by: list[str], points: int = 101) -> DataFrame:
@@ -78,12 +133,12 @@ def balance_weights(counts: DataFrame, n: str) -> DataFrame:
 
 def jaccard_gradient(errors: DataFrame, by: list[str], error: str, truth: str, order: list[str]) -> DataFrame:
     """First differences of the Jaccard loss along falling errors."""
-    w = Window.partitionBy(*by).orderBy(F.desc(error), *order)
-    run, every = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    positives = F.sum(truth).over(every)
-    loss = 1 - (positives - F.sum(truth).over(run)) / (positives + F.sum(1 - F.col(truth)).over(run))
-    made = errors.withColumn("jaccard", loss)
-    return made.withColumn("gradient", F.col("jaccard") - F.lag("jaccard", 1, 0.0).over(w))
+    totals = errors.groupBy(*by).agg(F.sum(truth).alias("__pos"))
+    run = running_sums(errors, by, [F.desc(error), *[F.col(c) for c in order]], {"__t": F.col(truth), "__f": 1 - F.col(truth)}).join(totals, by)
+    loss = lambda t, f: 1 - F.try_divide(F.col("__pos") - t, F.col("__pos") + f)
+    before = F.coalesce(loss(F.col("__t") - F.col(truth), F.col("__f") - (1 - F.col(truth))), F.lit(0.0))
+    made = run.withColumn("jaccard", loss(F.col("__t"), F.col("__f")))
+    return made.withColumn("gradient", F.col("jaccard") - before).drop("__p", "__t", "__f", "__pos")
 
 
 def check_expected(results: DataFrame, expected: DataFrame) -> DataFrame:

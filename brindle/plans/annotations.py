@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import geometry
@@ -33,6 +33,30 @@ q AS (SELECT *, tp / greatest(p, 1) AS recall, tp / seen AS prec FROM r), e AS (
 recall - lag(recall, 1, 0) OVER (PARTITION BY l_returnflag ORDER BY seen) AS step FROM q)"""
 
 
+DETECTIONS = f"""det AS (SELECT l_suppkey AS image, l_returnflag AS label, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY {KEYS}) AS det_id, l_discount AS score, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM {BOXES})"""
+
+
+def _iou_sql(a: str, b: str) -> str:
+    both = f"greatest(0, least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) * greatest(0, least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0))"
+    return f"({both}) / (({a}.x1 - {a}.x0) * ({a}.y1 - {a}.y0) + ({b}.x1 - {b}.x0) * ({b}.y1 - {b}.y0) - {both})"
+
+
+def suppressed_sql(source: str, threshold: float) -> str:
+    """Suppression step by step: row n of each group stays if it overlaps none that stayed."""
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY image, label ORDER BY score DESC, det_id) AS n, {{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} AS b FROM ({source})),
+    s AS (SELECT image, label, n, [b] AS boxes, true AS stays, det_id FROM o WHERE n = 1
+    UNION ALL SELECT o.image, o.label, o.n, CASE WHEN t.ok THEN list_append(t.boxes, o.b) ELSE t.boxes END, t.ok, o.det_id FROM o JOIN LATERAL (SELECT s.boxes, len(list_filter(s.boxes, lambda k: {_iou_sql('k', 'o.b')} > {threshold})) = 0 AS ok FROM s WHERE s.image = o.image AND s.label = o.label AND s.n = o.n - 1) t ON true),
+    kept AS (SELECT o.* FROM o JOIN s USING (image, label, n) WHERE s.stays)"""
+
+
+MATCHED = f"""pairs AS (SELECT a.image, a.label, a.det_id, b.det_id AS gt, {_iou_sql('a', 'b')} AS iou FROM det a JOIN det b USING (image, label) WHERE a.det_id % 2 = 0 AND b.det_id % 2 <> 0),
+near AS (SELECT image, label, det_id, list({{'gt': gt, 'iou': iou}} ORDER BY iou DESC, gt) AS c FROM pairs WHERE iou >= 0.3 GROUP BY ALL),
+o AS (SELECT d.image, d.label, d.det_id, d.score, coalesce(c, []) AS c, row_number() OVER (PARTITION BY d.image, d.label ORDER BY d.score DESC, d.det_id) AS n FROM det d LEFT JOIN near USING (image, label, det_id) WHERE d.det_id % 2 = 0),
+g AS (SELECT image, label, n, det_id, score, c[1] AS hit, list_filter([c[1].gt], lambda x: x IS NOT NULL) AS taken FROM o WHERE n = 1
+UNION ALL SELECT o.image, o.label, o.n, o.det_id, o.score, list_filter(o.c, lambda k: NOT list_contains(g.taken, k.gt))[1], list_filter(list_append(g.taken, list_filter(o.c, lambda k: NOT list_contains(g.taken, k.gt))[1].gt), lambda x: x IS NOT NULL) FROM o JOIN g ON o.image = g.image AND o.label = g.label AND o.n = g.n + 1),
+m AS (SELECT image, label, det_id, score, hit.gt AS gt_id, coalesce(hit.iou, 0.0) AS iou FROM g)"""
+
+
 def register(registry: Registry) -> None:
     add = registry.add
     cats = lambda s, d: table(s, d, "lineitem").select("l_returnflag").distinct()
@@ -97,8 +121,6 @@ def register(registry: Registry) -> None:
     def sides(s, d):
         b = boxes(s, d).withColumn("id", F.xxhash64("l_orderkey", *TIES))
         # A row key that both engines can state: its place in its order.
-        from pyspark.sql import Window
-
         b = b.withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*TIES)))
         left, right = b.filter("l_linestatus = 'O'"), b.filter("l_linestatus <> 'O'")
         name = lambda df, p: df.select("l_orderkey", F.col("k").cast("long").alias(f"{p}id"), *[F.col(c).alias(f"{p}{c}") for c in ("x0", "y0", "x1", "y1")])
@@ -131,7 +153,7 @@ def register(registry: Registry) -> None:
         """SELECT l_suppkey, l_returnflag, l_discount, l_orderkey, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_discount DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS m FROM (
         SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_discount DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS n FROM lineitem) WHERE n <= 5) WHERE m <= 8""",
     )
-    add("average_precision", lambda s, d: metrics.average_precision(_curve(s, d), ["l_returnflag"], "l_discount", ["l_orderkey", *TIES]).withColumn("ap", F.round("ap", 9)), f"WITH {CURVE} SELECT l_returnflag, round(sum(step * env), 9) AS ap FROM e GROUP BY 1")
+    add("average_precision", lambda s, d: metrics.average_precision(_curve(s, d), ["l_returnflag"]).withColumn("ap", F.round("ap", 9)), f"WITH {CURVE} SELECT l_returnflag, round(sum(step * env), 9) AS ap FROM e GROUP BY 1")
     add(
         "interpolated_precision",
         lambda s, d: metrics.interpolated_precision(_curve(s, d), ["l_returnflag"], 11).withColumn("ap", F.round("ap", 9)),
@@ -181,22 +203,77 @@ def register(registry: Registry) -> None:
     )
 
     def detections(s, d):
-        return boxes(s, d).select(F.col("l_suppkey").alias("image"), F.col("l_returnflag").alias("label"), F.xxhash64("l_orderkey", *TIES).alias("det_id"), F.col("l_discount").alias("score"), "x0", "y0", "x1", "y1")
+        number = F.row_number().over(Window.partitionBy("l_suppkey", "l_returnflag").orderBy("l_orderkey", *TIES)).cast("long")
+        return boxes(s, d).select(F.col("l_suppkey").alias("image"), F.col("l_returnflag").alias("label"), number.alias("det_id"), F.col("l_discount").alias("score"), "x0", "y0", "x1", "y1")
 
-    add("nms_per_class", lambda s, d: matching.non_maximum_suppression(detections(s, d), ["image", "label"], 0.5, ties=["det_id"]))
-    add("detections_per_image", lambda s, d: matching.detections_per_image(detections(s, d), "image", "label", 0.5, 0.02, 10, ["det_id"]))
+    add(
+        "nms_per_class",
+        lambda s, d: matching.non_maximum_suppression(detections(s, d), ["image", "label"], 0.5, ties=["det_id"]),
+        f"WITH RECURSIVE {DETECTIONS}, {suppressed_sql('SELECT * FROM det', 0.5)} SELECT image, label, det_id, score, x0, y0, x1, y1 FROM kept",
+    )
+    add(
+        "detections_per_image",
+        lambda s, d: matching.detections_per_image(detections(s, d), "image", "label", 0.5, 0.02, 10, ["label", "det_id"]),
+        f"""WITH RECURSIVE {DETECTIONS}, {suppressed_sql('SELECT * FROM det WHERE score > 0.02', 0.5)}
+        SELECT image, label, det_id, score, x0, y0, x1, y1 FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, label, det_id) AS place FROM kept) WHERE place <= 10""",
+    )
 
     def matched(s, d):
         found = detections(s, d).filter("det_id % 2 = 0")
         truth = detections(s, d).filter("det_id % 2 <> 0").withColumnRenamed("det_id", "gt_id").drop("score")
         return matching.greedy_match(found, truth, ["image", "label"], 0.3, ["det_id"])
 
-    add("greedy_detection_match", matched)
+    add("greedy_detection_match", lambda s, d: matched(s, d).withColumn("iou", F.round("iou", 9)), f"WITH RECURSIVE {DETECTIONS}, {MATCHED} SELECT image, label, det_id, score, gt_id, round(iou, 9) AS iou, gt_id IS NOT NULL AS hit FROM m")
 
     def flagship(s, d):
         hits = matched(s, d)
         n = detections(s, d).filter("det_id % 2 <> 0").groupBy("label").agg(F.count("*").alias("positives"))
-        curve = metrics.precision_recall(hits.join(F.broadcast(n), "label"), ["label"], "score", "hit", "positives", ["det_id"])
-        return metrics.average_precision(curve, ["label"], "score", ["det_id"])
+        curve = metrics.precision_recall(hits.join(F.broadcast(n), "label"), ["label"], "score", "hit", "positives", ["image", "det_id"])
+        return metrics.average_precision(curve, ["label"]).withColumn("ap", F.round("ap", 9))
+
+    add(
+        "class_average_precision",
+        flagship,
+        f"""WITH RECURSIVE {DETECTIONS}, {MATCHED}, n AS (SELECT label, count(*) AS p FROM det WHERE det_id % 2 <> 0 GROUP BY 1),
+        c AS (SELECT label, p, gt_id IS NOT NULL AS hit, row_number() OVER o AS seen, sum((gt_id IS NOT NULL)::INT) OVER o AS tp FROM m JOIN n USING (label) WINDOW o AS (PARTITION BY label ORDER BY score DESC, image, det_id)),
+        e AS (SELECT *, max(tp / seen) OVER (PARTITION BY label ORDER BY seen DESC) AS env FROM c) SELECT label, round(sum(CASE WHEN hit THEN env / p ELSE 0 END), 9) AS ap FROM e GROUP BY 1""",
+    )
+
+    # Thresholds, area ranges and limits: a detection hits if its quantity is great enough for the threshold.
+    areas = {"all": (0.0, 1e9), "small": (0.0, 3e4), "large": (3e4, 1e9)}
+
+    def coco(s, d):
+        rows = table(s, d, "lineitem").filter("l_linestatus = 'O'").select("l_orderkey", *TIES, "l_returnflag", "l_discount", "l_quantity", "l_tax")
+        options = [F.struct(F.lit(t).alias("threshold"), F.lit(a).alias("area"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(m).alias("most")) for t in (0.5, 0.75) for a, (lo, hi) in areas.items() for m in (2, 100)]
+        wide = rows.withColumn("o", F.explode(F.array(*options))).filter(F.col("l_linenumber") <= F.col("o.most"))
+        outside = (F.col("l_extendedprice") < F.col("o.lo")) | (F.col("l_extendedprice") >= F.col("o.hi"))
+        found = wide.select("l_orderkey", *TIES, "l_returnflag", "l_discount", F.col("o.threshold").alias("threshold"), F.col("o.area").alias("area"), F.col("o.most").alias("most"), (F.col("l_quantity") > 50 * F.col("o.threshold")).alias("hit"), (outside | (F.col("l_tax") > 0.06)).alias("ignored"))
+        truths = rows.select("l_returnflag", F.explode(F.array(*[F.lit(a) for a in areas])).alias("area")).groupBy("l_returnflag", "area").agg(F.lit(0).alias("z"))
+        counts = rows.withColumn("a", F.explode(F.array(*[F.struct(F.lit(a).alias("area"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for a, (lo, hi) in areas.items()])))
+        n = counts.filter((F.col("l_extendedprice") >= F.col("a.lo")) & (F.col("l_extendedprice") < F.col("a.hi")) & (F.col("l_quantity") > 20)).groupBy("l_returnflag", F.col("a.area").alias("area")).agg(F.count("*").alias("positives"))
+        n = truths.join(n, ["l_returnflag", "area"], "left").select("l_returnflag", "area", F.coalesce("positives", F.lit(0)).alias("positives"))
+        return metrics.accumulate(found, n, ["threshold", "l_returnflag", "area", "most"], "l_discount", ["l_orderkey", *TIES], 11)
 
-    add("class_average_precision", flagship)
+    coco_sql = f"""r AS (SELECT * FROM lineitem WHERE l_linestatus = 'O'), a AS (SELECT * FROM (VALUES ('all', 0.0, 1e9), ('small', 0.0, 3e4), ('large', 3e4, 1e9)) v(area, lo, hi)),
+    n AS (SELECT l_returnflag, area, count(*) FILTER (l_extendedprice >= lo AND l_extendedprice < hi AND l_quantity > 20) AS p FROM r, a GROUP BY ALL),
+    f AS (SELECT r.*, threshold, area, most, l_quantity > 50 * threshold AS hit, l_extendedprice < lo OR l_extendedprice >= hi OR l_tax > 0.06 AS ign FROM r, a, (VALUES (0.5), (0.75)) t(threshold), (VALUES (2), (100)) k(most) WHERE l_linenumber <= most),
+    c AS (SELECT threshold, l_returnflag, area, most, p, sum((hit AND NOT ign)::INT) OVER o AS tp, sum((NOT hit AND NOT ign)::INT) OVER o AS fp, row_number() OVER o AS place FROM f JOIN n USING (l_returnflag, area) WINDOW o AS (PARTITION BY threshold, l_returnflag, area, most ORDER BY l_discount DESC, {KEYS} ROWS UNBOUNDED PRECEDING)),
+    q AS (SELECT *, tp / nullif(p, 0) AS rc, tp / (tp + fp + power(2.0, -52)) AS pr FROM c), e AS (SELECT *, max(pr) OVER (PARTITION BY threshold, l_returnflag, area, most ORDER BY place DESC) AS env FROM q),
+    g AS (SELECT DISTINCT threshold, l_returnflag, area, most, p FROM e),
+    precs AS (SELECT g.threshold, g.l_returnflag, g.area, g.most, k AS level, CASE WHEN g.p = 0 THEN -1.0 ELSE coalesce((SELECT max(env) FROM e WHERE e.threshold = g.threshold AND e.l_returnflag = g.l_returnflag AND e.area = g.area AND e.most = g.most AND rc >= k / 10), 0) END AS prec FROM g, range(11) x(k)),
+    recs AS (SELECT threshold, l_returnflag, area, most, CASE WHEN max(p) = 0 THEN -1.0 ELSE max(rc) END AS recall FROM e GROUP BY ALL)"""
+    add(
+        "coco_accumulate",
+        lambda s, d: coco(s, d)[0].select(F.col("threshold").cast("double").alias("threshold"), "l_returnflag", "area", "most", "level", F.round("precision", 9).alias("precision")),
+        f"WITH {coco_sql} SELECT CAST(threshold AS DOUBLE) AS threshold, l_returnflag, area, most, CAST(level AS INT) AS level, round(CAST(prec AS DOUBLE), 9) AS precision FROM precs",
+    )
+    add(
+        "coco_summary",
+        lambda s, d: metrics.summarize(coco(s, d)[0], "precision", ["area", "most"]).withColumn("mean", F.round("mean", 8)),
+        f"WITH {coco_sql} SELECT area, most, round(CAST(coalesce(avg(prec) FILTER (prec > -1), -1) AS DOUBLE), 8) AS mean FROM precs GROUP BY ALL",
+    )
+    add(
+        "coco_recall",
+        lambda s, d: metrics.summarize(coco(s, d)[1], "recall", ["area", "most"]).withColumn("mean", F.round("mean", 8)),
+        f"WITH {coco_sql} SELECT area, most, round(CAST(coalesce(avg(recall) FILTER (recall > -1), -1) AS DOUBLE), 8) AS mean FROM recs GROUP BY ALL",
+    )

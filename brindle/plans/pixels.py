@@ -17,6 +17,11 @@ def _grid(s):
     return masks.grid(s, N_IMAGES, HEIGHT, WIDTH, F.when(on, 1.0).otherwise(0.0))
 
 
+def _labels(s):
+    x, y, i = F.col("x"), F.col("y"), F.col("image_id")
+    return _grid(s).withColumn("value", F.when((x + y + i) % 17 == 0, 255).otherwise(((F.floor(x / 4) + i) * F.floor(y / 5)) % 3))
+
+
 def register(registry: Registry) -> None:
     add = registry.add
     add(
@@ -32,9 +37,9 @@ def register(registry: Registry) -> None:
     )
     add(
         "mask_dilate_erode",
-        lambda s, d: masks.morphology(_grid(s), 2, -1).select("image_id", "y", "x", "value"),
-        f"""WITH a AS (SELECT image_id, y, x, max(value) OVER (PARTITION BY image_id, y ORDER BY x RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM {GRID})
-        SELECT image_id, y, x, min(v) OVER (PARTITION BY image_id, x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS value FROM a""",
+        lambda s, d: masks.morphology(_grid(s), 4, -3).select("image_id", "y", "x", "value"),
+        f"""WITH a AS (SELECT image_id, y, x, max(value) OVER (PARTITION BY image_id, y ORDER BY x RANGE BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS v FROM {GRID})
+        SELECT image_id, y, x, CASE WHEN count(*) OVER w = 3 THEN min(v) OVER w ELSE 0.0::DOUBLE END AS value FROM a WINDOW w AS (PARTITION BY image_id, x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)""",
     )
     add(
         "mask_run_lengths",
@@ -72,9 +77,10 @@ def register(registry: Registry) -> None:
     )
     add(
         "label_edges",
-        lambda s, d: masks.edges(_grid(s)).groupBy("image_id").agg(F.sum("edge").alias("edges")),
-        f"""WITH e AS (SELECT image_id, coalesce(value <> lead(value) OVER (PARTITION BY image_id, y ORDER BY x), false) OR coalesce(value <> lead(value) OVER (PARTITION BY image_id, x ORDER BY y), false) AS e FROM {GRID})
-        SELECT image_id, CAST(sum(e::INT) AS BIGINT) AS edges FROM e GROUP BY image_id""",
+        lambda s, d: masks.edges(_labels(s)).select("image_id", "y", "x", "edge"),
+        f"""WITH l AS (SELECT image_id, y, x, CASE WHEN (x + y + image_id) % 17 = 0 THEN 255 ELSE ((x // 4 + image_id) * (y // 5)) % 3 END AS v FROM {GRID}),
+        e AS (SELECT a.image_id, a.y, a.x FROM l a JOIN l b ON a.image_id = b.image_id AND ((b.y = a.y - 1 AND b.x = a.x) OR (b.y = a.y AND b.x = a.x + 1) OR (b.y = a.y + 1 AND b.x IN (a.x - 1, a.x + 1))) WHERE a.v <> b.v AND a.v <> 255 AND b.v <> 255 GROUP BY ALL)
+        SELECT image_id, y, x, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.image_id = l.image_id AND abs(e.y - l.y) <= 1 AND abs(e.x - l.x) <= 1) THEN 1 ELSE 0 END AS edge FROM l""",
     )
     order = ["ts", "event_id"]
     add(
