@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.metrics import running_sums
+
 
 class Catalog:
     """Names of datasets; a loader runs when its name is read."""
@@ -54,7 +57,7 @@ def load_annotations(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.schema(ANNOTATION_FILE).option("multiLine", True).json(path)
     images = whole.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), "i.width", "i.height", "i.file_name")
     ranks = contiguous(whole.select(F.explode("categories.id").alias("category_id")), "category_id")
-    notes = whole.select(F.explode("annotations").alias("a")).select("a.*")
+    notes = _assert_unique(whole.select(F.explode("annotations").alias("a")).select("a.*"), "id")
     good = F.filter("segmentation", lambda p: (F.size(p) % 2 == 0) & (F.size(p) >= 6))
     notes = notes.withColumn("kept", good).filter(F.col("segmentation").isNull() | (F.size("segmentation") == 0) | (F.size("kept") > 0))
     points = F.transform("keypoints", lambda v, i: F.when(i % 3 == 2, v).otherwise(v + 0.5))
@@ -65,6 +68,13 @@ def load_annotations(spark: SparkSession, path: str) -> DataFrame:
     return images.join(nested, "image_id", "left").withColumn("annotations", F.coalesce("annotations", F.expr("array()").cast(nested.schema["annotations"].dataType)))
 
 
+def _assert_unique(notes: DataFrame, key: str) -> DataFrame:
+    """``notes``; reading it fails if an id occurs twice."""
+    n = F.count("*").over(Window.partitionBy(key))
+    checked = notes.withColumn("__ok", F.assert_true(n == 1, F.concat(F.lit(f"{key} occurs twice: "), F.col(key).cast("string"))))
+    return checked.filter("__ok IS NULL").drop("__ok")
+
+
 def duplicate_ids(notes: DataFrame, key: str = "id") -> DataFrame:
     """Ids that occur more than once; a valid file has none."""
     return notes.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
@@ -74,9 +84,12 @@ def export_annotations(images: DataFrame, categories: DataFrame) -> DataFrame:
     """Flat annotation rows with ids from 1 in the order of images, rounded boxes and original categories."""
     flat = images.select("image_id", F.posexplode("annotations").alias("pos", "a")).join(F.broadcast(categories), F.col("a.category_id") == F.col("contiguous_id"))
     box = F.transform("a.bbox", lambda v: F.bround(v, 3))
-    counts = Window.orderBy("image_id", "pos")
+    # Ids count on from image to image: sizes of images are summed over ranges, so no task sees all annotations.
+    sizes = images.select("image_id", F.size("annotations").cast("long").alias("__n"))
+    ends = running_sums(sizes, [], [F.col("image_id")], {"__end": F.col("__n")}).select("image_id", (F.col("__end") - F.col("__n")).alias("__start"))
+    flat = flat.join(ends, "image_id")
     return flat.select(
-        F.row_number().over(counts).alias("id"), "image_id", box.alias("bbox"), F.col("category_id"), F.coalesce("a.iscrowd", F.lit(0)).alias("iscrowd"),
+        (F.col("__start") + F.col("pos") + 1).cast("long").alias("id"), "image_id", box.alias("bbox"), F.col("category_id"), F.coalesce("a.iscrowd", F.lit(0)).alias("iscrowd"),
         F.bround(F.get("a.bbox", F.lit(2)) * F.get("a.bbox", F.lit(3)), 3).alias("area"),
         F.transform("a.keypoints", lambda v, i: F.when(i % 3 == 2, v).otherwise(v - 0.5)).alias("keypoints"),
     )
@@ -93,6 +106,52 @@ def with_keypoints(images: DataFrame, least: int) -> DataFrame:
     return images.filter(F.aggregate("annotations", F.lit(0), lambda s, a: s + visible(a)) >= least)
 
 
+def keep_images(images: DataFrame, general: Column, any_of: list[Column]) -> DataFrame:
+    """Images that satisfy ``general`` and at least one of the others, if there are any (key points, masks, surface points)."""
+    test = F.coalesce(general, F.lit(False))
+    return images.filter(test & F.coalesce(reduce(lambda a, b: a | b, any_of), F.lit(False)) if any_of else test)
+
+
+def with_field(field: str) -> Column:
+    """Whether an annotation that is no crowd has a field that is neither null nor empty."""
+    return F.exists("annotations", lambda a: (F.coalesce(a["iscrowd"], F.lit(0)) == 0) & F.coalesce(F.size(a[field]) > 0, F.lit(False)))
+
+
+def foreground(proposals: DataFrame, label: str, background: int) -> DataFrame:
+    """Proposals with a real class: neither ignored (-1) nor background."""
+    return proposals.filter((F.col(label) > -1) & (F.col(label) != background))
+
+
+def with_visible_point(proposals: DataFrame, points: str) -> DataFrame:
+    """Proposals whose box (x0..y1) holds a visible key point of array<struct<x, y, v>>."""
+    return proposals.filter(F.exists(points, lambda p: (p["v"] >= 1) & p["x"].between(F.col("x0"), F.col("x1")) & p["y"].between(F.col("y0"), F.col("y1"))))
+
+
+def finite(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose numbers are all there and finite."""
+    return df.filter(reduce(lambda a, b: a & b, [F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)) for c in map(lambda c: F.col(c).cast("double"), columns)]))
+
+
+def map_or_fallback(df: DataFrame, by: list[str], order: list[str], made: Column) -> DataFrame:
+    """``made`` for each row, and where it is null that of the next row of the group that has one (the first one after the last)."""
+    tried = df.withColumn("made", made)
+    ahead = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    first = Window.partitionBy(*by)
+    return tried.withColumns({"__next": F.last("made", ignorenulls=True).over(ahead), "__first": F.min_by("made", F.when(F.col("made").isNotNull(), F.struct(*order))).over(first)}).withColumn("made", F.coalesce("__next", "__first")).drop("__next", "__first")
+
+
+def inconsistent(metadata: DataFrame) -> DataFrame:
+    """Keys of (dataset, key, value) that datasets give different values."""
+    return metadata.groupBy("key").agg(F.count_distinct("value").alias("values")).filter("values > 1")
+
+
+def empty_instances(annotations: DataFrame, by_box: bool = True, by_mask: bool = True, threshold: float = 1e-5) -> DataFrame:
+    """Annotations (x0..y1, mask_area) whose box or mask is empty."""
+    box = ~((F.col("x1") - F.col("x0") > threshold) & (F.col("y1") - F.col("y0") > threshold))
+    tests = ([box] if by_box else []) + ([F.coalesce(F.col("mask_area"), F.lit(0)) <= 0] if by_mask else [])
+    return annotations.filter(reduce(lambda a, b: a | b, tests))
+
+
 def keep_categories(images: DataFrame, mapping: dict[int, int]) -> DataFrame:
     """Annotations of the listed categories, renumbered; images that lose all of them go."""
     table = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])

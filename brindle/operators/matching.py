@@ -135,3 +135,22 @@ def nearest(points: DataFrame, candidates: DataFrame, part: str) -> DataFrame:
     """For each point (id, u, v) the candidate (vertex, cu, cv) of its part with the least distance, ties to the smaller one."""
     d = (F.col("u") - F.col("cu")) ** 2 + (F.col("v") - F.col("cv")) ** 2
     return points.join(candidates, part).groupBy("id").agg(F.min_by("vertex", F.struct(d, F.col("vertex"))).alias("vertex"), F.min(d).alias("d2"))
+
+
+def panoptic_merge(instances: DataFrame, semantic: DataFrame, by: str, threshold: float, least_score: float, least_stuff: int, things: int = 0) -> DataFrame:
+    """Segments (by, segment, is_thing, label, pixel): instance masks first (``mask_suppression``), then the free pixels of
+    each stuff label, if there are enough of them.
+
+    ``instances`` has (by, mask_id, score, pixel, label), ``semantic`` (by, pixel, label); the label ``things`` stands for all things.
+    Segments are numbered from 1: instances by falling score, then stuff by label.
+    """
+    kept = mask_suppression(instances, by, threshold, least_score)
+    labels = instances.select(by, "mask_id", "label").distinct()
+    order = Window.partitionBy(by).orderBy(F.desc("score"), "mask_id")
+    first = kept.join(labels, [by, "mask_id"]).withColumn("segment", F.dense_rank().over(order)).select(by, "segment", F.lit(True).alias("is_thing"), "label", "pixel")
+    free = semantic.filter(F.col("label") != things).join(kept.select(by, "pixel"), [by, "pixel"], "left_anti")
+    large = free.groupBy(by, "label").agg(F.count("*").alias("n")).filter(F.col("n") >= least_stuff)
+    used = first.groupBy(by).agg(F.max("segment").alias("__used"))
+    numbered = large.join(used, by, "left").withColumn("segment", F.coalesce("__used", F.lit(0)) + F.row_number().over(Window.partitionBy(by).orderBy("label")))
+    stuff = free.join(numbered.select(by, "label", "segment"), [by, "label"]).select(by, "segment", F.lit(False).alias("is_thing"), "label", "pixel")
+    return first.unionByName(stuff)

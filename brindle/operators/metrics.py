@@ -40,7 +40,7 @@ def running_sums(df: DataFrame, by: list[str], order: list, values: dict[str, Co
     few. The ranges lie in a checkpoint, as their borders are drawn anew whenever they are computed.
     """
     ranged = checkpointed(df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("__p", F.spark_partition_id()))
-    keys = [*by, "__p"]
+    keys = [*by, "__p"]  # without ``by`` the sums of the ranges meet in one task, a row for each range
     totals = ranged.groupBy(*keys).agg(*[F.sum(v).alias(f"__all_{k}") for k, v in values.items()])
     before = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*keys, *[F.coalesce(F.sum(f"__all_{k}").over(before), F.lit(0)).alias(f"__from_{k}") for k in values])

@@ -41,8 +41,9 @@ def detector_grid(spark: SparkSession, width: int, height: int, strides: list[in
 
 
 def decode_grid(rows: DataFrame, grid: DataFrame) -> DataFrame:
-    """(index, dx, dy, dw, dh) to centre and size in pixels."""
-    return rows.join(F.broadcast(grid), "index").select("index", ((F.col("dx") + F.col("gx")) * F.col("stride")).alias("cx"), ((F.col("dy") + F.col("gy")) * F.col("stride")).alias("cy"), (F.exp("dw") * F.col("stride")).alias("w"), (F.exp("dh") * F.col("stride")).alias("h"))
+    """dx, dy, dw, dh at a grid index to centre and size in pixels; further columns stay."""
+    own = [c for c in rows.columns if c not in ("dx", "dy", "dw", "dh")]
+    return rows.join(F.broadcast(grid), "index").select(*own, ((F.col("dx") + F.col("gx")) * F.col("stride")).alias("cx"), ((F.col("dy") + F.col("gy")) * F.col("stride")).alias("cy"), (F.exp("dw") * F.col("stride")).alias("w"), (F.exp("dh") * F.col("stride")).alias("h"))
 
 
 def palette(spark: SparkSession, n: int) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def _joined_runs(y: np.ndarray, first: np.ndarray, last: np.ndarray, reach: int) -> np.ndarray:
@@ -46,7 +47,7 @@ def regions(pixels: DataFrame, diagonal: bool = True, on: str = "value > 0.5") -
         root = _joined_runs(image["y"].to_numpy(), image["first"].to_numpy(), image["last"].to_numpy(), int(diagonal))
         return image.assign(region_y=image["y"].to_numpy()[root], region_x=image["first"].to_numpy()[root])
 
-    named = runs.groupBy("image_id").applyInPandas(join, runs.schema.add("region_y", "long").add("region_x", "long"))
+    named = runs.groupBy("image_id").applyInPandas(join, StructType([*runs.schema.fields, StructField("region_y", LongType()), StructField("region_x", LongType())]))
     return named.select("image_id", "y", F.explode(F.sequence("first", "last")).alias("x"), F.struct("region_y", "region_x").alias("region"))
 
 

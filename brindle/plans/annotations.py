@@ -192,8 +192,8 @@ def register(registry: Registry) -> None:
     )
     add(
         "rank_shards",
-        lambda s, d: table(s, d, "customer").select("c_custkey", sampling.contiguous_shard(F.col("c_custkey"), 1500, 7).alias("shard"), sampling.interleaved_shard(F.col("c_custkey"), 7).alias("turn")),
-        "SELECT c_custkey, CAST(c_custkey // 215 AS BIGINT) AS shard, c_custkey % 7 AS turn FROM customer",
+        lambda s, d: table(s, d, "customer").select("c_custkey", sampling.contiguous_shard(F.col("c_custkey"), table(s, d, "customer").count(), 7).alias("shard"), sampling.interleaved_shard(F.col("c_custkey"), 7).alias("turn")),
+        "SELECT c_custkey, CAST(c_custkey // CAST(ceil((SELECT count(*) FROM customer) / 7) AS BIGINT) AS BIGINT) AS shard, c_custkey % 7 AS turn FROM customer",
     )
     add(
         "anchor_grid",
@@ -243,7 +243,7 @@ def register(registry: Registry) -> None:
     areas = {"all": (0.0, 1e9), "small": (0.0, 3e4), "large": (3e4, 1e9)}
 
     def coco(s, d):
-        rows = table(s, d, "lineitem").filter("l_linestatus = 'O'").select("l_orderkey", *TIES, "l_returnflag", "l_discount", "l_quantity", "l_tax")
+        rows = table(s, d, "lineitem").select("l_orderkey", *TIES, "l_returnflag", "l_discount", "l_quantity", "l_tax")
         options = [F.struct(F.lit(t).alias("threshold"), F.lit(a).alias("area"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(m).alias("most")) for t in (0.5, 0.75) for a, (lo, hi) in areas.items() for m in (2, 100)]
         wide = rows.withColumn("o", F.explode(F.array(*options))).filter(F.col("l_linenumber") <= F.col("o.most"))
         outside = (F.col("l_extendedprice") < F.col("o.lo")) | (F.col("l_extendedprice") >= F.col("o.hi"))
@@ -254,7 +254,7 @@ def register(registry: Registry) -> None:
         n = truths.join(n, ["l_returnflag", "area"], "left").select("l_returnflag", "area", F.coalesce("positives", F.lit(0)).alias("positives"))
         return metrics.accumulate(found, n, ["threshold", "l_returnflag", "area", "most"], "l_discount", ["l_orderkey", *TIES], 11)
 
-    coco_sql = f"""r AS (SELECT * FROM lineitem WHERE l_linestatus = 'O'), a AS (SELECT * FROM (VALUES ('all', 0.0, 1e9), ('small', 0.0, 3e4), ('large', 3e4, 1e9)) v(area, lo, hi)),
+    coco_sql = f"""r AS (SELECT * FROM lineitem), a AS (SELECT * FROM (VALUES ('all', 0.0, 1e9), ('small', 0.0, 3e4), ('large', 3e4, 1e9)) v(area, lo, hi)),
     n AS (SELECT l_returnflag, area, count(*) FILTER (l_extendedprice >= lo AND l_extendedprice < hi AND l_quantity > 20) AS p FROM r, a GROUP BY ALL),
     f AS (SELECT r.*, threshold, area, most, l_quantity > 50 * threshold AS hit, l_extendedprice < lo OR l_extendedprice >= hi OR l_tax > 0.06 AS ign FROM r, a, (VALUES (0.5), (0.75)) t(threshold), (VALUES (2), (100)) k(most) WHERE l_linenumber <= most),
     c AS (SELECT threshold, l_returnflag, area, most, p, sum((hit AND NOT ign)::INT) OVER o AS tp, sum((NOT hit AND NOT ign)::INT) OVER o AS fp, row_number() OVER o AS place FROM f JOIN n USING (l_returnflag, area) WINDOW o AS (PARTITION BY threshold, l_returnflag, area, most ORDER BY l_discount DESC, {KEYS} ROWS UNBOUNDED PRECEDING)),

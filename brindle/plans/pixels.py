@@ -60,15 +60,15 @@ def register(registry: Registry) -> None:
     )
 
     def layers(s, d):
-        g = _grid(s).filter("image_id < 8")
-        made = g.select((F.col("image_id") % 2).alias("image_id"), F.floor(F.col("image_id") / 2).alias("layer"), "y", "x", (F.col("value") + F.col("image_id")).alias("value"), (F.col("image_id") * 3 - 5).alias("dx"), (F.col("image_id") * 2 - 4).alias("dy"))
+        g = _grid(s)
+        made = g.select((F.col("image_id") % 5).alias("image_id"), F.floor(F.col("image_id") / 5).alias("layer"), "y", "x", (F.col("value") + F.col("image_id")).alias("value"), (F.col("image_id") - 5).alias("dx"), (F.col("image_id") - 14).alias("dy"))
         return masks.stack(made, 40, 30)
 
     add(
         "layer_stack",
         layers,
-        f"""SELECT image_id, y, x, value FROM (SELECT image_id % 2 AS image_id, y + image_id * 2 - 4 AS y, x + image_id * 3 - 5 AS x, value + image_id AS value, row_number() OVER (PARTITION BY image_id % 2, y + image_id * 2 - 4, x + image_id * 3 - 5 ORDER BY image_id // 2 DESC) AS n
-        FROM {GRID} WHERE image_id < 8) WHERE n = 1 AND x BETWEEN 0 AND 39 AND y BETWEEN 0 AND 29""",
+        f"""SELECT image_id, y, x, value FROM (SELECT image_id % 5 AS image_id, y + image_id - 14 AS y, x + image_id - 5 AS x, value + image_id AS value, row_number() OVER (PARTITION BY image_id % 5, y + image_id - 14, x + image_id - 5 ORDER BY image_id // 5 DESC) AS n
+        FROM {GRID}) WHERE n = 1 AND x BETWEEN 0 AND 39 AND y BETWEEN 0 AND 29""",
     )
     add(
         "resize_nearest",

@@ -19,9 +19,9 @@ def register(registry: Registry) -> None:
     )
     add(
         "detector_grid_decode",
-        lambda s, d: poses.decode_grid(table(s, d, "part").filter("p_partkey < 84").select(F.col("p_partkey").alias("index"), (F.col("p_size") / 50).alias("dx"), (F.col("p_size") / 25).alias("dy"), (F.col("p_size") / 50).alias("dw"), F.lit(0.0).alias("dh")), poses.detector_grid(s, 64, 64, [8, 16, 32])).select("index", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "w", "h")]),
+        lambda s, d: poses.decode_grid(table(s, d, "part").select("p_partkey", (F.col("p_partkey") % 84).alias("index"), (F.col("p_size") / 50).alias("dx"), (F.col("p_size") / 25).alias("dy"), (F.col("p_size") / 50).alias("dw"), F.lit(0.0).alias("dh")), poses.detector_grid(s, 64, 64, [8, 16, 32])).select("p_partkey", "index", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "w", "h")]),
         """WITH g AS (SELECT i AS k, i % 8 AS gx, i // 8 AS gy, 8 AS s FROM range(64) t(i) UNION ALL SELECT 64 + i, i % 4, i // 4, 16 FROM range(16) t(i) UNION ALL SELECT 80 + i, i % 2, i // 2, 32 FROM range(4) t(i))
-        SELECT k AS index, round((p_size / 50 + gx) * s, 6) AS cx, round((p_size / 25 + gy) * s, 6) AS cy, round(exp(p_size / 50) * s, 6) AS w, round(1.0::DOUBLE * s, 6) AS h FROM part JOIN g ON p_partkey = k""",
+        SELECT p_partkey, k AS index, round((p_size / 50 + gx) * s, 6) AS cx, round((p_size / 25 + gy) * s, 6) AS cy, round(exp(p_size / 50) * s, 6) AS w, round(1.0::DOUBLE * s, 6) AS h FROM part JOIN g ON p_partkey % 84 = k""",
     )
     add(
         "axis_argmax",

@@ -182,7 +182,7 @@ def register(registry: Registry) -> None:
     add(
         "grid_layout",
         lambda s, d: presets.grid_slots(s, 1000, 700, 4, 3, 10, 20, 6, 8),
-        "SELECT i AS slot, 10 + (i % 4) * 246 AS x, 20 + (i // 4) * 222 AS y, CAST(240 AS BIGINT) AS width, CAST(214 AS BIGINT) AS height FROM range(12) t(i)",
+        "SELECT i AS slot, 10 + (i % 4) * 246 AS x, 20 + (i // 4) * 222 AS y, CAST(CASE WHEN i % 4 = 3 THEN 242 ELSE 240 END AS BIGINT) AS width, CAST(CASE WHEN i // 4 = 2 THEN 216 ELSE 214 END AS BIGINT) AS height FROM range(12) t(i)",
     )
 
     def picks(s, d):

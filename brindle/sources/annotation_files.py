@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.operators.metrics import running_sums
+
 from brindle.functions.text import stem
 from brindle.operators.datasets import load_annotations, required_join
 
@@ -79,4 +81,4 @@ def registered(spark: SparkSession, rows: list, schema: str, name: str) -> DataF
 def mask_annotations(labels: DataFrame) -> DataFrame:
     """An annotation for each label above 0 of each mask: box, area, and an id from 1 in order."""
     box = labels.filter("value > 0").groupBy("image_id", F.col("value").alias("label")).agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"), F.count("*").alias("area"))
-    return box.withColumn("id", F.row_number().over(Window.orderBy("image_id", "label")))
+    return running_sums(box, [], [F.col("image_id"), F.col("label")], {"id": F.lit(1)}).withColumn("id", F.col("id").cast("int")).drop("__p")

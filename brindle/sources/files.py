@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import base_name, context_names, natural_key, path_parts
 
+MOST_FOLDERS = 100_000
+
 # The suffixes of images.
 SUFFIXES = ("png", "jpg", "jpeg", "webp", "bmp", "gif", "tif", "tiff")
 
@@ -49,9 +52,19 @@ def fingerprint(files: DataFrame, parameters: str) -> DataFrame:
     return files.agg(F.sha2(F.concat_ws("\n", F.lit(parameters), F.array_sort(F.collect_list(F.sha2(line, 256)))), 256).alias("digest"))
 
 
+def _composed() -> tuple[str, str]:
+    """Letters that decompose to one letter and marks, and those letters."""
+    parts = {c: "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn") for c in map(chr, range(0xC0, 0x3100))}
+    pairs = [(c, p) for c, p in parts.items() if len(p) == 1 and p != c]
+    return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
+
+
+_COMPOSED = _composed()
+
+
 def _normal(text: Column) -> Column:
-    """Lower case, without common Latin accents, ``_`` and ``-`` as spaces, single spaces. Only composed Latin letters are folded."""
-    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿăđĩũơư", "aaaaaaceeeeiiiinooooouuuuyyađiuou")
+    """Lower case without marks, ``_`` and ``-`` as spaces, single spaces."""
+    plain = F.regexp_replace(F.translate(F.lower(text), *_COMPOSED), r"\p{Mn}", "")
     return F.btrim(F.regexp_replace(plain, r"[_\-\s]+", " "))
 
 
@@ -76,7 +89,9 @@ def _ordered_overlap(a: Column, b: Column) -> Column:
 def match_folders(folders: DataFrame, wanted: DataFrame, mode: str = "contains") -> DataFrame:
     """For each wanted (text, context) the best folder path: 100 x longest common run + ordered overlap + 10 or 5 for the tail.
 
-    Every wanted text is compared with every folder name, so ``folders`` should be a listing, not data."""
+    Every wanted text is compared with every folder name, so ``folders`` is a listing of ``MOST_FOLDERS`` rows at most."""
+    if folders.limit(MOST_FOLDERS + 1).count() > MOST_FOLDERS:
+        raise ValueError(f"the listing has more than {MOST_FOLDERS} folders")
     f = folders.withColumn("name", _normal(base_name(F.col("path")))).withColumn("fp", F.transform(path_parts(F.col("path")), _normal))
     w = wanted.withColumn("m", _normal(F.col("text"))).withColumn("cp", F.transform(path_parts(F.col("context")), _normal))
     exact = F.col("name") == F.col("m")

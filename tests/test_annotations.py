@@ -54,7 +54,7 @@ def test_overlapping_equals_pairwise(spark):
 def test_average_precision(spark):
     rows = spark.createDataFrame([(1, 0.9, True, 2), (2, 0.8, False, 2), (3, 0.7, True, 2)], "id long, score double, hit boolean, positives int").withColumn("c", F.lit(1))
     curve = metrics.precision_recall(rows, ["c"], "score", "hit", "positives", ["id"])
-    assert metrics.average_precision(curve, ["c"], "score", ["id"]).first()["ap"] == pytest.approx(5 / 6)
+    assert metrics.average_precision(curve, ["c"]).first()["ap"] == pytest.approx(5 / 6)
 
 
 def test_repeat_factor(spark):

@@ -37,7 +37,8 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() >= 0
+    rows = __spark_entry__.entry(spark).collect()
+    assert sorted(r.label for r in rows) == ["A", "N", "R"] and all(0 < r.ap < 1 for r in rows)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
