@@ -37,6 +37,7 @@ BITS = 64
 RADIUS = 3
 SHINGLE = 3
 BUCKET_LIMIT = 2048
+HOT_ROWS = 100_000
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
@@ -177,7 +178,18 @@ def components_of(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE)
     """doc_id, fp and component_id (the smallest doc_id that links reach)."""
     marked = checkpointed(fingerprints(docs, shingle, keep=["doc_id"]))
     found = groups(marked, F.col("doc_id"), radius)
-    return marked.join(found, "fp").select("doc_id", "fp", F.col("leader").alias("component_id"))
+    return _spread_join(marked, found).select("doc_id", "fp", F.col("leader").alias("component_id"))
+
+
+def _spread_join(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` joined with the one row of their ``fp``; a fingerprint that very many rows share is dealt to several keys.
+
+    There are at most rows / HOT_ROWS such fingerprints, so they are broadcast.
+    """
+    hot = rows.groupBy("fp").agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("__keys")).filter("__keys > 1")
+    dealt = rows.join(F.broadcast(hot), "fp", "left").withColumn("__key", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("__keys")).cast("int"), F.lit(0))).drop("__keys")
+    copied = found.join(F.broadcast(hot), "fp", "left").withColumn("__key", F.explode(F.sequence(F.lit(0), F.coalesce("__keys", F.lit(1)) - 1))).drop("__keys")
+    return dealt.join(copied, ["fp", "__key"]).drop("__key")
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql.types import DoubleType, IntegerType
 from brindle.llm.common import bounded_batches, freeing, slices, text_buffers
 
 BITS = 18
-MAX_TRAIN_ROWS = 8_000
+MAX_TRAIN_ROWS = 20_000
 EPOCHS = 5
 ALPHA, BETA, L2 = 1.0, 1.0, 0.0
 L1_ROOT = 0.15  # L1 is this times the root of the number of examples, as the noise of a sum grows so
@@ -174,7 +174,8 @@ def fit(examples: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarra
     if len(labels) < 2:
         return np.zeros(0, np.int64), np.zeros(0)
     model, order = Ftrl(size, L1_ROOT * len(examples) ** 0.5), np.random.default_rng(7)
-    data = [(np.append(x, size), y) for x, y in examples]
+    data = [(np.append(x, np.int32(size)).astype(np.int32), y) for x, y in examples]
+    examples = []
     for _ in range(EPOCHS):
         for k in order.permutation(len(data)):
             model.step(*data[k])
@@ -208,7 +209,7 @@ def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(found) > 2 * MAX_TRAIN_ROWS:  # only if ids repeat: the same bound holds for rows
             found = sorted(found)[:MAX_TRAIN_ROWS]
     found = sorted(found)[:MAX_TRAIN_ROWS]
-    bucket, weight = fit([(np.frombuffer(x, np.int32).astype(np.int64), y) for _, y, x in found])
+    bucket, weight = fit([(np.frombuffer(x, np.int32), y) for _, y, x in found])
     yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(weight, pa.float64())], schema=_WEIGHT)
 
 
