@@ -38,7 +38,7 @@ from brindle.session import checkpointed
 CAPACITY = 4096
 SEPARATOR = 1
 GROUPS = 1024
-CACHE_CHUNKS = 100_000  # about 20 MB
+CACHE_CHUNKS = 500_000  # about 100 MB, freed when a task ends
 CACHED_LENGTH = 48
 
 
