@@ -7,11 +7,14 @@ double with every bit of radius. So the candidates come from several fingerprint
   text of fewer words is one shingle). Equal sets are one node from here on.
 * ``BANDS`` keys of ``ROWS`` MinHash values each: a pair at 0.8 shares no key with probability 7e-5, one
   at 0.9 with 3e-10. Every node of a key is joined to its smallest, which is linear in the size of the key.
-* Each component of these joins comes together once, and its sets are compared exactly; what a joined
-  pair shares is never taken from the fingerprints. A node that is linked is not compared with its own
-  part again, so a large group of near copies costs little; only a large component of texts below the
-  threshold costs the square of its size, and its sets must fit one task.
-* Links are transitive: the smallest id of each component of true links stays, as in ``simhash.dedup``.
+* Each key's smallest node, its hub, is compared exactly with the others: hub and members meet in parts dealt
+  by a hash, where the members stream past one set. Groups of near copies are linked here, in linear work.
+* What is left are pairs of one key in different components of these links, the hub left aside. The nodes of
+  the hub's component need not meet each other, only the rest; both are dealt to blocks of about ``BLOCK``
+  sets and a cell of two blocks is compared in one group, so no task holds a whole key. Work grows with the square only
+  among texts that share keys and stay below the threshold.
+* What two texts share is never taken from the fingerprints, and links are transitive: the smallest id of each
+  component of true links stays, as in ``simhash.dedup``.
 
 Defined cases: texts that are null, empty or without words are equal; repeated rows, null ids and further
 columns are treated as ``simhash.dedup`` treats them; an empty table gives an empty result.
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import bounded_batches, freeing
@@ -36,6 +39,9 @@ SIMILARITY = 0.8
 BANDS = 24
 ROWS = 5
 COMPARED = 1 << 20
+DEALS = 256  # parts of the nodes around one hub
+BLOCK = 256  # sets of a block
+LARGE = 8_192  # so many shingles count as one set more
 
 _EMPTY = np.zeros(0, np.uint64)
 
@@ -77,30 +83,35 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """doc_id and __tie with node, the hash of the set, and keys, its bands."""
+    """doc_id and __tie with node, the hash of the set, keys, its bands, and n, its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py()) for t in batch.column(2)]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), keys], names=["doc_id", "__tie", "node", "keys"])
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), keys, sizes], names=["doc_id", "__tie", "node", "keys", "n"])
 
     bounded_batches(docs.sparkSession)
     shown = docs.select("doc_id", F.xxhash64("text").alias("__tie"), F.col("text").cast("string").alias("__text"))
-    return shown.mapInArrow(freeing(run), f"doc_id {shown.schema['doc_id'].dataType.simpleString()}, __tie long, node long, keys array<long>")
+    return shown.mapInArrow(freeing(run), f"doc_id {shown.schema['doc_id'].dataType.simpleString()}, __tie long, node long, keys array<long>, n long")
 
 
-def linked_parts(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
-    """For each of the sets (none is empty) the first set of its component of links."""
+def linked_parts(sets: list[np.ndarray], similarity: float = SIMILARITY, parts: np.ndarray | None = None, sides: np.ndarray | None = None) -> np.ndarray:
+    """For each of the sets (none is empty) the first set of its component of links.
+
+    ``parts`` names components that are known; with ``sides``, only sets of different sides are compared.
+    """
     size = np.array([len(s) for s in sets])
     at = np.concatenate([[0], np.cumsum(size)])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    mark, root = np.zeros(len(ids), bool), np.arange(len(sets))
+    mark, root = np.zeros(len(ids), bool), first_of(np.arange(len(sets)) if parts is None else parts)
     for i in range(1, len(sets)):
         mine = ids[at[i] : at[i + 1]]
         mark[mine] = True
-        near = np.flatnonzero((size[:i] >= similarity * size[i] - 1e-9) & (size[i] >= similarity * size[:i] - 1e-9))
+        open_ = (root[:i] != root[i]) & (size[:i] >= similarity * size[i] - 1e-9) & (size[i] >= similarity * size[:i] - 1e-9)
+        near = np.flatnonzero(open_ if sides is None else open_ & (sides[:i] != sides[i]))
         first = root[near] == near
         for some in (near[first], near[~first]):
             some = some[root[some] != root[i]]
@@ -114,48 +125,119 @@ def linked_parts(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.n
                 hits = part[both >= similarity * (size[part] + size[i] - both) - 1e-9]
                 for r in np.unique(root[hits]).tolist():
                     low, high = min(r, root[i]), max(r, root[i])
-                    root[: i + 1][root[: i + 1] == high] = low
+                    root[root == high] = low
         mark[mine] = False
     return root
 
 
-def _verified(texts: DataFrame) -> DataFrame:
-    """(node, root) of true links from root, node and text of candidates."""
+def first_of(values: np.ndarray) -> np.ndarray:
+    """For each value the first place where it stands."""
+    _, first, group = np.unique(values, return_index=True, return_inverse=True)
+    return first[group]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-            roots = [nodes[k] for k in linked_parts(sets)]
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], names=["node", "root"])
 
-        now, nodes, sets = None, [], []
-        for batch in batches:
-            for root, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if root != now and nodes:
-                    yield result(nodes, sets)
-                    nodes, sets = [], []
-                now = root
-                nodes.append(node)
-                sets.append(shingle_set(text.as_py()))
-        if nodes:
-            yield result(nodes, sets)
+def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    least, most = sorted((len(a), len(b)))
+    if least < similarity * most - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """key, node, n and hub (the smallest node of the key) for the keys that several nodes have."""
+    rows = nodes.select(F.explode("keys").alias("key"), "node", "n").repartition("key")
+    hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("key", "hub")
+    return rows.join(hubs, "key")
+
 
-    return texts.repartition("root").sortWithinPartitions("root", "node").select("root", "node", "text").mapInArrow(freeing(run), "node long, root long")
+def star_links(shared: DataFrame, texts: DataFrame) -> DataFrame:
+    """True links (a, b) of hubs and the nodes of their keys; a task holds one hub's set at a time."""
+    members = shared.filter("node <> hub").select("hub", "node").distinct().withColumn("deal", F.pmod(F.xxhash64("node"), F.lit(DEALS)))
+    hubs = members.select("hub", F.col("hub").alias("node"), "deal").distinct()
+    dealt = members.union(hubs.select(*members.columns)).join(texts, "node")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, found = None, _EMPTY
+        for batch in batches:
+            links = []
+            for hub, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if node == hub:
+                    if now != hub:
+                        now, found = hub, shingle_set(text.as_py())
+                elif similar(found, shingle_set(text.as_py())):
+                    links.append((hub, node))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    order = ["hub", "deal", F.col("node") != F.col("hub")]
+    return dealt.repartition("hub", "deal").sortWithinPartitions(*order).select("hub", "node", "text").mapInArrow(freeing(run), "a long, b long")
+
+
+def _count_to(n: Column) -> Column:
+    """0 to n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
+
+
+def cells(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """key, x, y, side, node and part: cells of two blocks in which the pairs left by the stars meet.
+
+    ``parts`` has node and root of the links found. Blocks 0 to b - 1 of a key hold nodes outside the hub's
+    component, later ones nodes inside it; the latter meet only the former.
+    """
+    full = shared.join(parts, "node", "left").select("key", "node", "hub", "n", F.coalesce("root", "node").alias("part"))
+    homes = full.filter("node = hub").select("key", F.col("part").alias("home"))
+    rest = full.filter("node <> hub").join(homes, "key").withColumn("inside", F.col("part") == F.col("home"))
+    load = 1 + F.col("n") / LARGE
+    blocks = lambda inside: F.ceil(F.coalesce(F.sum(F.when(F.col("inside") == inside, load)), F.lit(0)) / BLOCK).cast("long")
+    sizes = rest.groupBy("key").agg(blocks(False).alias("out"), blocks(True).alias("ins"), F.count("*").alias("nodes")).filter("out > 0 and nodes > 1")
+    rest = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("ins")).otherwise(F.col("out"))))
+    cell = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), side.cast("int").alias("side"))
+    own, out = F.col("own"), F.col("out")
+    outer = F.transform(_count_to(out), lambda k: cell(F.least(own, k), F.greatest(own, k), own > k))
+    inner = F.transform(_count_to(F.col("ins")), lambda k: cell(own, out + k, F.lit(0)))
+    home = F.transform(_count_to(out), lambda k: cell(k, out + own, F.lit(1)))
+    made = rest.select("key", "node", "part", F.explode(F.when(F.col("inside"), home).otherwise(F.concat(outer, inner))).alias("c"))
+    return made.select("key", "c.x", "c.y", "c.side", "node", "part")
+
+
+def cell_links(dealt: DataFrame, texts: DataFrame) -> DataFrame:
+    """True links (a, b) of known components, found within cells."""
+
+    def result(rows: list[tuple]) -> list[tuple[int, int]]:
+        parts, sides = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
+        if len(set(parts.tolist())) < 2:
+            return []
+        root = linked_parts([r[0] for r in rows], parts=parts, sides=sides if rows[0][3] else None)
+        return list({(int(parts[r]), int(p)) for r, p in zip(root, parts) if parts[r] != p})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        shown = lambda links: pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        for batch in batches:
+            for key, x, y, side, part, text in zip(*[batch.column(k).to_pylist() for k in range(5)], batch.column(5)):
+                if (key, x, y) != now:
+                    if rows:
+                        yield shown(result(rows))
+                    now, rows = (key, x, y), []
+                rows.append((shingle_set(text.as_py()), part, side, x != y))
+        if rows:
+            yield shown(result(rows))
 
-def candidate_joins(marked: DataFrame) -> DataFrame:
-    """Joins (a, b) of the nodes of each key to the smallest of them."""
-    rows = marked.select(F.explode("keys").alias("key"), "node").repartition("key")
-    hubs = rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("key", "a")
-    return rows.join(hubs, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    spread = dealt.join(texts, "node").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "node")
+    return spread.select("key", "x", "y", "side", "part", "text").mapInArrow(freeing(run), "a long, b long")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of each component: the smallest doc_id, then the smallest text hash."""
-    marked = checkpointed(marks(docs))
-    low = checkpointed(marked.groupBy("node").agg(F.min(rank_of(F.col("doc_id"), F.col("__tie"))).alias("low")))
-    joined = low.join(components(candidate_joins(marked)), "node")
-    picked = joined.select("node", "root", F.col("low.none").alias("__none"), F.coalesce("low.doc_id", F.lit(0)).alias("__id"), F.col("low.tie").alias("__tie"))
+    marked = marks(docs).groupBy("node").agg(F.min(rank_of(F.col("doc_id"), F.col("__tie"))).alias("low"), F.first("keys").alias("keys"), F.first("n").alias("n"))
+    marked = checkpointed(marked)
+    shared = checkpointed(shared_keys(marked))
+    picked = marked.join(shared.select("node").distinct(), "node", "left_semi")
+    picked = picked.select("node", F.col("low.none").alias("__none"), F.coalesce("low.doc_id", F.lit(0)).alias("__id"), F.col("low.tie").alias("__tie"))
     slim = docs.select(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("__id"), F.xxhash64("text").alias("__tie"), F.col("text").cast("string").alias("text"))
-    texts = slim.join(picked, ["__none", "__id", "__tie"]).select("root", "node", "text").dropDuplicates(["node"])
-    full = low.join(_verified(texts), "node", "left").select("low", F.coalesce("root", "node").alias("root"))
+    texts = checkpointed(slim.join(picked, ["__none", "__id", "__tie"]).select("node", "text").dropDuplicates(["node"]))
+    parts = checkpointed(components(star_links(shared, texts)))
+    more = components(cell_links(cells(shared, parts), texts)).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    full = marked.select("node", "low").join(parts, "node", "left").select("low", F.coalesce("root", "node").alias("root"))
+    full = full.join(more, "root", "left").select("low", F.coalesce("last", "root").alias("root"))
     return leading_rows(docs, full.groupBy("root").agg(F.min("low").alias("leader")))
