@@ -110,3 +110,60 @@ def sliders(config: str, given: dict[str, float] | None = None) -> dict[str, tup
 
 def slider_columns(config: str, given: dict[str, float] | None = None) -> list[Column]:
     return [F.lit(v).cast("double" if kind == "FLOAT" else "long").alias(name) for name, (kind, v) in sliders(config, given).items()]
+
+
+def heat_label(x: Column, y: Column, seen: Column, box: tuple[Column, Column, Column, Column], side: int) -> Column:
+    """struct(label, valid): the cell of a side x side map over the box, row by row; 0 and false outside or unseen.
+
+    A point on the right or lower border belongs to the last cell.
+    """
+    place = lambda v, low, high: F.when(v == high, F.lit(side - 1)).otherwise(F.floor((v - low) * (F.lit(side) / (high - low))))
+    column, row = place(x, box[0], box[2]), place(y, box[1], box[3])
+    valid = column.between(0, side - 1) & row.between(0, side - 1) & (seen > 0)
+    return F.struct(F.when(valid, row * side + column).otherwise(0).cast("long").alias("label"), valid.alias("valid"))
+
+
+def center_scale(box: tuple[Column, Column, Column, Column], aspect: float, padding: float = 1.25) -> Column:
+    """struct(cx, cy, w, h): the padded box grown on one side to the aspect w / h."""
+    w, h = (box[2] - box[0]) * padding, (box[3] - box[1]) * padding
+    wide = w > h * aspect
+    grown = F.when(wide, w).otherwise(h * aspect).alias("w"), F.when(wide, w / aspect).otherwise(h).alias("h")
+    return F.struct(((box[0] + box[2]) * 0.5).alias("cx"), ((box[1] + box[3]) * 0.5).alias("cy"), *grown)
+
+
+def warp_matrix(cx: Column, cy: Column, w: Column, degrees: Column, out_w: float, out_h: float) -> Column:
+    """struct(a, b, c, d, e, f) of x' = a x + b y + c, y' = d x + e y + f: the centre to the middle of the output, the width to its width."""
+    scale, angle = F.lit(out_w) / w, F.radians(degrees)
+    a, b = scale * F.cos(angle), scale * F.sin(angle)
+    moved = (F.lit(out_w) * 0.5 - (a * cx + b * cy)).alias("c"), (F.lit(out_h) * 0.5 - (a * cy - b * cx)).alias("f")
+    return F.struct(a.alias("a"), b.alias("b"), moved[0], (-b).alias("d"), a.alias("e"), moved[1])
+
+
+# Reach of the hand beyond the wrist, side over the longer limb, weight of the upper arm; sides of a face
+# over its distance to the eyes and to the ears; the least side of a box in pixels.
+HAND_REACH, HAND_SIDE, UPPER_ARM = 0.33, 1.5, 0.9
+EYE_SIDE, EAR_SIDE = 3.0, 1.5
+LEAST_SIDE = 20
+
+
+def _square(x: Column, y: Column, side: Column, reach: Column, width: Column, height: Column) -> Column:
+    """struct(x, y, side) in whole pixels, cut where x + reach or y + reach leaves the image; null if too small."""
+    x, y = F.greatest(x, F.lit(0.0)), F.greatest(y, F.lit(0.0))
+    cut = F.least(F.when(x + reach > width, width - x).otherwise(side), F.when(y + reach > height, height - y).otherwise(side))
+    return F.when(cut >= LEAST_SIDE, F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), cut.cast("int").alias("side")))
+
+
+def hand_box(shoulder: Column, elbow: Column, wrist: Column, width: Column, height: Column) -> Column:
+    """Square around the hand from struct<x,y> joints; null if a joint is missing."""
+    length = lambda a, b: F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]))
+    side = F.greatest(length(wrist, elbow), length(elbow, shoulder) * UPPER_ARM) * HAND_SIDE
+    corner = lambda c: wrist[c] + (wrist[c] - elbow[c]) * HAND_REACH - side / 2
+    whole = shoulder.isNotNull() & elbow.isNotNull() & wrist.isNotNull()
+    return F.when(whole, _square(corner("x"), corner("y"), side, side, width, height))
+
+
+def face_box(nose: Column, eyes: list[Column], ears: list[Column], width: Column, height: Column) -> Column:
+    """Square around the face from struct<x,y> points; null without the nose or without any eye or ear."""
+    far = lambda p, times: F.greatest(F.abs(nose["x"] - p["x"]), F.abs(nose["y"] - p["y"])) * times
+    half = F.greatest(*[far(p, EYE_SIDE) for p in eyes], *[far(p, EAR_SIDE) for p in ears])  # skips missing points
+    return F.when(nose.isNotNull() & half.isNotNull(), _square(nose["x"] - half, nose["y"] - half, half * 2, half, width, height))

@@ -61,3 +61,46 @@ def register(registry: Registry) -> None:
         lambda s, d: metrics.check_expected(table(s, d, "nation").select(F.lit("t").alias("task"), F.col("n_name").alias("metric"), F.col("n_nationkey").cast("double").alias("value")), table(s, d, "nation").select(F.lit("t").alias("task"), F.col("n_name").alias("metric"), (F.col("n_nationkey") + F.col("n_regionkey") * 0.01).alias("value"), F.lit(0.025).alias("tolerance"))).select("metric", "ok"),
         "SELECT n_name AS metric, n_regionkey <= 2 AS ok FROM nation",
     )
+    number = lambda c, n, plus=0: (F.col(c) % n + plus).cast("double")
+    box = lambda: (F.lit(5.0), F.lit(4.0), F.lit(45.0), (F.lit(44) + F.col("l_linenumber")).cast("double"))
+    add(
+        "keypoint_labels",
+        lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", poses.heat_label(number("l_partkey", 60), number("l_suppkey", 55), F.col("l_linenumber") % 3, box(), 56).alias("h")).select("l_orderkey", "l_linenumber", "h.label", "h.valid"),
+        """WITH p AS (SELECT l_orderkey, l_linenumber, (l_partkey % 60)::DOUBLE AS x, (l_suppkey % 55)::DOUBLE AS y, (44 + l_linenumber)::DOUBLE AS y1 FROM lineitem),
+        c AS (SELECT *, CASE WHEN x = 45 THEN 55 ELSE floor((x - 5) * (56 / 40::DOUBLE)) END AS i, CASE WHEN y = y1 THEN 55 ELSE floor((y - 4) * (56 / (y1 - 4))) END AS j FROM p),
+        v AS (SELECT *, i >= 0 AND i < 56 AND j >= 0 AND j < 56 AND l_linenumber % 3 > 0 AS valid FROM c)
+        SELECT l_orderkey, l_linenumber, CAST(CASE WHEN valid THEN j * 56 + i ELSE 0 END AS BIGINT) AS label, valid FROM v""",
+    )
+    add(
+        "pose_warp",
+        lambda s, d: table(s, d, "lineitem")
+        .select("l_orderkey", "l_linenumber", poses.center_scale((number("l_partkey", 60), number("l_suppkey", 50), number("l_partkey", 60, 40), (number("l_suppkey", 50) + F.col("l_linenumber") * 20)), 0.75).alias("k"))
+        .select("*", poses.warp_matrix(F.col("k.cx"), F.col("k.cy"), F.col("k.w"), F.col("l_linenumber") * 15.0, 288.0, 384.0).alias("m"))
+        .select("l_orderkey", "l_linenumber", *[F.round(f"k.{c}", 6).alias(c) for c in ("cx", "cy", "w", "h")], *[F.round(f"m.{c}", 6).alias(f"m_{c}") for c in "abcdef"]),
+        """WITH b AS (SELECT l_orderkey, l_linenumber, (l_partkey % 60 + 20)::DOUBLE AS cx, (l_suppkey % 50 + l_linenumber * 10)::DOUBLE AS cy, 50::DOUBLE AS w0, (l_linenumber * 25)::DOUBLE AS h0, radians(l_linenumber * 15) AS t FROM lineitem),
+        k AS (SELECT *, greatest(w0, h0 * 0.75) AS w, greatest(h0, w0 / 0.75) AS h FROM b)
+        SELECT l_orderkey, l_linenumber, cx, cy, round(w, 6) AS w, round(h, 6) AS h, round(288 / w * cos(t), 6) AS m_a, round(288 / w * sin(t), 6) AS m_b, round(144 - 288 / w * (cos(t) * cx + sin(t) * cy), 6) AS m_c,
+        round(-288 / w * sin(t), 6) AS m_d, round(288 / w * cos(t), 6) AS m_e, round(192 - 288 / w * (cos(t) * cy - sin(t) * cx), 6) AS m_f FROM k""",
+    )
+    joint = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    shoulder, elbow = lambda: joint(number("l_partkey", 97), number("l_suppkey", 41)), lambda: joint(number("l_partkey", 89, 10), number("l_suppkey", 43, 20))
+    wrist = lambda: joint(number("l_orderkey", 101), number("l_orderkey", 83))
+    add(
+        "hand_boxes",
+        lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", poses.hand_box(shoulder(), elbow(), F.when(F.col("l_linenumber") < 6, wrist()), F.lit(160.0), F.lit(120.0)).alias("b")).filter("b IS NOT NULL").select("l_orderkey", "l_linenumber", "b.*"),
+        """WITH p AS (SELECT l_orderkey, l_linenumber, (l_partkey % 97)::DOUBLE AS ax, (l_suppkey % 41)::DOUBLE AS ay, (l_partkey % 89 + 10)::DOUBLE AS jx, (l_suppkey % 43 + 20)::DOUBLE AS jy, (l_orderkey % 101)::DOUBLE AS cx, (l_orderkey % 83)::DOUBLE AS cy FROM lineitem WHERE l_linenumber < 6),
+        w AS (SELECT *, greatest(sqrt((cx - jx) * (cx - jx) + (cy - jy) * (cy - jy)), sqrt((jx - ax) * (jx - ax) + (jy - ay) * (jy - ay)) * 0.9) * 1.5 AS s FROM p),
+        c AS (SELECT *, greatest(cx + (cx - jx) * 0.33 - s / 2, 0) AS x, greatest(cy + (cy - jy) * 0.33 - s / 2, 0) AS y FROM w),
+        k AS (SELECT *, least(CASE WHEN x + s > 160 THEN 160 - x ELSE s END, CASE WHEN y + s > 120 THEN 120 - y ELSE s END) AS side FROM c)
+        SELECT l_orderkey, l_linenumber, CAST(trunc(x) AS INT) AS x, CAST(trunc(y) AS INT) AS y, CAST(trunc(side) AS INT) AS side FROM k WHERE side >= 20""",
+    )
+    nose, eye = lambda: joint(number("l_partkey", 97, 20), number("l_suppkey", 41, 20)), lambda: joint(number("l_partkey", 97, 26), number("l_suppkey", 41, 15))
+    add(
+        "face_boxes",
+        lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", poses.face_box(nose(), [F.when(F.col("l_linenumber") % 2 == 0, eye())], [F.when(F.col("l_linenumber") % 3 == 0, wrist())], F.lit(160.0), F.lit(120.0)).alias("b")).filter("b IS NOT NULL").select("l_orderkey", "l_linenumber", "b.*"),
+        """WITH p AS (SELECT l_orderkey, l_linenumber, (l_partkey % 97 + 20)::DOUBLE AS nx, (l_suppkey % 41 + 20)::DOUBLE AS ny, (l_orderkey % 101)::DOUBLE AS ex, (l_orderkey % 83)::DOUBLE AS ey FROM lineitem),
+        w AS (SELECT *, greatest(CASE WHEN l_linenumber % 2 = 0 THEN 18.0::DOUBLE END, CASE WHEN l_linenumber % 3 = 0 THEN greatest(abs(nx - ex), abs(ny - ey)) * 1.5 END) AS r FROM p),
+        c AS (SELECT *, greatest(nx - r, 0) AS x, greatest(ny - r, 0) AS y FROM w WHERE r IS NOT NULL),
+        k AS (SELECT *, least(CASE WHEN x + r > 160 THEN 160 - x ELSE 2 * r END, CASE WHEN y + r > 120 THEN 120 - y ELSE 2 * r END) AS side FROM c)
+        SELECT l_orderkey, l_linenumber, CAST(trunc(x) AS INT) AS x, CAST(trunc(y) AS INT) AS y, CAST(trunc(side) AS INT) AS side FROM k WHERE side >= 20""",
+    )
