@@ -92,3 +92,28 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         end = min(n, max(end, start + 1))
         yield start, end
         start = end
+
+
+class Numbering(dict):
+    """Numbers from 1 in order of first sight."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = number = len(self) + 1
+        return number
+
+
+TOKEN_WINDOW = 4 << 20
+
+
+def token_numbers(data: bytes, numbers: Numbering) -> np.ndarray:
+    """Numbers of the runs of bytes other than ASCII white space, made in windows of about ``TOKEN_WINDOW`` bytes that end at a blank."""
+    parts, start = [], 0
+    while start < len(data):
+        end = data.rfind(b" ", start, start + TOKEN_WINDOW) if len(data) - start > TOKEN_WINDOW else len(data)
+        if end <= start:
+            end = data.find(b" ", start + 1)
+            end = len(data) if end < 0 else end
+        tokens = data[start:end].split()
+        parts.append(np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens)))
+        start = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
