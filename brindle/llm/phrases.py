@@ -1,11 +1,16 @@
 """Phrase collocations: suffix automata of bounded depth for each shard, counts summed over all shards.
 
 A task reads its texts in shards of about ``SHARD_BYTES`` and builds, for each language of a shard, the suffix
-automaton of its pieces down to ``longest`` words. It is built level by level and not word by word: the suffix
+automaton of its pieces down to a depth. It is built level by level and not word by word: the suffix
 links of an automaton form the tree of the reversed contexts, so the states of depth d are the distinct pairs of
 a state of depth d - 1 (the suffix link) and the word before it, and the size of its endpos set is the number of places with that
-pair. One sort of whole numbers for each level finds them all. Each state is written as its phrase and its count; the counts are summed by
-phrase over the shards, and only those of ``least`` or more go on.
+pair. One sort of whole numbers for each level finds them all. The states of the deepest level are written as phrases with their counts,
+which are summed by phrase over the shards; only those of ``least`` or more go on.
+
+There is one pass for each length, since most phrases of any corpus are rare and a phrase is no more frequent than its suffix link and its prefix: the
+frequent phrases of a level are marked in a bit table of fixed size (``MARKS`` bits), by which the next pass leaves out states under rare
+ones. A mark set by chance lets a rare phrase through to the sums and changes no result; in a corpus with far more frequent phrases than marks the passes
+just save less.
 
 Of the table of counts, a candidate takes the counts of its parts by a join. The parts that are frequent enough
 to make a hot key (1 / ``HEAVY`` of all words or more, so at most ``HEAVY`` for each length) are broadcast, the others meet in a shuffle in which
@@ -20,11 +25,13 @@ one without a frequent phrase, gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,71 +40,106 @@ from brindle.session import checkpointed
 
 LONGEST, LEAST, TOP, SUBSUMED = 3, 10, 2000, 50
 UNIT = 1_000_000
-SHARD_BYTES = 16 << 20
-WINDOW_WORDS = 3_000_000
-ROWS_OUT = 200_000
+SHARD_BYTES = 12 << 20
+WINDOW_WORDS = 2_000_000
+ROWS_OUT = 50_000
 HEAVY = 4096
+MARKS = 1 << 26
 
 _BREAK = 0xFF  # no byte of UTF-8
 _BYTES = bytes(_BREAK if c in b".,;:!?\n\x0b\x0c\r" else 32 if c in b"\t" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+class Marks:
+    """A set of 64-bit hashes as a table of ``MARKS`` bits, two for each; it may say yes by chance and never says no to a member."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+
+    @staticmethod
+    def places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return hashes % np.uint64(MARKS), (hashes >> np.uint64(32)) % np.uint64(MARKS)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        found = np.ones(len(hashes), bool)
+        for at in self.places(hashes):
+            found &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return found
+
+
+def _word_hashes(lang: str, words: Iterable[bytes]) -> np.ndarray:
+    seed = zlib.crc32(lang.encode())
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64)
+
+
+def _longer(link: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of phrases from those of their suffix links and first words."""
+    mixed = (link ^ (link >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word
+    return (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
 class BoundedAutomaton:
-    """States of the suffix automaton of number sequences (0 ends a piece) down to a depth, as one array for each level.
+    """States of the suffix automaton of number sequences (0 ends a piece) at depths 1 to ``depth``, as one array for each level.
 
-    ``word[d]`` is the first word of each state's longest phrase, ``link[d]`` its suffix link (a state of level d - 1) and
-    ``count[d]`` the size of its endpos set. The first ``skip`` numbers are context only.
+    ``word[d]`` is the first word of each state's phrase, ``link[d]`` its suffix link (a state of the level before, itself at the first).
+    ``count`` has the sizes of the endpos sets at the last level. The first ``skip`` numbers are context only. States that ``marks`` of their
+    level lack, and those under them, are left out.
     """
 
-    def __init__(self, numbers: np.ndarray, skip: int, depth: int) -> None:
-        self.word, self.link, self.count = [], [], []
-        ends = np.flatnonzero(numbers)
-        ends = ends[ends >= skip]
-        above = int(numbers.max()) + 1 if len(numbers) else 1
-        state = np.zeros(len(ends), np.int64)
-        for d in range(depth):
-            if d:
-                reach = ends >= d
-                ends, state = ends[reach], state[reach]
-                inside = numbers[ends - d] != 0
-                ends, state = ends[inside], state[inside]
-            keys = state * above + numbers[ends - d]
-            if d + 1 < depth:
-                found, state, count = np.unique(keys, return_inverse=True, return_counts=True)
-            else:
-                found, count = np.unique(keys, return_counts=True)
+    def __init__(self, numbers: np.ndarray, skip: int, depth: int, hashes: np.ndarray, marks: Sequence[Marks] = ()) -> None:
+        above = len(hashes)
+        self.word, self.link = [np.arange(above)], [np.arange(above)]
+        state = np.where(numbers > 0, numbers, -1)  # at each place, of the phrase that ends there
+        own = hashes
+        for d in range(1, depth):
+            alive = state >= 0
+            if d <= len(marks):
+                alive &= np.append(marks[d - 1].has(own), False)[state]  # the last one is that of no state, -1
+            ends = np.flatnonzero(alive[1:] & alive[:-1]) + 1
+            found, inverse = np.unique(state[ends] * above + numbers[ends - d], return_inverse=True)
+            state = np.full(len(numbers), -1)
+            state[ends] = inverse
             self.link.append(found // above)
             self.word.append(found % above)
-            self.count.append(count)
-
-    def phrases(self, words: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        """For each level the phrases, built along the suffix links, and their counts."""
-        shorter = None
-        for word, link, count in zip(self.word, self.link, self.count):
-            first = words.take(pa.array(word - 1))
-            shorter = first if shorter is None else pc.binary_join_element_wise(first, shorter.take(pa.array(link)), pa.scalar(b" ", pa.large_binary()))
-            yield shorter, count
-
-
-def _shard(lang: str, texts: list[bytes], longest: int) -> Iterator[pa.RecordBatch]:
+            own = _longer(own[self.link[-1]], hashes[self.word[-1]])
+        ends = state[skip:]
+        self.count = np.bincount(ends[ends >= 0], minlength=len(self.word[-1]))
+
+    def phrases(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The phrases of the last level that end beyond the context, built along the suffix links, and their counts."""
+        wanted = [np.flatnonzero(self.count)]
+        for link in self.link[:0:-1]:
+            wanted.append(link[wanted[-1]])
+        made = words.take(pa.array(wanted.pop()))
+        for word in self.word[1:]:
+            made = pc.binary_join_element_wise(words.take(pa.array(word[wanted.pop()])), made, pa.scalar(b" ", pa.large_binary()))
+        return made, self.count[self.count > 0]
+
+
+def _shard(lang: str, texts: list[bytes], depth: int, marks: Sequence[Marks] = ()) -> Iterator[pa.RecordBatch]:
     numbers = Numbering({bytes([_BREAK]): 0})
     data = bytes([_BREAK]).join(texts).translate(_BYTES).replace(bytes([_BREAK]), b" \xff ")
     found = token_numbers(data, numbers)
     del data
-    words = pa.array(list(numbers), pa.large_binary())  # the break has number 0 and the first place, the next word number 2 and the second
-    rows = [(pa.array([b""], pa.large_binary()), np.array([np.count_nonzero(found)]))]
+    found = np.maximum(found - 1, 0)  # the first word was given 2; now each number is a place in the list of names
+    names = list(numbers)
+    hashes = _word_hashes(lang, names)
+    words = pa.array(names, pa.large_binary())
+    del numbers, names
+    parts = [(pa.array([b""], pa.large_binary()), np.array([np.count_nonzero(found)]))] if depth == 1 else []
     for start in range(0, len(found), WINDOW_WORDS):
-        context = min(start, longest - 1)
-        rows += BoundedAutomaton(found[start - context : start + WINDOW_WORDS], context, longest).phrases(words)
-        for phrase, count in rows:
+        context = min(start, depth - 1)
+        parts.append(BoundedAutomaton(found[start - context : start + WINDOW_WORDS], context, depth, hashes, marks).phrases(words))
+        for phrase, count in parts:
             for i in range(0, len(phrase), ROWS_OUT):
                 part = phrase.slice(i, ROWS_OUT)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), part.cast(pa.large_string()).cast(pa.string()), pa.array(count[i : i + ROWS_OUT], pa.int64())], names=["lang", "phrase", "c"])
-        rows = []
+        parts = []
 
 
-def _shards(longest: int):
+def _shards(depth: int, marks):
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [Marks(m.value) for m in marks]
         held, size = {}, 0
         for batch in found:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
@@ -105,20 +147,49 @@ def _shards(longest: int):
                 size += len(text)
                 if size >= SHARD_BYTES:
                     for key in list(held):
-                        yield from _shard(key, held.pop(key), longest)
+                        yield from _shard(key, held.pop(key), depth, tables)
                     size = 0
         for key in list(held):
-            yield from _shard(key, held.pop(key), longest)
+            yield from _shard(key, held.pop(key), depth, tables)
 
     return run
 
 
+def _places(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in found:
+        hashes = np.zeros(len(batch), np.uint64)
+        for k, (lang, phrase) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            words = _word_hashes(lang, phrase.encode().split(b" "))
+            own = words[-1:]
+            for k2 in range(len(words) - 2, -1, -1):
+                own = _longer(own, words[k2 : k2 + 1])
+            hashes[k] = own[0]
+        at = np.concatenate(Marks.places(hashes)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((at & 63).astype(np.int32))], names=["slot", "bit"])
+
+
+def marks_of(table: DataFrame) -> np.ndarray:
+    """The bit table of the phrases of ``table``; at most ``MARKS`` / 64 rows come to the driver."""
+    places = table.select("lang", "phrase").mapInArrow(freeing(_places), "slot long, bit int")
+    found = places.groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    words = np.zeros(MARKS >> 6, np.uint64)
+    words[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return words
+
+
 def counts(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = LONGEST, least: int = LEAST) -> DataFrame:
-    """lang, phrase, c: occurrences of all phrases of up to ``longest`` words that occur ``least`` times or more; the empty phrase has all words."""
-    bounded_batches(docs.sparkSession)
+    """lang, phrase, c, words: occurrences of all phrases of up to ``longest`` words that occur ``least`` times or more; the empty phrase has all words."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    found = texts.mapInArrow(freeing(_shards(longest)), "lang string, phrase string, c long")
-    return found.groupBy("lang", "phrase").agg(F.sum("c").alias("c")).filter((F.col("c") >= least) | (F.col("phrase") == ""))
+    table, marks = None, []
+    for depth in range(1, longest + 1):
+        found = texts.mapInArrow(freeing(_shards(depth, tuple(marks))), "lang string, phrase string, c long")
+        level = checkpointed(found.groupBy("lang", "phrase").agg(F.sum("c").alias("c")).filter((F.col("c") >= least) | (F.col("phrase") == "")).withColumn("words", F.when(F.col("phrase") == "", 0).otherwise(depth)))
+        if depth < longest:
+            marks.append(spark.sparkContext.broadcast(marks_of(level.filter("words > 0"))))
+        table = level if table is None else table.unionByName(level)
+    return table
 
 
 def _cuts(phrase: Column, longest: int) -> Column:
@@ -143,10 +214,9 @@ def _look_up(needs: DataFrame, table: DataFrame, total: int) -> DataFrame:
 
 def mine(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = LONGEST, least: int = LEAST, top: int = TOP, subsumed: int = SUBSUMED) -> DataFrame:
     """Each language's first ``top`` phrases: lang, rank, phrase, a, l, r, n, score."""
-    table = checkpointed(counts(docs, lang, text, longest, least))
-    total = table.filter("phrase = ''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    n_words = F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1
-    phrases = table.filter("phrase <> ''").withColumn("words", n_words)
+    table = counts(docs, lang, text, longest, least)
+    total = table.filter("words = 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    phrases = table.filter("words > 0")
     candidates = phrases.filter("words > 1")
 
     needs = candidates.select("lang", "phrase", F.col("c").alias("a"), F.explode(_cuts(F.col("phrase"), longest)).alias("x")).select("lang", "phrase", "a", "x.*")
@@ -169,7 +239,7 @@ def mine(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int =
 
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     first = scored.select("lang", "phrase", "a", "s.l", "s.r", "s.score").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    sizes = table.filter("phrase = ''").select("lang", F.col("c").alias("n"))
+    sizes = table.filter("words = 0").select("lang", F.col("c").alias("n"))
     return first.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

@@ -76,9 +76,10 @@ def test_windows_of_long_texts(monkeypatch):
 
     def totals():
         seen = Counter()
-        for batch in phrases._shard("en", [text], 3):
-            for p, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                seen[p] += c
+        for depth in (1, 2, 3):
+            for batch in phrases._shard("en", [text], depth):
+                for p, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    seen[p] += c
         return seen
 
     whole = totals()
@@ -87,10 +88,22 @@ def test_windows_of_long_texts(monkeypatch):
     assert totals() == whole and whole[""] == 5000
 
 
-def test_automaton_links():
-    numbers = np.array([2, 3, 2, 3, 0, 2, 3, 4])
-    states = phrases.BoundedAutomaton(numbers, 0, 3)
-    got = [dict(zip(p.to_pylist(), c.tolist())) for p, c in states.phrases(pa.array([b"-", b"a", b"b", b"c"], pa.large_binary()))]
+def test_automaton_levels():
+    numbers = np.array([1, 2, 1, 2, 0, 1, 2, 3])
+    names = [b"-", b"a", b"b", b"c"]
+    hashes = phrases._word_hashes("en", names)
+    got = []
+    for depth in (1, 2, 3):
+        made, count = phrases.BoundedAutomaton(numbers, 0, depth, hashes).phrases(pa.array(names, pa.large_binary()))
+        got.append(dict(zip(made.to_pylist(), count.tolist())))
     assert got == [{b"a": 3, b"b": 3, b"c": 1}, {b"a b": 3, b"b a": 1, b"b c": 1}, {b"a b a": 1, b"b a b": 1, b"a b c": 1}]
-    for d in (1, 2):  # a suffix occurs wherever the longer phrase does
-        assert (states.count[d] <= states.count[d - 1][states.link[d]]).all()
+
+
+def test_marks_leave_out_what_is_rare_only(spark):
+    table = spark.createDataFrame([("en", "a"), ("en", "b"), ("de", "c")], "lang string, phrase string")
+    marks = [phrases.Marks(phrases.marks_of(table))]
+    pairs = [dict(zip(b.column(1).to_pylist(), b.column(2).to_pylist())) for b in phrases._shard("en", [b"a b a b. a c b"], 2, marks)]
+    assert pairs == [{"a b": 2, "b a": 1}]
+    marks.append(phrases.Marks(phrases.marks_of(table.limit(0).union(spark.createDataFrame([("en", "a b"), ("en", "b a")], table.schema)))))
+    three = [dict(zip(b.column(1).to_pylist(), b.column(2).to_pylist())) for b in phrases._shard("en", [b"a b a b. a b b"], 3, marks)]
+    assert three == [{"a b a": 1, "b a b": 1}]
