@@ -35,11 +35,11 @@ UNIT = 1_000_000
 # The rules of the query.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
-# The labelled table is made from these parts. No name is a host of the test tables or made like one.
+# The labelled table is made from these parts. They share no word with a host of the test tables.
 BAD = (
-    "online-casino poker-bonus slot-jackpot payday-loan quick-cash pills-shop "
-    "adult-cams xxx-video porn-tube sexy-dates click-ads ad-server popup-ads track-pixel free-prize win-money lottery-win bet-online sports-bets "
-    "cheap-watches replica-bags seo-spam link-farm spam-links hot-singles crypto-giveaway keygen-crack warez-free viagra-cheap"
+    "poker-bonus slot-jackpot roulette-royal payday-loan quick-cash pharmacy-rx escort-service xxx-video porn-tube sexy-dates popup-banner "
+    "banner-server lottery-prize sportsbook-odds replica-watches replica-bags seo-backlinks link-exchange hot-singles crypto-giveaway "
+    "keygen-crack warez-download viagra-store weightloss-miracle malware-update phishing-login fake-antivirus torrent-cracks"
 ).split()
 GOOD = (
     "news library museum weather garden kitchen science history physics biology city-council school university journal gazette recipes "

