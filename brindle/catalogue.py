@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from brindle.plans import annotations, pixels, poses, regions, samples, scalars
+from brindle.plans import annotations, evaluation, pixels, poses, regions, samples, scalars
 from brindle.registry import Registry
 
 REGISTRY = Registry()
-for part in (scalars, annotations, pixels, poses, regions, samples):
+for part in (scalars, annotations, evaluation, pixels, poses, regions, samples):
     part.register(REGISTRY)

@@ -68,6 +68,7 @@ def detections_per_image(df: DataFrame, image: str, label: str, threshold: float
 
 def greedy_match(detections: DataFrame, truths: DataFrame, by: list[str], threshold: float, ties: list[str], strict: bool = False, plus: float = 0.0) -> DataFrame:
     """Each detection, best score first, takes the free truth it overlaps most, if by the threshold (``strict``: more than it).
+    The rules of the two usual evaluations differ from this one: see ``evaluation``.
 
     Detections carry ``det_id``, truths ``gt_id``; the result is by, det_id, score, gt_id (null if none), iou, hit.
     """

@@ -58,6 +58,16 @@ def running_max_from_end(df: DataFrame, by: list[str], place: str, value: str, n
     return df.join(later, keys).withColumn(name, F.greatest(F.max(value).over(local), F.col("__later"))).drop("__later")
 
 
+def running_maxima_from_end(df: DataFrame, by: list[str], place: str, values: dict[str, str]) -> DataFrame:
+    """As ``running_max_from_end`` for several values (value: name), in one pass."""
+    keys = [*by, "__p"]
+    tops = df.groupBy(*keys).agg(*[F.max(v).alias(f"__top_{v}") for v in values])
+    after = Window.partitionBy(*by).orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, -1)
+    later = tops.select(*keys, *[F.max(f"__top_{v}").over(after).alias(f"__later_{v}") for v in values])
+    local = Window.partitionBy(*keys).orderBy(F.desc(place)).rowsBetween(Window.unboundedPreceding, 0)
+    return df.join(later, keys).withColumns({name: F.greatest(F.max(v).over(local), F.col(f"__later_{v}")) for v, name in values.items()}).drop(*[f"__later_{v}" for v in values])
+
+
 def precision_recall(detections: DataFrame, by: list[str], score: str, hit: str, positives: str, order: list[str]) -> DataFrame:
     """Running tp, seen, recall, precision, and the precision envelope from the right."""
     ordered = [F.desc(score), *[F.col(c) for c in order]]

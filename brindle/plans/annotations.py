@@ -225,20 +225,6 @@ def register(registry: Registry) -> None:
 
     add("greedy_detection_match", lambda s, d: matched(s, d).withColumn("iou", F.round("iou", 9)), f"WITH RECURSIVE {DETECTIONS}, {MATCHED} SELECT image, label, det_id, score, gt_id, round(iou, 9) AS iou, gt_id IS NOT NULL AS hit FROM m")
 
-    def flagship(s, d):
-        hits = matched(s, d)
-        n = detections(s, d).filter("det_id % 2 <> 0").groupBy("label").agg(F.count("*").alias("positives"))
-        curve = metrics.precision_recall(hits.join(F.broadcast(n), "label"), ["label"], "score", "hit", "positives", ["image", "det_id"])
-        return metrics.average_precision(curve, ["label"]).withColumn("ap", F.round("ap", 9))
-
-    add(
-        "class_average_precision",
-        flagship,
-        f"""WITH RECURSIVE {DETECTIONS}, {MATCHED}, n AS (SELECT label, count(*) AS p FROM det WHERE det_id % 2 <> 0 GROUP BY 1),
-        c AS (SELECT label, p, gt_id IS NOT NULL AS hit, row_number() OVER o AS seen, sum((gt_id IS NOT NULL)::INT) OVER o AS tp FROM m JOIN n USING (label) WINDOW o AS (PARTITION BY label ORDER BY score DESC, image, det_id)),
-        e AS (SELECT *, max(tp / seen) OVER (PARTITION BY label ORDER BY seen DESC) AS env FROM c) SELECT label, round(sum(CASE WHEN hit THEN env / p ELSE 0 END), 9) AS ap FROM e GROUP BY 1""",
-    )
-
     # Thresholds, area ranges and limits: a detection hits if its quantity is great enough for the threshold.
     areas = {"all": (0.0, 1e9), "small": (0.0, 3e4), "large": (3e4, 1e9)}
 
