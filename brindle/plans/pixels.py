@@ -8,59 +8,70 @@ from brindle.operators import masks, series
 from brindle.registry import Registry
 from brindle.session import table
 
-GRID = "(SELECT i AS image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CASE WHEN (x * 7 + y * 5 + i * 3) % 11 < 4 AND i % 5 <> 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM range(40) a(i), range(24) b(y), range(30) c(x))"
-N_IMAGES, HEIGHT, WIDTH = 40, 24, 30
+# An image for each supplier, with a pattern that its balance moves.
+IMAGES = "(SELECT s_suppkey - 1 AS i, CAST(floor(abs(s_acctbal)) AS BIGINT) AS b FROM supplier) a"
+GRID = f"(SELECT i AS image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CASE WHEN (x * 7 + y * 5 + i * 3 + b) % 11 < 4 AND i % 5 <> 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM {IMAGES}, range(24) b(y), range(30) c(x))"
+HEIGHT, WIDTH = 24, 30
 
 
-def _grid(s):
-    on = ((F.col("x") * 7 + F.col("y") * 5 + F.col("image_id") * 3) % 11 < 4) & (F.col("image_id") % 5 != 4)
-    return masks.grid(s, N_IMAGES, HEIGHT, WIDTH, F.when(on, 1.0).otherwise(0.0))
+def _images(s, d):
+    return table(s, d, "supplier").select((F.col("s_suppkey") - 1).cast("long").alias("image_id"), F.floor(F.abs("s_acctbal")).alias("b"))
 
 
-def _labels(s):
+def _canvases(s, d):
+    rows = _images(s, d).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(HEIGHT - 1))))
+    return rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))))
+
+
+def _grid(s, d):
+    on = ((F.col("x") * 7 + F.col("y") * 5 + F.col("image_id") * 3 + F.col("b")) % 11 < 4) & (F.col("image_id") % 5 != 4)
+    return _canvases(s, d).select("image_id", "y", "x", F.when(on, 1.0).otherwise(0.0).alias("value"))
+
+
+def _labels(s, d):
     x, y, i = F.col("x"), F.col("y"), F.col("image_id")
-    return _grid(s).withColumn("value", F.when((x + y + i) % 17 == 0, 255).otherwise(((F.floor(x / 4) + i) * F.floor(y / 5)) % 3))
+    return _grid(s, d).withColumn("value", F.when((x + y + i) % 17 == 0, 255).otherwise(((F.floor(x / 4) + i) * F.floor(y / 5)) % 3))
 
 
 def register(registry: Registry) -> None:
     add = registry.add
     add(
         "mask_properties",
-        lambda s, d: masks.properties(_grid(s), s.range(N_IMAGES).withColumnRenamed("id", "image_id")),
+        lambda s, d: masks.properties(_grid(s, d), _images(s, d).select("image_id")),
         f"""SELECT r.i AS image_id, CAST(coalesce(max(x) - min(x) + 1, 0) AS INT) AS width, CAST(coalesce(max(y) - min(y) + 1, 0) AS INT) AS height, coalesce(min(x), 0) AS x0, coalesce(min(y), 0) AS y0, coalesce(max(x), 0) AS x1, coalesce(max(y), 0) AS y1
-        FROM range({N_IMAGES}) r(i) LEFT JOIN (SELECT * FROM {GRID} WHERE value > 0.5) g ON g.image_id = r.i GROUP BY r.i""",
+        FROM (SELECT s_suppkey - 1 FROM supplier) r(i) LEFT JOIN (SELECT * FROM {GRID} WHERE value > 0.5) g ON g.image_id = r.i GROUP BY r.i""",
     )
     add(
         "mask_filled_box",
-        lambda s, d: masks.filled_box(_grid(s)).groupBy("image_id").agg(F.sum("value").alias("filled")),
+        lambda s, d: masks.filled_box(_grid(s, d)).groupBy("image_id").agg(F.sum("value").alias("filled")),
         f"SELECT image_id, coalesce(CAST((max(x) FILTER (value > 0.5) - min(x) FILTER (value > 0.5) + 1) * (max(y) FILTER (value > 0.5) - min(y) FILTER (value > 0.5) + 1) AS DOUBLE), 0.0) AS filled FROM {GRID} GROUP BY image_id",
     )
     add(
         "mask_dilate_erode",
-        lambda s, d: masks.morphology(_grid(s), 4, -3).select("image_id", "y", "x", "value"),
+        lambda s, d: masks.morphology(_grid(s, d), 4, -3).select("image_id", "y", "x", "value"),
         f"""WITH a AS (SELECT image_id, y, x, max(value) OVER (PARTITION BY image_id, y ORDER BY x RANGE BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS v FROM {GRID})
         SELECT image_id, y, x, CASE WHEN count(*) OVER w = 3 THEN min(v) OVER w ELSE 0.0::DOUBLE END AS value FROM a WINDOW w AS (PARTITION BY image_id, x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)""",
     )
     add(
         "mask_run_lengths",
-        lambda s, d: masks.run_lengths(_grid(s), HEIGHT).select("image_id", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts")),
+        lambda s, d: masks.run_lengths(_grid(s, d), HEIGHT).select("image_id", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts")),
         f"""WITH f AS (SELECT image_id, x * {HEIGHT} + y AS p, value > 0.5 AS v FROM {GRID}), g AS (SELECT *, v <> lag(v, 1, false) OVER (PARTITION BY image_id ORDER BY p) AS n FROM f),
         r AS (SELECT image_id, p, sum(n::INT) OVER (PARTITION BY image_id ORDER BY p) AS run FROM g), c AS (SELECT image_id, run, count(*) AS k FROM r GROUP BY ALL)
         SELECT image_id, CASE WHEN min(run) > 0 THEN '0,' ELSE '' END || string_agg(k::VARCHAR, ',' ORDER BY run) AS counts FROM c GROUP BY image_id""",
     )
     add(
         "mask_round_trip",
-        lambda s, d: masks.decode_runs(masks.run_lengths(_grid(s), HEIGHT), HEIGHT).groupBy("image_id").agg(F.count("*").alias("pixels"), F.sum(F.col("y") * 1000 + F.col("x")).alias("places")),
+        lambda s, d: masks.decode_runs(masks.run_lengths(_grid(s, d), HEIGHT), HEIGHT).groupBy("image_id").agg(F.count("*").alias("pixels"), F.sum(F.col("y") * 1000 + F.col("x")).alias("places")),
         f"SELECT image_id, count(*) AS pixels, CAST(sum(y * 1000 + x) AS BIGINT) AS places FROM {GRID} WHERE value > 0.5 GROUP BY image_id",
     )
     add(
         "image_blend_compare",
-        lambda s, d: masks.compare(masks.blend(_grid(s), _grid(s).withColumn("value", F.lit(0.25)), F.lit(0.4)), _grid(s), "difference").select("image_id", "y", "x", F.round("value", 6).alias("value")),
+        lambda s, d: masks.compare(masks.blend(_grid(s, d), _grid(s, d).withColumn("value", F.lit(0.25)), F.lit(0.4)), _grid(s, d), "difference").select("image_id", "y", "x", F.round("value", 6).alias("value")),
         f"SELECT image_id, y, x, round(abs(value * 0.6 + 0.1 - value), 6) AS value FROM {GRID}",
     )
 
     def layers(s, d):
-        g = _grid(s)
+        g = _grid(s, d)
         made = g.select((F.col("image_id") % 5).alias("image_id"), F.floor(F.col("image_id") / 5).alias("layer"), "y", "x", (F.col("value") + F.col("image_id")).alias("value"), (F.col("image_id") - 5).alias("dx"), (F.col("image_id") - 14).alias("dy"))
         return masks.stack(made, 40, 30)
 
@@ -72,12 +83,12 @@ def register(registry: Registry) -> None:
     )
     add(
         "resize_nearest",
-        lambda s, d: masks.resize_nearest(_grid(s), (HEIGHT, WIDTH), (36, 20)),
+        lambda s, d: masks.resize_nearest(_grid(s, d), (HEIGHT, WIDTH), (36, 20)),
         f"SELECT g.image_id, CAST(a.y AS INT) AS y, CAST(b.x AS INT) AS x, g.value FROM range(36) a(y), range(20) b(x), {GRID} g WHERE g.y = a.y * {HEIGHT} // 36 AND g.x = b.x * {WIDTH} // 20",
     )
     add(
         "label_edges",
-        lambda s, d: masks.edges(_labels(s)).select("image_id", "y", "x", "edge"),
+        lambda s, d: masks.edges(_labels(s, d)).select("image_id", "y", "x", "edge"),
         f"""WITH l AS (SELECT image_id, y, x, CASE WHEN (x + y + image_id) % 17 = 0 THEN 255 ELSE ((x // 4 + image_id) * (y // 5)) % 3 END AS v FROM {GRID}),
         e AS (SELECT a.image_id, a.y, a.x FROM l a JOIN l b ON a.image_id = b.image_id AND ((b.y = a.y - 1 AND b.x = a.x) OR (b.y = a.y AND b.x = a.x + 1) OR (b.y = a.y + 1 AND b.x IN (a.x - 1, a.x + 1))) WHERE a.v <> b.v AND a.v <> 255 AND b.v <> 255 GROUP BY ALL)
         SELECT image_id, y, x, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.image_id = l.image_id AND abs(e.y - l.y) <= 1 AND abs(e.x - l.x) <= 1) THEN 1 ELSE 0 END AS edge FROM l""",
@@ -105,8 +116,8 @@ def register(registry: Registry) -> None:
     )
     add(
         "rate_schedules",
-        lambda s, d: s.range(300).select(F.col("id").alias("step"), F.round(series.multistep_rate(F.col("id"), 0.02, [120, 240], 0.1, 50), 9).alias("multistep"), F.round(series.cosine_rate(F.col("id"), 0.02, 300, 50), 9).alias("cosine")),
-        """WITH t AS (SELECT i AS step, CASE WHEN i >= 50 THEN 1.0 ELSE 0.001 * (1 - i / 50) + i / 50 END AS w FROM range(300) r(i))
+        lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("step"), F.round(series.multistep_rate(F.col("o_orderkey"), 0.02, [120, 240], 0.1, 50), 9).alias("multistep"), F.round(series.cosine_rate(F.col("o_orderkey"), 0.02, 300, 50), 9).alias("cosine")),
+        """WITH t AS (SELECT o_orderkey AS step, CASE WHEN o_orderkey >= 50 THEN 1.0 ELSE 0.001 * (1 - o_orderkey / 50) + o_orderkey / 50 END AS w FROM orders)
         SELECT step, round(0.02::DOUBLE * w * power(0.1, (step >= 120)::INT + (step >= 240)::INT), 9) AS multistep, round(0.02::DOUBLE * w * 0.5 * (1 + cos(pi() * step / 300)), 9) AS cosine FROM t""",
     )
     add(

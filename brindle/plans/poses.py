@@ -14,8 +14,8 @@ def register(registry: Registry) -> None:
     add = registry.add
     add(
         "label_palette",
-        lambda s, d: poses.palette(s, 256),
-        """SELECT i AS label, (i & 1) * 128 + (i >> 3 & 1) * 64 + (i >> 6 & 1) * 32 AS r, (i >> 1 & 1) * 128 + (i >> 4 & 1) * 64 + (i >> 7 & 1) * 32 AS g, (i >> 2 & 1) * 128 + (i >> 5 & 1) * 64 AS b FROM range(256) t(i)""",
+        lambda s, d: table(s, d, "part").select("p_partkey", (F.col("p_partkey") % 256).alias("label")).join(F.broadcast(poses.palette(s, 256)), "label").select("p_partkey", "label", "r", "g", "b"),
+        """SELECT p_partkey, i AS label, (i & 1) * 128 + (i >> 3 & 1) * 64 + (i >> 6 & 1) * 32 AS r, (i >> 1 & 1) * 128 + (i >> 4 & 1) * 64 + (i >> 7 & 1) * 32 AS g, (i >> 2 & 1) * 128 + (i >> 5 & 1) * 64 AS b FROM (SELECT p_partkey, p_partkey % 256 AS i FROM part)""",
     )
     add(
         "detector_grid_decode",

@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from brindle.functions.geometry import Box
 from brindle.operators import layouts, masks, matching, presets, regions, resizing, rotated
 from brindle.plans.annotations import BOXES, KEYS, TIES, boxes, suppressed_sql
-from brindle.plans.pixels import GRID, HEIGHT, WIDTH, _grid
+from brindle.plans.pixels import GRID, HEIGHT, IMAGES, WIDTH, _canvases, _grid
 from brindle.registry import Registry
 from brindle.session import table
 
-BLOBS = "(SELECT i AS image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CASE WHEN ((x // 3) * 7 + (y // 2) * 5 + i * 3) % 11 < 3 AND i % 7 <> 6 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM range(40) a(i), range(24) b(y), range(30) c(x))"
+BLOBS = "(SELECT i AS image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CASE WHEN ((x // 3) * 7 + (y // 2) * 5 + i * 3 + b) % 11 < 3 AND i % 7 <> 6 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM " + IMAGES + ", range(24) b(y), range(30) c(x))"
 
 
-def _blobs(s):
-    on = ((F.floor(F.col("x") / 3) * 7 + F.floor(F.col("y") / 2) * 5 + F.col("image_id") * 3) % 11 < 3) & (F.col("image_id") % 7 != 6)
-    return _grid(s).withColumn("value", F.when(on, 1.0).otherwise(0.0))
+def _blobs(s, d):
+    on = ((F.floor(F.col("x") / 3) * 7 + F.floor(F.col("y") / 2) * 5 + F.col("image_id") * 3 + F.col("b")) % 11 < 3) & (F.col("image_id") % 7 != 6)
+    return _canvases(s, d).select("image_id", "y", "x", F.when(on, 1.0).otherwise(0.0).alias("value"))
 
 
 def _regions_sql(on: str, diagonal: bool) -> str:
@@ -36,7 +36,7 @@ def _canvas(pixels):
 
 def _mapped(new: tuple[int, int], y: str, x: str, inside: str, fill: str) -> str:
     """SQL of a canvas whose pixel (t.y, t.x) reads the source pixel (y, x) where ``inside``."""
-    return f"""SELECT t.image_id, t.y, t.x, CASE WHEN {inside} THEN g.value ELSE {fill} END AS value FROM (SELECT i AS image_id, y, x FROM range(40) a(i), range({new[0]}) b(y), range({new[1]}) c(x)) t
+    return f"""SELECT t.image_id, t.y, t.x, CASE WHEN {inside} THEN g.value ELSE {fill} END AS value FROM (SELECT i AS image_id, y, x FROM (SELECT s_suppkey - 1 FROM supplier) a(i), range({new[0]}) b(y), range({new[1]}) c(x)) t
     LEFT JOIN {GRID} g ON g.image_id = t.image_id AND {inside} AND g.y = {y} AND g.x = {x}"""
 
 
@@ -44,22 +44,22 @@ def register(registry: Registry) -> None:
     add = registry.add
     add(
         "region_boxes",
-        lambda s, d: regions.boxes_of(regions.regions(_blobs(s))).select("image_id", (F.col("region.region_y") * WIDTH + F.col("region.region_x")).alias("r"), "area", "x0", "y0", "x1", "y1"),
+        lambda s, d: regions.boxes_of(regions.regions(_blobs(s, d))).select("image_id", (F.col("region.region_y") * WIDTH + F.col("region.region_x")).alias("r"), "area", "x0", "y0", "x1", "y1"),
         f"WITH RECURSIVE {_regions_sql('value > 0.5', True)} SELECT image_id, CAST(r AS BIGINT) AS r, area, CAST(x0 AS BIGINT) AS x0, CAST(y0 AS BIGINT) AS y0, CAST(x1 AS BIGINT) AS x1, CAST(y1 AS BIGINT) AS y1 FROM box",
     )
     add(
         "remove_small_regions",
-        lambda s, d: regions.remove_small(_blobs(s), 13).select("image_id", "y", "x", "value"),
+        lambda s, d: regions.remove_small(_blobs(s, d), 13).select("image_id", "y", "x", "value"),
         f"""WITH RECURSIVE {_regions_sql('value > 0.5', True)} SELECT image_id, y, x, CASE WHEN value > 0.5 AND NOT EXISTS (SELECT 1 FROM box b WHERE b.image_id = g.image_id AND area < 13 AND g.x BETWEEN x0 AND x1 AND g.y BETWEEN y0 AND y1) THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM {BLOBS} g""",
     )
     add(
         "largest_region",
-        lambda s, d: regions.largest(_blobs(s)).filter("value = 1").select("image_id", "y", "x"),
+        lambda s, d: regions.largest(_blobs(s, d)).filter("value = 1").select("image_id", "y", "x"),
         f"WITH RECURSIVE {_regions_sql('value > 0.5', True)}, top AS (SELECT image_id, r FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, r) AS n FROM box) WHERE n = 1) SELECT image_id, y, x FROM reg JOIN top USING (image_id, r)",
     )
     add(
         "fill_holes",
-        lambda s, d: regions.fill_holes(_blobs(s)).select("image_id", "y", "x", "value"),
+        lambda s, d: regions.fill_holes(_blobs(s, d)).select("image_id", "y", "x", "value"),
         f"""WITH RECURSIVE {_regions_sql('value <= 0.5', False)}, out AS (SELECT image_id, r FROM box WHERE x0 = 0 OR y0 = 0 OR x1 = {WIDTH - 1} OR y1 = {HEIGHT - 1})
         SELECT g.image_id, g.y, g.x, CASE WHEN out.r IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM {BLOBS} g LEFT JOIN reg USING (image_id, y, x) LEFT JOIN out ON out.image_id = reg.image_id AND out.r = reg.r""",
     )
@@ -67,7 +67,7 @@ def register(registry: Registry) -> None:
     mirror = lambda c, n: f"CASE WHEN {c} < 0 THEN -1 - ({c}) WHEN {c} >= {n} THEN {2 * n - 1} - ({c}) ELSE {c} END"
     add(
         "mask_gaussian",
-        lambda s, d: masks.gaussian(_grid(s), 1.0).select("image_id", "y", "x", F.round("value", 8).alias("value")),
+        lambda s, d: masks.gaussian(_grid(s, d), 1.0).select("image_id", "y", "x", F.round("value", 8).alias("value")),
         f"""WITH g AS (SELECT image_id, y::INT AS y, x::INT AS x, value FROM {GRID}), k AS (SELECT i::INT AS i, exp(-i * i / 2.0) / ({k}) AS w FROM range(-4, 5) r(i)),
         a AS (SELECT t.image_id, t.y, t.x, sum(g.value * w) AS v FROM g t, k JOIN g ON g.image_id = t.image_id AND g.x = t.x AND g.y = {mirror('t.y + k.i', HEIGHT)} GROUP BY ALL)
         SELECT t.image_id, t.y, t.x, round(sum(a.v * w), 8) AS value FROM a t, k JOIN a ON a.image_id = t.image_id AND a.y = t.y AND a.x = {mirror('t.x + k.i', WIDTH)} GROUP BY ALL""",
@@ -82,17 +82,17 @@ def register(registry: Registry) -> None:
     for mode, sql in resized.items():
         add(
             f"resize_{mode}",
-            lambda s, d, mode=mode: _canvas(resizing.resize(_grid(s), (HEIGHT, WIDTH), (40, 36), mode, 0.5)),
+            lambda s, d, mode=mode: _canvas(resizing.resize(_grid(s, d), (HEIGHT, WIDTH), (40, 36), mode, 0.5)),
             f"SELECT image_id, count(*) AS n, CAST(sum(y * 1000 + x) FILTER (value > 0.5) AS BIGINT) AS places, round(sum(value), 6) AS total FROM ({sql}) GROUP BY image_id",
         )
 
-    def target_mask(s):
+    def target_mask(s, d):
         inside = F.col("y").between(3, 5 + F.col("image_id") % 9) & F.col("x").between(4, 9 + F.col("image_id") % 13)
-        return _grid(s).withColumn("value", F.when(inside, 1.0).otherwise(0.0))
+        return _grid(s, d).withColumn("value", F.when(inside, 1.0).otherwise(0.0))
 
-    def own_mask(s):
+    def own_mask(s, d):
         inside = F.col("y").between(8, 13 + F.col("image_id") % 3) & F.col("x").between(10, 17 + F.col("image_id") % 4) & ((F.col("x") + F.col("y")) % 3 != 0)
-        return _grid(s).withColumn("value", F.when(inside & (F.col("image_id") % 10 != 9), 1.0).otherwise(0.0))
+        return _grid(s, d).withColumn("value", F.when(inside & (F.col("image_id") % 10 != 9), 1.0).otherwise(0.0))
 
     own_sql = f"(SELECT image_id, y, x, CASE WHEN y BETWEEN 8 AND 13 + image_id % 3 AND x BETWEEN 10 AND 17 + image_id % 4 AND (x + y) % 3 <> 0 AND image_id % 10 <> 9 THEN 1.0 ELSE 0.0 END AS value FROM {GRID})"
     boxes_sql = f"""b AS (SELECT image_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, (6 + image_id % 13) / (3 + image_id % 9) AS ra FROM {own_sql} WHERE value > 0.5 GROUP BY image_id)"""
@@ -104,15 +104,15 @@ def register(registry: Registry) -> None:
     for mode, (nw, nh, y, x) in sizes.items():
         add(
             f"mask_aspect_{mode}",
-            lambda s, d, mode=mode: resizing.match_aspect(target_mask(s), own_mask(s), mode, (HEIGHT, WIDTH)).filter("value > 0").select("image_id", "y", "x"),
+            lambda s, d, mode=mode: resizing.match_aspect(target_mask(s, d), own_mask(s, d), mode, (HEIGHT, WIDTH)).filter("value > 0").select("image_id", "y", "x"),
             f"""WITH {boxes_sql}, c AS (SELECT *, CAST({nw} AS BIGINT) AS nw, CAST({nh} AS BIGINT) AS nh FROM b), q AS (SELECT *, (x0 + x1) // 2 - nw // 2 AS px, (y0 + y1) // 2 - nh // 2 AS py FROM c)
             SELECT t.image_id, t.y, t.x FROM {GRID} t JOIN q USING (image_id) JOIN {own_sql} o ON o.image_id = t.image_id AND o.y = {y} AND o.x = {x} AND o.value > 0 WHERE t.y BETWEEN py AND py + nh - 1 AND t.x BETWEEN px AND px + nw - 1""",
         )
     for mode, best in (("pad", "least"), ("crop", "greatest")):
         add(
             f"resize_by_mask_{mode}",
-            lambda s, d, mode=mode: _canvas(resizing.resize_by_mask(_grid(s), own_mask(s).filter("image_id < 30"), (HEIGHT, WIDTH), (20, 28), mode, 0.25)),
-            f"""WITH {boxes_sql}, i AS (SELECT i AS image_id, CASE WHEN i < 30 THEN i ELSE 0 END AS m FROM range(40) r(i)),
+            lambda s, d, mode=mode: _canvas(resizing.resize_by_mask(_grid(s, d), own_mask(s, d).filter("image_id < 30"), (HEIGHT, WIDTH), (20, 28), mode, 0.25)),
+            f"""WITH {boxes_sql}, i AS (SELECT i AS image_id, CASE WHEN i < 30 THEN i ELSE 0 END AS m FROM (SELECT s_suppkey - 1 FROM supplier) r(i)),
             c AS (SELECT i.image_id, b.x0 IS NULL AS e, b.*EXCLUDE (image_id), {best}(28 / w, 20 / h) AS s FROM i LEFT JOIN b ON b.image_id = i.m),
             z AS (SELECT *, CASE WHEN e THEN 28 ELSE CAST(round_even(30 * s, 0) AS BIGINT) END AS sw, CASE WHEN e THEN 20 ELSE CAST(round_even(24 * s, 0) AS BIGINT) END AS sh, CAST(round_even((x0 + x1) / 2 * s, 0) AS BIGINT) AS cx, CAST(round_even((y0 + y1) / 2 * s, 0) AS BIGINT) AS cy FROM c),
             k AS (SELECT *, greatest(0, least(cx - 14, sw - 28)) AS ax, greatest(0, least(cy - 10, sh - 20)) AS ay, greatest(least(14 - cx, 27), 1 - sw) AS px, greatest(least(10 - cy, 19), 1 - sh) AS py FROM z),
@@ -123,7 +123,7 @@ def register(registry: Registry) -> None:
         )
 
     def transforms(s, d):
-        g = _grid(s)
+        g = _grid(s, d)
         turned = resizing.quarter_turn(resizing.flip(resizing.flip(g, WIDTH), HEIGHT, "y"), WIDTH)
         cut = resizing.crop(turned, 4, 5, (20, 12)).withColumn("m", resizing.image_mean())
         return cut.select("image_id", "y", "x", resizing.to_bytes(resizing.adjust(F.col("value"), "contrast", 0.5, F.col("m")) * 1.3).alias("byte"))

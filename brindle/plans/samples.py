@@ -225,23 +225,23 @@ def register(registry: Registry) -> None:
     )
 
     # Parts of a person in an image.
-    def labels(s):
-        return _grid(s).withColumn("value", (F.col("x") * 3 + F.col("y") + F.col("image_id")) % 6)
+    def labels(s, d):
+        return _grid(s, d).withColumn("value", (F.col("x") * 3 + F.col("y") + F.col("image_id")) % 6)
 
     label_sql = f"(SELECT image_id, y, x, (x * 3 + y + image_id) % 6 AS v FROM {GRID})"
-    add("part_mask", lambda s, d: masks.part_mask(labels(s), [1, 2, 4], [2]).select("image_id", "y", "x", "value"), f"SELECT image_id, y, x, CASE WHEN v IN (1, 4) THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM {label_sql}")
+    add("part_mask", lambda s, d: masks.part_mask(labels(s, d), [1, 2, 4], [2]).select("image_id", "y", "x", "value"), f"SELECT image_id, y, x, CASE WHEN v IN (1, 4) THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM {label_sql}")
     add(
         "arg_max_label",
-        lambda s, d: masks.arg_max_label(_grid(s).withColumn("label", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("score", (F.col("x") * (F.col("label") + 2) + F.col("y") * 3 + F.col("label")) % 7)).select("image_id", "y", "x", "value"),
+        lambda s, d: masks.arg_max_label(_grid(s, d).withColumn("label", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("score", (F.col("x") * (F.col("label") + 2) + F.col("y") * 3 + F.col("label")) % 7)).select("image_id", "y", "x", "value"),
         f"SELECT image_id, y, x, CAST(arg_min(l, -((x * (l + 2) + y * 3 + l) % 7) * 10 + l) AS INT) AS value FROM {GRID}, range(4) r(l) GROUP BY ALL",
     )
     add(
         "instance_ids",
-        lambda s, d: masks.instance_ids(_grid(s).select("image_id", "y", "x", F.floor(F.col("x") / 10).alias("person"), (F.col("y") % 3).alias("part"))),
+        lambda s, d: masks.instance_ids(_grid(s, d).select("image_id", "y", "x", F.floor(F.col("x") / 10).alias("person"), (F.col("y") % 3).alias("part"))),
         f"SELECT image_id, y, x, x // 10 AS person, y % 3 AS part, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY x // 10, y % 3) AS INT) AS instance FROM {GRID}",
     )
     add(
         "agnostic_fill",
-        lambda s, d: masks.blend(_grid(s), _grid(s).withColumn("value", F.lit(128 / 255.0)), F.when(F.col("x") > F.col("y"), 1.0).otherwise(0.0)).select("image_id", "y", "x", F.round("value", 9).alias("value")),
+        lambda s, d: masks.blend(_grid(s, d), _grid(s, d).withColumn("value", F.lit(128 / 255.0)), F.when(F.col("x") > F.col("y"), 1.0).otherwise(0.0)).select("image_id", "y", "x", F.round("value", 9).alias("value")),
         f"SELECT image_id, y, x, round(CASE WHEN x > y THEN 128 / 255.0::DOUBLE ELSE value END, 9) AS value FROM {GRID}",
     )

@@ -147,8 +147,8 @@ def register(registry: Registry) -> None:
     )
     add(
         "counter_runs",
-        lambda s, d: s.range(12).select(F.col("id").alias("run"), logic.counter(F.col("id"), 0, 2, 9).alias("c")).select("run", "c.value", "c.done", F.round("c.progress", 6).alias("progress"), "c.remaining"),
-        """SELECT r AS run, least(2 * least(r, 5), 9) AS value, 2 * least(r, 5) > 9 AS done, round(least(1.0, 2 * least(r, 5) / 9), 6)::DOUBLE AS progress, greatest(0, 9 - 2 * least(r, 5) + 1) AS remaining FROM range(12) t(r)""",
+        lambda s, d: table(s, d, "customer").select((F.col("c_custkey") - 1).alias("run"), logic.counter(F.col("c_custkey") - 1, 0, 2, 9).alias("c")).select("run", "c.value", "c.done", F.round("c.progress", 6).alias("progress"), "c.remaining"),
+        """SELECT r AS run, least(2 * least(r, 5), 9) AS value, 2 * least(r, 5) > 9 AS done, round(least(1.0, 2 * least(r, 5) / 9), 6)::DOUBLE AS progress, greatest(0, 9 - 2 * least(r, 5) + 1) AS remaining FROM (SELECT c_custkey - 1 AS r FROM customer)""",
     )
     add(
         "natural_order",
