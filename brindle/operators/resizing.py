@@ -1,6 +1,6 @@
-"""Resizing of images as tables of pixels (image_id, y, x, value), by the nearest source pixel.
+"""Resizing of images as tables of pixels (image_id, y, x, value), by the nearest source pixel or a filter of ``resampling``.
 
-A target pixel t of ``new`` reads the source pixel floor(t * old / new), so a source pixel gives the targets
+With the nearest one, a target pixel t of ``new`` reads the source pixel floor(t * old / new), so a source pixel gives the targets
 from ceil(s * old⁻¹ * new) on. Sizes are (height, width); Python's rounding to even is kept.
 """
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.masks import properties, resize_nearest
+from brindle.operators.resampling import lanczos4_along, resample
 
 
 def on_canvas(pixels: DataFrame, size: tuple[int, int], top: int, left: int, fill: float) -> DataFrame:
@@ -23,27 +24,31 @@ def _scaled(old: tuple[int, int], scale: float) -> tuple[int, int]:
     return max(1, round(old[0] * scale)), max(1, round(old[1] * scale))
 
 
-def resize(pixels: DataFrame, old: tuple[int, int], new: tuple[int, int], mode: str = "stretch", fill: float = 0.0) -> DataFrame:
+def _to(pixels: DataFrame, old: tuple[int, int], new: tuple[int, int], method: str) -> DataFrame:
+    return resize_nearest(pixels, old, new) if method == "nearest" else resample(pixels, old, new, method)
+
+
+def resize(pixels: DataFrame, old: tuple[int, int], new: tuple[int, int], mode: str = "stretch", fill: float = 0.0, method: str = "nearest") -> DataFrame:
     """``stretch``; ``pad`` (fit inside, centred); ``cover`` (fill, cut the rest evenly); ``crop`` (cut the source
-    to the target's aspect, then stretch); ``lock_ratio`` (fit inside, no canvas; a side of 0 follows the other)."""
+    to the target's aspect, then stretch); ``lock_ratio`` (fit inside, no canvas; a side of 0 follows the other). ``method`` is a filter of ``resampling``."""
     wide, high = new[1] / max(old[1], 1), new[0] / max(old[0], 1)
     if mode == "stretch":
-        return resize_nearest(pixels, old, new)
+        return _to(pixels, old, new, method)
     if mode == "lock_ratio":
         if new[0] <= 0 and new[1] <= 0:
             return pixels
         if new[0] <= 0 or new[1] <= 0:
             scale = max(wide, high)
-            return resize_nearest(pixels, old, (new[0], max(1, round(old[1] * scale))) if new[1] <= 0 else (max(1, round(old[0] * scale)), new[1]))
-        return resize_nearest(pixels, old, _scaled(old, min(wide, high)))
+            return _to(pixels, old, (new[0], max(1, round(old[1] * scale))) if new[1] <= 0 else (max(1, round(old[0] * scale)), new[1]), method)
+        return _to(pixels, old, _scaled(old, min(wide, high)), method)
     if mode == "crop":
         have, want = old[1] / old[0], new[1] / new[0]
         x = round((old[1] - old[1] * (want / have)) / 2) if have > want else 0
         y = round((old[0] - old[0] * (have / want)) / 2) if have < want else 0
         part = pixels.filter(F.col("x").between(x, old[1] - x - 1) & F.col("y").between(y, old[0] - y - 1)).withColumns({"x": F.col("x") - x, "y": F.col("y") - y})
-        return resize_nearest(part, (old[0] - 2 * y, old[1] - 2 * x), new)
+        return _to(part, (old[0] - 2 * y, old[1] - 2 * x), new, method)
     size = _scaled(old, max(wide, high) if mode == "cover" else min(wide, high))
-    made = resize_nearest(pixels, old, size)
+    made = _to(pixels, old, size, method)
     if mode == "cover":
         top, left = max(0, (size[0] - new[0]) // 2), max(0, (size[1] - new[1]) // 2)
         cut = made.withColumns({"y": F.col("y") - top, "x": F.col("x") - left})
@@ -51,6 +56,16 @@ def resize(pixels: DataFrame, old: tuple[int, int], new: tuple[int, int], mode:
     return on_canvas(made, new, max(0, (new[0] - size[0]) // 2), max(0, (new[1] - size[1]) // 2), fill)
 
 
+def merge_batches(batches: list[tuple[DataFrame, tuple[int, int]]], mode: str = "stretch", method: str = "bilinear") -> DataFrame:
+    """(batch, image_id, y, x, value): image batches in order, each brought to the size of the first one (``stretch``, ``crop`` or ``pad`` with 0)."""
+    size, merged = batches[0][1], None
+    for number, (pixels, own) in enumerate(batches):
+        made = pixels.select("image_id", "y", "x", "value") if own == size else resize(pixels, own, size, {"crop": "cover"}.get(mode, mode), method=method)
+        made = made.select(F.lit(number).alias("batch"), "image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("value").cast("double").alias("value"))
+        merged = made if merged is None else merged.unionByName(made)
+    return merged
+
+
 def _targets(place: Column, old: Column, new: Column) -> Column:
     """The target places that read a source place."""
     first, end = F.ceil(place * new / old), F.ceil((place + 1) * new / old) - 1
@@ -78,11 +93,11 @@ def match_aspect(target: DataFrame, mask: DataFrame, mode: str, size: tuple[int,
     return mask.drop("value").join(placed, ["image_id", "y", "x"], "left").withColumn("value", F.coalesce("__v", F.lit(0.0))).drop("__v")
 
 
-def resize_by_mask(pixels: DataFrame, mask: DataFrame, old: tuple[int, int], new: tuple[int, int], mode: str = "pad", fill: float = 0.0) -> DataFrame:
+def resize_by_mask(pixels: DataFrame, mask: DataFrame, old: tuple[int, int], new: tuple[int, int], mode: str = "pad", fill: float = 0.0, method: str = "nearest") -> DataFrame:
     """Images scaled so that the box of their mask fits (``pad``) or fills (``crop``) the target, with its centre in the middle.
 
     An image without a mask of its own takes that of image 0; an empty mask stretches the image. A crop that the
-    scaled image cannot fill is padded with 0.
+    scaled image cannot fill is padded with 0. ``method`` is nearest (masks) or lanczos4 (images).
     """
     boxes = properties(mask, mask.select("image_id").distinct())
     first = boxes.filter("image_id = 0").select(F.struct(*[c for c in boxes.columns if c != "image_id"]).alias("__d"))  # one row
@@ -100,6 +115,10 @@ def resize_by_mask(pixels: DataFrame, mask: DataFrame, old: tuple[int, int], new
     cut = (F.lit(mode == "crop")) & fits
     moves = {c: F.when(F.col("__e"), 0).when(cut, -start[c]).otherwise(paste[c]).cast("long") for c in "xy"}
     plan = plan.select("image_id", "__w", "__h", moves["x"].alias("__dx"), moves["y"].alias("__dy"))
+    if method == "lanczos4":
+        held = pixels.join(plan.select("image_id", F.struct("__w", "__h", "__dx", "__dy").alias("plan")), "image_id")
+        scaled = lanczos4_along(lanczos4_along(held, "x", sw, F.col("plan.__w")), "y", sh, F.col("plan.__h"))
+        return on_canvas(scaled.select("image_id", (F.col("y") + F.col("plan.__dy")).alias("y"), (F.col("x") + F.col("plan.__dx")).alias("x"), "value"), new, 0, 0, fill if mode == "pad" else 0.0)
     made = pixels.join(plan, "image_id").withColumn("__y", F.explode(_targets(F.col("y"), F.lit(sh), F.col("__h")))).withColumn("__x", F.explode(_targets(F.col("x"), F.lit(sw), F.col("__w"))))
     return on_canvas(made.select("image_id", (F.col("__y") + F.col("__dy")).alias("y"), (F.col("__x") + F.col("__dx")).alias("x"), "value"), new, 0, 0, fill if mode == "pad" else 0.0)
 

@@ -108,20 +108,27 @@ def register(registry: Registry) -> None:
             f"""WITH {boxes_sql}, c AS (SELECT *, CAST({nw} AS BIGINT) AS nw, CAST({nh} AS BIGINT) AS nh FROM b), q AS (SELECT *, (x0 + x1) // 2 - nw // 2 AS px, (y0 + y1) // 2 - nh // 2 AS py FROM c)
             SELECT t.image_id, t.y, t.x FROM {GRID} t JOIN q USING (image_id) JOIN {own_sql} o ON o.image_id = t.image_id AND o.y = {y} AND o.x = {x} AND o.value > 0 WHERE t.y BETWEEN py AND py + nh - 1 AND t.x BETWEEN px AND px + nw - 1""",
         )
+    def placed_sql(mode: str, best: str) -> str:
+        """Size and place of each scaled image."""
+        return f"""{boxes_sql}, i AS (SELECT i AS image_id, CASE WHEN i < 30 THEN i ELSE 0 END AS m FROM (SELECT s_suppkey - 1 FROM supplier) r(i)),
+            c AS (SELECT i.image_id, b.x0 IS NULL AS e, b.*EXCLUDE (image_id), {best}(28 / w, 20 / h) AS s FROM i LEFT JOIN b ON b.image_id = i.m),
+            z AS (SELECT *, CASE WHEN e THEN 28 ELSE CAST(round_even(30 * s, 0) AS BIGINT) END AS sw, CASE WHEN e THEN 20 ELSE CAST(round_even(24 * s, 0) AS BIGINT) END AS sh, CAST(round_even((x0 + x1) / 2 * s, 0) AS BIGINT) AS cx, CAST(round_even((y0 + y1) / 2 * s, 0) AS BIGINT) AS cy FROM c),
+            k AS (SELECT *, greatest(0, least(cx - 14, sw - 28)) AS ax, greatest(0, least(cy - 10, sh - 20)) AS ay, greatest(least(14 - cx, 27), 1 - sw) AS px, greatest(least(10 - cy, 19), 1 - sh) AS py FROM z),
+            o AS (SELECT image_id, sw, sh, CASE WHEN e THEN 0 WHEN '{mode}' = 'crop' AND ax + 28 <= sw AND ay + 20 <= sh THEN -ax ELSE px END AS dx, CASE WHEN e THEN 0 WHEN '{mode}' = 'crop' AND ax + 28 <= sw AND ay + 20 <= sh THEN -ay ELSE py END AS dy FROM k)"""
+
     for mode, best in (("pad", "least"), ("crop", "greatest")):
         add(
             f"resize_by_mask_{mode}",
             lambda s, d, mode=mode: _canvas(resizing.resize_by_mask(_grid(s, d), own_mask(s, d).filter("image_id < 30"), (HEIGHT, WIDTH), (20, 28), mode, 0.25)),
-            f"""WITH {boxes_sql}, i AS (SELECT i AS image_id, CASE WHEN i < 30 THEN i ELSE 0 END AS m FROM (SELECT s_suppkey - 1 FROM supplier) r(i)),
-            c AS (SELECT i.image_id, b.x0 IS NULL AS e, b.*EXCLUDE (image_id), {best}(28 / w, 20 / h) AS s FROM i LEFT JOIN b ON b.image_id = i.m),
-            z AS (SELECT *, CASE WHEN e THEN 28 ELSE CAST(round_even(30 * s, 0) AS BIGINT) END AS sw, CASE WHEN e THEN 20 ELSE CAST(round_even(24 * s, 0) AS BIGINT) END AS sh, CAST(round_even((x0 + x1) / 2 * s, 0) AS BIGINT) AS cx, CAST(round_even((y0 + y1) / 2 * s, 0) AS BIGINT) AS cy FROM c),
-            k AS (SELECT *, greatest(0, least(cx - 14, sw - 28)) AS ax, greatest(0, least(cy - 10, sh - 20)) AS ay, greatest(least(14 - cx, 27), 1 - sw) AS px, greatest(least(10 - cy, 19), 1 - sh) AS py FROM z),
-            o AS (SELECT image_id, sw, sh, CASE WHEN e THEN 0 WHEN '{mode}' = 'crop' AND ax + 28 <= sw AND ay + 20 <= sh THEN -ax ELSE px END AS dx, CASE WHEN e THEN 0 WHEN '{mode}' = 'crop' AND ax + 28 <= sw AND ay + 20 <= sh THEN -ay ELSE py END AS dy FROM k),
+            f"""WITH {placed_sql(mode, best)},
             t AS (SELECT o.image_id, y, x, (y - dy) * 24 // sh AS sy, (x - dx) * 30 // sw AS sx, y - dy BETWEEN 0 AND sh - 1 AND x - dx BETWEEN 0 AND sw - 1 AS inside FROM o, range(20) a(y), range(28) b(x)),
             v AS (SELECT t.image_id, t.y, t.x, CASE WHEN inside THEN g.value ELSE {0.25 if mode == 'pad' else 0.0} END AS value FROM t LEFT JOIN {GRID} g ON inside AND g.image_id = t.image_id AND g.y = t.sy AND g.x = t.sx)
             SELECT image_id, count(*) AS n, CAST(sum(y * 1000 + x) FILTER (value > 0.5) AS BIGINT) AS places, round(sum(value), 6)::DOUBLE AS total FROM v GROUP BY image_id""",
         )
 
+    # The SQL of 64 taps for each pixel takes minutes, so tests compare this one with the weight tables.
+    add("resize_by_mask_lanczos4", lambda s, d: _canvas(resizing.resize_by_mask(_grid(s, d), own_mask(s, d).filter("image_id < 30"), (HEIGHT, WIDTH), (20, 28), "pad", 0.25, "lanczos4")).select("image_id", "n", "total"))
+
     def transforms(s, d):
         g = _grid(s, d)
         turned = resizing.quarter_turn(resizing.flip(resizing.flip(g, WIDTH), HEIGHT, "y"), WIDTH)
