@@ -104,7 +104,7 @@ def match_folders(folders: DataFrame, wanted: DataFrame, mode: str = "contains")
     return scored.withColumn("n", F.row_number().over(best)).filter("n = 1").select("text", "context", "path", "score")
 
 
-def free_names(spark: SparkSession, taken: list[str], count: int, prefix: str = "NH", suffix: str = "png", number_suffix: bool = True) -> list[str]:
+def free_names(spark: SparkSession, taken: list[str], count: int, prefix: str, suffix: str = "png", number_suffix: bool = True) -> list[str]:
     """Names for ``count`` new files: the smallest numbers from 1 that are free, with four digits if ``number_suffix``;
     otherwise the bare name first, if nothing is there."""
     ending = r"\.(?:png|jpe?g|webp|avif)$"

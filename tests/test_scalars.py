@@ -119,8 +119,8 @@ def test_selector_errors():
 
 
 def test_file_names(spark, tmp_path):
-    assert free_names(spark, ["NH0001.png", "0003.jpg"], 2) == ["NH0002.png", "NH0004.png"]
-    assert free_names(spark, [], 2, number_suffix=False) == ["NH.png", "NH1.png"]
+    assert free_names(spark, ["shot0001.png", "0003.jpg"], 2, "shot") == ["shot0002.png", "shot0004.png"]
+    assert free_names(spark, [], 2, "shot", number_suffix=False) == ["shot.png", "shot1.png"]
     with pytest.raises(ValueError):
         child_folder(str(tmp_path), "../out")
 
