@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from brindle.plans import annotations, evaluation, pixels, poses, regions, resampling, samples, scalars
+from brindle.plans import annotations, evaluation, pixels, poses, rasters, regions, resampling, samples, scalars
 from brindle.registry import Registry
 
 REGISTRY = Registry()
-for part in (scalars, annotations, evaluation, pixels, poses, regions, resampling, samples):
+for part in (scalars, annotations, evaluation, pixels, poses, rasters, regions, resampling, samples):
     part.register(REGISTRY)

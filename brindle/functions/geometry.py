@@ -166,6 +166,18 @@ def polygon_area(points: Column) -> Column:
     return F.abs(F.aggregate(F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), term), F.lit(0.0), lambda a, b: a + b)) / 2
 
 
+def polygons_area(polygons: Column) -> Column:
+    """The sum of the areas of array<array<double>>; null stays null."""
+    return F.aggregate(F.transform(polygons, polygon_area), F.lit(0.0), lambda a, b: a + b)
+
+
+def polygons_bounds(polygons: Column) -> list[Column]:
+    """x0, y0, x1 and y1 of the vertices of array<array<double>>; the upper ends are 0 at least."""
+    every = lambda odd: F.flatten(F.transform(polygons, lambda p: F.filter(p, lambda _, i: i % 2 == odd)))
+    low, high = (lambda odd: F.array_min(every(odd))), (lambda odd: F.greatest(F.lit(0.0), F.array_max(every(odd))))
+    return [low(0).alias("x0"), low(1).alias("y0"), high(0).alias("x1"), high(1).alias("y1")]
+
+
 def flip_keypoints(points: Column, width: float, pairs: list[tuple[int, int]], odd: bool = True) -> Column:
     """Mirrored x of array<struct<x,y,v>>, left and right swapped on an odd number of flips; unseen points are zero."""
     order = {a: b for p in pairs for a, b in (p, p[::-1])}

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.geometry import polygons_area
 from brindle.operators.metrics import running_sums
 
 
@@ -81,7 +82,7 @@ def duplicate_ids(notes: DataFrame, key: str = "id") -> DataFrame:
 
 
 def export_annotations(images: DataFrame, categories: DataFrame) -> DataFrame:
-    """Flat annotation rows with ids from 1 in the order of images, rounded boxes and original categories."""
+    """Flat annotation rows with ids from 1 in the order of images, rounded boxes and original categories; the area is that of the polygons, or of the box where there are none."""
     flat = images.select("image_id", F.posexplode("annotations").alias("pos", "a")).join(F.broadcast(categories), F.col("a.category_id") == F.col("contiguous_id"))
     box = F.transform("a.bbox", lambda v: F.bround(v, 3))
     # Ids count on from image to image: sizes of images are summed over ranges, so no task sees all annotations.
@@ -90,7 +91,7 @@ def export_annotations(images: DataFrame, categories: DataFrame) -> DataFrame:
     flat = flat.join(ends, "image_id")
     return flat.select(
         (F.col("__start") + F.col("pos") + 1).cast("long").alias("id"), "image_id", box.alias("bbox"), F.col("category_id"), F.coalesce("a.iscrowd", F.lit(0)).alias("iscrowd"),
-        F.bround(F.get("a.bbox", F.lit(2)) * F.get("a.bbox", F.lit(3)), 3).alias("area"),
+        F.when(F.size("a.segmentation") > 0, polygons_area(F.col("a.segmentation"))).otherwise(F.bround(F.get("a.bbox", F.lit(2)) * F.get("a.bbox", F.lit(3)), 3)).alias("area"),
         F.transform("a.keypoints", lambda v, i: F.when(i % 3 == 2, v).otherwise(v - 0.5)).alias("keypoints"),
     )
 

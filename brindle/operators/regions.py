@@ -33,22 +33,23 @@ def _joined_runs(y: np.ndarray, first: np.ndarray, last: np.ndarray, reach: int)
     return np.array([top(k) for k in range(len(y))], int)
 
 
-def regions(pixels: DataFrame, diagonal: bool = True, on: str = "value > 0.5") -> DataFrame:
+def regions(pixels: DataFrame, diagonal: bool = True, on: str = "value > 0.5", within: tuple[str, ...] = ()) -> DataFrame:
     """(image_id, y, x, region) of the pixels that are ``on``; a region is named by its first pixel in row order.
 
-    Rows are cut into runs by windows; only the runs of an image, and not its pixels, come together.
+    Rows are cut into runs by windows; only the runs of an image, and not its pixels, come together. With ``within``, pixels touch only where these columns agree.
     """
-    line = Window.partitionBy("image_id", "y").orderBy("x")
-    lit = pixels.filter(on).select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
-    runs = lit.withColumn("__g", F.col("x") - F.row_number().over(line)).groupBy("image_id", "y", "__g").agg(F.min("x").alias("first"), F.max("x").alias("last")).drop("__g")
+    keys = ["image_id", *within]
+    line = Window.partitionBy(*keys, "y").orderBy("x")
+    lit = pixels.filter(on).select(*keys, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    runs = lit.withColumn("__g", F.col("x") - F.row_number().over(line)).groupBy(*keys, "y", "__g").agg(F.min("x").alias("first"), F.max("x").alias("last")).drop("__g")
 
     def join(image: pd.DataFrame) -> pd.DataFrame:
         image = image.sort_values(["y", "first"]).reset_index(drop=True)
         root = _joined_runs(image["y"].to_numpy(), image["first"].to_numpy(), image["last"].to_numpy(), int(diagonal))
         return image.assign(region_y=image["y"].to_numpy()[root], region_x=image["first"].to_numpy()[root])
 
-    named = runs.groupBy("image_id").applyInPandas(join, StructType([*runs.schema.fields, StructField("region_y", LongType()), StructField("region_x", LongType())]))
-    return named.select("image_id", "y", F.explode(F.sequence("first", "last")).alias("x"), F.struct("region_y", "region_x").alias("region"))
+    named = runs.groupBy(*keys).applyInPandas(join, StructType([*runs.schema.fields, StructField("region_y", LongType()), StructField("region_x", LongType())]))
+    return named.select(*keys, "y", F.explode(F.sequence("first", "last")).alias("x"), F.struct("region_y", "region_x").alias("region"))
 
 
 def boxes_of(found: DataFrame) -> DataFrame:
@@ -80,3 +81,23 @@ def fill_holes(pixels: DataFrame) -> DataFrame:
     outside = boxes_of(dark).join(edge, "image_id").filter((F.col("x0") == 0) | (F.col("y0") == 0) | (F.col("x1") == F.col("w")) | (F.col("y1") == F.col("h")))
     left = dark.join(outside.select("image_id", "region"), ["image_id", "region"]).select("image_id", "y", "x", F.lit(0.0).alias("__v"))
     return pixels.join(left, ["image_id", "y", "x"], "left").withColumn("value", F.coalesce("__v", F.lit(1.0))).drop("__v")
+
+
+def grow(pixels: DataFrame, classes: DataFrame) -> DataFrame:
+    """``pixels`` (image_id, y, x, instance, person, part) with instances grown over free pixels of their class.
+
+    ``classes`` gives the part of each (image_id, instance). A free pixel (instance 0) takes the instance and person of the first labelled pixel in row order that reaches
+    it by steps, diagonal ones too, over free pixels of that class. All free pixels of one region are reached by the same labelled ones, so regions are
+    found first and each asks only the pixels around it: nothing goes from pixel to pixel in rounds. Instances without a class do not grow; free
+    pixels that none reaches stay as they are, and so do nulls.
+    """
+    free = regions(pixels, diagonal=True, on="instance = 0 AND part IS NOT NULL", within=("part",)).withColumnRenamed("part", "__c")
+    sources = pixels.filter("instance <> 0").select("image_id", "instance", "person", F.col("y").cast("long").alias("sy"), F.col("x").cast("long").alias("sx"))
+    sources = sources.join(classes.select("image_id", "instance", F.col("part").alias("__c")).dropDuplicates(["image_id", "instance"]), ["image_id", "instance"])
+    steps = F.array(*[F.struct((F.col("sy") + dy).alias("y"), (F.col("sx") + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
+    around = sources.withColumn("__s", F.explode(steps)).select("image_id", "__c", "instance", "person", "sy", "sx", "__s.y", "__s.x")
+    claims = around.join(free, ["image_id", "__c", "y", "x"]).groupBy("image_id", "__c", "region").agg(F.min(F.struct("sy", "sx", "instance", "person")).alias("by"))
+    grown = free.join(claims, ["image_id", "__c", "region"]).select("image_id", "y", "x", F.col("by.instance").alias("__i"), F.col("by.person").alias("__h"), F.lit(True).alias("__grown"))
+    made = pixels.join(grown, ["image_id", "y", "x"], "left")
+    taken = lambda new, old: F.when(F.col("__grown"), F.col(new)).otherwise(F.col(old))
+    return made.withColumns({"instance": taken("__i", "instance"), "person": taken("__h", "person")}).drop("__i", "__h", "__grown")

@@ -100,7 +100,7 @@ def test_load_and_export(spark, tmp_path):
     assert note.category_id == 1 and note.segmentation == [[0, 0, 1, 0, 1, 1]] and note.keypoints == [1.5, 2.5, 2]
     ranks = datasets.contiguous(spark.createDataFrame([(30,), (10,)], "category_id long"), "category_id")
     back = datasets.export_annotations(datasets.load_annotations(spark, str(tmp_path / "f.json")), ranks).collect()
-    assert [(r.id, r.category_id, r.bbox[2], r.keypoints) for r in back] == [(1, 30, 3.123, [1, 2, 2])]
+    assert [(r.id, r.category_id, r.bbox[2], r.keypoints, r.area) for r in back] == [(1, 30, 3.123, [1, 2, 2], 0.5)]
 
 
 def test_catalog(spark):
