@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.geometry import Box
+from brindle.operators.poses import triangular_index
 from brindle.session import checkpointed
 
 
@@ -157,9 +159,35 @@ def check_expected(results: DataFrame, expected: DataFrame) -> DataFrame:
     return joined.withColumn("ok", F.coalesce(F.isnotnull("actual") & ~F.isnan("actual") & (F.abs(F.col("actual") - F.col("value")) <= F.col("tolerance")), F.lit(False)))
 
 
-def keypoint_similarity(points: Column, truth: Column, area: Column, variances: list[float]) -> Column:
-    """Mean over visible points of exp(-d^2 / variance / area / 2); null if no point is visible."""
+def keypoint_similarity(points: Column, truth: Column, area: Column, variances: list[float], box: Box | None = None) -> Column:
+    """Mean over visible points of exp(-d^2 / variance / area / 2).
+
+    If no point is visible: null without ``box``, else the mean over all points of their distances to the box of the truth, grown by its own sides on each side.
+    """
     k2 = F.array(*[F.lit(float(v)) for v in variances])
-    parts = F.transform(truth, lambda t, i: F.when(t["v"] > 0, F.exp(-((F.get(points, i)["x"] - t["x"]) ** 2 + (F.get(points, i)["y"] - t["y"]) ** 2) / F.get(k2, i) / area / 2)))
-    seen = F.filter(parts, lambda x: x.isNotNull())
-    return F.when(F.size(seen) > 0, F.aggregate(seen, F.lit(0.0), lambda a, b: a + b) / F.size(seen))
+    share = lambda dx, dy, i: F.exp(-(dx * dx + dy * dy) / F.get(k2, i) / area / 2)
+    parts = F.transform(truth, lambda t, i: F.when(t["v"] > 0, share(F.get(points, i)["x"] - t["x"], F.get(points, i)["y"] - t["y"], i)))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
+    seen = F.filter(parts, lambda v: v.isNotNull())
+    if box is None:
+        return F.when(F.size(seen) > 0, mean(seen))
+    off = lambda v, low, high, side: F.greatest(F.lit(0.0), low - side - v) + F.greatest(F.lit(0.0), v - high - side)
+    outside = F.transform(points, lambda p, i: share(off(p["x"], box.x0, box.x1, box.width), off(p["y"], box.y0, box.y1, box.height), i))
+    return F.when(F.size(seen) > 0, mean(seen)).otherwise(mean(outside))
+
+
+def surface_similarity(points: DataFrame, by: list[str], distances: DataFrame, spreads: DataFrame) -> DataFrame:
+    """(by, similarity): the mean over truth points of exp(-d^2 / 2 spread^2), where d is the distance on the surface.
+
+    ``points`` has ``by``, vertex and truth_vertex, numbered from 1 (0 or null: none). ``distances`` is the packed triangle (place, distance) in the numbering of
+    ``poses.triangular_index`` for vertices from 0; pairs that it lacks are infinitely far, as is a missing vertex, and equal vertices have 0. ``spreads`` has (vertex,
+    spread) of truth vertices; one without a spread counts 0. Groups without a truth point have 0. Equal pairs of a group meet as one row with a count.
+    """
+    real = F.col("truth_vertex") > 0
+    met = points.groupBy(*by, "vertex", "truth_vertex").agg(F.count_if(real).alias("__n"))
+    both = real & (F.col("vertex") > 0)
+    packed = met.withColumn("__k", F.when(both, triangular_index(F.col("vertex").cast("long") - 1, F.col("truth_vertex").cast("long") - 1)))
+    far = packed.join(distances.select(F.col("place").alias("__k"), F.col("distance").alias("__d")), "__k", "left").join(spreads.select(F.col("vertex").alias("truth_vertex"), F.col("spread").alias("__s")), "truth_vertex", "left")
+    d = F.when(both & (F.col("vertex") == F.col("truth_vertex")), 0.0).otherwise(F.col("__d"))
+    near = F.coalesce(F.exp(-(d * d) / (2 * F.col("__s") * F.col("__s"))), F.lit(0.0))
+    return far.groupBy(*by).agg(F.coalesce(F.try_divide(F.sum(near * F.col("__n")), F.sum("__n")), F.lit(0.0)).alias("similarity"))

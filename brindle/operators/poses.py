@@ -123,6 +123,43 @@ def heat_label(x: Column, y: Column, seen: Column, box: tuple[Column, Column, Co
     return F.struct(F.when(valid, row * side + column).otherwise(0).cast("long").alias("label"), valid.alias("valid"))
 
 
+def _taps(place: Column, old: int, new: Column) -> list[tuple[Column, Column]]:
+    """(source place, weight) of the four cubic samples of a target place, borders repeated."""
+    point = (place + 0.5) * old / new - 0.5
+    low = F.floor(point)
+    near = lambda x: (1.25 * x - 2.25) * x * x + 1
+    far = lambda x: (((x - 5) * x + 8) * x - 4) * -0.75
+    part = point - low
+    shares = (far(part + 1), near(part), near(1 - part), far(2 - part))
+    return [(F.greatest(F.lit(0), F.least(F.lit(old - 1), low + k)).cast("int"), w) for k, w in zip((-1, 0, 1, 2), shares)]
+
+
+def heat_points(maps: DataFrame, heat: str, side: int, box: tuple[Column, Column, Column, Column]) -> DataFrame:
+    """``maps`` with x, y, logit and score of the highest place of each map, stretched over its box by cubic samples.
+
+    ``heat`` holds side * side logits row by row. The map takes as many places as the box has pixels (sides under 1 count as 1, rounded up); the first of equal
+    places in row order wins, and its middle is brought back to the true sides. ``score`` is the share of exp(logit) by the sum over the
+    map as given, so that boxes of different sizes compare. One narrow pass, in the memory of one stretched map; maps of another length have nulls.
+    """
+    width, height = (F.greatest(F.lit(1.0), box[k + 2] - box[k]) for k in (0, 1))
+    sized = maps.withColumns({"__m": F.when(F.size(heat) == side * side, F.col(heat)), "__w": width, "__h": height, "__x": box[0], "__y": box[1]})
+    sized = sized.withColumns({"__n": F.ceil("__w").cast("int"), "__k": F.ceil("__h").cast("int")})
+    places = lambda n: F.sequence(F.lit(0), n - 1)
+    tall = F.flatten(F.transform(places(F.col("__k")), lambda y: F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda c: sum(w * F.get("__m", at * side + c) for at, w in _taps(y, side, F.col("__k"))))))
+    grown = sized.withColumn("__t", F.when(F.col("__m").isNotNull(), tall))
+    wide = F.flatten(F.transform(places(F.col("__k")), lambda y: F.transform(places(F.col("__n")), lambda x: F.struct(sum(w * F.get("__t", y * side + at) for at, w in _taps(x, side, F.col("__n"))).alias("v"), (-(y * F.col("__n") + x)).alias("p")))))
+    best = grown.withColumn("__b", F.array_max(wide))
+    place, top = -F.col("__b.p"), F.col("__b.v")
+    total = F.aggregate(F.transform("__m", lambda v: F.exp(v - top)), F.lit(0.0), lambda a, b: a + b)
+    made = {
+        "x": (place % F.col("__n") + 0.5) * (F.col("__w") / F.col("__n")) + F.col("__x"),
+        "y": (F.floor(place / F.col("__n")) + 0.5) * (F.col("__h") / F.col("__k")) + F.col("__y"),
+        "logit": top,
+        "score": 1 / total,
+    }
+    return best.select(*maps.columns, *[c.alias(name) for name, c in made.items()])
+
+
 def center_scale(box: tuple[Column, Column, Column, Column], aspect: float, padding: float = 1.25) -> Column:
     """struct(cx, cy, w, h): the padded box grown on one side to the aspect w / h."""
     w, h = (box[2] - box[0]) * padding, (box[3] - box[1]) * padding

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from brindle.operators.tracking import KEEP, Instance, follow, instances
+
 
 def smoothed_stream(metrics: DataFrame, window: int = 20) -> DataFrame:
     """(name, iter, value) as they come, with the median of the last ``window`` values of each name."""
@@ -46,36 +48,26 @@ def counter_stream(ticks: DataFrame, start: int, step: int, limit: int) -> DataF
     return ticks.groupBy("key").applyInPandasWithState(run, "key string, value long, done boolean, progress double, remaining long", "now long", "append", GroupStateTimeout.NoTimeout)
 
 
-def track_stream(boxes: DataFrame, threshold: float = 0.6, keep: int = 8) -> DataFrame:
-    """(video, frame, det_id, label, x0..y1) with a track id: a box continues the free track of its label that it overlaps
-    most, if by more than the threshold; a track that is not seen for ``keep`` frames ends."""
+def track_stream(detections: DataFrame, keep: int = KEEP) -> DataFrame:
+    """``tracking.track`` on a stream: (video string, frame, det_id, label, x0..y1 and, if there, pixels) to (video, frame, det_id, track).
+
+    The rows of a frame have to come in one trigger, and frames in their order; the state of a video is what it knows after its last frame.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracks, following = ([list(t) for t in state.get[0]], state.get[1]) if state.exists else ([], 0)
-        for batch in batches:
-            out = []
-            for frame, rows in batch.sort_values(["frame", "det_id"]).groupby("frame"):
-                tracks = [t for t in tracks if frame - t[2] <= keep]
-                used: set[int] = set()
-                for r in rows.itertuples(index=False):
-                    best, over = -1, threshold
-                    for i, (_, label, _, x0, y0, x1, y1) in enumerate(tracks):
-                        w, h = min(x1, r.x1) - max(x0, r.x0), min(y1, r.y1) - max(y0, r.y0)
-                        both = max(w, 0) * max(h, 0)
-                        share = both / ((x1 - x0) * (y1 - y0) + (r.x1 - r.x0) * (r.y1 - r.y0) - both) if both else 0
-                        if label == r.label and i not in used and share > over:
-                            best, over = i, share
-                    if best < 0:
-                        tracks.append([following, r.label, 0, 0.0, 0.0, 0.0, 0.0])
-                        following, best = following + 1, len(tracks) - 1
-                    used.add(best)
-                    tracks[best][2:] = [int(frame), float(r.x0), float(r.y0), float(r.x1), float(r.y1)]
-                    out.append((key[0], int(frame), int(r.det_id), tracks[best][0]))
-            yield pd.DataFrame(out, columns=["video", "frame", "det_id", "track"])
-        state.update(([tuple(t) for t in tracks], following))
-
-    kind = "tracks array<struct<id: bigint, label: bigint, frame: bigint, x0: double, y0: double, x1: double, y1: double>>, following bigint"
-    return boxes.groupBy("video").applyInPandasWithState(run, "video string, frame long, det_id long, track long", kind, "append", GroupStateTimeout.NoTimeout)
+        known, following = [], 0
+        if state.exists:
+            known, following = [Instance(t[0], t[1], t[2], None if t[3] is None else tuple(t[3]), None if t[4] is None else tuple(t[4])) for t in state.get[0]], state.get[1]
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["frame", "det_id"], kind="stable")
+        made = []
+        for _, frame in rows.groupby("frame"):
+            known, tracks, following = follow(known, following, instances(frame), keep)
+            made.append(frame[["frame", "det_id"]].assign(video=key[0], track=tracks))
+        state.update(([(i.track, i.label, i.left, None if i.box is None else list(i.box), None if i.pixels is None else list(i.pixels)) for i in known], following))
+        yield pd.concat(made, ignore_index=True)[["video", "frame", "det_id", "track"]]
+
+    kind = "known array<struct<track: bigint, label: bigint, left: bigint, box: array<double>, pixels: array<bigint>>>, following bigint"
+    return detections.groupBy("video").applyInPandasWithState(run, "video string, frame long, det_id long, track long", kind, "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_events(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
