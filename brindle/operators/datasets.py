@@ -52,9 +52,10 @@ categories array<struct<id: bigint, name: string>>
 """
 
 
-def load_annotations(spark: SparkSession, path: str) -> DataFrame:
+def load_annotations(spark: SparkSession, path: str, from_one: bool = False) -> DataFrame:
     """One row for each image with its annotations: polygons with an odd length or under 6 numbers go, and so
-    does an annotation whose polygons all do; key points move by half a pixel; categories become contiguous."""
+    does an annotation whose polygons all do; key points move by half a pixel; categories become contiguous, or
+    are numbered from 0 instead of 1 (``from_one``). A file is one document of one task."""
     whole = spark.read.schema(ANNOTATION_FILE).option("multiLine", True).json(path)
     images = whole.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), "i.width", "i.height", "i.file_name")
     ranks = contiguous(whole.select(F.explode("categories.id").alias("category_id")), "category_id")
@@ -63,7 +64,10 @@ def load_annotations(spark: SparkSession, path: str) -> DataFrame:
     notes = notes.withColumn("kept", good).filter(F.col("segmentation").isNull() | (F.size("segmentation") == 0) | (F.size("kept") > 0))
     points = F.transform("keypoints", lambda v, i: F.when(i % 3 == 2, v).otherwise(v + 0.5))
     notes = notes.withColumns({"segmentation": F.when(F.size("kept") > 0, F.col("kept")), "keypoints": points}).drop("kept")
-    notes = notes.join(F.broadcast(ranks), "category_id").drop("category_id").withColumnRenamed("contiguous_id", "category_id")
+    if from_one:
+        notes = notes.withColumn("category_id", F.col("category_id") - 1)
+    else:
+        notes = notes.join(F.broadcast(ranks), "category_id").drop("category_id").withColumnRenamed("contiguous_id", "category_id")
     fields = ["id", "bbox", "iscrowd", "category_id", "segmentation", "keypoints"]
     nested = notes.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("annotations"))
     return images.join(nested, "image_id", "left").withColumn("annotations", F.coalesce("annotations", F.expr("array()").cast(nested.schema["annotations"].dataType)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.metrics import running_sums
+
 
 def draw(seed: int, *keys: str) -> Column:
     """A repeatable number in [0, 1) for each key."""
@@ -53,11 +55,12 @@ def interleaved_shard(pos: Column, world: int) -> Column:
 
 
 def group_batches(df: DataFrame, group: str, order: list[str], size: int) -> DataFrame:
-    """Batches of rows of one group; incomplete ones at the end of a group are dropped."""
-    w = Window.partitionBy(group)
-    marked = df.withColumn("__at", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__all", F.count("*").over(w))
-    full = marked.filter(F.floor(F.col("__at") / size) < F.floor(F.col("__all") / size))
-    return full.withColumn("batch", F.floor(F.col("__at") / size)).drop("__at", "__all")
+    """Batches of rows of one group; incomplete ones at the end of a group are dropped. Places are running sums over ranges, so no task holds a group."""
+    keyed = df.withColumn("__group", F.struct(F.col(group)))
+    placed = running_sums(keyed, ["__group"], [F.col(c) for c in order], {"__at": F.lit(1)}).drop("__p")
+    sizes = keyed.groupBy("__group").agg(F.count("*").alias("__all"))
+    marked = placed.join(sizes, "__group").withColumn("batch", F.floor((F.col("__at") - 1) / size))
+    return marked.filter(F.col("batch") < F.floor(F.col("__all") / size)).select(*df.columns, "batch")
 
 
 def test_time_grid(df: DataFrame, sizes: list[int], flips: bool = True) -> DataFrame:

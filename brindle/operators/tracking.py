@@ -6,7 +6,8 @@ A step needs the known instances and one frame, so a video passes through a task
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from itertools import chain, pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -17,8 +18,7 @@ BOX_OVERLAP, MASK_OVERLAP, KEEP = 0.6, 0.5, 8
 COLUMNS = ["video", "frame", "det_id", "label", "x0", "y0", "x1", "y1", "pixels"]
 
 
-@dataclass(frozen=True)
-class Instance:
+class Instance(NamedTuple):
     track: int | None
     label: int
     left: int  # frames that it may still miss
@@ -51,30 +51,28 @@ def follow(known: list[Instance], following: int, frame: list[Instance], keep: i
     first instance of the frame has none; then pixels do.
     """
     boxes = frame[0].box is not None
-    overlaps = (_box_overlaps if boxes else _mask_overlaps)(known, frame)
-    overlaps = np.where(np.array([[o.label == n.label for n in frame] for o in known], bool).reshape(overlaps.shape), overlaps, 0.0)
+    least = BOX_OVERLAP if boxes else MASK_OVERLAP
     tracks: list[int | None] = [None] * len(frame)
     missed = []
-    for old, row in zip(known, overlaps):
-        best = int(row.argmax())
-        if row[best] > (BOX_OVERLAP if boxes else MASK_OVERLAP) and tracks[best] is None:
-            tracks[best] = old.track
-        elif old.left > 1:
-            missed.append(replace(old, left=old.left - 1))
+    if known:
+        overlaps = (_box_overlaps if boxes else _mask_overlaps)(known, frame)
+        overlaps[np.array([o.label for o in known])[:, None] != np.array([n.label for n in frame])] = 0.0
+        for old, best, most in zip(known, overlaps.argmax(1).tolist(), overlaps.max(1).tolist()):
+            if most > least and tracks[best] is None:
+                tracks[best] = old.track
+            elif old.left > 1:
+                missed.append(old._replace(left=old.left - 1))
     for i, track in enumerate(tracks):
         if track is None:
             tracks[i], following = following, following + 1
-    return [replace(n, track=t, left=keep) for n, t in zip(frame, tracks)] + missed, tracks, following
+    return [n._replace(track=t, left=keep) for n, t in zip(frame, tracks)] + missed, tracks, following
 
 
 def instances(rows: pd.DataFrame) -> list[Instance]:
-    """The rows of one frame by det_id."""
-    made = []
-    for r in rows.itertuples(index=False):
-        box = None if pd.isna(r.x0) else (float(r.x0), float(r.y0), float(r.x1), float(r.y1))
-        pixels = getattr(r, "pixels", None)
-        made.append(Instance(None, int(r.label), 0, box, None if pixels is None else tuple(int(p) for p in pixels)))
-    return made
+    """The rows as instances, in their order."""
+    pixels = rows["pixels"] if "pixels" in rows else [None] * len(rows)
+    boxes = zip(*[rows[c].astype(float).tolist() for c in ("x0", "y0", "x1", "y1")])
+    return [Instance(None, int(k), 0, None if b[0] != b[0] else b, None if p is None else tuple(map(int, p))) for k, b, p in zip(rows["label"].tolist(), boxes, pixels)]
 
 
 def track(detections: DataFrame, keep: int = KEEP) -> DataFrame:
@@ -86,26 +84,24 @@ def track(detections: DataFrame, keep: int = KEEP) -> DataFrame:
     columns = [c for c in COLUMNS if c in detections.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        video, known, following, held = None, [], 0, None
-
-        def close(rows: pd.DataFrame) -> pd.DataFrame:
-            nonlocal video, known, following
-            if rows["video"].iloc[0] != video:
-                video, known, following = rows["video"].iloc[0], [], 0
-            known, tracks, following = follow(known, following, instances(rows), keep)
-            return rows[["video", "frame", "det_id"]].assign(track=tracks)
-
-        for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            cut = np.flatnonzero((rows["video"].to_numpy()[1:] != rows["video"].to_numpy()[:-1]) | (rows["frame"].to_numpy()[1:] != rows["frame"].to_numpy()[:-1])) + 1
-            frames = [rows.iloc[a:b] for a, b in zip([0, *cut], [*cut, len(rows)]) if b > a]
-            if frames:
-                held = frames.pop()  # its end may be in the next batch
-            if frames:
-                yield pd.concat([close(f) for f in frames], ignore_index=True)
-        if held is not None:
-            yield close(held)
-
+        now, known, following, held = None, [], 0, None
+        for batch in chain(batches, [None]):
+            rows = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            video, frame = rows["video"].to_numpy(), rows["frame"].to_numpy()
+            cuts = np.flatnonzero((video[1:] != video[:-1]) | (frame[1:] != frame[:-1])) + 1
+            end = len(rows) if batch is None else int(cuts[-1]) if len(cuts) else 0  # the last frame may go on in the next batch
+            held = rows.iloc[end:]
+            found, made = instances(rows.iloc[:end]), []
+            for a, b in pairwise([0, *[c for c in cuts.tolist() if c < end], end] if end else []):
+                if video[a] != now:
+                    now, known, following = video[a], [], 0
+                known, tracks, following = follow(known, following, found[a:b], keep)
+                made += tracks
+            yield rows.iloc[:end][["video", "frame", "det_id"]].assign(track=made)
+
+    tasks = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as small rows would be put into one task
     kinds = {f.name: f.dataType.simpleString() for f in detections.schema}
-    dealt = detections.select(*columns).filter("video IS NOT NULL AND frame IS NOT NULL").repartition("video").sortWithinPartitions("video", "frame", "det_id")
+    dealt = detections.select(*columns).filter("video IS NOT NULL AND frame IS NOT NULL").repartition(tasks, "video").sortWithinPartitions("video", "frame", "det_id")
     return dealt.mapInPandas(run, f"video {kinds['video']}, frame {kinds['frame']}, det_id {kinds['det_id']}, track long")

@@ -22,14 +22,14 @@ def load_xml_boxes(spark: SparkSession, path: str, names: list[str]) -> DataFram
 
 
 def load_shifted(spark: SparkSession, path: str, name_length: int = 16) -> DataFrame:
-    """As ``load_annotations`` with categories from 1 made to start at 0, and only the end of long file names that begin with COCO.
+    """As ``load_annotations`` with 1 taken from each category, gaps kept, and only the end of long file names that begin with COCO.
     A polygon with an odd length or under 6 numbers is an error."""
     raw = spark.read.option("multiLine", True).json(path)
     polygons = raw.select(F.explode("annotations.segmentation").alias("s")).select(F.explode("s").alias("p"))
     bad = polygons.filter((F.size("p") % 2 == 1) | (F.size("p") < 6)).limit(1).count()
     if bad:
         raise ValueError(f"{path} holds a polygon that is none")
-    images = load_annotations(spark, path)
+    images = load_annotations(spark, path, from_one=True)
     name = F.when(F.col("file_name").startswith("COCO"), F.expr(f"right(file_name, {name_length})")).otherwise(F.col("file_name"))
     return images.withColumn("file_name", name)
 
@@ -41,6 +41,23 @@ def pair_by_stem(left: DataFrame, right: DataFrame, path: str = "path") -> DataF
     return a.join(b, "stem")
 
 
+def pair_in_order(left: DataFrame, right: DataFrame, left_root: str, right_root: str, path: str = "path") -> DataFrame:
+    """(left_path, right_path) of two folders whose files answer each other in order.
+
+    Files are ordered by their path below the root without extension, then by path. If both folders have as many, they are paired place by place,
+    whatever their names; otherwise files with the same stem are. Places are running sums over ranges.
+    """
+    if left.count() != right.count():
+        return pair_by_stem(left, right, path).select("left_path", "right_path")
+
+    def numbered(files: DataFrame, root: str, name: str) -> DataFrame:
+        below = F.regexp_replace(F.substring(F.col(path), len(root.rstrip("/")) + 2, 1 << 30), r"\.[^./]*$", "")
+        made = files.select(F.col(path).alias(name), below.alias("__id"))
+        return running_sums(made, [], [F.col("__id"), F.col(name)], {"__at": F.lit(1)}).select("__at", name)
+
+    return numbered(left, left_root, "left_path").join(numbered(right, right_root, "right_path"), "__at").drop("__at")
+
+
 def attach_proposals(records: DataFrame, proposals: DataFrame, key: str) -> DataFrame:
     """Records with their proposals (arrays of boxes and logits), highest logit first; a record without any is an error."""
     joined = required_join(records, proposals, key)
