@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.session import checkpointed
+
 
 def best_match(pairs: DataFrame, prediction: str, truth: str, low: float = 0.3, high: float = 0.5, rescue: bool = True) -> DataFrame:
     """Of (prediction, truth, iou) the best truth for each prediction with label 1 (>= high), -1 (between) or 0 (< low);
@@ -133,9 +137,35 @@ def mask_suppression(pixels: DataFrame, by: str, threshold: float, least_score:
 
 
 def nearest(points: DataFrame, candidates: DataFrame, part: str) -> DataFrame:
-    """For each point (id, u, v) the candidate (vertex, cu, cv) of its part with the least distance, ties to the smaller one."""
-    d = (F.col("u") - F.col("cu")) ** 2 + (F.col("v") - F.col("cv")) ** 2
-    return points.join(candidates, part).groupBy("id").agg(F.min_by("vertex", F.struct(d, F.col("vertex"))).alias("vertex"), F.min(d).alias("d2"))
+    """For each point (id, u, v) the candidate (vertex, cu, cv) of its part with the least squared distance ``d2``, ties to the smaller one.
+
+    Points of one place are asked once, and candidates of one place are one. Both are laid on cells of about one candidate and meet in three by three cells; a
+    place whose best is nearer than a cell is done, as nothing nearer lies further out, and the others go on with cells twice as wide, until a cell
+    holds the whole part. Points outside of the candidates search from the nearest cell. Rows with nulls, and points of parts without candidates, have no result.
+    """
+    spots = points.select(part, "u", "v").dropna().distinct()
+    there = candidates.select(part, "vertex", "cu", "cv").dropna().groupBy(part, "cu", "cv").agg(F.min("vertex").alias("vertex"))
+    wide = F.greatest(F.max("cu") - F.min("cu"), F.max("cv") - F.min("cv"))
+    frames = there.groupBy(part).agg(F.min("cu").alias("__u"), F.min("cv").alias("__v"), F.max("cu").alias("__mu"), F.max("cv").alias("__mv"), wide.alias("__wide"), F.count("*").alias("__n"))
+    frames = frames.withColumn("__side", F.when(F.col("__wide") > 0, F.col("__wide") / F.ceil(F.sqrt("__n"))).otherwise(1.0))
+    there, open_ = checkpointed(there.join(frames, part)), checkpointed(spots.join(frames, part))
+    d2 = (F.col("u") - F.col("cu")) ** 2 + (F.col("v") - F.col("cv")) ** 2
+    found, level = [], 0
+    while not open_.isEmpty():
+        side = F.col("__side") * float(2**level)
+        cell = lambda c, low, side=side: F.floor((c - F.col(low)) / side)
+        inner = [F.greatest(F.col(f"__{c}"), F.least(F.col(f"__m{c}"), F.col(c))) for c in "uv"]
+        around = F.array(*[F.struct((cell(inner[0], "__u") + i).alias("i"), (cell(inner[1], "__v") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        asked = open_.select(part, "u", "v", F.explode(around).alias("__c")).select(part, "u", "v", "__c.i", "__c.j")
+        held = there.select(part, "cu", "cv", "vertex", cell(F.col("cu"), "__u").alias("i"), cell(F.col("cv"), "__v").alias("j"))
+        best = asked.join(held, [part, "i", "j"]).groupBy(part, "u", "v").agg(F.min(F.struct(d2.alias("d2"), F.col("vertex").alias("vertex"))).alias("__best"))
+        tried = checkpointed(open_.join(best, [part, "u", "v"], "left"))
+        done = F.coalesce(F.col("__best.d2") < side * side, F.lit(False)) | (side >= F.col("__wide"))
+        found.append(tried.filter(done).select(part, "u", "v", "__best.vertex", "__best.d2"))
+        open_, level = tried.filter(~done).drop("__best"), level + 1
+    if not found:
+        return points.join(there, part).select("id", "vertex", F.lit(0.0).alias("d2")).limit(0)
+    return points.join(reduce(DataFrame.unionByName, found), [part, "u", "v"]).select("id", "vertex", "d2")
 
 
 def panoptic_merge(instances: DataFrame, semantic: DataFrame, by: str, threshold: float, least_score: float, least_stuff: int, things: int = 0) -> DataFrame:
