@@ -106,18 +106,19 @@ def _sinc_columns(x: Column) -> Column:
     return F.when(F.abs(x) < 4, part(x) * part(x / 4)).otherwise(0.0)
 
 
-def lanczos4_along(pixels: DataFrame, axis: str, old: int, new: Column) -> DataFrame:
+def lanczos4_along(pixels: DataFrame, axis: str, old: int, new: Column, asked: Callable[[Column], Column] = lambda place: F.lit(True), sizes: DataFrame | None = None) -> DataFrame:
     """One pass of ``lanczos4`` where each row has the new size of its own image; ``pixels`` keeps the other columns of the image in ``plan``.
 
-    Weights are made once for each size that occurs and joined by size and place.
+    Weights are made once for each size that occurs and joined by size and place. Only target places that are ``asked`` for are summed.
+    ``sizes`` (size) holds the sizes that occur, if they are known without a pass over the pixels.
     """
     other = "y" if axis == "x" else "x"
     held = pixels.withColumn("__new", new.cast("long"))
-    targets = held.select("__new").distinct().withColumn("__to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__new") - 1)))
+    targets = (held.select("__new") if sizes is None else sizes.select(F.col("size").cast("long").alias("__new"))).distinct().withColumn("__to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__new") - 1)))
     point = targets.withColumn("__p", (F.col("__to") + 0.5) * F.lit(float(old)) / F.col("__new") - 0.5)
     taps = point.withColumn("__q", F.explode(F.transform(F.sequence(F.lit(-3), F.lit(4)), lambda k: F.floor("__p") + k)))
     inside = F.greatest(F.lit(0), F.least(F.lit(old - 1), F.col("__q")))
     raw = taps.groupBy("__new", "__to", inside.cast("long").alias("__at")).agg(F.sum(_sinc_columns(F.col("__p") - F.col("__q"))).alias("__w"))
     table = raw.withColumn("__w", F.col("__w") / F.sum("__w").over(Window.partitionBy("__new", "__to"))).filter("__w <> 0").withColumnRenamed("__new", "__size")
-    joined = held.join(table, (F.col("__new") == F.col("__size")) & (F.col(axis) == F.col("__at")))
+    joined = held.join(table, (F.col("__new") == F.col("__size")) & (F.col(axis) == F.col("__at"))).filter(asked(F.col("__to")))
     return joined.groupBy("image_id", "plan", F.col(other).cast("long").alias(other), F.col("__to").alias(axis)).agg(F.sum(F.col("value") * F.col("__w")).alias("value"))

@@ -17,7 +17,7 @@ def on_canvas(pixels: DataFrame, size: tuple[int, int], top: int, left: int, fil
     """Pixels moved by (top, left) on a canvas of ``size``: what lies outside is cut, what is free is ``fill``."""
     moved = pixels.select("image_id", (F.col("y") + top).cast("long").alias("y"), (F.col("x") + left).cast("long").alias("x"), "value").filter(F.col("y").between(0, size[0] - 1) & F.col("x").between(0, size[1] - 1))
     blank = pixels.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size[0] - 1).cast("long"))).alias("y")).select("image_id", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size[1] - 1).cast("long"))).alias("x"))
-    return blank.join(moved, ["image_id", "y", "x"], "left").withColumn("value", F.coalesce("value", F.lit(fill)))
+    return blank.join(moved.hint("merge"), ["image_id", "y", "x"], "left").withColumn("value", F.coalesce("value", F.lit(fill)))
 
 
 def _scaled(old: tuple[int, int], scale: float) -> tuple[int, int]:
@@ -84,13 +84,13 @@ def match_aspect(target: DataFrame, mask: DataFrame, mode: str, size: tuple[int,
     across, down = (h * F.col("__ra")).cast("int"), (w / F.col("__ra")).cast("int")
     nw = {"stretch": F.when(wider, across).otherwise(w), "crop": F.when(wider, w).otherwise(across), "pad": w}[mode]
     nh = {"stretch": F.when(wider, h).otherwise(down), "crop": F.when(wider, down).otherwise(h), "pad": h}[mode]
-    plan = a.join(b, "image_id").withColumns({"__nw": nw, "__nh": nh, "__cx": F.floor((F.col("x0") + F.col("x1")) / 2), "__cy": F.floor((F.col("y0") + F.col("y1")) / 2)})
-    inside = mask.join(plan, "image_id").filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    plan = a.join(b.hint("merge"), "image_id").withColumns({"__nw": nw, "__nh": nh, "__cx": F.floor((F.col("x0") + F.col("x1")) / 2), "__cy": F.floor((F.col("y0") + F.col("y1")) / 2)})
+    inside = mask.join(plan.hint("merge"), "image_id").filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
     at = lambda c, n, old: _targets(F.col(c) - F.col(f"{c}0"), F.col(old), F.col(n)) if mode == "stretch" else F.array((F.col(c) - F.col(f"{c}0") - F.floor((F.col(old) - F.col(n)) / 2)).cast("long"))
     moved = inside.withColumn("__y", F.explode(at("y", "__nh", "height"))).withColumn("__x", F.explode(at("x", "__nw", "width")))
     moved = moved.filter(F.col("__y").between(0, F.col("__nh") - 1) & F.col("__x").between(0, F.col("__nw") - 1))
     placed = moved.select("image_id", (F.col("__y") + F.col("__cy") - F.floor(F.col("__nh") / 2)).alias("y"), (F.col("__x") + F.col("__cx") - F.floor(F.col("__nw") / 2)).alias("x"), F.col("value").alias("__v"))
-    return mask.drop("value").join(placed, ["image_id", "y", "x"], "left").withColumn("value", F.coalesce("__v", F.lit(0.0))).drop("__v")
+    return mask.drop("value").join(placed.hint("merge"), ["image_id", "y", "x"], "left").withColumn("value", F.coalesce("__v", F.lit(0.0))).drop("__v")
 
 
 def resize_by_mask(pixels: DataFrame, mask: DataFrame, old: tuple[int, int], new: tuple[int, int], mode: str = "pad", fill: float = 0.0, method: str = "nearest") -> DataFrame:
@@ -101,7 +101,7 @@ def resize_by_mask(pixels: DataFrame, mask: DataFrame, old: tuple[int, int], new
     """
     boxes = properties(mask, mask.select("image_id").distinct())
     first = boxes.filter("image_id = 0").select(F.struct(*[c for c in boxes.columns if c != "image_id"]).alias("__d"))  # one row
-    plan = pixels.select("image_id").distinct().join(boxes.select("image_id", F.struct(*[c for c in boxes.columns if c != "image_id"]).alias("__m")), "image_id", "left").join(F.broadcast(first), F.lit(True), "left")
+    plan = pixels.select("image_id").distinct().join(boxes.select("image_id", F.struct(*[c for c in boxes.columns if c != "image_id"]).alias("__m")).hint("merge"), "image_id", "left").join(F.broadcast(first), F.lit(True), "left")
     plan = plan.select("image_id", F.coalesce("__m", "__d").alias("b")).select("image_id", "b.*")
     (th, tw), (sh, sw) = new, old
     ratios = F.try_divide(F.lit(tw), F.col("width")), F.try_divide(F.lit(th), F.col("height"))
@@ -116,10 +116,12 @@ def resize_by_mask(pixels: DataFrame, mask: DataFrame, old: tuple[int, int], new
     moves = {c: F.when(F.col("__e"), 0).when(cut, -start[c]).otherwise(paste[c]).cast("long") for c in "xy"}
     plan = plan.select("image_id", "__w", "__h", moves["x"].alias("__dx"), moves["y"].alias("__dy"))
     if method == "lanczos4":
-        held = pixels.join(plan.select("image_id", F.struct("__w", "__h", "__dx", "__dy").alias("plan")), "image_id")
-        scaled = lanczos4_along(lanczos4_along(held, "x", sw, F.col("plan.__w")), "y", sh, F.col("plan.__h"))
+        held = pixels.join(plan.select("image_id", F.struct("__w", "__h", "__dx", "__dy").alias("plan")).hint("merge"), "image_id")
+        across = lanczos4_along(held, "x", sw, F.col("plan.__w"), lambda x: (x + F.col("plan.__dx")).between(0, tw - 1), plan.select(F.col("__w").alias("size")))
+        scaled = lanczos4_along(across, "y", sh, F.col("plan.__h"), lambda y: (y + F.col("plan.__dy")).between(0, th - 1), plan.select(F.col("__h").alias("size")))
         return on_canvas(scaled.select("image_id", (F.col("y") + F.col("plan.__dy")).alias("y"), (F.col("x") + F.col("plan.__dx")).alias("x"), "value"), new, 0, 0, fill if mode == "pad" else 0.0)
-    made = pixels.join(plan, "image_id").withColumn("__y", F.explode(_targets(F.col("y"), F.lit(sh), F.col("__h")))).withColumn("__x", F.explode(_targets(F.col("x"), F.lit(sw), F.col("__w"))))
+    rows = pixels.join(plan.hint("merge"), "image_id").withColumn("__y", F.explode(_targets(F.col("y"), F.lit(sh), F.col("__h")))).filter((F.col("__y") + F.col("__dy")).between(0, th - 1))
+    made = rows.withColumn("__x", F.explode(_targets(F.col("x"), F.lit(sw), F.col("__w"))))
     return on_canvas(made.select("image_id", (F.col("__y") + F.col("__dy")).alias("y"), (F.col("__x") + F.col("__dx")).alias("x"), "value"), new, 0, 0, fill if mode == "pad" else 0.0)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators import masks, series
@@ -14,8 +15,13 @@ GRID = f"(SELECT i AS image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CASE W
 HEIGHT, WIDTH = 24, 30
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to tasks by ``key`` before they are spread out: a small file would be one task, and what is keyed by image then stays where it is."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _images(s, d):
-    return table(s, d, "supplier").select((F.col("s_suppkey") - 1).cast("long").alias("image_id"), F.floor(F.abs("s_acctbal")).alias("b"))
+    return dealt(table(s, d, "supplier").select((F.col("s_suppkey") - 1).cast("long").alias("image_id"), F.floor(F.abs("s_acctbal")).alias("b")), "image_id")
 
 
 def _canvases(s, d):
