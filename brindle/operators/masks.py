@@ -1,4 +1,7 @@
-"""Masks and images as tables of pixels (image_id, y, x, value)."""
+"""Masks and images as tables of pixels (image_id, y, x, value).
+
+Pixels made by ``explode`` look as small as the table of images to the planner, which would send them to every executor; joins with them therefore ask for a merge.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +21,7 @@ def grid(spark: SparkSession, images: int, height: int, width: int, value: Colum
 def properties(pixels: DataFrame, images: DataFrame) -> DataFrame:
     """width, height and inclusive box of what is above one half; zeros for an empty mask."""
     box = pixels.filter("value > 0.5").groupBy("image_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
-    made = images.join(box, "image_id", "left")
+    made = images.join(box.hint("merge"), "image_id", "left")
     there = F.col("x0").isNotNull()
     return made.withColumns({"width": F.when(there, F.col("x1") - F.col("x0") + 1).otherwise(0), "height": F.when(there, F.col("y1") - F.col("y0") + 1).otherwise(0)}).fillna(0, ["x0", "y0", "x1", "y1"])
 
@@ -57,12 +60,13 @@ def gaussian(pixels: DataFrame, sigma: float, reach: float = 4.0) -> DataFrame:
 
     def along(df: DataFrame, at: str, line: str) -> DataFrame:
         size = F.max(at).over(Window.partitionBy("image_id")) + 1
-        spread = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w / sum(weights)).alias("w")) for k, w in zip(range(-radius, radius + 1), weights)]))
-        # Each pixel gives its share to those whose mirrored window reads it.
-        first = df.withColumn("__n", size).withColumn("__s", spread)
-        spots = F.filter(F.transform(F.sequence(F.lit(-1 - radius), F.lit(1 + radius)), lambda r: F.when(r % 2 == 0, r * F.col("__n") + F.col(at)).otherwise((r + 1) * F.col("__n") - 1 - F.col(at)) - F.col("__s.k")), lambda t: (t >= 0) & (t < F.col("__n")))
-        spread_out = first.withColumn("__t", F.explode(spots))
-        return spread_out.groupBy("image_id", line, F.col("__t").cast("int").alias(at)).agg(F.sum(F.col("value") * F.col("__s.w")).alias("value")).select("image_id", "y", "x", "value")
+        # Each pixel gives its share to those whose mirrored window reads it. Mirrors repeat after two sizes, so a step has one target among the pixels that stand
+        # upright and one among the mirrored ones, if it lies in the image.
+        upright = lambda k: F.pmod(F.col(at) - k, 2 * F.col("__n"))
+        mirrored = lambda k: F.pmod(-1 - F.col(at) - k, 2 * F.col("__n"))
+        targets = F.array(*[F.struct(spot(F.lit(k)).alias("t"), F.lit(w / sum(weights)).alias("w")) for k, w in zip(range(-radius, radius + 1), weights) for spot in (upright, mirrored)])
+        spread_out = df.withColumn("__n", size).withColumn("__s", F.explode(targets)).filter("__s.t < __n")
+        return spread_out.groupBy("image_id", line, F.col("__s.t").cast("int").alias(at)).agg(F.sum(F.col("value") * F.col("__s.w")).alias("value")).select("image_id", "y", "x", "value")
 
     return along(along(pixels, "y", "x"), "x", "y")
 
@@ -71,7 +75,7 @@ def blend(image: DataFrame, overlay: DataFrame, alpha: Column) -> DataFrame:
     """image * (1 - alpha) + overlay * alpha at each pixel; both tables have the key columns and ``value``."""
     keys = [c for c in image.columns if c != "value"]
     other = overlay.withColumnRenamed("value", "__o")
-    return image.join(other, keys).withColumn("value", F.col("value") * (1 - alpha) + F.col("__o") * alpha).drop("__o")
+    return image.join(other.hint("merge"), keys).withColumn("value", F.col("value") * (1 - alpha) + F.col("__o") * alpha).drop("__o")
 
 
 def compare(image: DataFrame, other: DataFrame, mode: str, mix: float = 0.5, split: int = 0) -> DataFrame:
@@ -80,8 +84,8 @@ def compare(image: DataFrame, other: DataFrame, mode: str, mix: float = 0.5, spl
     if mode in ("side", "top"):
         axis = "x" if mode == "side" else "y"
         size = image.groupBy("image_id").agg((F.max(axis) + 1).alias("__s"))
-        return image.unionByName(other.join(size, "image_id").withColumn(axis, F.col(axis) + F.col("__s")).drop("__s"))
-    both = image.join(other.withColumnRenamed("value", "__o"), keys)
+        return image.unionByName(other.join(size.hint("merge"), "image_id").withColumn(axis, F.col(axis) + F.col("__s")).drop("__s"))
+    both = image.join(other.withColumnRenamed("value", "__o").hint("merge"), keys)
     made = {"difference": F.abs(F.col("value") - F.col("__o")), "overlay": F.col("value") * (1 - mix) + F.col("__o") * mix, "split": F.when(F.col("x") < split, F.col("value")).otherwise(F.col("__o"))}[mode]
     return both.withColumn("value", made).drop("__o")
 
