@@ -61,7 +61,7 @@ def remove_small(pixels: DataFrame, least_area: int) -> DataFrame:
     """0 in the whole box of every region with fewer pixels; boxes may cut into larger regions."""
     small = boxes_of(regions(pixels)).filter(F.col("area") < least_area)
     gone = small.select("image_id", F.explode(F.sequence("y0", "y1")).alias("y"), "x0", "x1").select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x")).distinct()
-    joined = pixels.join(gone.withColumn("__gone", F.lit(True)), ["image_id", "y", "x"], "left")
+    joined = pixels.join(gone.withColumn("__gone", F.lit(True)).hint("merge"), ["image_id", "y", "x"], "left")
     return joined.withColumn("value", F.when(F.col("__gone"), 0.0).when(F.col("value") > 0.5, 1.0).otherwise(0.0)).drop("__gone")
 
 
@@ -69,18 +69,17 @@ def largest(pixels: DataFrame) -> DataFrame:
     """1 on the region with the most pixels of each image (the first in row order of equal ones), 0 elsewhere."""
     found = regions(pixels)
     best = boxes_of(found).groupBy("image_id").agg(F.min_by("region", F.struct(-F.col("area"), F.col("region"))).alias("region"))
-    kept = found.join(best, ["image_id", "region"]).select("image_id", "y", "x", F.lit(1.0).alias("__v"))
-    return pixels.join(kept, ["image_id", "y", "x"], "left").withColumn("value", F.coalesce("__v", F.lit(0.0))).drop("__v")
+    kept = found.join(best.hint("merge"), ["image_id", "region"]).select("image_id", "y", "x", F.lit(1.0).alias("__v"))
+    return pixels.join(kept.hint("merge"), ["image_id", "y", "x"], "left").withColumn("value", F.coalesce("__v", F.lit(0.0))).drop("__v")
 
 
 def fill_holes(pixels: DataFrame) -> DataFrame:
     """1 on the mask and on what it encloses: dark regions (without diagonal steps) that do not reach the border."""
-    size = Window.partitionBy("image_id")
     dark = regions(pixels, diagonal=False, on="value <= 0.5")
-    edge = pixels.select("image_id", (F.max("y").over(size)).alias("h"), (F.max("x").over(size)).alias("w")).distinct()
-    outside = boxes_of(dark).join(edge, "image_id").filter((F.col("x0") == 0) | (F.col("y0") == 0) | (F.col("x1") == F.col("w")) | (F.col("y1") == F.col("h")))
-    left = dark.join(outside.select("image_id", "region"), ["image_id", "region"]).select("image_id", "y", "x", F.lit(0.0).alias("__v"))
-    return pixels.join(left, ["image_id", "y", "x"], "left").withColumn("value", F.coalesce("__v", F.lit(1.0))).drop("__v")
+    edge = pixels.groupBy("image_id").agg(F.max("y").alias("h"), F.max("x").alias("w"))
+    outside = boxes_of(dark).join(edge.hint("merge"), "image_id").filter((F.col("x0") == 0) | (F.col("y0") == 0) | (F.col("x1") == F.col("w")) | (F.col("y1") == F.col("h")))
+    left = dark.join(outside.select("image_id", "region").hint("merge"), ["image_id", "region"]).select("image_id", "y", "x", F.lit(0.0).alias("__v"))
+    return pixels.join(left.hint("merge"), ["image_id", "y", "x"], "left").withColumn("value", F.coalesce("__v", F.lit(1.0))).drop("__v")
 
 
 def grow(pixels: DataFrame, classes: DataFrame) -> DataFrame:
@@ -93,11 +92,11 @@ def grow(pixels: DataFrame, classes: DataFrame) -> DataFrame:
     """
     free = regions(pixels, diagonal=True, on="instance = 0 AND part IS NOT NULL", within=("part",)).withColumnRenamed("part", "__c")
     sources = pixels.filter("instance <> 0").select("image_id", "instance", "person", F.col("y").cast("long").alias("sy"), F.col("x").cast("long").alias("sx"))
-    sources = sources.join(classes.select("image_id", "instance", F.col("part").alias("__c")).dropDuplicates(["image_id", "instance"]), ["image_id", "instance"])
+    sources = sources.join(classes.select("image_id", "instance", F.col("part").alias("__c")).dropDuplicates(["image_id", "instance"]).hint("merge"), ["image_id", "instance"])
     steps = F.array(*[F.struct((F.col("sy") + dy).alias("y"), (F.col("sx") + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
     around = sources.withColumn("__s", F.explode(steps)).select("image_id", "__c", "instance", "person", "sy", "sx", "__s.y", "__s.x")
-    claims = around.join(free, ["image_id", "__c", "y", "x"]).groupBy("image_id", "__c", "region").agg(F.min(F.struct("sy", "sx", "instance", "person")).alias("by"))
-    grown = free.join(claims, ["image_id", "__c", "region"]).select("image_id", "y", "x", F.col("by.instance").alias("__i"), F.col("by.person").alias("__h"), F.lit(True).alias("__grown"))
-    made = pixels.join(grown, ["image_id", "y", "x"], "left")
+    claims = around.join(free.hint("merge"), ["image_id", "__c", "y", "x"]).groupBy("image_id", "__c", "region").agg(F.min(F.struct("sy", "sx", "instance", "person")).alias("by"))
+    grown = free.join(claims.hint("merge"), ["image_id", "__c", "region"]).select("image_id", "y", "x", F.col("by.instance").alias("__i"), F.col("by.person").alias("__h"), F.lit(True).alias("__grown"))
+    made = pixels.join(grown.hint("merge"), ["image_id", "y", "x"], "left")
     taken = lambda new, old: F.when(F.col("__grown"), F.col(new)).otherwise(F.col(old))
     return made.withColumns({"instance": taken("__i", "instance"), "person": taken("__h", "person")}).drop("__i", "__h", "__grown")
