@@ -108,4 +108,4 @@ def warp(pixels: DataFrame, images: DataFrame, old: tuple[int, int], back: Affin
     taps = F.when(inside if border == "repeat" else F.col("__u").isNotNull() & F.col("__v").isNotNull(), taps)
     asked = placed.select("image_id", "y", "x", F.explode_outer(taps).alias("t")).select("image_id", "y", "x", F.col("t.sy").cast("long").alias("__sy"), F.col("t.sx").cast("long").alias("__sx"), F.coalesce("t.w", F.lit(1.0)).alias("__t"))
     source = pixels.select("image_id", F.col("y").cast("long").alias("__sy"), F.col("x").cast("long").alias("__sx"), F.col("value").cast("double").alias("__v"))
-    return asked.join(source, ["image_id", "__sy", "__sx"], "left").groupBy("image_id", "y", "x").agg(F.sum(F.coalesce("__v", F.lit(float(fill))) * F.col("__t")).alias("value"))
+    return asked.join(source.hint("merge"), ["image_id", "__sy", "__sx"], "left").groupBy("image_id", "y", "x").agg(F.sum(F.coalesce("__v", F.lit(float(fill))) * F.col("__t")).alias("value"))
