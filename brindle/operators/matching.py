@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +36,59 @@ def level_then_image_top_k(df: DataFrame, image: str, level: str, order: list, p
     return top_k(top_k(df, [image, level], order, per_level), [image], order, per_image)
 
 
+SQUARE = 512  # boxes of a group that are compared all at once
+
+
+def falling(score: str) -> list:
+    """An order by falling score with what is no number last."""
+    return [F.coalesce(F.isnan(F.col(score).cast("double")), F.lit(True)), F.desc(score)]
+
+
+def pick(df: DataFrame, by: list[str], order: list, columns: list[str], keep: Callable[..., np.ndarray]) -> DataFrame:
+    """The rows of each group at the places that ``keep`` returns for its ``columns``, which are arrays in ``order``.
+
+    A task reads its groups one after the other from large batches, so that many small groups cost no call and no table each.
+    """
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                piece = pa.Table.from_batches([batch])
+                starts = np.flatnonzero(piece.column("__n").to_numpy() == 1)
+                end = int(starts[-1]) if len(starts) else piece.num_rows  # the last group may go on in the next batch
+                held.append(piece.slice(0, end))
+                if not len(starts):
+                    continue
+            rows, held = pa.concat_tables(held) if held else None, [] if batch is None else [piece.slice(end)]
+            if rows is None or not rows.num_rows:
+                continue
+            cuts = [*np.flatnonzero(rows.column("__n").to_numpy() == 1).tolist(), rows.num_rows]
+            values = [rows.column(c).to_numpy() for c in columns]
+            places = np.concatenate([a + keep(*[v[a:b] for v in values]) for a, b in pairwise(cuts)])
+            yield from rows.select(names).take(pa.array(places)).combine_chunks().to_batches()
+
+    numbered = df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return numbered.mapInArrow(run, df.schema)
+
+
+def first_come(removes: np.ndarray) -> np.ndarray:
+    """Places that stay where each in turn removes the later ones that ``removes[place]`` marks."""
+    open_, kept = np.ones(len(removes), bool), []
+    for i in range(len(removes)):
+        if open_[i]:
+            kept.append(i)
+            open_ &= ~removes[i]
+    return np.array(kept, int)
+
+
 def _overlaps(box: np.ndarray, boxes: np.ndarray, plus: float) -> np.ndarray:
-    w = np.minimum(box[2], boxes[:, 2]) - np.maximum(box[0], boxes[:, 0]) + plus
-    h = np.minimum(box[3], boxes[:, 3]) - np.maximum(box[1], boxes[:, 1]) + plus
+    w = np.minimum(box[..., 2], boxes[..., 2]) - np.maximum(box[..., 0], boxes[..., 0]) + plus
+    h = np.minimum(box[..., 3], boxes[..., 3]) - np.maximum(box[..., 1], boxes[..., 1]) + plus
     both = np.maximum(w, 0) * np.maximum(h, 0)
     area = lambda b: (b[..., 2] - b[..., 0] + plus) * (b[..., 3] - b[..., 1] + plus)
-    return np.divide(both, area(box) + area(boxes) - both, out=np.zeros(len(boxes)), where=both > 0)
+    return np.divide(both, area(box) + area(boxes) - both, out=np.zeros(both.shape), where=both > 0)
 
 
 def suppressed(boxes: np.ndarray, order: np.ndarray, threshold: float, plus: float = 0.0) -> np.ndarray:
@@ -54,14 +104,15 @@ def suppressed(boxes: np.ndarray, order: np.ndarray, threshold: float, plus: flo
 def non_maximum_suppression(df: DataFrame, by: list[str], threshold: float, score: str = "score", ties: list[str] = (), plus: float = 0.0, least_score: float | None = None) -> DataFrame:
     """Greedy suppression in each group (image and class), highest score first; ``ties`` complete the order."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([score, *ties], ascending=[False] + [True] * len(ties), kind="stable")
-        boxes = group[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        return group.iloc[suppressed(boxes, np.arange(len(group)), threshold, plus)]
+    def keep(*corners: np.ndarray) -> np.ndarray:
+        boxes = np.stack(corners, axis=1).astype(float)
+        if len(boxes) > SQUARE:
+            return suppressed(boxes, np.arange(len(boxes)), threshold, plus)
+        return first_come(~(_overlaps(boxes[:, None], boxes[None], plus) <= threshold))
 
     if least_score is not None:
         df = df.filter(F.col(score) > least_score)
-    return df.groupBy(*by).applyInPandas(run, df.schema)
+    return pick(df, by, [*falling(score), *map(F.asc_nulls_last, ties)], ["x0", "y0", "x1", "y1"], keep)
 
 
 def detections_per_image(df: DataFrame, image: str, label: str, threshold: float, least_score: float, most: int, ties: list[str]) -> DataFrame:
@@ -103,15 +154,14 @@ def greedy_match(detections: DataFrame, truths: DataFrame, by: list[str], thresh
 def global_greedy_match(pairs: DataFrame, by: str, left: str, right: str) -> DataFrame:
     """Of (by, left, right, iou) the pair with the greatest overlap, then the next one between free ends, and so on."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["iou", left, right], ascending=[False, True, True], kind="stable")
-        a, b, keep = set(), set(), []
-        for i, (x, y) in enumerate(zip(group[left], group[right])):
+    def keep(lefts: np.ndarray, rights: np.ndarray) -> np.ndarray:
+        a, b, kept = set(), set(), []
+        for i, (x, y) in enumerate(zip(lefts.tolist(), rights.tolist())):
             if x not in a and y not in b:
-                a.add(x), b.add(y), keep.append(i)
-        return group.iloc[keep]
+                a.add(x), b.add(y), kept.append(i)
+        return np.array(kept, int)
 
-    return pairs.groupBy(by).applyInPandas(run, pairs.schema)
+    return pick(pairs, [by], [*falling("iou"), F.asc_nulls_last(left), F.asc_nulls_last(right)], [left, right], keep)
 
 
 def mask_suppression(pixels: DataFrame, by: str, threshold: float, least_score: float) -> DataFrame:
