@@ -5,11 +5,11 @@ from __future__ import annotations
 from math import pi
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.geometry import SCALE_CLAMP, wrap_angle
+from brindle.operators import matching
 
 
 def corners(boxes: np.ndarray) -> np.ndarray:
@@ -27,13 +27,14 @@ def _cross(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _common_area(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Areas that a rectangle p (4 corners) shares with rectangles q (n x 4 corners).
+    """Areas that a rectangle p (4 corners), or one for each of q (n x 4 corners), shares with rectangles q (n x 4 corners).
 
     The corners of the shared polygon are corners of one in the other and crossings of sides; they are set in
     turn around their mean.
     """
     n = len(q)
-    small = 1e-9 * max(1.0, float(np.abs(p).max()))
+    p = np.broadcast_to(p, (n, 4, 2))
+    small = 1e-9 * np.maximum(1.0, np.abs(p).max((1, 2)))[:, None]
 
     def within(points: np.ndarray, box: np.ndarray) -> np.ndarray:
         u, v = box[..., 1, :] - box[..., 0, :], box[..., 3, :] - box[..., 0, :]
@@ -41,16 +42,15 @@ def _common_area(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         a, b = (w * u[..., None, :]).sum(-1), (w * v[..., None, :]).sum(-1)
         return (a >= -small) & (a <= (u * u).sum(-1)[..., None] + small) & (b >= -small) & (b <= (v * v).sum(-1)[..., None] + small)
 
-    mine = np.broadcast_to(p, (n, 4, 2))
-    d, e = (np.roll(p, -1, 0) - p)[None, :, None, :], (np.roll(q, -1, 1) - q)[:, None, :, :]
-    gap = q[:, None, :, :] - p[None, :, None, :]
+    d, e = (np.roll(p, -1, 1) - p)[:, :, None, :], (np.roll(q, -1, 1) - q)[:, None, :, :]
+    gap = q[:, None, :, :] - p[:, :, None, :]
     base = _cross(d, e)
     with np.errstate(divide="ignore", invalid="ignore"):
         s, t = _cross(gap, e) / base, _cross(gap, d) / base
         meet = (np.abs(base) > 1e-12) & (s >= 0) & (s <= 1) & (t >= 0) & (t <= 1)
-        crossing = np.where(meet[..., None], p[None, :, None, :] + s[..., None] * d, 0.0)
-    points = np.concatenate([mine, q, crossing.reshape(n, 16, 2)], 1)
-    there = np.concatenate([within(mine, q), within(q, mine), meet.reshape(n, 16)], 1)
+        crossing = np.where(meet[..., None], p[:, :, None, :] + s[..., None] * d, 0.0)
+    points = np.concatenate([p, q, crossing.reshape(n, 16, 2)], 1)
+    there = np.concatenate([within(p, q), within(q, p), meet.reshape(n, 16)], 1)
     count = there.sum(1)
     middle = (points * there[..., None]).sum(1) / np.maximum(count, 1)[:, None]
     turn = np.where(there, np.arctan2(points[..., 1] - middle[:, None, 1], points[..., 0] - middle[:, None, 0]), np.inf)
@@ -76,15 +76,39 @@ def rotated_iou(box: np.ndarray, boxes: np.ndarray) -> np.ndarray:
 def rotated_suppression(df: DataFrame, by: list[str], threshold: float, score: str = "score", ties: list[str] = ()) -> DataFrame:
     """Greedy suppression of rotated boxes in each group (image, or image and class), highest score first."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([score, *ties], ascending=[False] + [True] * len(ties), kind="stable")
-        boxes, order, kept = group[["cx", "cy", "w", "h", "angle"]].to_numpy(float), np.arange(len(group)), []
+    def keep(*values: np.ndarray) -> np.ndarray:
+        boxes = np.stack(values, axis=1).astype(float)
+        if threshold >= 0 and len(boxes) <= matching.SQUARE:
+            return matching.first_come(_beyond(boxes, threshold))
+        order, kept = np.arange(len(boxes)), []
         while len(order):
             kept.append(order[0])
             order = order[1:][rotated_iou(boxes[order[0]], boxes[order[1:]]) <= threshold]
-        return group.iloc[kept]
+        return np.array(kept, int)
 
-    return df.groupBy(*by).applyInPandas(run, df.schema)
+    return matching.pick(df, by, [*matching.falling(score), *map(F.asc_nulls_last, ties)], ["cx", "cy", "w", "h", "angle"], keep)
+
+
+def _beyond(boxes: np.ndarray, threshold: float) -> np.ndarray:
+    """For each box and each one after it whether they overlap by more than the threshold, which is 0 or more.
+
+    The boxes share no more than their upright frames do, nor more than the smaller one holds; only pairs whose overlap can pass by that are cut exactly.
+    """
+    solid = (boxes[:, 2:4] > 0).all(1)
+    at = corners(boxes)
+    low, high, area = at.min(1), at.max(1), boxes[:, 2] * boxes[:, 3]
+    frame = np.maximum(np.minimum(high[:, None], high[None]) - np.maximum(low[:, None], low[None]), 0).prod(2)
+    most = np.minimum(frame, np.minimum(area[:, None], area[None])) * (1 + 1e-6)
+    total = area[:, None] + area[None]
+    first, second = np.nonzero(np.triu(solid[:, None] & solid[None] & ~(most <= threshold * (total - most)), 1))
+    beyond = np.zeros(frame.shape, bool)
+    step = 65_536
+    for k in range(0, len(first), step):
+        i, j = first[k : k + step], second[k : k + step]
+        both = _common_area(at[i], at[j])
+        rest = total[i, j] - both
+        beyond[i, j] = ~(np.divide(both, rest, out=np.zeros(len(i)), where=rest > 0) <= threshold)
+    return beyond
 
 
 def encode(source: list[Column], target: list[Column], weights=(1.0, 1.0, 1.0, 1.0, 1.0)) -> list[Column]:
