@@ -166,24 +166,33 @@ def global_greedy_match(pairs: DataFrame, by: str, left: str, right: str) -> Dat
 
 def mask_suppression(pixels: DataFrame, by: str, threshold: float, least_score: float) -> DataFrame:
     """Masks as pixel sets (by, mask_id, score, pixel), best score first: one that lies in those before it by more than the
-    threshold goes, else it keeps its free pixels. Ends at the first score below ``least_score``."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        taken: set = set()
-        out = []
-        order = group[["mask_id", "score"]].drop_duplicates().sort_values(["score", "mask_id"], ascending=[False, True])
-        sets = {k: v for k, v in group.groupby("mask_id")["pixel"]}
-        for m, s in zip(order["mask_id"], order["score"]):
-            if s < least_score:
-                break
-            mine = set(sets[m])
-            if len(mine & taken) / max(len(mine), 1) > threshold:
-                continue
-            out += [(group[by].iloc[0], m, s, p) for p in sorted(mine - taken)]
-            taken |= mine
-        return pd.DataFrame(out, columns=[by, "mask_id", "score", "pixel"])
+    threshold goes, else it keeps its free pixels. Ends at the first score below ``least_score``.
+
+    A mask is a row with ``pixels`` (an array without repeats) where the caller has them so; else they are gathered first.
+    """
+    masks = pixels if "pixels" in pixels.columns else pixels.groupBy(by, "mask_id", "score").agg(F.collect_set("pixel").alias("pixels"))
+    kinds = {f.name: f.dataType.simpleString() for f in masks.schema}
+    order = Window.partitionBy(by).orderBy(F.desc("score"), "mask_id")
+    dealt = masks.select(by, "mask_id", "score", F.sort_array("pixels").alias("pixels")).withColumn("__n", F.row_number().over(order)).filter(F.col("score") >= least_score)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken: set = set()  # the only state: pixels of the group so far, which may span batches
+        for batch in batches:
+            rows, places, free = batch.column("__n").to_pylist(), [], []
+            for place, (number, mine) in enumerate(zip(rows, batch.column("pixels").to_pylist())):
+                if number == 1:
+                    taken = set()
+                mine = mine or []
+                left = [p for p in mine if p not in taken]
+                if (len(mine) - len(left)) / max(len(mine), 1) > threshold:
+                    continue
+                if left:
+                    places.append(place), free.append(left)
+                    taken.update(left)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(places, pa.int64())) for c in (by, "mask_id", "score")), pa.array(free, batch.schema.field("pixels").type)], [by, "mask_id", "score", "pixels"])
 
-    return pixels.select(by, "mask_id", "score", "pixel").groupBy(by).applyInPandas(run, pixels.select(by, "mask_id", "score", "pixel").schema)
+    kept = dealt.mapInArrow(run, f"{by} {kinds[by]}, mask_id {kinds['mask_id']}, score {kinds['score']}, pixels {kinds['pixels']}")
+    return kept.select(by, "mask_id", "score", F.explode("pixels").alias("pixel"))
 
 
 def nearest(points: DataFrame, candidates: DataFrame, part: str) -> DataFrame:
@@ -225,13 +234,13 @@ def panoptic_merge(instances: DataFrame, semantic: DataFrame, by: str, threshold
     ``instances`` has (by, mask_id, score, pixel, label), ``semantic`` (by, pixel, label); the label ``things`` stands for all things.
     Segments are numbered from 1: instances by falling score, then stuff by label.
     """
-    kept = mask_suppression(instances, by, threshold, least_score)
+    kept = checkpointed(mask_suppression(instances, by, threshold, least_score))  # read four times
     labels = instances.select(by, "mask_id", "label").distinct()
     order = Window.partitionBy(by).orderBy(F.desc("score"), "mask_id")
-    first = kept.join(labels, [by, "mask_id"]).withColumn("segment", F.dense_rank().over(order)).select(by, "segment", F.lit(True).alias("is_thing"), "label", "pixel")
-    free = semantic.filter(F.col("label") != things).join(kept.select(by, "pixel"), [by, "pixel"], "left_anti")
+    first = kept.join(labels.hint("merge"), [by, "mask_id"]).withColumn("segment", F.dense_rank().over(order)).select(by, "segment", F.lit(True).alias("is_thing"), "label", "pixel")
+    free = semantic.filter(F.col("label") != things).join(kept.select(by, "pixel").hint("merge"), [by, "pixel"], "left_anti")
     large = free.groupBy(by, "label").agg(F.count("*").alias("n")).filter(F.col("n") >= least_stuff)
     used = first.groupBy(by).agg(F.max("segment").alias("__used"))
-    numbered = large.join(used, by, "left").withColumn("segment", F.coalesce("__used", F.lit(0)) + F.row_number().over(Window.partitionBy(by).orderBy("label")))
-    stuff = free.join(numbered.select(by, "label", "segment"), [by, "label"]).select(by, "segment", F.lit(False).alias("is_thing"), "label", "pixel")
+    numbered = large.join(used.hint("merge"), by, "left").withColumn("segment", F.coalesce("__used", F.lit(0)) + F.row_number().over(Window.partitionBy(by).orderBy("label")))
+    stuff = free.join(numbered.select(by, "label", "segment").hint("merge"), [by, "label"]).select(by, "segment", F.lit(False).alias("is_thing"), "label", "pixel")
     return first.unionByName(stuff)

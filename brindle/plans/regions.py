@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions.geometry import Box
 from brindle.operators import layouts, masks, matching, presets, regions, resizing, rotated
 from brindle.plans.annotations import BOXES, KEYS, TIES, boxes, suppressed_sql
-from brindle.plans.pixels import GRID, HEIGHT, IMAGES, WIDTH, _canvases, _grid
+from brindle.plans.pixels import GRID, HEIGHT, IMAGES, WIDTH, _canvases, _grid, dealt
 from brindle.registry import Registry
 from brindle.session import table
 
@@ -241,10 +241,10 @@ def register(registry: Registry) -> None:
         o = table(s, d, "lineitem")
         number = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", *TIES)).cast("long")
         runs = o.select(F.col("l_suppkey").alias("image"), number.alias("mask_id"), F.col("l_discount").alias("score"), F.col("l_linenumber").alias("label"), (F.col("l_partkey") % 90).alias("a"), F.col("l_quantity").cast("int").alias("n"))
-        return runs.select("image", "mask_id", "score", "label", F.explode(F.sequence(F.col("a"), F.col("a") + F.col("n") - 1)).alias("pixel"))
+        return runs.select("image", "mask_id", "score", "label", F.sequence(F.col("a"), F.col("a") + F.col("n") - 1).alias("pixels"))
 
     def semantic(s, d):
-        return table(s, d, "supplier").select(F.col("s_suppkey").alias("image"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(139).cast("long"))).alias("pixel")).withColumn("label", F.floor(F.col("pixel") / 20) % 4)
+        return dealt(table(s, d, "supplier").select(F.col("s_suppkey").alias("image")), "image").select("image", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(139).cast("long"))).alias("pixel")).withColumn("label", F.floor(F.col("pixel") / 20) % 4)
 
     merge_sql = f"""r AS (SELECT l_suppkey AS image, row_number() OVER (PARTITION BY l_suppkey ORDER BY {KEYS}) AS mask_id, l_discount AS score, l_linenumber AS label, range(l_partkey % 90, l_partkey % 90 + l_quantity::INT) AS px FROM lineitem),
     o AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, mask_id) AS n FROM r WHERE score >= 0.02),

@@ -40,3 +40,25 @@ def test_rotated_pairs_against_one_by_one(threshold):
         want.append(order[0])
         order = order[1:][rotated.rotated_iou(boxes[order[0]], boxes[order[1:]]) <= threshold]
     assert matching.first_come(rotated._beyond(boxes, threshold)).tolist() == want
+
+
+def test_masks_by_row_and_by_pixel(spark):
+    """Masks given as arrays and as pixels are the same, also where an image spans batches; sets are not put together anew for each image."""
+    draw = np.random.default_rng(5)
+    masks = [(k // 30, k % 30, float(draw.integers(0, 5)) / 10, sorted({int(p) for p in draw.integers(0, 60, 9)})) for k in range(90)]
+    rows = spark.createDataFrame(masks, "image long, mask_id long, score double, pixels array<long>")
+    want = set()
+    for image in range(3):
+        taken = set()
+        for _, m, s, mine in sorted((r for r in masks if r[0] == image), key=lambda r: (-r[2], r[1])):
+            if s >= 0.1 and len(taken & set(mine)) / len(mine) <= 0.5:
+                want |= {(image, m, s, p) for p in set(mine) - taken}
+                taken |= set(mine)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        for given in (rows, rows.select("image", "mask_id", "score", F.explode("pixels").alias("pixel"))):
+            made = matching.mask_suppression(given, "image", 0.5, 0.1)
+            assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().executedPlan().toString()
+            assert {tuple(r) for r in made.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
