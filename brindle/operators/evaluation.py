@@ -53,11 +53,11 @@ def assign(boxes: np.ndarray, truths: np.ndarray, crowd: np.ndarray, ignored: np
     return found
 
 
-def coco_matches(detections: DataFrame, truths: DataFrame, by: list[str], thresholds: list[float], areas: dict[str, tuple[float, float]], most: int, ties: list[str] = ("det_id",)) -> DataFrame:
+def coco_matches(detections: DataFrame, truths: DataFrame, by: list[str], thresholds: list[float], areas: dict[str, tuple[float, float]], most: int, ties: list[str] = ("det_id",), held: bool = False) -> DataFrame:
     """by, det_id, score, place (from 1, within the group), area, threshold, gt_id (null if none), ignored; at most ``most`` detections of a group.
 
     Truths have area, crowd and ignore (both may be null: false). A truth is ignored where its flags or its area say so, a detection where its truth is, or where it has none and
-    its own area is outside the range. One pass over a group makes all thresholds and ranges.
+    its own area is outside the range. One pass over a group makes all thresholds and ranges. ``held`` keeps its result, a row for each detection, in a checkpoint, for callers that read it more than once.
     """
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in detections.select(*by).schema)
     names, cuts = list(areas), np.array(list(areas.values()), float)
@@ -94,6 +94,7 @@ def coco_matches(detections: DataFrame, truths: DataFrame, by: list[str], thresh
         return run(found.sort_by("place"), truth.sort_by("gt_id"))
 
     made = first.select(*by, F.col("det_id").cast("long").alias("det_id"), F.col("score").cast("double").alias("score"), "place", *CORNERS).groupBy(*by).cogroup(goals.groupBy(*by)).applyInArrow(sorted_run, schema)
+    made = checkpointed(made) if held else made
     options = F.array(*[F.struct(F.lit(a).alias("area"), F.lit(float(t)).alias("threshold")) for a in names for t in thresholds])
     each = F.arrays_zip(options.alias("o"), F.col("matched").alias("m"), F.col("ignored").alias("i"))
     return made.select(*by, "det_id", "score", "place", F.explode(each).alias("x")).select(*by, "det_id", "score", "place", "x.o.area", "x.o.threshold", F.col("x.m").alias("gt_id"), F.col("x.i").alias("ignored"))
@@ -109,7 +110,7 @@ def coco_positives(truths: DataFrame, category: str, areas: dict[str, tuple[floa
 
 def coco_evaluation(detections: DataFrame, truths: DataFrame, image: str, category: str, thresholds: list[float], areas: dict[str, tuple[float, float]], limits: list[int], levels: int = 101, ties: list[str] = ("det_id",)) -> tuple[DataFrame, DataFrame]:
     """Precision at recall levels and final recall by threshold, category, area and limit, from the matches; see ``metrics.accumulate``."""
-    matches = coco_matches(detections, truths, [image, category], thresholds, areas, max(limits), ties)
+    matches = coco_matches(detections, truths, [image, category], thresholds, areas, max(limits), ties, held=True)
     limited = matches.withColumn("limit", F.explode(F.filter(F.array(*[F.lit(m) for m in limits]), lambda m: F.col("place") <= m)))
     found = limited.withColumn("hit", F.col("gt_id").isNotNull())
     return metrics.accumulate(found, coco_positives(truths, category, areas), ["threshold", category, "area", "limit"], "score", [image, "place"], levels)

@@ -90,10 +90,10 @@ def accumulate(matches: DataFrame, positives: DataFrame, by: list[str], score: s
     the number of truths (by the keys that it has of ``by``); a combination without truths has -1 everywhere.
     Precision (by, level, precision) is that of the first place that reaches a level on the envelope, else 0.
     """
-    counted = F.col("hit") & ~F.col("ignored")
-    missed = ~F.col("hit") & ~F.col("ignored")
     ordered = [F.desc(score), *[F.col(c) for c in order]]
-    curve = running_sums(matches, by, ordered, {"tp": counted.cast("long"), "fp": missed.cast("long"), "place": F.lit(1).cast("long")})
+    # What counts neither way leaves precision and recall where they are, so only the rest is sorted, with no more columns than that takes.
+    counting = matches.filter(F.coalesce(~F.col("ignored"), F.lit(False))).select(*dict.fromkeys([*by, score, *order, "hit"]))
+    curve = running_sums(counting, by, ordered, {"tp": F.col("hit").cast("long"), "fp": (~F.col("hit")).cast("long"), "place": F.lit(1).cast("long")})
     keys = [c for c in positives.columns if c in by]
     curve = curve.join(positives.withColumnRenamed("positives", "__n"), keys).withColumns({"recall": F.col("tp") / F.col("__n"), "precision": F.col("tp") / (F.col("tp") + F.col("fp") + F.lit(2.0**-52))})
     curve = running_max_from_end(curve, by, "place", "precision", "envelope")
