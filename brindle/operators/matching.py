@@ -7,7 +7,6 @@ from functools import reduce
 from itertools import chain, pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +43,22 @@ def falling(score: str) -> list:
     return [F.coalesce(F.isnan(F.col(score).cast("double")), F.lit(True)), F.desc(score)]
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole groups with the places where groups begin (``__n`` is 1) and the end; a group may span batches."""
+    held: list[pa.Table] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            piece = pa.Table.from_batches([batch])
+            starts = np.flatnonzero(piece.column("__n").to_numpy() == 1)
+            end = int(starts[-1]) if len(starts) else piece.num_rows  # the last group may go on in the next batch
+            held.append(piece.slice(0, end))
+            if not len(starts):
+                continue
+        rows, held = pa.concat_tables(held) if held else None, [] if batch is None else [piece.slice(end)]
+        if rows is not None and rows.num_rows:
+            yield rows, [*np.flatnonzero(rows.column("__n").to_numpy() == 1).tolist(), rows.num_rows]
+
+
 def pick(df: DataFrame, by: list[str], order: list, columns: list[str], keep: Callable[..., np.ndarray]) -> DataFrame:
     """The rows of each group at the places that ``keep`` returns for its ``columns``, which are arrays in ``order``.
 
@@ -52,19 +67,7 @@ def pick(df: DataFrame, by: list[str], order: list, columns: list[str], keep: Ca
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                piece = pa.Table.from_batches([batch])
-                starts = np.flatnonzero(piece.column("__n").to_numpy() == 1)
-                end = int(starts[-1]) if len(starts) else piece.num_rows  # the last group may go on in the next batch
-                held.append(piece.slice(0, end))
-                if not len(starts):
-                    continue
-            rows, held = pa.concat_tables(held) if held else None, [] if batch is None else [piece.slice(end)]
-            if rows is None or not rows.num_rows:
-                continue
-            cuts = [*np.flatnonzero(rows.column("__n").to_numpy() == 1).tolist(), rows.num_rows]
+        for rows, cuts in whole_groups(batches):
             values = [rows.column(c).to_numpy() for c in columns]
             places = np.concatenate([a + keep(*[v[a:b] for v in values]) for a, b in pairwise(cuts)])
             yield from rows.select(names).take(pa.array(places)).combine_chunks().to_batches()
@@ -73,6 +76,90 @@ def pick(df: DataFrame, by: list[str], order: list, columns: list[str], keep: Ca
     return numbered.mapInArrow(run, df.schema)
 
 
+CORNERS = ("x0", "y0", "x1", "y1")
+COMPARED = 1 << 18  # pairs of boxes that are compared at once
+LINKS = 1 << 20  # pairs that may match and are held at once
+
+
+def together(detections: DataFrame, truths: DataFrame) -> DataFrame:
+    """Both sides of a matching in one table, told apart by ``truth``. Who has both in one table spares one of two shuffles."""
+    return detections.withColumn("truth", F.lit(False)).unionByName(truths.withColumn("truth", F.lit(True)), allowMissingColumns=True)
+
+
+def in_groups(rows: DataFrame, by: list[str], order: list, run: Callable[[pa.Table, list[int], np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """``run`` over tables of whole groups, in each of which the truths come first, by gt_id, then the detections in ``order``.
+
+    It gets such a table, the places where its groups begin (and the end), and for each group where its detections begin.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in whole_groups(batches):
+            goals = np.add.reduceat(table.column("truth").to_numpy().astype(np.int64), cuts[:-1])
+            yield from run(table, cuts, np.array(cuts[:-1]) + goals).combine_chunks().to_batches()
+
+    window = Window.partitionBy(*by).orderBy(F.desc("truth"), F.asc_nulls_last("gt_id"), *order)
+    return rows.withColumn("__n", F.row_number().over(window)).mapInArrow(each, schema)
+
+
+def corners(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy().astype(float) for c in CORNERS], axis=1)
+
+
+def overlap_blocks(boxes: np.ndarray, cuts: list[int], begins: np.ndarray, overlaps: Callable) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(place of the first detection, of the first truth, overlaps) for blocks of detections with all truths of their group; groups without either have none."""
+    for (start, end), begin in zip(pairwise(cuts), begins.tolist()):
+        if start < begin < end:
+            step = max(1, COMPARED // (begin - start))
+            for a in range(begin, end, step):
+                yield a, start, overlaps(boxes[a : min(a + step, end), None], boxes[None, start:begin])
+
+
+def links(blocks: Iterator[tuple[int, int, np.ndarray]], least: float, strict: bool = False, later: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Detection, truth and overlap of the pairs from ``least`` on (``strict``: beyond it), by detection, then falling overlap; of equal ones the first truth leads, or the ``later``.
+
+    They come in parts of about ``LINKS``, so that a large group is not held with all its pairs; a detection lies in one part.
+    """
+    found, n = [], 0
+    for a, start, over in blocks:
+        d, t = np.nonzero(over > least if strict else over >= least)
+        v = over[d, t]
+        order = np.lexsort((-t if later else t, -v, d))
+        found.append((d[order] + a, t[order] + start, v[order]))
+        n += len(d)
+        if n > LINKS:
+            yield tuple(map(np.concatenate, zip(*found)))
+            found, n = [], 0
+    if n:
+        yield tuple(map(np.concatenate, zip(*found)))
+
+
+def taken(detection: np.ndarray, truth: np.ndarray, free: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The links that are taken: in order of detections each takes its first one to a truth that is ``free``; ``shared`` truths stay free.
+
+    Links are sorted by detection. All detections ask at once, a truth keeps the first that ever asks, and the others ask for their next one. As all truths prefer
+    earlier detections, this ends in what one after the other would take.
+    """
+    open_ = np.flatnonzero(free[truth])
+    detection, truth = detection[open_], truth[open_]
+    if not len(detection):
+        return open_
+    starts = np.flatnonzero(np.concatenate([[True], detection[1:] != detection[:-1]]))
+    ends = np.append(starts[1:], len(detection))
+    holder = np.full(len(shared), len(starts))
+    at, asking = starts.copy(), np.arange(len(starts))
+    while len(asking):
+        goal = truth[at[asking]]
+        single = ~shared[goal]
+        mine, goal = asking[single], goal[single]
+        before = holder[goal]
+        np.minimum.at(holder, goal, mine)
+        out = np.concatenate([mine[holder[goal] != mine], before[(before < len(starts)) & (holder[goal] != before)]])
+        out = np.unique(out)
+        at[out] += 1
+        asking = out[at[out] < ends[out]]
+    return open_[at[at < ends]]
+
+
 def first_come(removes: np.ndarray) -> np.ndarray:
     """Places that stay where each in turn removes the later ones that ``removes[place]`` marks."""
     open_, kept = np.ones(len(removes), bool), []
@@ -127,28 +214,29 @@ def greedy_match(detections: DataFrame, truths: DataFrame, by: list[str], thresh
 
     Detections carry ``det_id``, truths ``gt_id``; the result is by, det_id, score, gt_id (null if none), iou, hit.
     """
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in detections.select(*by).schema)
-
-    def run(found: pd.DataFrame, truth: pd.DataFrame) -> pd.DataFrame:
-        columns = [*by, "det_id", "score", "gt_id", "iou", "hit"]
-        if not len(found):
-            return pd.DataFrame({c: [] for c in columns})
-        found = found.sort_values(["score", *ties], ascending=[False] + [True] * len(ties), kind="stable")
-        truth = truth.sort_values("gt_id")
-        boxes, ids = truth[["x0", "y0", "x1", "y1"]].to_numpy(float), truth["gt_id"].to_numpy()
-        free, rows = np.ones(len(truth), bool), []
-        for d in found.itertuples(index=False):
-            over = np.where(free, _overlaps(np.array([d.x0, d.y0, d.x1, d.y1], float), boxes, plus), -1.0) if len(truth) else np.zeros(0)
-            k = int(np.argmax(over)) if len(over) else -1
-            hit = k >= 0 and (over[k] > threshold if strict else over[k] >= min(threshold, 1 - 1e-10))
-            if hit:
-                free[k] = False
-            rows.append((*(getattr(d, c) for c in by), d.det_id, d.score, int(ids[k]) if hit else None, float(over[k]) if hit else 0.0, bool(hit)))
-        out = pd.DataFrame(rows, columns=columns)
-        out["gt_id"] = out["gt_id"].astype("Int64")
-        return out
-
-    return detections.groupBy(*by).cogroup(truths.groupBy(*by)).applyInPandas(run, f"{kinds}, det_id long, score double, gt_id long, iou double, hit boolean")
+    shown = lambda df, own: df.select(*dict.fromkeys([*by, *own, *CORNERS]))
+    return greedy_match_of(together(shown(detections, ["det_id", "score", *ties]), shown(truths, ["gt_id"])), by, threshold, ties, strict, plus)
+
+
+def greedy_match_of(rows: DataFrame, by: list[str], threshold: float, ties: list[str], strict: bool = False, plus: float = 0.0) -> DataFrame:
+    """As ``greedy_match``, with both sides in one table (see ``together``)."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema)
+    names = [*by, "det_id", "score", "gt_id", "iou", "hit"]
+
+    def run(table: pa.Table, cuts: list[int], begins: np.ndarray) -> pa.Table:
+        blocks = overlap_blocks(corners(table), cuts, begins, lambda a, b: _overlaps(a, b, plus))
+        n = table.num_rows
+        goal, iou, free, shared = np.full(n, -1), np.zeros(n), np.ones(n, bool), np.zeros(n, bool)
+        for detection, truth, over in links(blocks, threshold if strict else min(threshold, 1 - 1e-10), strict):
+            got = taken(detection, truth, free, shared)
+            goal[detection[got]], iou[detection[got]], free[truth[got]] = truth[got], over[got], False
+        mine = np.flatnonzero(~table.column("truth").to_numpy())
+        goal, found = goal[mine], table.take(pa.array(mine))
+        ids = table.column("gt_id").take(pa.array(goal, mask=goal < 0))
+        return pa.table([*[found.column(c) for c in (*by, "det_id", "score")], ids, pa.array(iou[mine]), pa.array(goal >= 0)], names=names)
+
+    shown = rows.select(*by, "truth", F.col("det_id").cast("long").alias("det_id"), F.col("gt_id").cast("long").alias("gt_id"), F.col("score").cast("double").alias("score"), *CORNERS, *[c for c in ties if c not in (*by, "det_id", "score")])
+    return in_groups(shown, by, [*falling("score"), *map(F.asc_nulls_last, ties)], run, f"{kinds}, det_id long, score double, gt_id long, iou double, hit boolean")
 
 
 def global_greedy_match(pairs: DataFrame, by: str, left: str, right: str) -> DataFrame:

@@ -219,9 +219,9 @@ def register(registry: Registry) -> None:
     )
 
     def matched(s, d):
-        found = detections(s, d).filter("det_id % 2 = 0")
-        truth = detections(s, d).filter("det_id % 2 <> 0").withColumnRenamed("det_id", "gt_id").drop("score")
-        return matching.greedy_match(found, truth, ["image", "label"], 0.3, ["det_id"])
+        odd = F.col("det_id") % 2 != 0
+        rows = detections(s, d).select("image", "label", odd.alias("truth"), F.when(odd, F.col("det_id")).alias("gt_id"), F.when(~odd, F.col("det_id")).alias("det_id"), "score", "x0", "y0", "x1", "y1")
+        return matching.greedy_match_of(rows, ["image", "label"], 0.3, ["det_id"])
 
     add("greedy_detection_match", lambda s, d: matched(s, d).withColumn("iou", F.round("iou", 9)), f"WITH RECURSIVE {DETECTIONS}, {MATCHED} SELECT image, label, det_id, score, gt_id, round(iou, 9) AS iou, gt_id IS NOT NULL AS hit FROM m")
 
