@@ -18,39 +18,14 @@ EPSILON = 2.0**-52
 CORNERS = ("x0", "y0", "x1", "y1")
 
 
-def coverage(box: np.ndarray, truths: np.ndarray, crowd: np.ndarray) -> np.ndarray:
-    """Overlap of a box with truths: by the union, or by the box's own area where the truth is a crowd."""
-    w = np.minimum(box[2], truths[:, 2]) - np.maximum(box[0], truths[:, 0])
-    h = np.minimum(box[3], truths[:, 3]) - np.maximum(box[1], truths[:, 1])
+def coverage(boxes: np.ndarray, truths: np.ndarray, crowd: np.ndarray) -> np.ndarray:
+    """Overlap of boxes with truths: by the union, or by the box's own area where the truth is a crowd."""
+    w = np.minimum(boxes[..., 2], truths[..., 2]) - np.maximum(boxes[..., 0], truths[..., 0])
+    h = np.minimum(boxes[..., 3], truths[..., 3]) - np.maximum(boxes[..., 1], truths[..., 1])
     both = np.maximum(w, 0) * np.maximum(h, 0)
-    own = (box[2] - box[0]) * (box[3] - box[1])
-    whole = np.where(crowd, own, own + (truths[:, 2] - truths[:, 0]) * (truths[:, 3] - truths[:, 1]) - both)
-    return np.divide(both, whole, out=np.zeros(len(truths)), where=both > 0)
-
-
-def assign(boxes: np.ndarray, truths: np.ndarray, crowd: np.ndarray, ignored: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
-    """For boxes in order of score the place of the truth that each takes, or -1, for every (area range, threshold) at once.
-
-    ``ignored`` is (areas, truths). A box prefers truths that count to ignored ones, then the greatest overlap, then the later truth; a truth is taken
-    once, a crowd any number of times.
-    """
-    least = np.minimum(thresholds, 1 - 1e-10)[None, :, None]
-    taken = np.zeros((len(ignored), len(thresholds), len(truths)), bool)
-    found = np.full((len(ignored), len(thresholds), len(boxes)), -1)
-    for d, box in enumerate(boxes):
-        over = coverage(box, truths, crowd)
-        near = np.flatnonzero((over > 0) & (over >= least.min()))
-        if not len(near):
-            continue
-        over = over[near]
-        open_ = (~taken[:, :, near] | crowd[near]) & (over >= least)
-        counting = open_ & ~ignored[:, None, near]
-        choice = np.where(np.where(counting.any(2, keepdims=True), counting, open_), over, -1.0)
-        best = len(near) - 1 - np.argmax(choice[:, :, ::-1], axis=2)
-        a, t = np.nonzero(open_.any(2))
-        found[a, t, d] = near[best[a, t]]
-        taken[a, t, found[a, t, d]] = True
-    return found
+    own = (boxes[..., 2] - boxes[..., 0]) * (boxes[..., 3] - boxes[..., 1])
+    whole = np.where(crowd, own, own + (truths[..., 2] - truths[..., 0]) * (truths[..., 3] - truths[..., 1]) - both)
+    return np.divide(both, whole, out=np.zeros(both.shape), where=both > 0)
 
 
 def coco_matches(detections: DataFrame, truths: DataFrame, by: list[str], thresholds: list[float], areas: dict[str, tuple[float, float]], most: int, ties: list[str] = ("det_id",), held: bool = False) -> DataFrame:
@@ -59,44 +34,68 @@ def coco_matches(detections: DataFrame, truths: DataFrame, by: list[str], thresh
     Truths have area, crowd and ignore (both may be null: false). A truth is ignored where its flags or its area say so, a detection where its truth is, or where it has none and
     its own area is outside the range. One pass over a group makes all thresholds and ranges. ``held`` keeps its result, a row for each detection, in a checkpoint, for callers that read it more than once.
     """
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in detections.select(*by).schema)
-    names, cuts = list(areas), np.array(list(areas.values()), float)
-    levels = np.array(thresholds, float)
-    schema = f"{kinds}, det_id long, score double, place int, matched array<long>, ignored array<boolean>"
-
-    def run(found: pa.Table, truth: pa.Table) -> pa.Table:
-        boxes = np.stack([found.column(c).to_numpy() for c in CORNERS], axis=1) if len(found) else np.zeros((0, 4))
-        goals = np.stack([truth.column(c).to_numpy() for c in CORNERS], axis=1) if len(truth) else np.zeros((0, 4))
-        flag = lambda c: np.array(truth.column(c).to_pylist(), bool)
-        area, crowd, ids = truth.column("area").to_numpy(), flag("crowd"), truth.column("gt_id").to_numpy()
-        outside = lambda v: (v < cuts[:, :1]) | (v > cuts[:, 1:])
-        ignored = outside(area) | flag("ignore") | crowd
-        at = assign(boxes, goals, crowd, ignored, levels)
-        own = outside((boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1]))
-        if len(ids):
-            aside = np.where(at < 0, own[:, None, :], np.take_along_axis(ignored[:, None, :].repeat(len(levels), 1), np.maximum(at, 0), axis=2))
-        else:
-            aside = own[:, None, :].repeat(len(levels), 1)
-        shape = (len(names) * len(levels), len(boxes))
-        flat = at.reshape(shape).T.ravel()
-        gt = pa.array(ids[np.maximum(flat, 0)] if len(ids) else np.zeros(len(flat), np.int64), pa.int64(), mask=flat < 0)
-        ends = pa.array(np.arange(len(boxes) + 1) * shape[0], pa.int32())
-        columns = [*(found.column(c) for c in (*by, "det_id", "score", "place")), pa.ListArray.from_arrays(ends, gt), pa.ListArray.from_arrays(ends, pa.array(aside.reshape(shape).T.ravel()))]
-        return pa.table(columns, names=[*by, "det_id", "score", "place", "matched", "ignored"])
-
-    order = Window.partitionBy(*by).orderBy(F.desc("score"), *ties)
-    first = detections.select(*by, "det_id", "score", *[F.col(c).cast("double").alias(c) for c in CORNERS], *[c for c in ties if c not in (*by, "det_id", "score")])
-    first = first.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
-    no = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
-    goals = truths.select(*by, F.col("gt_id").cast("long").alias("gt_id"), *[F.col(c).cast("double").alias(c) for c in CORNERS], F.col("area").cast("double").alias("area"), no("crowd"), no("ignore"))
+    shown = lambda df, own: df.select(*dict.fromkeys([*by, *own, *CORNERS]))
+    both = matching.together(shown(detections, ["det_id", "score", *ties]), shown(truths, ["gt_id", "area", "crowd", "ignore"]))
+    return coco_matches_of(both, by, thresholds, areas, most, ties, held)
 
-    def sorted_run(found: pa.Table, truth: pa.Table) -> pa.Table:
-        return run(found.sort_by("place"), truth.sort_by("gt_id"))
 
-    made = first.select(*by, F.col("det_id").cast("long").alias("det_id"), F.col("score").cast("double").alias("score"), "place", *CORNERS).groupBy(*by).cogroup(goals.groupBy(*by)).applyInArrow(sorted_run, schema)
+def coco_matches_of(rows: DataFrame, by: list[str], thresholds: list[float], areas: dict[str, tuple[float, float]], most: int, ties: list[str] = ("det_id",), held: bool = False) -> DataFrame:
+    """As ``coco_matches``, with both sides in one table (see ``matching.together``).
+
+    A detection prefers truths that count to ignored ones, then the greatest overlap, then the later truth; a truth is taken once, a crowd any number of times.
+    """
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema)
+    limits = np.array(list(areas.values()), float)
+    levels = np.minimum(np.array(thresholds, float), 1 - 1e-10)
+    options = [(a, t) for a in range(len(limits)) for t in range(len(levels))]
+    names = [*by, "det_id", "score", "place", "matched", "ignored"]
+
+    def run(table: pa.Table, cuts: list[int], begins: np.ndarray) -> pa.Table:
+        n, is_truth = table.num_rows, table.column("truth").to_numpy()
+        place = np.arange(n) - np.repeat(begins, np.diff(cuts)) + 1
+        first = np.flatnonzero(is_truth | (place <= most))
+        table, place, is_truth = table.take(pa.array(first)), place[first], is_truth[first]
+        at = np.searchsorted(first, cuts).tolist()
+        boxes, n = matching.corners(table), len(first)
+        crowd, ignore = table.column("crowd").to_numpy(), table.column("ignore").to_numpy()
+        area = np.where(is_truth, table.column("area").to_numpy(), (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1]))
+        ignored = (area < limits[:, :1]) | (area > limits[:, 1:]) | (is_truth & (ignore | crowd))
+        goal, free = np.full((len(options), n), -1), np.ones((len(options), n), bool)
+
+        def blocks():
+            for (start, end), begin in zip(zip(at, at[1:]), np.searchsorted(first, begins).tolist()):
+                overlaps = lambda a, b, c=crowd[start:begin]: coverage(a, b, c)
+                for d, t, over in matching.overlap_blocks(boxes, [start, end], np.array([begin]), overlaps):
+                    over[over <= 0] = -1.0
+                    yield d, t, over
+
+        for detection, truth, over in matching.links(blocks(), max(levels.min(), 0.0), later=True):
+            for a in range(len(limits)):
+                out = ignored[a, truth]
+                order = np.argsort(2 * detection + out, kind="stable")
+                d, t, v = detection[order], truth[order], over[order]
+                for k, (area_, level) in enumerate(options):
+                    if area_ == a:
+                        enough = np.flatnonzero(v >= levels[level])
+                        got = enough[matching.taken(d[enough], t[enough], free[k], crowd)]
+                        goal[k, d[got]] = t[got]
+                        free[k, t[got]] = crowd[t[got]]
+        mine = np.flatnonzero(~is_truth)
+        goal = goal[:, mine]
+        aside = np.stack([np.where(goal[k] < 0, ignored[a, mine], ignored[a, goal[k]]) for k, (a, _) in enumerate(options)])
+        flat = goal.T.ravel()
+        gt = table.column("gt_id").combine_chunks().take(pa.array(flat, mask=flat < 0))
+        ends = pa.array(np.arange(len(mine) + 1) * len(options), pa.int32())
+        found = table.take(pa.array(mine))
+        columns = [*(found.column(c) for c in (*by, "det_id", "score")), pa.array(place[mine], pa.int32()), pa.ListArray.from_arrays(ends, gt), pa.ListArray.from_arrays(ends, pa.array(aside.T.ravel()))]
+        return pa.table(columns, names=names)
+
+    no = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    shown = rows.select(*by, "truth", *[F.col(c).cast("long").alias(c) for c in ("det_id", "gt_id")], *[F.col(c).cast("double").alias(c) for c in ("score", *CORNERS, "area")], no("crowd"), no("ignore"), *[c for c in ties if c not in (*by, "det_id", "score")])
+    made = matching.in_groups(shown, by, [F.desc("score"), *ties], run, f"{kinds}, det_id long, score double, place int, matched array<long>, ignored array<boolean>")
     made = checkpointed(made) if held else made
-    options = F.array(*[F.struct(F.lit(a).alias("area"), F.lit(float(t)).alias("threshold")) for a in names for t in thresholds])
-    each = F.arrays_zip(options.alias("o"), F.col("matched").alias("m"), F.col("ignored").alias("i"))
+    pairs = F.array(*[F.struct(F.lit(a).alias("area"), F.lit(float(t)).alias("threshold")) for a in areas for t in thresholds])
+    each = F.arrays_zip(pairs.alias("o"), F.col("matched").alias("m"), F.col("ignored").alias("i"))
     return made.select(*by, "det_id", "score", "place", F.explode(each).alias("x")).select(*by, "det_id", "score", "place", "x.o.area", "x.o.threshold", F.col("x.m").alias("gt_id"), F.col("x.i").alias("ignored"))
 
 
