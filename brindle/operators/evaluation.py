@@ -5,10 +5,15 @@ Detections carry det_id, score and x0..y1, truths gt_id, x0..y1 and flags; ``by`
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from brindle.functions.geometry import Box, iou
 from brindle.operators import matching, metrics
@@ -121,43 +126,145 @@ def voc_marks(detections: DataFrame, truths: DataFrame, by: list[str], threshold
     A detection looks at the truth that it overlaps most (inclusive pixels, the first of equal ones), taken or not. Beyond the threshold, the best detection
     of a truth is right and later ones wrong; one on a difficult truth counts neither way; any other detection is wrong.
     """
-    name = lambda df, p, more: df.select(*by, *[F.col(c).alias(f"{p}{c}") for c in CORNERS], *more)
-    found = name(detections, "a_", ["det_id", "score", *[c for c in ties if c not in ("det_id", "score", *by)]])
-    goals = name(truths, "b_", ["gt_id", F.coalesce(F.col("difficult"), F.lit(False)).alias("difficult")])
-    pairs = found.join(goals, by).withColumn("iou", iou(Box.of("a_"), Box.of("b_"), 1.0)).filter("iou > 0")
-    best = pairs.groupBy(*by, "det_id").agg(F.max(F.struct("iou", (-F.col("gt_id")).alias("n"), "difficult")).alias("best"))
-    looked = found.drop(*[f"a_{c}" for c in CORNERS]).join(best, [*by, "det_id"], "left").select("*", F.col("best.iou").alias("iou"), F.col("best.n").alias("goal"), F.coalesce("best.difficult", F.lit(False)).alias("difficult"))
-    # Detections without a truth are told apart by their id, so that they make no hot group.
-    earlier = Window.partitionBy(*by, "goal", F.when(F.col("goal").isNull(), F.col("det_id"))).orderBy(F.desc("score"), *ties).rowsBetween(Window.unboundedPreceding, 0)
-    beyond = lambda t: F.coalesce(F.col("iou") > t, F.lit(False))
-    counted = looked.select(*by, "det_id", "score", "iou", "difficult", *[c for c in ties if c != "det_id"], *[F.sum(beyond(t).cast("int")).over(earlier).alias(f"__n{k}") for k, t in enumerate(thresholds)])
-    right = [beyond(t) & ~F.col("difficult") & (F.col(f"__n{k}") == 1) for k, t in enumerate(thresholds)]
-    wrong = [~beyond(t) | (~F.col("difficult") & (F.col(f"__n{k}") > 1)) for k, t in enumerate(thresholds)]
-    return counted.select(*by, "det_id", "score", *[c for c in ties if c != "det_id"], F.array(*right).alias("tp"), F.array(*wrong).alias("fp"))
+    shown = lambda df, own: df.select(*dict.fromkeys([*by, *own, *CORNERS]))
+    return voc_marks_of(matching.together(shown(detections, ["det_id", "score", *ties]), shown(truths, ["gt_id", "difficult"])), by, thresholds, ties)
+
+
+def _voc(rows: DataFrame, by: list[str], thresholds: list[float], ties: list[str], counting: bool) -> DataFrame:
+    """by, det_id, score, ties and code: for each threshold 1 (right), 2 (wrong) or 0. With ``counting``, detections that count nowhere are left out, and each group
+    with truths has a row more, with the number of those that are not difficult (``goals``)."""
+    names = list(dict.fromkeys([*by, "det_id", "score", *ties]))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.select(*names).schema}
+
+    def run(table: pa.Table, cuts: list[int], begins: np.ndarray) -> pa.Table:
+        n, boxes = table.num_rows, matching.corners(table)
+        known = np.logical_and.reduce([table.column(c).is_valid().to_numpy() for c in by])[cuts[:-1]]  # no group of a null meets
+        goal, most = np.full(n, -1), np.zeros(n)
+        for a, start, over in matching.overlap_blocks(boxes, cuts, np.where(known, begins, cuts[:-1]), lambda a, b: matching._overlaps(a, b, 1.0)):
+            best = over.argmax(1)
+            v = over[np.arange(len(over)), best]
+            most[a : a + len(over)], goal[a : a + len(over)] = v, np.where(v > 0, best + start, -1)
+        is_truth, hard = table.column("truth").to_numpy(), table.column("difficult").to_numpy()
+        mine = np.flatnonzero(~is_truth)
+        goal, most = goal[mine], most[mine]
+        there, hard_one = goal >= 0, np.where(goal >= 0, hard[goal], False)
+        codes = np.full((len(mine), len(thresholds)), 2, np.int8)
+        for k, t in enumerate(thresholds):
+            beyond = np.flatnonzero(there & (most > t))
+            first = np.zeros(len(mine), bool)
+            first[beyond[np.unique(goal[beyond], return_index=True)[1]]] = True
+            codes[beyond, k] = np.where(hard_one[beyond], 0, np.where(first[beyond], 1, 2))
+        if not counting:
+            return _coded(table.take(pa.array(mine)).select(names), codes)
+        some = codes.any(1)
+        heads = np.array(cuts[:-1])[begins > cuts[:-1]]
+        counts = np.add.reduceat((is_truth & ~hard).astype(np.int64), cuts[:-1])[begins > cuts[:-1]]
+        found = _coded(table.take(pa.array(mine[some])).select(names), codes[some]).append_column("goals", pa.nulls(int(some.sum()), pa.int64()))
+        own = table.take(pa.array(heads)).select(names)
+        for name in (c for c in names if c not in by):
+            own = own.set_column(own.schema.get_field_index(name), table.schema.field(name), pa.nulls(len(heads), table.schema.field(name).type))
+        return pa.concat_tables([found, _coded(own, np.zeros((len(heads), len(thresholds)), np.int8)).append_column("goals", pa.array(counts))])
+
+    hard = F.coalesce(F.col("difficult"), F.lit(False)).alias("difficult")
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", code array<tinyint>" + (", goals long" if counting else "")
+    return matching.in_groups(rows.select(*names, "truth", "gt_id", hard, *CORNERS), by, [F.desc("score"), *ties], run, schema)
+
+
+def _coded(table: pa.Table, codes: np.ndarray) -> pa.Table:
+    ends = pa.array(np.arange(len(codes) + 1) * codes.shape[1], pa.int32())
+    return table.append_column("code", pa.ListArray.from_arrays(ends, pa.array(codes.ravel())))
+
+
+def voc_marks_of(rows: DataFrame, by: list[str], thresholds: list[float], ties: list[str] = ("det_id",)) -> DataFrame:
+    """As ``voc_marks``, with both sides in one table (see ``matching.together``)."""
+    is_ = lambda v: F.transform("code", lambda c: c == v)
+    return _voc(rows, by, thresholds, ties, False).withColumns({"tp": is_(1), "fp": is_(2)}).drop("code")
 
 
 def voc_average_precision(detections: DataFrame, truths: DataFrame, image: str, category: str, thresholds: list[float], points: int | None = None, ties: list[str] = ("det_id",)) -> DataFrame:
     """category, threshold, ap: the area under the precision envelope, or its mean at ``points`` recall levels. One sort makes all thresholds."""
-    marks = voc_marks(detections, truths, [image, category], thresholds, ties)
-    n = truths.groupBy(category).agg(F.count_if(~F.coalesce(F.col("difficult"), F.lit(False))).alias("positives"))
+    shown = lambda df, own: df.select(*dict.fromkeys([image, category, *own, *CORNERS]))
+    return voc_average_precision_of(matching.together(shown(detections, ["det_id", "score", *ties]), shown(truths, ["gt_id", "difficult"])), image, category, thresholds, points, ties)
+
+
+def voc_average_precision_of(rows: DataFrame, image: str, category: str, thresholds: list[float], points: int | None = None, ties: list[str] = ("det_id",)) -> DataFrame:
+    """As ``voc_average_precision``, with both sides in one table (see ``matching.together``).
+
+    The marks are dealt to sorted ranges, which lie in a checkpoint, and are read as streams from there on. A category that spans ranges takes what the ranges before it
+    counted, and the greatest precision of those after it; these are at most two rows for each range, which the driver passes on.
+    """
     each = range(len(thresholds))
-    order = [F.desc("score"), image, *ties]
-    values = {f"{name}{k}": F.get(name, F.lit(k)).cast("long") for name in ("tp", "fp") for k in each}
-    curve = metrics.running_sums(marks, [category], order, values | {"place": F.lit(1).cast("long")}).join(n, category)
-    curve = curve.withColumns({f"p{k}": F.col(f"tp{k}") / F.greatest(F.col(f"tp{k}") + F.col(f"fp{k}"), F.lit(EPSILON)) for k in each})
-    curve = metrics.running_maxima_from_end(curve, [category], "place", {f"p{k}": f"e{k}" for k in each})
-    goals = F.greatest(F.col("positives"), F.lit(1))
+    order = [category, F.desc("score"), image, *ties]
+    marks = _voc(rows, [image, category], thresholds, ties, True)
+    ranged = checkpointed(marks.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col(category).alias("category"), "code", "goals", F.spark_partition_id().alias("p")))
+    counts = [F.count_if(F.get("code", F.lit(k)) == v).alias(f"n{v}_{k}") for v in (1, 2) for k in each]
+    totals = ranged.groupBy("category", "p").agg(F.sum("goals").alias("goals"), *counts)
+    whole = Window.partitionBy("category")
+    before = whole.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.array(*[F.coalesce(F.sum(f"n{v}_{k}").over(before), F.lit(0)) for v in (1, 2) for k in each])
+    spans = totals.select("p", F.min("p").over(whole).alias("chain"), (F.max("p").over(whole) > F.min("p").over(whole)).alias("spans"), F.sum("goals").over(whole).alias("goals"), starts.alias("starts"))
+    known = {(r.p, r.p > r.chain): r for r in spans.filter("spans").collect()}
+    kind = f"p int, later boolean, category {ranged.schema['category'].dataType.simpleString()}, goals long, tops array<double>, made array<double>"
+    steps = [i * (1 / (points - 1)) for i in range(points)] if points is not None else []
+
+    def through(after: dict | None):
+        """A row for each category of a range; without ``after`` only of those that span ranges."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(batches, schema=shape)
+            if not table.num_rows:
+                return
+            p = table.column("p")[0].as_py()
+            if after is None and not {(p, False), (p, True)} & set(known):
+                return
+            codes = table.column("code").combine_chunks().flatten().to_numpy().reshape(-1, len(thresholds))
+            kinds = table.column("category").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+            cuts = [0, *(np.flatnonzero(kinds[1:] != kinds[:-1]) + 1).tolist(), len(kinds)]
+            goals = table.column("goals").combine_chunks()
+            out = []
+            for a, b in pairwise(cuts):
+                key = (p, True) if a == 0 and (p, True) in known else (p, False) if b == len(kinds) and (p, False) in known else None
+                if after is None and key is None:
+                    continue
+                n = pc.sum(goals.slice(a, b - a)).as_py() if key is None else known[key].goals
+                begun = known[key].starts if key else [0] * (2 * len(thresholds))
+                later = after[key] if after and key else [0.0] * len(thresholds)
+                tops, made = [], []
+                for k in each:
+                    hits = np.flatnonzero(codes[a:b, k] == 1)
+                    right = begun[k] + np.arange(1, len(hits) + 1)
+                    wrong = begun[len(thresholds) + k] + np.cumsum(codes[a:b, k] == 2)[hits]
+                    best = np.maximum(np.maximum.accumulate((right / np.maximum(right + wrong, EPSILON))[::-1])[::-1], later[k])
+                    tops.append(float(best.max(initial=0.0)))
+                    if points is None:
+                        made.append(float((best / max(n or 0, 1)).sum()))
+                    else:
+                        made += [float(best[right / max(n or 0, 1) >= s].max(initial=0.0)) for s in steps]
+                out.append((p, bool(key and key[1]), a, n, tops, made))
+            if out:
+                firsts = table.column("category").take(pa.array([o[2] for o in out]))
+                column = lambda i, t: pa.array([o[i] for o in out], t)
+                yield from pa.table([column(0, pa.int32()), column(1, pa.bool_()), firsts, column(3, pa.int64()), column(4, pa.list_(pa.float64())), column(5, pa.list_(pa.float64()))], names=["p", "later", "category", "goals", "tops", "made"]).combine_chunks().to_batches()
+
+        shape = to_arrow_schema(ranged.schema)
+        return ranged.mapInArrow(run, kind)
+
+    after = {}
+    tops = {(r.p, r.later): r.tops for r in through(None).select("p", "later", "tops").collect()} if known else {}
+    chains: dict[int, list[float]] = {}
+    for key in sorted(tops, reverse=True):
+        chain = known[key].chain
+        after[key] = chains.get(chain, [0.0] * len(thresholds))
+        chains[chain] = [max(x, y) for x, y in zip(after[key], tops[key])]
+    full = through(after).filter("goals IS NOT NULL")
     if points is None:
-        ap = [F.sum(F.when(F.get("tp", F.lit(k)), F.col(f"e{k}") / goals).otherwise(0.0)) for k in each]
-        made = curve.groupBy(category).agg(*[a.alias(f"ap{k}") for k, a in enumerate(ap)])
+        made = full.groupBy("category").agg(F.array(*[F.sum(F.get("made", F.lit(k))) for k in each]).alias("ap"))
     else:
-        steps = [i * (1 / (points - 1)) for i in range(points)]
-        tops = [F.coalesce(F.max(F.when(F.col(f"tp{k}") / goals >= s, F.col(f"p{k}"))), F.lit(0.0)) for k in each for s in steps]
-        wide = curve.groupBy(category).agg(F.array(*tops).alias("tops"))
+        most = full.groupBy("category").agg(F.array(*[F.max(F.get("made", F.lit(k))) for k in range(points * len(thresholds))]).alias("tops"))
         mean = lambda k: F.aggregate(F.slice("tops", k * points + 1, points), F.lit(0.0), lambda a, b: a + b) / points
-        made = wide.select(category, *[mean(k).alias(f"ap{k}") for k in each])
-    rows = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"ap{k}").alias("ap")) for k, t in enumerate(thresholds)])
-    return n.join(made, category, "left").select(category, F.explode(rows).alias("x")).select(category, "x.threshold", F.coalesce("x.ap", F.lit(0.0)).alias("ap"))
+        made = most.select("category", F.array(*map(mean, each)).alias("ap"))
+    out = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.get("ap", F.lit(k)).alias("ap")) for k, t in enumerate(thresholds)])
+    return made.select(F.col("category").alias(category), F.explode(out).alias("x")).select(category, "x.threshold", "x.ap")
 
 
 def box_recall(proposals: DataFrame, truths: DataFrame, image: str, areas: dict[str, tuple[float, float]], limits: list[int], thresholds: list[float], ties: list[str] = ("det_id",)) -> DataFrame:

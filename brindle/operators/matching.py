@@ -86,18 +86,18 @@ def together(detections: DataFrame, truths: DataFrame) -> DataFrame:
     return detections.withColumn("truth", F.lit(False)).unionByName(truths.withColumn("truth", F.lit(True)), allowMissingColumns=True)
 
 
-def in_groups(rows: DataFrame, by: list[str], order: list, run: Callable[[pa.Table, list[int], np.ndarray], pa.Table], schema: str) -> DataFrame:
-    """``run`` over tables of whole groups, in each of which the truths come first, by gt_id, then the detections in ``order``.
+def in_groups(rows: DataFrame, by: list[str], order: list, run: Callable[[pa.Table, list[int], np.ndarray], pa.Table], schema: str, goals: list[str] = ("gt_id",)) -> DataFrame:
+    """``run`` over tables of whole groups, in each of which the truths come first, by ``goals``, then the detections in ``order``.
 
     It gets such a table, the places where its groups begin (and the end), and for each group where its detections begin.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in whole_groups(batches):
-            goals = np.add.reduceat(table.column("truth").to_numpy().astype(np.int64), cuts[:-1])
-            yield from run(table, cuts, np.array(cuts[:-1]) + goals).combine_chunks().to_batches()
+            n = np.add.reduceat(table.column("truth").to_numpy().astype(np.int64), cuts[:-1])
+            yield from run(table, cuts, np.array(cuts[:-1]) + n).combine_chunks().to_batches()
 
-    window = Window.partitionBy(*by).orderBy(F.desc("truth"), F.asc_nulls_last("gt_id"), *order)
+    window = Window.partitionBy(*by).orderBy(F.desc("truth"), *[F.when(F.col("truth"), F.col(c)).asc_nulls_last() for c in goals], *order)
     return rows.withColumn("__n", F.row_number().over(window)).mapInArrow(each, schema)
 
 
@@ -239,17 +239,19 @@ def greedy_match_of(rows: DataFrame, by: list[str], threshold: float, ties: list
     return in_groups(shown, by, [*falling("score"), *map(F.asc_nulls_last, ties)], run, f"{kinds}, det_id long, score double, gt_id long, iou double, hit boolean")
 
 
+def falling_ends(lefts: np.ndarray, rights: np.ndarray) -> np.ndarray:
+    """Places of the pairs that are taken, in their order, where each end is taken once."""
+    a, b, kept = set(), set(), []
+    for i, (x, y) in enumerate(zip(lefts.tolist(), rights.tolist())):
+        if x not in a and y not in b:
+            a.add(x), b.add(y), kept.append(i)
+    return np.array(kept, int)
+
+
 def global_greedy_match(pairs: DataFrame, by: str, left: str, right: str) -> DataFrame:
     """Of (by, left, right, iou) the pair with the greatest overlap, then the next one between free ends, and so on."""
 
-    def keep(lefts: np.ndarray, rights: np.ndarray) -> np.ndarray:
-        a, b, kept = set(), set(), []
-        for i, (x, y) in enumerate(zip(lefts.tolist(), rights.tolist())):
-            if x not in a and y not in b:
-                a.add(x), b.add(y), kept.append(i)
-        return np.array(kept, int)
-
-    return pick(pairs, [by], [*falling("iou"), F.asc_nulls_last(left), F.asc_nulls_last(right)], [left, right], keep)
+    return pick(pairs, [by], [*falling("iou"), F.asc_nulls_last(left), F.asc_nulls_last(right)], [left, right], falling_ends)
 
 
 def mask_suppression(pixels: DataFrame, by: str, threshold: float, least_score: float) -> DataFrame:

@@ -18,10 +18,12 @@ LIMITS = (10, 100)
 TEN = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
 
 
-def rows(s, d) -> DataFrame:
+def rows(s, d, dealt: str | None = None) -> DataFrame:
+    """``dealt`` is a column by which the lines are dealt to tasks beforehand, where groups wider than those of the numbers follow."""
     box = Box.from_xywh((F.col("l_partkey") % 100).cast("double"), (F.col("l_suppkey") % 100).cast("double"), F.col("l_quantity"), F.col("l_linenumber") * 5.0)
     number = F.row_number().over(Window.partitionBy("l_suppkey", "l_returnflag").orderBy(*ORDER.split(", "))).cast("long")
-    made = table(s, d, "lineitem").select("*", *box.columns()).withColumn("id", number)
+    lines = table(s, d, "lineitem")
+    made = (lines.repartition(dealt) if dealt else lines).select("*", *box.columns()).withColumn("id", number)
     return made.select(F.col("l_suppkey").alias("image"), F.col("l_returnflag").alias("label"), "id", F.col("l_discount").alias("score"), "x0", "y0", "x1", "y1", (F.col("l_tax") > 0.07).alias("flag"))
 
 
@@ -35,11 +37,11 @@ def truths(s, d) -> DataFrame:
     return made.select("*", area.alias("area"), F.col("flag").alias("crowd"), (F.col("gt_id") % 10 == 1).alias("ignore"), F.col("flag").alias("difficult"))
 
 
-def both(s, d) -> DataFrame:
+def both(s, d, dealt: str | None = None) -> DataFrame:
     """Detections and truths in one table, from one pass over the lines."""
     odd = F.col("id") % 2 == 1
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    made = rows(s, d).select("*", odd.alias("truth"), F.when(~odd, F.col("id")).alias("det_id"), F.when(odd, F.col("id")).alias("gt_id"), area.alias("area"))
+    made = rows(s, d, dealt).select("*", odd.alias("truth"), F.when(~odd, F.col("id")).alias("det_id"), F.when(odd, F.col("id")).alias("gt_id"), area.alias("area"))
     return made.select("*", F.col("flag").alias("crowd"), (F.col("gt_id") % 10 == 1).alias("ignore"), F.col("flag").alias("difficult")).drop("id", "flag")
 
 
@@ -105,14 +107,14 @@ def register(registry: Registry) -> None:
     flags = lambda name: [F.get(name, F.lit(k)).alias(f"{name}{round(TEN[k] * 100)}") for k in (0, 5)]
     add(
         "voc_matching",
-        lambda s, d: evaluation.voc_marks(detections(s, d), truths(s, d), by, TEN).select(*by, "det_id", *flags("tp"), *flags("fp")),
+        lambda s, d: evaluation.voc_marks_of(both(s, d), by, TEN).select(*by, "det_id", *flags("tp"), *flags("fp")),
         f"WITH {VOC} SELECT image, label, id AS det_id, bool_or(tp) FILTER (t = 0.5) AS tp50, bool_or(tp) FILTER (t = 0.75) AS tp75, bool_or(fp) FILTER (t = 0.5) AS fp50, bool_or(fp) FILTER (t = 0.75) AS fp75 FROM k GROUP BY ALL",
     )
-    voc = lambda s, d, points: evaluation.voc_average_precision(detections(s, d), truths(s, d), "image", "label", TEN, points).withColumn("ap", F.round("ap", 9))
+    voc = lambda s, d, points: evaluation.voc_average_precision_of(both(s, d), "image", "label", TEN, points).withColumn("ap", F.round("ap", 9))
     add("voc_average_precision", lambda s, d: voc(s, d, None), f"WITH {VOC} SELECT label, t AS threshold, round(sum(CASE WHEN tp THEN env / greatest(np, 1) ELSE 0 END), 9) AS ap FROM e GROUP BY ALL")
     add(
         "class_average_precision",
-        lambda s, d: evaluation.voc_average_precision(detections(s, d), truths(s, d), "image", "label", [0.3]).select("label", F.round("ap", 9).alias("ap")),
+        lambda s, d: evaluation.voc_average_precision_of(both(s, d), "image", "label", [0.3]).select("label", F.round("ap", 9).alias("ap")),
         f"WITH {voc_sql([0.3])} SELECT label, round(sum(CASE WHEN tp THEN env / greatest(np, 1) ELSE 0 END), 9) AS ap FROM e GROUP BY ALL",
     )
     add(

@@ -15,7 +15,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["greedy_detection_match", "coco_matching"])
+@pytest.mark.parametrize("name", ["greedy_detection_match", "coco_matching", "voc_matching"])
 def test_one_pass_and_no_call_for_each_group(spark, name):
     text = plan(REGISTRY.queries()[name](spark, SF))
     assert "MapInArrow" in text and "CoGroup" not in text and text.count("Scan parquet") == 1
@@ -77,3 +77,34 @@ def test_blocks_of_a_large_group(monkeypatch):
     monkeypatch.setattr(matching, "COMPARED", 700)
     blocks, many = matches()
     assert blocks == whole and one == 1 and many > 5 and len(whole) > 100
+
+
+@pytest.mark.parametrize("points", [None, 11])
+def test_average_precision_of_categories_that_span_ranges(spark, points):
+    """Marks are checkpointed once, narrow, and nothing is shuffled after that but sums; ranges and one range come to the same."""
+    from brindle.operators import evaluation
+    from brindle.plans.evaluation import TEN, both
+
+    made, plans = [], []
+    for coalesce in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        try:
+            df = evaluation.voc_average_precision_of(both(spark, SF), "image", "label", TEN, points)
+            plans.append(plan(df))
+            made.append({(r.label, r.threshold): r.ap for r in df.collect()})
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(made[0]) == 30 and made[1] == pytest.approx(made[0])
+    assert all("Sort " not in p and "Window" not in p for p in plans)
+
+
+def test_marks_of_null_groups_and_nan(spark):
+    """No truth of an unknown group is met, as a join by it would have it; the group stays in the curve without a hit."""
+    from brindle.operators import evaluation
+
+    found = spark.createDataFrame([(None, 1, 0.5, 0.0, 0.0, 2.0, 2.0), ("a", 2, 0.5, 0.0, 0.0, 2.0, 2.0)], "label string, det_id long, score double, x0 double, y0 double, x1 double, y1 double").selectExpr("1 AS image", "*")
+    goals = spark.createDataFrame([(None, 1, False, 0.0, 0.0, 2.0, 2.0), ("a", 2, None, 0.0, 0.0, 2.0, 2.0), ("b", 3, True, 0.0, 0.0, 2.0, 2.0)], "label string, gt_id long, difficult boolean, x0 double, y0 double, x1 double, y1 double").selectExpr("1 AS image", "*")
+    marks = {r.label: (r.tp, r.fp) for r in evaluation.voc_marks(found, goals, ["image", "label"], [0.5]).collect()}
+    assert marks == {None: ([False], [True]), "a": ([True], [False])}
+    got = {r.label: r.ap for r in evaluation.voc_average_precision(found, goals, "image", "label", [0.5]).collect()}
+    assert got == {None: 0.0, "a": 1.0, "b": 0.0}
