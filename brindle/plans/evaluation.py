@@ -141,8 +141,7 @@ def register(registry: Registry) -> None:
     )
 
     def recall(s, d):
-        goals = truths(s, d).filter("NOT crowd").withColumn("gt_id", F.row_number().over(Window.partitionBy("image").orderBy("label", "gt_id")))
-        return evaluation.box_recall(detections(s, d), goals, "image", AREAS, [5, 40], TEN, ["label", "det_id"]).withColumn("ar", F.round("ar", 9))
+        return evaluation.box_recall_of(both(s, d, "l_suppkey"), "image", AREAS, [5, 40], TEN, ["label", "det_id"], ["label", "gt_id"]).withColumn("ar", F.round("ar", 9))
 
     add(
         "box_recall",

@@ -15,7 +15,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["greedy_detection_match", "coco_matching", "voc_matching"])
+@pytest.mark.parametrize("name", ["greedy_detection_match", "coco_matching", "voc_matching", "box_recall"])
 def test_one_pass_and_no_call_for_each_group(spark, name):
     text = plan(REGISTRY.queries()[name](spark, SF))
     assert "MapInArrow" in text and "CoGroup" not in text and text.count("Scan parquet") == 1
