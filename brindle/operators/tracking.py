@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 BOX_OVERLAP, MASK_OVERLAP, KEEP = 0.6, 0.5, 8
+FEW = 128  # pairs of boxes that are compared without arrays
 
 COLUMNS = ["video", "frame", "det_id", "label", "x0", "y0", "x1", "y1", "pixels"]
 
@@ -43,6 +44,34 @@ def _mask_overlaps(old: list[Instance], new: list[Instance]) -> np.ndarray:
     return np.divide(both, union, out=np.zeros_like(both), where=both > 0)
 
 
+def _best(known: list[Instance], frame: list[Instance], boxes: bool) -> list[tuple[int, float]]:
+    """For each known instance the first of those of the frame that it overlaps most, and the overlap."""
+    overlaps = (_box_overlaps if boxes else _mask_overlaps)(known, frame)
+    overlaps[np.array([o.label for o in known])[:, None] != np.array([n.label for n in frame])] = 0.0
+    return list(zip(overlaps.argmax(1).tolist(), overlaps.max(1).tolist()))
+
+
+def _best_boxes(known: list[Instance], frame: list[Instance], boxes: bool = True) -> list[tuple[int, float]]:
+    """As ``_best`` for boxes; arrays cost more than they save where there are few pairs."""
+    made = []
+    for old in known:
+        best, most = 0, 0.0
+        if old.box is not None:
+            a0, b0, a1, b1 = old.box
+            for i, new in enumerate(frame):
+                if new.label != old.label or new.box is None:
+                    continue
+                x0, y0, x1, y1 = new.box
+                w, h = (a1 if a1 < x1 else x1) - (a0 if a0 > x0 else x0), (b1 if b1 < y1 else y1) - (b0 if b0 > y0 else y0)
+                if w > 0 and h > 0:
+                    both = w * h
+                    union = (a1 - a0) * (b1 - b0) + (x1 - x0) * (y1 - y0) - both
+                    if union and both / union > most:
+                        best, most = i, both / union
+        made.append((best, most))
+    return made
+
+
 def follow(known: list[Instance], following: int, frame: list[Instance], keep: int = KEEP) -> tuple[list[Instance], list[int], int]:
     """The instances known after ``frame``, the tracks of its instances and the next free number.
 
@@ -55,17 +84,15 @@ def follow(known: list[Instance], following: int, frame: list[Instance], keep: i
     tracks: list[int | None] = [None] * len(frame)
     missed = []
     if known:
-        overlaps = (_box_overlaps if boxes else _mask_overlaps)(known, frame)
-        overlaps[np.array([o.label for o in known])[:, None] != np.array([n.label for n in frame])] = 0.0
-        for old, best, most in zip(known, overlaps.argmax(1).tolist(), overlaps.max(1).tolist()):
+        for old, (best, most) in zip(known, (_best_boxes if boxes and len(known) * len(frame) <= FEW else _best)(known, frame, boxes)):
             if most > least and tracks[best] is None:
                 tracks[best] = old.track
             elif old.left > 1:
-                missed.append(old._replace(left=old.left - 1))
+                missed.append(Instance(old.track, old.label, old.left - 1, old.box, old.pixels))
     for i, track in enumerate(tracks):
         if track is None:
             tracks[i], following = following, following + 1
-    return [n._replace(track=t, left=keep) for n, t in zip(frame, tracks)] + missed, tracks, following
+    return [Instance(t, n.label, keep, n.box, n.pixels) for n, t in zip(frame, tracks)] + missed, tracks, following
 
 
 def instances(rows: pd.DataFrame) -> list[Instance]:
