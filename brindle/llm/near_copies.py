@@ -1,11 +1,14 @@
 """Near copies by shingle sets: texts whose sets of five words in a row have a Jaccard similarity of 0.8 or more.
 
-SimHash cannot carry this rule: at a similarity of 0.8 about 10 of 64 bits differ, and covering tables
-double with every bit of radius. So the candidates come from several fingerprints of another kind:
+Candidates come from SimHash, and from MinHash keys what SimHash cannot reach; every link is checked exactly:
 
 * The set of a text holds 64-bit hashes of its shingles (A-Z lower-cased, cut at ASCII white space; a
   text of fewer words is one shingle). Equal sets are one node from here on.
-* ``BANDS`` keys of ``ROWS`` MinHash values each: a pair at 0.8 shares no key with probability 7e-5, one
+* The SimHash of a set has the bits that more than half of its hashes have. Nodes of one SimHash meet the smallest
+  of them, and SimHashes within ``simhash.RADIUS`` bits meet by the covering masks of ``simhash.near_links``.
+* At a similarity of 0.8 about 10 of 64 bits differ, and covering tables double with every bit of radius, so
+  SimHash alone would lose most links near the threshold. The others are found by
+  ``BANDS`` keys of ``ROWS`` MinHash values each: a pair at 0.8 shares no key with probability 7e-5, one
   at 0.9 with 3e-10. Every node of a key is joined to its smallest, which is linear in the size of the key.
 * Each key's smallest node, its hub, is compared exactly with the others: hub and members meet in parts dealt
   by a hash, where the members stream past one set. Groups of near copies are linked here, in linear work.
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import bounded_batches, freeing
-from brindle.llm.simhash import _LOWER, components, leading_rows, rank_of
+from brindle.llm.simhash import _LOWER, _signed, components, leading_rows, majority, near_links, rank_of
 from brindle.session import checkpointed
 
 SHINGLE = 5
@@ -82,8 +85,13 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return _mixed((low.reshape(BANDS, ROWS) * _ROW).sum(1, dtype=np.uint64) + _BAND).view(np.int64)
 
 
+def set_fingerprint(found: np.ndarray) -> int:
+    """SimHash of the set as a signed long; that of the empty set is 0."""
+    return _signed(majority(found[k : k + (1 << 14)] for k in range(0, len(found), 1 << 14)))
+
+
 def marks(docs: DataFrame) -> DataFrame:
-    """doc_id and __tie with node, the hash of the set, keys, its bands, and n, its size."""
+    """doc_id and __tie with node, the hash of the set, keys, its bands, n, its size, and fp, its SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,11 +99,12 @@ def marks(docs: DataFrame) -> DataFrame:
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), keys, sizes], names=["doc_id", "__tie", "node", "keys", "n"])
+            prints = pa.array([set_fingerprint(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), keys, sizes, prints], names=["doc_id", "__tie", "node", "keys", "n", "fp"])
 
     bounded_batches(docs.sparkSession)
     shown = docs.select("doc_id", F.xxhash64("text").alias("__tie"), F.col("text").cast("string").alias("__text"))
-    return shown.mapInArrow(freeing(run), f"doc_id {shown.schema['doc_id'].dataType.simpleString()}, __tie long, node long, keys array<long>, n long")
+    return shown.mapInArrow(freeing(run), f"doc_id {shown.schema['doc_id'].dataType.simpleString()}, __tie long, node long, keys array<long>, n long, fp long")
 
 
 def linked_parts(sets: list[np.ndarray], similarity: float = SIMILARITY, parts: np.ndarray | None = None, sides: np.ndarray | None = None) -> np.ndarray:
@@ -151,8 +160,16 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
     return rows.join(hubs, "key")
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidates (hub, node): nodes of one SimHash with the smallest of them, and such smallest nodes whose SimHashes link within the radius."""
+    homes = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("hub"), F.max("node").alias("last")))
+    same = nodes.select("fp", "node").join(homes.filter("hub < last").select("fp", "hub"), "fp").filter("node <> hub").select("hub", "node")
+    near = near_links(homes.select("fp")).join(homes.select(F.col("fp").alias("a"), "hub"), "a").join(homes.select(F.col("fp").alias("b"), F.col("hub").alias("node")), "b")
+    return same.union(near.select("hub", "node"))
+
+
 def star_links(shared: DataFrame, texts: DataFrame) -> DataFrame:
-    """True links (a, b) of hubs and the nodes of their keys; a task holds one hub's set at a time."""
+    """True links (a, b) of hubs and the nodes that they may be near; a task holds one hub's set at a time."""
     members = shared.filter("node <> hub").select("hub", "node").distinct().withColumn("deal", F.pmod(F.xxhash64("node"), F.lit(DEALS)))
     hubs = members.select("hub", F.col("hub").alias("node"), "deal").distinct()
     dealt = members.union(hubs.select(*members.columns)).join(texts, "node")
@@ -229,14 +246,17 @@ def cell_links(dealt: DataFrame, texts: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of each component: the smallest doc_id, then the smallest text hash."""
-    marked = marks(docs).groupBy("node").agg(F.min(rank_of(F.col("doc_id"), F.col("__tie"))).alias("low"), F.first("keys").alias("keys"), F.first("n").alias("n"))
+    marked = marks(docs).groupBy("node").agg(F.min(rank_of(F.col("doc_id"), F.col("__tie"))).alias("low"), F.first("keys").alias("keys"), F.first("n").alias("n"), F.first("fp").alias("fp"))
     marked = checkpointed(marked)
     shared = checkpointed(shared_keys(marked))
-    picked = marked.join(shared.select("node").distinct(), "node", "left_semi")
+    pairs = checkpointed(fingerprint_pairs(marked))
+    asked = shared.select("node").union(pairs.select("node")).union(pairs.select("hub")).distinct()
+    picked = marked.join(asked, "node", "left_semi")
     picked = picked.select("node", F.col("low.none").alias("__none"), F.coalesce("low.doc_id", F.lit(0)).alias("__id"), F.col("low.tie").alias("__tie"))
     slim = docs.select(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("__id"), F.xxhash64("text").alias("__tie"), F.col("text").cast("string").alias("text"))
     texts = checkpointed(slim.join(picked, ["__none", "__id", "__tie"]).select("node", "text").dropDuplicates(["node"]))
-    parts = checkpointed(components(star_links(shared, texts)))
+    candidates = shared.select("hub", "node").union(pairs)
+    parts = checkpointed(components(star_links(candidates, texts)))
     more = components(cell_links(cells(shared, parts), texts)).select(F.col("node").alias("root"), F.col("root").alias("last"))
     full = marked.select("node", "low").join(parts, "node", "left").select("low", F.coalesce("root", "node").alias("root"))
     full = full.join(more, "root", "left").select("low", F.coalesce("last", "root").alias("root"))

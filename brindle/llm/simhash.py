@@ -22,7 +22,7 @@ empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +49,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int
         return 0
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(BITS, np.int64)
-    for start in range(0, n, 1 << 14):
-        some = range(start, min(n, start + (1 << 14)))
-        hashes = np.array([digest(b" ".join(words[i : i + shingle]), seed) for i in some], "<u8")
+    some = (range(start, min(n, start + (1 << 14))) for start in range(0, n, 1 << 14))
+    return majority(np.array([digest(b" ".join(words[i : i + shingle]), seed) for i in block], "<u8") for block in some)
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The bits that more than half of all hashes of the blocks have."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for hashes in blocks:
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(0, dtype=np.int64)
+        ones, n = ones + bits.sum(0, dtype=np.int64), n + len(hashes)
     return int(sum(1 << k for k in range(BITS) if 2 * ones[k] > n))
 
 

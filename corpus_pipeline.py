@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last keep the columns of
 ``documents``: toxicity and quality rules drop the rows that they reject, the near-copy stage keeps the row
-with the smallest id of each group (sets of five words, similarity 0.8), suffix dedup cuts repeated passages out of the texts (characters that are cut
+with the smallest id of each group (sets of five words, similarity 0.8; SimHash by covering masks, MinHash keys for links beyond
+its radius, each link checked exactly), suffix dedup cuts repeated passages out of the texts (characters that are cut
 in two go as a whole; emptied documents stay as empty texts), and packing returns the pieces and places.
 The stages need doc_id and text; n_chars, if there, is counted anew when a text is cut. Operators see doc_id, text and one struct
 of all other columns, so no name of a caller's column meets one of theirs, and each column comes out as it went in.
