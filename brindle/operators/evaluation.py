@@ -311,6 +311,7 @@ def box_recall_of(rows: DataFrame, image: str, areas: dict[str, tuple[float, flo
 
 
 LARGE = 5_000
+MANY = 1 << 20  # pairs of a group that one stream may read
 
 
 def suppress(df: DataFrame, by: list[str], threshold: float, key: str, score: str = "score", plus: float = 0.0, large: int = LARGE) -> DataFrame:
@@ -323,11 +324,12 @@ def suppress(df: DataFrame, by: list[str], threshold: float, key: str, score: st
     return small.unionByName(suppress_in_rounds(df.join(big, by, "left_semi"), by, threshold, key, score, plus))
 
 
-def suppress_in_rounds(df: DataFrame, by: list[str], threshold: float, key: str, score: str = "score", plus: float = 0.0, cell: float = 64.0) -> DataFrame:
-    """The boxes that stay, without taking a group into one task.
+def suppress_in_rounds(df: DataFrame, by: list[str], threshold: float, key: str, score: str = "score", plus: float = 0.0, cell: float = 64.0, many: int = MANY) -> DataFrame:
+    """The boxes that stay, without taking the boxes of a group into one task.
 
     Of equal boxes all but the best go at once, if the threshold is below 1: what removes the best removes the others too. Pairs of the rest beyond the threshold are found
-    by grid cells and point from the better box to the other. In each round a box to which no pair points stays for good and removes those that it points to; pairs of
+    by grid cells and point from the better box to the other. A group with up to ``many`` such pairs is decided by one stream of them, in the order of the better box. In the
+    other groups there are rounds: in each a box to which no pair points stays for good and removes those that it points to; pairs of
     decided boxes leave. The result is that of the greedy order, since a box waits for every better neighbour. Rounds lie in checkpoints; their number is the length of
     the longest chain of waiting, which for scores that do not follow places grows with the logarithm of the boxes.
     """
@@ -341,17 +343,37 @@ def suppress_in_rounds(df: DataFrame, by: list[str], threshold: float, key: str,
         wide = rows.withColumn("cx", F.explode(spread("x0", "x1"))).withColumn("cy", F.explode(spread("y0", "y1")))
         return wide.select(*by, "cx", "cy", F.col("__v").alias(f"{p}v"), *[F.col(c).alias(f"{p}{c}") for c in CORNERS])
 
-    met = cells("a_").join(cells("b_"), [*by, "cx", "cy"]).filter("a_v < b_v")
+    met = cells("a_").join(cells("b_"), [*by, "cx", "cy"])
     corner = (F.floor(F.greatest("a_x0", "b_x0") / cell) == F.col("cx")) & (F.floor(F.greatest("a_y0", "b_y0") / cell) == F.col("cy"))
-    pairs = checkpointed(met.filter(corner & (iou(Box.of("a_"), Box.of("b_"), plus) > threshold)).select(*by, "a_v", "b_v"))
-    removed = None
+    found = checkpointed(met.filter((iou(Box.of("a_"), Box.of("b_"), plus) > threshold) & (F.col("a_v") < F.col("b_v")) & corner).select(*by, "a_v", "b_v"))
+    crowded = found.groupBy(*by).agg(F.count("*").alias("__n")).filter(F.col("__n") > many).select(*by)
+    pairs = checkpointed(found.join(crowded, by, "left_semi"))
+    removed = _removed_in_order(found.join(crowded, by, "left_anti"), by)
     while not pairs.isEmpty():
         tops = pairs.select(*by, "a_v").distinct().join(pairs.select(*by, F.col("b_v").alias("a_v")).distinct(), [*by, "a_v"], "left_anti")
         gone = checkpointed(pairs.join(tops, [*by, "a_v"], "left_semi").select(*by, "b_v").distinct())
-        removed = gone if removed is None else removed.unionByName(gone)
+        removed = removed.unionByName(gone)
         left = pairs.join(gone, [*by, "b_v"], "left_anti").join(gone.withColumnRenamed("b_v", "a_v"), [*by, "a_v"], "left_anti")
         pairs = checkpointed(left)
-    stay = rows.select(*by, "__v")
-    if removed is not None:
-        stay = stay.join(removed.withColumnRenamed("b_v", "__v"), [*by, "__v"], "left_anti")
+    stay = rows.select(*by, "__v").join(removed.withColumnRenamed("b_v", "__v"), [*by, "__v"], "left_anti")
     return source.withColumn("__v", F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"))).join(stay, [*by, "__v"], "left_semi").select(*df.columns)
+
+
+def _removed_in_order(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, b_v) that go, where each a_v in turn, if it is still there, removes its b_v; what is known of a group is what has gone."""
+    numbered = pairs.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("a_v", "b_v")))
+    shown = numbered.select(*by, "b_v", "__n", F.col("a_v.k").alias("__a"), F.col("b_v.k").alias("__b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone: set = set()
+        for batch in batches:
+            places = []
+            for i, (n, a, b) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("__n", "__a", "__b")])):
+                if n == 1:
+                    gone = set()
+                if a not in gone and b not in gone:
+                    gone.add(b)
+                    places.append(i)
+            yield batch.select([*by, "b_v"]).take(pa.array(places, pa.int64()))
+
+    return shown.mapInArrow(run, pairs.select(*by, "b_v").schema)
