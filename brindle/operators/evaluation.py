@@ -49,6 +49,15 @@ def coco_matches_of(rows: DataFrame, by: list[str], thresholds: list[float], are
 
     A detection prefers truths that count to ignored ones, then the greatest overlap, then the later truth; a truth is taken once, a crowd any number of times.
     """
+    made = _coco(rows, by, thresholds, areas, most, ties)
+    made = checkpointed(made) if held else made
+    pairs = F.array(*[F.struct(F.lit(a).alias("area"), F.lit(float(t)).alias("threshold")) for a in areas for t in thresholds])
+    each = F.arrays_zip(pairs.alias("o"), F.col("matched").alias("m"), F.col("ignored").alias("i"))
+    return made.select(*by, "det_id", "score", "place", F.explode(each).alias("x")).select(*by, "det_id", "score", "place", "x.o.area", "x.o.threshold", F.col("x.m").alias("gt_id"), F.col("x.i").alias("ignored"))
+
+
+def _coco(rows: DataFrame, by: list[str], thresholds: list[float], areas: dict[str, tuple[float, float]], most: int, ties: list[str]) -> DataFrame:
+    """by, det_id, score, place and the arrays matched and ignored, with an entry for each threshold of each range."""
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema)
     limits = np.array(list(areas.values()), float)
     levels = np.minimum(np.array(thresholds, float), 1 - 1e-10)
@@ -97,11 +106,7 @@ def coco_matches_of(rows: DataFrame, by: list[str], thresholds: list[float], are
 
     no = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
     shown = rows.select(*by, "truth", *[F.col(c).cast("long").alias(c) for c in ("det_id", "gt_id")], *[F.col(c).cast("double").alias(c) for c in ("score", *CORNERS, "area")], no("crowd"), no("ignore"), *[c for c in ties if c not in (*by, "det_id", "score")])
-    made = matching.in_groups(shown, by, [F.desc("score"), *ties], run, f"{kinds}, det_id long, score double, place int, matched array<long>, ignored array<boolean>")
-    made = checkpointed(made) if held else made
-    pairs = F.array(*[F.struct(F.lit(a).alias("area"), F.lit(float(t)).alias("threshold")) for a in areas for t in thresholds])
-    each = F.arrays_zip(pairs.alias("o"), F.col("matched").alias("m"), F.col("ignored").alias("i"))
-    return made.select(*by, "det_id", "score", "place", F.explode(each).alias("x")).select(*by, "det_id", "score", "place", "x.o.area", "x.o.threshold", F.col("x.m").alias("gt_id"), F.col("x.i").alias("ignored"))
+    return matching.in_groups(shown, by, [F.desc("score"), *ties], run, f"{kinds}, det_id long, score double, place int, matched array<long>, ignored array<boolean>")
 
 
 def coco_positives(truths: DataFrame, category: str, areas: dict[str, tuple[float, float]]) -> DataFrame:
@@ -113,11 +118,18 @@ def coco_positives(truths: DataFrame, category: str, areas: dict[str, tuple[floa
 
 
 def coco_evaluation(detections: DataFrame, truths: DataFrame, image: str, category: str, thresholds: list[float], areas: dict[str, tuple[float, float]], limits: list[int], levels: int = 101, ties: list[str] = ("det_id",)) -> tuple[DataFrame, DataFrame]:
-    """Precision at recall levels and final recall by threshold, category, area and limit, from the matches; see ``metrics.accumulate``."""
-    matches = coco_matches(detections, truths, [image, category], thresholds, areas, max(limits), ties, held=True)
-    limited = matches.withColumn("limit", F.explode(F.filter(F.array(*[F.lit(m) for m in limits]), lambda m: F.col("place") <= m)))
-    found = limited.withColumn("hit", F.col("gt_id").isNotNull())
-    return metrics.accumulate(found, coco_positives(truths, category, areas), ["threshold", category, "area", "limit"], "score", [image, "place"], levels)
+    """Precision at recall levels and final recall by threshold, category, area and limit, from the matches; see ``metrics.accumulate_codes``.
+
+    The matches are made once; a row for each detection, with a small number for each threshold of each range, lies in a checkpoint.
+    """
+    shown = lambda df, own: df.select(*dict.fromkeys([image, category, *own, *CORNERS]))
+    both = matching.together(shown(detections, ["det_id", "score", *ties]), shown(truths, ["gt_id", "area", "crowd", "ignore"]))
+    code = F.zip_with("matched", "ignored", lambda gt, aside: F.when(aside, 0).when(gt.isNotNull(), 1).otherwise(2).cast("tinyint"))
+    made = checkpointed(_coco(both, [image, category], thresholds, areas, max(limits), ties).select(image, category, "score", "place", code.alias("codes")))
+    pairs = [(a, t) for a in areas for t in thresholds]
+    options = [{"threshold": float(t), "area": a, "limit": m} for a, t in pairs for m in limits]
+    codes = [F.when(F.col("place") <= m, F.get("codes", F.lit(i))) for i in range(len(pairs)) for m in limits]
+    return metrics.accumulate_codes(made, coco_positives(truths, category, areas), category, options, codes, "score", [image, "place"], levels)
 
 
 def voc_marks(detections: DataFrame, truths: DataFrame, by: list[str], thresholds: list[float], ties: list[str] = ("det_id",)) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +114,84 @@ def accumulate(matches: DataFrame, positives: DataFrame, by: list[str], score: s
     return precision, recall
 
 
+CODES = 32  # codes of two bits that a long holds
+
+
+def accumulate_codes(rows: DataFrame, positives: DataFrame, category: str, options: list[dict], codes: list[Column], score: str, order: list[str], levels: int = 101) -> tuple[DataFrame, DataFrame]:
+    """As ``accumulate``, from a row for each detection, not for each of its combinations; one sort makes all of them.
+
+    ``options`` are the combinations (name: value, such as threshold, area range and limit). ``codes`` has a column for each: 1 (right), 2 (wrong), 0 (counts neither way)
+    or null (no such detection). Rows are sorted once, with their codes packed in longs; those that count anywhere lie in a checkpoint as blocks of bytes. What the blocks before it
+    counted is all that a block needs: the precision at a level is the greatest of any place that reaches it, in whatever block.
+    """
+    n, width, each = len(options), -(-len(options) // 4), range(len(options))
+    names = list(options[0])
+    bits = [F.shiftleft(F.coalesce(c, F.lit(0)).cast("long"), 2 * (k % CODES)) for k, c in enumerate(codes)]
+    words = [f"__w{j}" for j in range(-(-n // CODES))]
+    packs = [reduce(Column.bitwiseOR, bits[j * CODES : (j + 1) * CODES]).alias(w) for j, w in enumerate(words)]
+    counting = rows.select(*dict.fromkeys([category, score, *order]), *packs)
+    ordered = [F.col(category), F.desc(score), *[F.col(c) for c in order]]
+    ranged = counting.repartitionByRange(*ordered).sortWithinPartitions(*ordered).select(F.col(category).alias("category"), F.spark_partition_id().alias("p"), *words)
+    kind = ranged.schema["category"].dataType.simpleString()
+    at = lambda packed, k: (packed[:, k // 4] >> (2 * (k % 4))) & 3
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each part of a batch that is of one category."""
+        seen = 0
+        for batch in batches:
+            packed = np.stack([batch.column(w).to_numpy() for w in words], axis=1)
+            some = packed.any(1)
+            if not some.any():
+                continue
+            batch, packed = batch.filter(pa.array(some)), packed[some].view(np.uint8)[:, :width]
+            kinds = batch.column("category").dictionary_encode().indices.fill_null(-1).to_numpy()
+            cuts = [0, *(np.flatnonzero(kinds[1:] != kinds[:-1]) + 1).tolist(), len(kinds)]
+            sums = [np.stack([np.add.reduceat((at(packed, k) == v).astype(np.int64), cuts[:-1]) for k in each], axis=1).ravel() for v in (1, 2)]
+            ends = pa.array(np.arange(len(cuts)) * n, pa.int32())
+            firsts = pa.array(cuts[:-1])
+            blocks = pa.array([packed[a:b].tobytes() for a, b in pairwise(cuts)], pa.binary())
+            places = pa.array(np.arange(seen, seen + len(firsts)))
+            seen += len(firsts)
+            yield pa.RecordBatch.from_arrays([batch.column("category").take(firsts), batch.column("p").take(firsts), places, *[pa.ListArray.from_arrays(ends, pa.array(v)) for v in sums], blocks], ["category", "p", "seq", "right", "wrong", "block"])
+
+    blocks = checkpointed(ranged.mapInArrow(pack, f"category {kind}, p int, seq long, `right` array<long>, wrong array<long>, block binary"))
+    literal = F.array(*[F.struct(F.lit(k).alias("__k"), *[F.lit(v).alias(name) for name, v in o.items()]) for k, o in enumerate(options)])
+    there = rows.groupBy(category).agg(F.array(*[F.max(c.isNotNull()) for c in codes]).alias("__there"))
+    shown = there.select(category, "__there", F.explode(literal).alias("__o")).filter(F.get("__there", F.col("__o.__k"))).select(category, "__o.*")
+    every = shown.join(positives, [c for c in positives.columns if c in (category, *names)])
+    goals = every.groupBy(F.col(category).alias("category")).agg(F.array(*[F.max(F.when(F.col("__k") == k, F.col("positives"))) for k in each]).alias("goals"))
+    before = Window.partitionBy("category").orderBy("p", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    begun = [F.array(*[F.coalesce(F.sum(F.get(v, F.lit(k))).over(before), F.lit(0)) for k in each]).alias(v) for v in ("right", "wrong")]
+    known = blocks.select("category", "p", "seq", "right", "wrong").select("category", "p", "seq", *begun).join(goals, "category")
+    steps = np.arange(levels) / (levels - 1)
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """category and, for each option and level, the greatest precision in the block at a place that reaches the level."""
+        for batch in (b for b in batches if b.num_rows):
+            tops = np.zeros((batch.num_rows, n, levels))
+            for row, (block, right, wrong, goal) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("block", "right", "wrong", "goals")])):
+                packed = np.frombuffer(block, np.uint8).reshape(-1, width)
+                for k in each:
+                    code = at(packed, k)
+                    hits = np.flatnonzero(code == 1)
+                    if len(hits) and goal[k]:
+                        tp = right[k] + np.arange(1, len(hits) + 1)
+                        precision = tp / (tp + (wrong[k] + np.cumsum(code == 2)[hits]) + 2.0**-52)
+                        best = np.append(np.maximum.accumulate(precision[::-1])[::-1], 0.0)
+                        tops[row, k] = best[np.searchsorted(tp / goal[k], steps)]
+            ends = pa.array(np.arange(batch.num_rows + 1) * n * levels, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("category"), pa.ListArray.from_arrays(ends, pa.array(tops.ravel()))], ["category", "tops"])
+
+    made = blocks.select("p", "seq", "block").join(known, ["p", "seq"]).select("category", "block", "right", "wrong", "goals").mapInArrow(through, f"category {kind}, tops array<double>")
+    best = made.select(F.col("category").alias(category), F.posexplode("tops").alias("__i", "__top")).groupBy(category, "__i").agg(F.max("__top").alias("__best"))
+    value = lambda c: F.when(F.col("positives") == 0, -1.0).otherwise(F.coalesce(c, F.lit(0.0)))
+    grid = every.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("__i", F.col("__k") * levels + F.col("level"))
+    precision = grid.join(best, [category, "__i"], "left").select(category, *names, "level", value(F.col("__best")).alias("precision"))
+    sums = blocks.groupBy(F.col("category").alias(category)).agg(F.array(*[F.sum(F.get("right", F.lit(k))) for k in each]).alias("__tp"))
+    recall = every.join(sums, category, "left").select(category, *names, value(F.try_divide(F.get("__tp", F.col("__k")), F.col("positives"))).alias("recall"))
+    return precision, recall
+
+
 def summarize(values: DataFrame, value: str, by: list[str]) -> DataFrame:
     """The mean of what is above -1, which marks combinations without truths; -1 if nothing is."""
     return values.groupBy(*by).agg(F.coalesce(F.avg(F.when(F.col(value) > -1, F.col(value))), F.lit(-1.0)).alias("mean"))

@@ -229,16 +229,18 @@ def register(registry: Registry) -> None:
     areas = {"all": (0.0, 1e9), "small": (0.0, 3e4), "large": (3e4, 1e9)}
 
     def coco(s, d):
-        rows = table(s, d, "lineitem").select("l_orderkey", *TIES, "l_returnflag", "l_discount", "l_quantity", "l_tax")
-        options = [F.struct(F.lit(t).alias("threshold"), F.lit(a).alias("area"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(m).alias("most")) for t in (0.5, 0.75) for a, (lo, hi) in areas.items() for m in (2, 100)]
-        wide = rows.withColumn("o", F.explode(F.array(*options))).filter(F.col("l_linenumber") <= F.col("o.most"))
-        outside = (F.col("l_extendedprice") < F.col("o.lo")) | (F.col("l_extendedprice") >= F.col("o.hi"))
-        found = wide.select("l_orderkey", *TIES, "l_returnflag", "l_discount", F.col("o.threshold").alias("threshold"), F.col("o.area").alias("area"), F.col("o.most").alias("most"), (F.col("l_quantity") > 50 * F.col("o.threshold")).alias("hit"), (outside | (F.col("l_tax") > 0.06)).alias("ignored"))
-        truths = rows.select("l_returnflag", F.explode(F.array(*[F.lit(a) for a in areas])).alias("area")).groupBy("l_returnflag", "area").agg(F.lit(0).alias("z"))
-        counts = rows.withColumn("a", F.explode(F.array(*[F.struct(F.lit(a).alias("area"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for a, (lo, hi) in areas.items()])))
-        n = counts.filter((F.col("l_extendedprice") >= F.col("a.lo")) & (F.col("l_extendedprice") < F.col("a.hi")) & (F.col("l_quantity") > 20)).groupBy("l_returnflag", F.col("a.area").alias("area")).agg(F.count("*").alias("positives"))
-        n = truths.join(n, ["l_returnflag", "area"], "left").select("l_returnflag", "area", F.coalesce("positives", F.lit(0)).alias("positives"))
-        return metrics.accumulate(found, n, ["threshold", "l_returnflag", "area", "most"], "l_discount", ["l_orderkey", *TIES], 11)
+        lines, price = table(s, d, "lineitem"), F.col("l_extendedprice")
+        inside = {a: (price >= lo) & (price < hi) for a, (lo, hi) in areas.items()}
+        per = lines.groupBy("l_returnflag").agg(F.array(*[F.struct(F.lit(a).alias("area"), F.count_if(c & (F.col("l_quantity") > 20)).alias("positives")) for a, c in inside.items()]).alias("n"))
+        n = per.select("l_returnflag", F.explode("n").alias("n")).select("l_returnflag", "n.*")
+        options = [{"threshold": t, "area": a, "most": m} for t in (0.5, 0.75) for a in areas for m in (2, 100)]
+        # What the codes are made of is told once for each line: long expressions with nulls would not be compiled.
+        hits = {t: F.col("l_quantity") > 50 * t for t in (0.5, 0.75)}
+        facts = {f"in_{a}": c & (F.col("l_tax") <= 0.06) for a, c in inside.items()} | {f"hit_{t}": c for t, c in hits.items()} | {f"miss_{t}": ~c for t, c in hits.items()} | {f"most_{m}": F.col("l_linenumber") <= m for m in (2, 100)}
+        rows = lines.select("l_orderkey", *TIES, "l_returnflag", "l_discount", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in facts.items()])
+        f = lambda name, v: F.col(f"`{name}_{v}`")
+        codes = [F.when(f("most", o["most"]), F.when(f("in", o["area"]) & f("hit", o["threshold"]), 1).when(f("in", o["area"]) & f("miss", o["threshold"]), 2).otherwise(0)) for o in options]
+        return metrics.accumulate_codes(rows, n, "l_returnflag", options, codes, "l_discount", ["l_orderkey", *TIES], 11)
 
     coco_sql = f"""r AS (SELECT * FROM lineitem), a AS (SELECT * FROM (VALUES ('all', 0.0, 1e9), ('small', 0.0, 3e4), ('large', 3e4, 1e9)) v(area, lo, hi)),
     n AS (SELECT l_returnflag, area, count(*) FILTER (l_extendedprice >= lo AND l_extendedprice < hi AND l_quantity > 20) AS p FROM r, a GROUP BY ALL),
