@@ -322,18 +322,59 @@ def box_recall_of(rows: DataFrame, image: str, areas: dict[str, tuple[float, flo
     return sums.select("area", "limit", "positives", (F.col("hits") / F.col("positives") / len(thresholds)).alias("ar"))
 
 
-LARGE = 5_000
+LARGE = 5_000  # boxes of a group that are compared at once
+STREAMED = 1 << 16  # boxes of a group that one stream may read
 MANY = 1 << 20  # pairs of a group that one stream may read
 
 
-def suppress(df: DataFrame, by: list[str], threshold: float, key: str, score: str = "score", plus: float = 0.0, large: int = LARGE) -> DataFrame:
-    """Greedy suppression with no bound on a group: groups of up to ``large`` boxes as ``matching.non_maximum_suppression`` has it, larger ones in parallel.
+def suppress(df: DataFrame, by: list[str], threshold: float, key: str, score: str = "score", plus: float = 0.0, large: int = LARGE, streamed: int = STREAMED) -> DataFrame:
+    """Greedy suppression with no bound on a group: groups of up to ``streamed`` boxes are read in order, up to ``large`` boxes at once, larger ones are decided in parallel.
 
     ``key`` is unique within a group and breaks ties of the score.
     """
-    big = df.groupBy(*by).agg(F.count("*").alias("__n")).filter(F.col("__n") > large).select(*by)
-    small = matching.non_maximum_suppression(df.join(big, by, "left_anti"), by, threshold, score, [key], plus)
-    return small.unionByName(suppress_in_rounds(df.join(big, by, "left_semi"), by, threshold, key, score, plus))
+    crowded = df.groupBy(*by).agg(F.count("*").alias("__n")).filter(F.col("__n") > streamed).select(*by)
+    if crowded.isEmpty():
+        return suppress_in_order(df, by, threshold, key, score, plus, large)
+    rest = suppress_in_order(df.join(crowded, by, "left_anti"), by, threshold, key, score, plus, large)
+    return rest.unionByName(suppress_in_rounds(df.join(crowded, by, "left_semi"), by, threshold, key, score, plus))
+
+
+def suppress_in_order(df: DataFrame, by: list[str], threshold: float, key: str, score: str = "score", plus: float = 0.0, large: int = LARGE) -> DataFrame:
+    """The boxes that stay, from one shuffle by group and no table of pairs.
+
+    A task reads its groups one after the other in the order of the boxes. Blocks of up to ``large`` boxes are compared with those of the group that stay so far, which is
+    all that is held of a group, then with one another.
+    """
+    names = df.columns
+
+    def stay(boxes: np.ndarray, kept: np.ndarray) -> np.ndarray:
+        """Places of the boxes that neither ``kept`` nor better boxes that stay remove."""
+        n, step = len(kept), max(1, matching.COMPARED // len(boxes))
+        if len(boxes) <= matching.SQUARE and n + len(boxes) <= step:
+            over = ~(matching._overlaps(boxes[:, None], np.concatenate([kept, boxes])[None], plus) <= threshold)
+            return matching.first_come(over[:, n:], over[:, :n].any(1))
+        places = np.arange(len(boxes))
+        for a in range(0, n, step):
+            places = places[(matching._overlaps(boxes[places, None], kept[None, a : a + step], plus) <= threshold).all(1)]
+        return places[matching.staying(boxes[places], threshold, plus)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = kept = np.zeros((0, 4))
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            boxes, firsts, places = matching.corners(table), table.column("__n").to_numpy() == 1, []
+            cuts = sorted({0, *np.flatnonzero(firsts).tolist(), len(boxes)})
+            for start, end in pairwise(cuts):
+                kept = none if firsts[start] else kept
+                for a in range(start, end, large):
+                    own = a + stay(boxes[a : min(a + large, end)], kept)
+                    kept = np.concatenate([kept, boxes[own]])
+                    places.append(own)
+            if places:
+                yield from table.select(names).take(pa.array(np.concatenate(places))).combine_chunks().to_batches()
+
+    order = [*matching.falling(score), F.asc_nulls_last(key)]
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).mapInArrow(run, df.schema)
 
 
 def suppress_in_rounds(df: DataFrame, by: list[str], threshold: float, key: str, score: str = "score", plus: float = 0.0, cell: float = 64.0, many: int = MANY) -> DataFrame:

@@ -160,13 +160,16 @@ def taken(detection: np.ndarray, truth: np.ndarray, free: np.ndarray, shared: np
     return open_[at[at < ends]]
 
 
-def first_come(removes: np.ndarray) -> np.ndarray:
-    """Places that stay where each in turn removes the later ones that ``removes[place]`` marks."""
-    open_, kept = np.ones(len(removes), bool), []
+def first_come(removes: np.ndarray, gone: np.ndarray | None = None) -> np.ndarray:
+    """Places that stay where each in turn removes the later ones that ``removes[place]`` marks; those of ``gone`` neither stay nor remove."""
+    bits = lambda marks: int.from_bytes(np.packbits(marks, bitorder="little").tobytes(), "little")
+    out, kept = 0 if gone is None else bits(gone), []
+    packed = np.packbits(removes, axis=1, bitorder="little")
+    width, data = packed.shape[1], packed.tobytes()
     for i in range(len(removes)):
-        if open_[i]:
+        if not out >> i & 1:
             kept.append(i)
-            open_ &= ~removes[i]
+            out |= int.from_bytes(data[i * width : (i + 1) * width], "little")
     return np.array(kept, int)
 
 
@@ -188,14 +191,18 @@ def suppressed(boxes: np.ndarray, order: np.ndarray, threshold: float, plus: flo
     return np.array(kept, int)
 
 
+def staying(boxes: np.ndarray, threshold: float, plus: float = 0.0) -> np.ndarray:
+    """Places of the boxes that stay, where each in turn removes those after it."""
+    if len(boxes) > SQUARE:
+        return suppressed(boxes, np.arange(len(boxes)), threshold, plus)
+    return first_come(~(_overlaps(boxes[:, None], boxes[None], plus) <= threshold))
+
+
 def non_maximum_suppression(df: DataFrame, by: list[str], threshold: float, score: str = "score", ties: list[str] = (), plus: float = 0.0, least_score: float | None = None) -> DataFrame:
     """Greedy suppression in each group (image and class), highest score first; ``ties`` complete the order."""
 
     def keep(*corners: np.ndarray) -> np.ndarray:
-        boxes = np.stack(corners, axis=1).astype(float)
-        if len(boxes) > SQUARE:
-            return suppressed(boxes, np.arange(len(boxes)), threshold, plus)
-        return first_come(~(_overlaps(boxes[:, None], boxes[None], plus) <= threshold))
+        return staying(np.stack(corners, axis=1).astype(float), threshold, plus)
 
     if least_score is not None:
         df = df.filter(F.col(score) > least_score)

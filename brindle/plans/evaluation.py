@@ -23,7 +23,7 @@ def rows(s, d, dealt: str | None = None) -> DataFrame:
     box = Box.from_xywh((F.col("l_partkey") % 100).cast("double"), (F.col("l_suppkey") % 100).cast("double"), F.col("l_quantity"), F.col("l_linenumber") * 5.0)
     number = F.row_number().over(Window.partitionBy("l_suppkey", "l_returnflag").orderBy(*ORDER.split(", "))).cast("long")
     lines = table(s, d, "lineitem")
-    made = (lines.repartition(dealt) if dealt else lines).select("*", *box.columns()).withColumn("id", number)
+    made = (lines.repartition(dealt) if dealt else lines).withColumn("id", number).select("*", *box.columns())  # boxes are made after the shuffle, which has fewer columns so
     return made.select(F.col("l_suppkey").alias("image"), F.col("l_returnflag").alias("label"), "id", F.col("l_discount").alias("score"), "x0", "y0", "x1", "y1", (F.col("l_tax") > 0.07).alias("flag"))
 
 
