@@ -6,6 +6,7 @@ A transform is six columns, so every image may have its own. Transforms compose
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from brindle.functions.geometry import Box
 
 
+WHOLE = 1 << 16  # pixels of an image that a row may hold
+
+
 def _lit(value: Column | float) -> Column:
     return value if isinstance(value, Column) else F.lit(float(value))
 
@@ -86,26 +90,45 @@ def warp(pixels: DataFrame, images: DataFrame, old: tuple[int, int], back: Affin
 
     ``images`` has a row for each image, with the columns that ``back``, ``height`` and ``width`` (at least 1) use. ``bilinear`` mixes four source pixels, ``nearest`` takes the
     one that holds the place. What lies outside is ``fill``: it mixes in at the border (``blend``), or the border pixels are repeated where the place itself
-    lies inside (``repeat``). Source pixels that are missing count as ``fill``, and so does an image whose transform is null. Two exchanges: the samples meet the source by image, row and column.
+    lies inside (``repeat``). Source pixels that are missing count as ``fill``, and so does an image whose transform is null. Sources of up to ``WHOLE`` pixels meet the images as a row each,
+    so that samples are never shuffled; if the caller has dealt images and pixels by image, nothing is. In larger ones the samples meet the source by image, row and column, with two exchanges.
     """
     if method not in ("bilinear", "nearest") or border not in ("blend", "repeat"):
         raise ValueError(f"unknown method {method} or border {border}")
     names = dict(zip(("__a", "__b", "__c", "__d", "__e", "__f"), (back.a, back.b, back.c, back.d, back.e, back.f)))
     plan = images.select("image_id", height.cast("long").alias("__h"), width.cast("long").alias("__w"), *[c.alias(k) for k, c in names.items()])
+    pixels, whole = pixels.filter(F.col("y").between(0, old[0] - 1) & F.col("x").between(0, old[1] - 1)), old[0] * old[1] <= WHOLE
+    if whole:
+        plan = plan.join(_sources(pixels, old, fill).hint("merge"), "image_id", "left")
     rows = plan.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__h") - 1)))
     cells = rows.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__w") - 1)))
     u, v = Affine(*map(F.col, names)).at(F.col("x") + 0.5, F.col("y") + 0.5)
-    placed = cells.select("image_id", "y", "x", u.alias("__u"), v.alias("__v"))
+    placed = cells.select("image_id", "y", "x", u.alias("__u"), v.alias("__v"), *(["__s"] if whole else []))
     inside = F.coalesce((F.col("__u") >= 0) & (F.col("__u") < old[1]) & (F.col("__v") >= 0) & (F.col("__v") < old[0]), F.lit(False))
     if method == "nearest":
-        taps = F.array(F.struct(F.floor("__v").alias("sy"), F.floor("__u").alias("sx"), F.lit(1.0).alias("w")))
+        taps = [(F.floor("__v"), F.floor("__u"), F.lit(1.0))]
     else:
         low = {"u": F.floor(F.col("__u") - 0.5), "v": F.floor(F.col("__v") - 0.5)}
         share = {"u": F.col("__u") - 0.5 - low["u"], "v": F.col("__v") - 0.5 - low["v"]}
         weight = lambda c, k: share[c] if k else 1 - share[c]
         place = lambda c, k, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), low[c] + k)) if border == "repeat" else low[c] + k
-        taps = F.array(*[F.struct(place("v", j, old[0]).alias("sy"), place("u", i, old[1]).alias("sx"), (weight("v", j) * weight("u", i)).alias("w")) for j in (0, 1) for i in (0, 1)])
-    taps = F.when(inside if border == "repeat" else F.col("__u").isNotNull() & F.col("__v").isNotNull(), taps)
+        taps = [(place("v", j, old[0]), place("u", i, old[1]), weight("v", j) * weight("u", i)) for j in (0, 1) for i in (0, 1)]
+    read = inside if border == "repeat" else F.col("__u").isNotNull() & F.col("__v").isNotNull()
+    if whole:
+        one = lambda sy, sx: F.coalesce(F.when(sy.between(0, old[0] - 1) & sx.between(0, old[1] - 1), F.get("__s", (sy * old[1] + sx).cast("int"))), F.lit(float(fill)))
+        mixed = reduce(Column.__add__, [one(sy, sx) * w for sy, sx, w in taps])
+        return placed.select("image_id", "y", "x", F.when(read, mixed).otherwise(float(fill)).alias("value"))
+    taps = F.when(read, F.array(*[F.struct(sy.alias("sy"), sx.alias("sx"), w.alias("w")) for sy, sx, w in taps]))
     asked = placed.select("image_id", "y", "x", F.explode_outer(taps).alias("t")).select("image_id", "y", "x", F.col("t.sy").cast("long").alias("__sy"), F.col("t.sx").cast("long").alias("__sx"), F.coalesce("t.w", F.lit(1.0)).alias("__t"))
     source = pixels.select("image_id", F.col("y").cast("long").alias("__sy"), F.col("x").cast("long").alias("__sx"), F.col("value").cast("double").alias("__v"))
     return asked.join(source.hint("merge"), ["image_id", "__sy", "__sx"], "left").groupBy("image_id", "y", "x").agg(F.sum(F.coalesce("__v", F.lit(float(fill))) * F.col("__t")).alias("value"))
+
+
+def _sources(pixels: DataFrame, size: tuple[int, int], fill: float) -> DataFrame:
+    """image_id and ``__s``, the values of an image row by row; null where a pixel is missing. Values of a pixel that is there twice add up."""
+    place, value = F.col("y") * size[1] + F.col("x"), F.coalesce(F.col("value").cast("double"), F.lit(float(fill)))
+    each = pixels.groupBy("image_id", place.cast("int").alias("k")).agg(F.sum(value).alias("v"))
+    held = each.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("__p"))
+    gap = lambda e, i: F.array_repeat(F.lit(None).cast("double"), e["k"] - F.coalesce(F.get("__p", i - 1)["k"], F.lit(-1)) - 1)
+    spread = F.flatten(F.transform("__p", lambda e, i: F.concat(gap(e, i), F.array(e["v"]))))
+    return held.select("image_id", F.when(F.size("__p") == size[0] * size[1], F.transform("__p", lambda e: e["v"])).otherwise(spread).alias("__s"))
